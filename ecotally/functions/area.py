@@ -1,4 +1,4 @@
-"""Area apportioning and units.
+"""Area apportioning and units (SQL text).
 
 A component's area is ``share/10 * polygon area``.  The library carries the
 undivided product ``area_t = area * share`` (square metres times tenths):
@@ -8,18 +8,14 @@ the single division happens at the report edge (``to_unit``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..schema import UNITS
-from .nulls import _c
 
 
-def apportion(area="area", sdec="sdec") -> Column:
+def apportion(area: str = "area", sdec: str = "sdec") -> str:
     """``area_t``: polygon area (m2) times the component share in tenths."""
-    return _c(area) * _c(sdec)
+    return f"{area} * {sdec}"
 
 
-def to_unit(area_t="area_t", unit: str = "m2") -> Column:
+def to_unit(area_t: str = "area_t", unit: str = "m2") -> str:
     """An ``area_t`` value (or sum) in ``unit`` as double."""
-    return _c(area_t).cast("double") / F.lit(float(10 * UNITS[unit]))
+    return f"CAST({area_t} AS DOUBLE) / {float(10 * UNITS[unit])!r}D"

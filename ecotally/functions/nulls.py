@@ -1,6 +1,10 @@
-"""Column expressions with the missing-value rules of the analysed scripts.
+"""Spark SQL expressions with the missing-value rules of the analysed scripts.
 
-All are plain Catalyst expressions (codegen, no Python at run time).
+Every helper returns Spark SQL *text* over column names (compose them freely,
+apply with ``selectExpr`` / ``filter`` / ``expr``).  Building a job from SQL
+text costs one parse per step instead of one JVM round trip per
+sub-expression, and gives exactly the same Catalyst plan (codegen, no
+Python at run time).
 """
 
 from __future__ import annotations
@@ -13,50 +17,71 @@ from pyspark.sql import functions as F
 from ..schema import NA_TEXT
 
 
-def _c(x) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+def expr(sql: str) -> Column:
+    """A SQL expression as a Column."""
+    return F.expr(sql)
 
 
-def strict_sum(x) -> Column:
+def lit(value) -> str:
+    """A SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, float)):
+        return repr(value) + ("D" if isinstance(value, float) else "")
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def lits(values: Iterable) -> str:
+    return ", ".join(lit(v) for v in values)
+
+
+def ident(name: str) -> str:
+    """A column name as a SQL identifier."""
+    return name if name.replace("_", "").isalnum() and not name[0].isdigit() else "`" + name.replace("`", "``") + "`"
+
+
+def strict_sum(x: str) -> str:
     """Sum that is missing when any input is missing (R ``sum`` without
-    ``na.rm``).  One aggregate: partial+final, no extra pass."""
-    x = _c(x)
-    return F.when(F.count(x) == F.count(F.lit(1)), F.sum(x))
+    ``na.rm``): one aggregate, partial before the shuffle."""
+    return f"CASE WHEN count({x}) = count(1) THEN sum({x}) END"
 
 
-def text_or_na(x) -> Column:
+def text_or_na(x: str) -> str:
     """Missing shown as the text ``NA`` (``paste0`` / ``unite`` pieces)."""
-    return F.coalesce(_c(x).cast("string"), F.lit(NA_TEXT))
+    return f"coalesce(CAST({x} AS STRING), {lit(NA_TEXT)})"
 
 
-def paste0(*parts) -> Column:
+def paste0(*parts: str) -> str:
     """``paste0``: concatenation where a missing piece prints as ``NA``."""
-    return F.concat(*[text_or_na(p) for p in parts])
+    return "concat(" + ", ".join(text_or_na(p) for p in parts) + ")"
 
 
-def str_c(*parts) -> Column:
+def str_c(*parts: str) -> str:
     """``str_c``: concatenation where any missing piece makes it missing."""
-    return F.concat(*[_c(p) for p in parts])
+    return "concat(" + ", ".join(parts) + ")"
 
 
-def in_or_missing(x, values: Iterable[str]) -> Column:
+def in_or_missing(x: str, values: Iterable) -> str:
     """``x %in% c(..., NA)``: missing matches."""
-    x = _c(x)
-    return x.isNull() | x.isin(list(values))
+    return f"({x} IS NULL OR {x} IN ({lits(values)}))"
 
 
-def not_in_keep_missing(x, values: Iterable[str]) -> Column:
+def not_in_keep_missing(x: str, values: Iterable) -> str:
     """``!x %in% c(...)``: true for a missing ``x`` (row kept)."""
-    return ~F.coalesce(_c(x).isin(list(values)), F.lit(False))
+    return f"NOT coalesce({x} IN ({lits(values)}), false)"
 
 
-def na_text_to_null(x) -> Column:
+def na_text_to_null(x: str) -> str:
     """``na_if(x, "NA")``."""
-    return F.nullif(_c(x), F.lit(NA_TEXT))
+    return f"nullif({x}, {lit(NA_TEXT)})"
 
 
 def na_text_to_null_all(df, columns: Iterable[str] | None = None):
     """``na_if("NA")`` on every string column (or the given ones)."""
     string_cols = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
     targets = string_cols if columns is None else set(columns) & string_cols
-    return df.select(*[na_text_to_null(c).alias(c) if c in targets else F.col(c) for c in df.columns])
+    return df.selectExpr(*[
+        f"{na_text_to_null(ident(c))} AS {ident(c)}" if c in targets else ident(c) for c in df.columns
+    ])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import strict_sum
+from ..functions.nulls import expr, ident, lit, strict_sum
 from .reshape import column_name, to_wide
 
 # Largest number of distinct categories a discovered pivot may produce.
@@ -17,9 +17,9 @@ MAX_PIVOT_VALUES = 1000
 def group_area(df: DataFrame, keys: Sequence[str], value: str = "area_t", out: str = "area_t", count: str | None = "n") -> DataFrame:
     """Strict area sum per group (partial aggregate before the shuffle, so a
     hot group costs one row per map task on the wire)."""
-    aggs = [strict_sum(value).alias(out)]
+    aggs = [expr(f"{strict_sum(value)} AS {out}")]
     if count:
-        aggs.append(F.count(F.lit(1)).alias(count))
+        aggs.append(expr(f"count(1) AS {count}"))
     return df.groupBy(*keys).agg(*aggs)
 
 
@@ -27,10 +27,10 @@ def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One-way tables of many columns in one pass: unpivot to
     (column, value), drop missing, count.  Counts are partial-aggregated, so
     the shuffle carries one row per distinct (column, value) per task."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot(
+    long = df.selectExpr(*[f"CAST({ident(c)} AS STRING) AS {ident(c)}" for c in columns]).unpivot(
         [], list(columns), "column", "value"
     )
-    return long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return long.filter("value IS NOT NULL").groupBy("column", "value").agg(expr("count(1) AS n"))
 
 
 def distinct_values(df: DataFrame, col: str, max_values: int = MAX_PIVOT_VALUES) -> list:
@@ -44,10 +44,10 @@ def distinct_values(df: DataFrame, col: str, max_values: int = MAX_PIVOT_VALUES)
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str] | None = None) -> DataFrame:
     """Two-way count table: rows missing either variable are not counted;
     pairs never seen show 0 (``table(a, b)``)."""
-    both = df.filter(F.col(row).isNotNull() & F.col(col).isNotNull())
+    both = df.filter(f"{ident(row)} IS NOT NULL AND {ident(col)} IS NOT NULL")
     if values is None:
         values = distinct_values(both, col)
-    aggs = [F.count(F.when(F.col(col) == v, F.lit(1))).alias(column_name(v)) for v in values]
+    aggs = [expr(f"count(CASE WHEN {ident(col)} = {lit(v)} THEN 1 END) AS {ident(column_name(v))}") for v in values]
     return both.groupBy(row).agg(*aggs)
 
 

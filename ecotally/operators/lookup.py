@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nulls import expr, ident
+
 # Largest lookup (rows) that is broadcast; lookup rows are a few short text
 # columns, so this keeps the broadcast under a few tens of MB.
 BROADCAST_MAX_ROWS = 200_000
@@ -48,17 +50,14 @@ def lookup(
     """
     pairs = [(k, k) if isinstance(k, str) else tuple(k) for k in on]
     right_keys = {r for _, r in pairs}
-    left_cols = set(df.columns)
+    left_cols = {c.lower() for c in df.columns}
     renamed = {r: f"__key_{i}" for i, (_, r) in enumerate(pairs)}
-    keep = [c for c in table.columns if c not in right_keys and c not in left_cols]
-    right = table.select(*[F.col(r).alias(renamed[r]) for r in renamed], *keep)
+    keep = [c for c in table.columns if c not in right_keys and c.lower() not in left_cols]
+    right = table.selectExpr(*[f"{ident(r)} AS {renamed[r]}" for r in renamed], *[ident(c) for c in keep])
     right = maybe_broadcast(right, table_rows, max_rows)
-    cond = None
-    for l, r in pairs:
-        lc, rc = df[l], right[renamed[r]]
-        c = lc.eqNullSafe(rc) if null_safe else lc == rc
-        cond = c if cond is None else cond & c
-    out = df.join(right, cond, how)
+    op = "<=>" if null_safe else "="
+    cond = " AND ".join(f"{ident(l)} {op} {renamed[r]}" for l, r in pairs)
+    out = df.join(right, expr(cond), how)
     return out.drop(*renamed.values())
 
 
@@ -74,7 +73,6 @@ def crosswalk(
     """Replace ``target`` by the crosswalk's ``replacement`` looked up on
     ``key``.  An unmatched code becomes missing (no fall back to the old
     code), as in the source job."""
-    t = table.select(F.col(table_key).alias("__xw_key"), F.col(replacement).alias("__xw_new"))
+    t = table.selectExpr(f"{ident(table_key)} AS __xw_key", f"{ident(replacement)} AS __xw_new")
     joined = lookup(df, t, [(key, "__xw_key")], table_rows=table_rows)
-    cols = [F.col("__xw_new").alias(target) if c == target else F.col(c) for c in df.columns]
-    return joined.select(*cols)
+    return joined.selectExpr(*[f"__xw_new AS {ident(c)}" if c == target else ident(c) for c in df.columns])

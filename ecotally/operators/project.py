@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.nulls import ident
 from ..schema import UNITS, SourceSpelling
 
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def _as_code(c, dtype) -> F.Column:
+def _as_code(c: str, dtype) -> str:
     """A code column as text; a whole number read as a float prints without
     ``.0`` (a stage ``3`` from a workbook must read ``3``, not ``3.0``)."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return F.when(c == F.floor(c), F.floor(c).cast("bigint").cast("string")).otherwise(c.cast("string"))
-    if isinstance(dtype, _NUMERIC):
-        return c.cast("string")
+    if isinstance(dtype, _FRACTIONAL):
+        return f"CASE WHEN {c} = floor({c}) THEN CAST(CAST(floor({c}) AS BIGINT) AS STRING) ELSE CAST({c} AS STRING) END"
+    if isinstance(dtype, _INTEGRAL):
+        return f"CAST({c} AS STRING)"
     return c
 
 
@@ -33,16 +34,18 @@ def canonicalise(df: DataFrame, spelling: SourceSpelling, keep: list[str] | None
     types = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for canon, src in mapping.items():
-        c = F.col(src)
+        c = ident(src)
         if canon == "area":
             factor = UNITS[spelling.area_unit]
-            c = c * F.lit(factor) if factor != 1 else c
+            e = f"{c} * {factor}" if factor != 1 else c
         elif canon.startswith("sdec_"):
-            c = c.cast("int")
-        elif canon != "fid":
-            c = _as_code(c, types[src])
-        out.append(c.alias(canon))
-    return df.select(*out)
+            e = f"CAST({c} AS INT)"
+        elif canon == "fid":
+            e = c
+        else:
+            e = _as_code(c, types[src])
+        out.append(f"{e} AS {canon}")
+    return df.selectExpr(*out)
 
 
 def cols_between(df: DataFrame, first: str, last: str) -> list[str]:

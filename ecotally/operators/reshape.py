@@ -3,7 +3,7 @@
 ``to_long`` turns the three component column groups of a polygon into rows
 with one ``inline`` over an array of structs: a narrow (per-row) operator, so
 it pipelines into the scan and needs no exchange.  Empty components are
-removed inside the array (before the Generate), where the filter is cheap.
+removed by a filter fused into the same code-generated stage.
 
 ``to_wide`` is conditional aggregation: one hash aggregate (partial before
 the shuffle, final after) with three small aggregates per output column,
@@ -14,11 +14,11 @@ present but missing total stays missing.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from ..functions.nulls import ident, lit
 from ..schema import COMPONENTS, wide
 
 DECILE_TAGS = ("Decile1", "Decile2", "Decile3")
@@ -41,17 +41,20 @@ def to_long(
     """
     present = set(df.columns)
 
-    def field(f: str, n: int) -> Column:
+    def field(f: str, n: int) -> str:
         name = wide(f, n)
-        return (F.col(name) if name in present else F.lit(None).cast("string")).alias(f)
+        return f"{lit(f)}, " + (ident(name) if name in present else "CAST(NULL AS STRING)")
 
-    arr = F.array(*[
-        F.struct(F.lit(tag).alias(tag_col), *[field(f, n) for f in fields])
+    structs = [
+        f"named_struct({lit(tag_col)}, {lit(tag)}, " + ", ".join(field(f, n) for f in fields) + ")"
         for tag, n in zip(tags, components)
-    ])
+    ]
+    long = df.selectExpr(*[ident(i) for i in ids], "inline(array(" + ", ".join(structs) + "))")
     if drop_empty is not None:
-        arr = F.filter(arr, lambda x: x[drop_empty].isNotNull())
-    return df.select(*ids, F.inline(arr))
+        # a plain filter right above the Generate stays in the same codegen
+        # stage (a lambda filter on the array would run interpreted)
+        long = long.filter(f"{ident(drop_empty)} IS NOT NULL")
+    return long
 
 
 def column_name(value: str) -> str:
@@ -60,6 +63,31 @@ def column_name(value: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", str(value).lower()).strip("_") or "na"
 
 
+def wide_cells(
+    names_from: str,
+    values: Sequence[str],
+    value: str,
+    names: Sequence[str] | None = None,
+    fill=None,
+    convert: Callable[[str], str] | None = None,
+) -> list[str]:
+    """Aggregate expressions, one per category: strict sum of ``value`` over
+    the rows of that category, converted, ``fill`` where there is no row."""
+    names = list(names) if names is not None else [column_name(v) for v in values]
+    cells = []
+    for v, name in zip(values, names):
+        hit = f"{ident(names_from)} = {lit(v)}"
+        n_rows = f"count(CASE WHEN {hit} THEN 1 END)"
+        total = f"sum(CASE WHEN {hit} THEN {value} END)"
+        cell = f"CASE WHEN {n_rows} = count(CASE WHEN {hit} THEN {value} END) THEN {total} END"
+        if convert is not None:
+            cell = convert(cell)
+        if fill is not None:
+            cell = f"CASE WHEN {n_rows} = 0 THEN {lit(fill)} ELSE {cell} END"
+        cells.append(f"{cell} AS {ident(name)}")
+    return cells
+
+
 def to_wide(
     df: DataFrame,
     ids: Sequence[str],
@@ -68,31 +96,18 @@ def to_wide(
     value: str,
     fill=None,
     names: Sequence[str] | None = None,
-    convert=None,
+    convert: Callable[[str], str] | None = None,
 ) -> DataFrame:
     """Long -> wide with an explicit category list (no plan-time job).
 
-    ``convert`` maps each aggregated cell (e.g. a unit conversion); ``fill``
-    is applied to absent cells after conversion.
+    ``convert`` maps each aggregated cell (SQL text, e.g. a unit
+    conversion); ``fill`` is applied to absent cells after conversion.
     """
-    names = list(names) if names is not None else [column_name(v) for v in values]
-    cat, x = F.col(names_from), F.col(value)
-    aggs = []
-    for v, name in zip(values, names):
-        hit = cat == v
-        n_rows = F.count(F.when(hit, F.lit(1)))
-        cell = F.when(n_rows == F.count(F.when(hit, x)), F.sum(F.when(hit, x)))
-        if convert is not None:
-            cell = convert(cell)
-        if fill is not None:
-            cell = F.when(n_rows == 0, F.lit(fill)).otherwise(cell)
-        aggs.append(cell.alias(name))
-    return df.groupBy(*ids).agg(*aggs)
+    cells = wide_cells(names_from, values, value, names, fill, convert)
+    keys = ", ".join(ident(i) for i in ids)
+    return df.sparkSession.sql(f"SELECT {keys}, {', '.join(cells)} FROM {{src}} GROUP BY {keys}", src=df)
 
 
-def row_total(cols: Sequence[str]) -> Column:
+def row_total(cols: Sequence[str]) -> str:
     """Row-wise sum with ``+``: missing when any part is missing."""
-    total = F.col(cols[0])
-    for c in cols[1:]:
-        total = total + F.col(c)
-    return total
+    return " + ".join(ident(c) for c in cols)

@@ -14,18 +14,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.area import apportion, to_unit
 from ..functions.classify import after_class, as_level, level_position, structural_class
 from ..functions.keys import bec_variant, ecosystem_label, ecosystem_unit, lookup_unit_key, unit_key
-from ..functions.nulls import not_in_keep_missing, strict_sum
+from ..functions.nulls import expr, ident, lit, not_in_keep_missing, strict_sum
 from ..operators.aggregate import group_area
 from ..operators.lookup import crosswalk, lookup
 from ..operators.reshape import to_long, to_wide
 from ..schema import AFTER_EXCLUDED_TYPES, AFTER_LOST, MARL_FEN, ZONE_COLUMNS
 
 EU_FIELDS = ("sdec", "sitemc", "strct", "seral")
+EU_REPORT = ("bec_variant", "ecosystem", "site_series_name", "type", "strct", "structural_class")
 
 
 def _snake(name: str) -> str:
@@ -34,20 +34,19 @@ def _snake(name: str) -> str:
 
 def canonical_sheet(df: DataFrame) -> DataFrame:
     """Lookup sheet with snake_case names (``BEC Variant`` -> ``bec_variant``)."""
-    return df.select(*[F.col(f"`{c}`").alias(_snake(c)) for c in df.columns])
+    return df.selectExpr(*[f"{ident(c)} AS {_snake(c)}" for c in df.columns])
 
 
 def names_table(map_codes: DataFrame) -> DataFrame:
     """Map-code sheet keyed by ``unit`` = BEC variant + map code."""
     m = canonical_sheet(map_codes)
-    if "unit" not in m.columns:
-        m = m.withColumn("unit", lookup_unit_key("bec_variant", "map_code"))
-    return m.drop("bec_variant", "map_code")
+    unit = "unit" if "unit" in m.columns else f"{lookup_unit_key('bec_variant', 'map_code')} AS unit"
+    rest = [c for c in m.columns if c not in ("unit", "bec_variant", "map_code")]
+    return m.selectExpr(unit, *rest)
 
 
 def categories_table(categories: DataFrame) -> DataFrame:
-    c = canonical_sheet(categories)
-    return c.select("ecosystem_unit", "bhc20")
+    return canonical_sheet(categories).select("ecosystem_unit", "bhc20")
 
 
 def components(
@@ -60,16 +59,15 @@ def components(
     """Component rows with ``area_t``; only the columns the job needs."""
     base = ["bgc_zone", "bgc_subzon"] + (["bgc_vrt"] if bec_parts == 3 else [])
     long = to_long(polygons, [*ids, *base, "area"], fields, drop_empty="sitemc" if drop_empty else None)
-    return long.withColumn("area_t", apportion())
+    return long.selectExpr("*", f"{apportion()} AS area_t")
 
 
-def eu_units(deciles: DataFrame, by: Sequence[str] = (), bec_parts: int = 3, ecosystem=None) -> DataFrame:
+def eu_units(deciles: DataFrame, by: Sequence[str] = (), bec_parts: int = 3, ecosystem: str | None = None) -> DataFrame:
     """Area per (by, BEC variant, ecosystem, stage) — the one wide shuffle."""
-    d = deciles.withColumn("bec_variant", bec_variant(bec_parts)).withColumn(
-        "ecosystem", ecosystem_label() if ecosystem is None else ecosystem
-    )
+    d = deciles.selectExpr(*by, "strct", "area_t", f"{bec_variant(bec_parts)} AS bec_variant",
+                           f"{ecosystem or ecosystem_label()} AS ecosystem")
     eu = group_area(d, [*by, "bec_variant", "ecosystem", "strct"])
-    return eu.withColumn("unit", unit_key()).withColumn("ecosystem_unit", ecosystem_unit())
+    return eu.selectExpr("*", f"{unit_key()} AS unit", f"{ecosystem_unit()} AS ecosystem_unit")
 
 
 def eu_summary(
@@ -77,36 +75,33 @@ def eu_summary(
     map_codes: DataFrame,
     by: Sequence[str] = (),
     bec_parts: int = 3,
-    ecosystem=None,
+    ecosystem: str | None = None,
     map_rows: int | None = None,
 ) -> DataFrame:
     """EU rows with names and structural class; keeps ``area_t``."""
     eu = eu_units(deciles, by, bec_parts, ecosystem)
     eu = lookup(eu, names_table(map_codes), ["unit"], table_rows=map_rows)
-    return eu.withColumn("structural_class", structural_class())
+    return eu.selectExpr("*", f"{structural_class()} AS structural_class")
 
 
 def eu_report(eu: DataFrame, by: Sequence[str] = (), unit: str = "m2") -> DataFrame:
-    return eu.select(
-        *by, "bec_variant", "ecosystem", "site_series_name", "type", "strct", "structural_class",
-        to_unit("area_t", unit).alias("total_area"),
-    )
+    return eu.selectExpr(*by, *EU_REPORT, f"{to_unit('area_t', unit)} AS total_area")
 
 
 def with_categories(eu: DataFrame, categories: DataFrame, rows: int | None = None) -> DataFrame:
     """Habitat category by ``ecosystem_unit`` (no BEC variant in the key, so
     one unit may match several categories: rows and area multiply)."""
     out = lookup(eu, categories_table(categories), ["ecosystem_unit"], table_rows=rows)
-    return out.withColumn("bhc_level", level_position("bhc20")).withColumn("bhc20", as_level("bhc20"))
+    keep = [ident(c) for c in out.columns if c != "bhc20"]
+    return out.selectExpr(*keep, f"{as_level('bhc20')} AS bhc20", f"{level_position('bhc20')} AS bhc_level")
 
 
 def bhc_summary(eu_cat: DataFrame, by: Sequence[str] = (), unit: str = "ha", order: bool = True) -> DataFrame:
     """Area per habitat category, categories in level order, missing last."""
-    g = eu_cat.groupBy(*by, "bhc20", "bhc_level").agg(strict_sum("area_t").alias("area_t"))
-    out = g.select(*by, "bhc20", to_unit("area_t", unit).alias("total_area"), "bhc_level")
+    g = eu_cat.groupBy(*by, "bhc20", "bhc_level").agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS total_area"))
     if order:
-        out = out.orderBy(*by, F.col("bhc_level").asc_nulls_last())
-    return out.drop("bhc_level")
+        g = g.orderBy(*by, expr("bhc_level").asc_nulls_last())
+    return g.select(*by, "bhc20", "total_area")
 
 
 def mc_report(eu_zone: DataFrame, map_codes: DataFrame, zones=ZONE_COLUMNS, unit: str = "m2", map_rows=None, order=True):
@@ -119,31 +114,29 @@ def mc_report(eu_zone: DataFrame, map_codes: DataFrame, zones=ZONE_COLUMNS, unit
     values = [z for z, _ in zones]
     names = [n for _, n in zones]
     wide = to_wide(
-        eu_zone.filter(F.col("ecosystem").isNotNull()), ["bec_variant", "ecosystem"], "paz", values, "area_t",
+        eu_zone.filter("ecosystem IS NOT NULL"), ["bec_variant", "ecosystem"], "paz", values, "area_t",
         names=names, convert=lambda c: to_unit(c, unit),
-    ).withColumn("unit", unit_key())
+    ).selectExpr("*", f"{unit_key()} AS unit")
     rep = lookup(wide, names_table(map_codes), ["unit"], table_rows=map_rows)
     rep = rep.select("sort", "bec_variant", "ecosystem", "site_series", "site_series_name", "type", *names)
     if order:
-        rep = rep.orderBy(F.col("sort").asc_nulls_last(), "bec_variant", "ecosystem")
+        rep = rep.orderBy(expr("sort").asc_nulls_last(), "bec_variant", "ecosystem")
     return rep
 
 
 def eu_after(eu_zone: DataFrame, unit: str = "m2") -> DataFrame:
     """After-construction area by type and class (natural types only)."""
-    e = eu_zone.withColumn("structural_class_after", after_class())
-    e = e.filter(not_in_keep_missing("type", AFTER_EXCLUDED_TYPES)).filter(
-        F.col("structural_class_after") != AFTER_LOST
-    )
-    g = e.groupBy("type", "structural_class_after").agg(strict_sum("area_t").alias("area_t"))
-    return g.select("type", "structural_class_after", to_unit("area_t", unit).alias("total_area"))
+    e = eu_zone.selectExpr("type", "area_t", f"{after_class()} AS structural_class_after")
+    e = e.filter(f"{not_in_keep_missing('type', AFTER_EXCLUDED_TYPES)} AND structural_class_after <> {lit(AFTER_LOST)}")
+    return e.groupBy("type", "structural_class_after").agg(
+        expr(f"{to_unit(strict_sum('area_t'), unit)} AS total_area"))
 
 
 def property_polygons(polygons: DataFrame, location: str = MARL_FEN, negate: bool = False) -> DataFrame:
     """Polygons of one property (or of all others) outside the footprint.
     A missing location is in neither part."""
-    cond = F.col("location") != location if negate else F.col("location") == location
-    return polygons.filter(cond).filter(F.col("dist_type").isNull())
+    op = "<>" if negate else "="
+    return polygons.filter(f"location {op} {lit(location)} AND dist_type IS NULL")
 
 
 def habitat_summary(
@@ -159,7 +152,7 @@ def habitat_summary(
 def crosswalked_components(polygons: DataFrame, xwalk: DataFrame, bec_parts: int = 2, xwalk_rows=None) -> DataFrame:
     """Component rows whose map code is replaced through the crosswalk,
     looked up on the ecosystem label; unmatched codes become missing."""
-    d = components(polygons, bec_parts=bec_parts).withColumn("eco", ecosystem_label())
+    d = components(polygons, bec_parts=bec_parts).selectExpr("*", f"{ecosystem_label()} AS eco")
     x = canonical_sheet(xwalk)
     return crosswalk(d, x, key="eco", table_key="eco", replacement="sitemc_replace", target="sitemc",
                      table_rows=xwalk_rows)
@@ -170,5 +163,5 @@ def crosswalked_habitat_summary(
 ):
     """D8: crosswalk, then EU summary on zone+subzone and the replaced code."""
     d = crosswalked_components(polygons, xwalk, xwalk_rows=xwalk_rows)
-    eu = eu_summary(d, map_codes, bec_parts=2, ecosystem=F.col("sitemc"), map_rows=map_rows)
+    eu = eu_summary(d, map_codes, bec_parts=2, ecosystem="sitemc", map_rows=map_rows)
     return bhc_summary(with_categories(eu, categories, cat_rows), unit=unit, order=order)

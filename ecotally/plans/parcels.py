@@ -12,9 +12,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.area import to_unit
+from ..functions.nulls import expr, lit
 from ..operators.aggregate import distinct_values
 from ..operators.reshape import column_name, row_total, to_wide
 from ..schema import BHC_LEVELS, NA_TEXT, NOT_FOOTPRINT
@@ -28,13 +28,13 @@ def parcel_components(polygons: DataFrame) -> DataFrame:
 def parcel_area(deciles: DataFrame, classes: Sequence[str] | None = None, unit: str = "ha") -> DataFrame:
     """Area per parcel and footprint class (missing class = not footprint),
     absent cells 0, plus ``parcel_area`` over all classes."""
-    d = deciles.withColumn("dist_type", F.coalesce(F.col("dist_type"), F.lit(NOT_FOOTPRINT)))
+    d = deciles.selectExpr("parcel_id", "area_t", f"coalesce(dist_type, {lit(NOT_FOOTPRINT)}) AS dist_type")
     if classes is None:
         classes = distinct_values(d, "dist_type")
     names = [column_name(c) for c in classes]
     w = to_wide(d, ["parcel_id"], "dist_type", classes, "area_t", names=names, fill=0.0,
                 convert=lambda c: to_unit(c, unit))
-    return w.withColumn("parcel_area", row_total(names))
+    return w.selectExpr("*", f"{row_total(names)} AS parcel_area")
 
 
 def parcel_habitat(
@@ -43,9 +43,10 @@ def parcel_habitat(
 ) -> DataFrame:
     """Habitat-category area per parcel outside the footprint: one column
     per level plus ``na`` (no or unknown category); absent cells 0."""
-    outside = deciles.filter(F.col("dist_type").isNull())
+    outside = deciles.filter("dist_type IS NULL")
     eu = eu_summary(outside, map_codes, by=["parcel_id"], map_rows=map_rows)
-    eu = with_categories(eu, categories, cat_rows).withColumn("bhc", F.coalesce("bhc20", F.lit(NA_TEXT)))
+    eu = with_categories(eu, categories, cat_rows).selectExpr("parcel_id", "area_t",
+                                                              f"coalesce(bhc20, {lit(NA_TEXT)}) AS bhc")
     values = [*levels, NA_TEXT]
     return to_wide(eu, ["parcel_id"], "bhc", values, "area_t", fill=0.0, convert=lambda c: to_unit(c, unit))
 
@@ -55,5 +56,5 @@ def parcel_report(polygons: DataFrame, map_codes, categories, classes=None, unit
     area = parcel_area(d, classes, unit)
     bhc = parcel_habitat(d, map_codes, categories, unit, map_rows=map_rows, cat_rows=cat_rows)
     area = area.withColumnRenamed("parcel_id", "__pid")
-    out = bhc.join(area, bhc["parcel_id"].eqNullSafe(area["__pid"]), "left")
+    out = bhc.join(area, expr("parcel_id <=> __pid"), "left")
     return out.drop("__pid")

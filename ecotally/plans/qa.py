@@ -7,10 +7,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.area import to_unit
-from ..functions.nulls import strict_sum
+from ..functions.nulls import expr, ident, lit, strict_sum
 from ..operators.aggregate import crosstab, frequencies
 from ..schema import wide
 
@@ -28,18 +27,16 @@ def zone_crosstab(polygons: DataFrame, values: Sequence[str] | None = None) -> D
 
 def total_area(polygons: DataFrame, unit: str = "ha") -> DataFrame:
     """Polygon count and strict area total (the scripts' control figure)."""
-    return polygons.agg(
-        F.count(F.lit(1)).alias("n"),
-        (strict_sum("area").cast("double") / F.lit(float({"m2": 1, "ha": 10000}[unit]))).alias("total_area"),
-    )
+    div = float({"m2": 1, "ha": 10000}[unit])
+    return polygons.agg(expr("count(1) AS n"), expr(f"CAST({strict_sum('area')} AS DOUBLE) / {div!r}D AS total_area"))
 
 
 def _stage_total(df: DataFrame, stage: str, unit: str) -> DataFrame:
     return df.agg(
-        F.lit(stage).alias("stage"),
-        to_unit(strict_sum("area_t"), unit).alias("total_area"),
-        to_unit(F.sum("area_t"), unit).alias("total_area_known"),
-        F.count_if(F.col("area_t").isNull()).alias("n_missing"),
+        expr(f"{lit(stage)} AS stage"),
+        expr(f"{to_unit(strict_sum('area_t'), unit)} AS total_area"),
+        expr(f"{to_unit('sum(area_t)', unit)} AS total_area_known"),
+        expr("count_if(area_t IS NULL) AS n_missing"),
     )
 
 
@@ -56,20 +53,20 @@ def area_conservation(stages: Sequence[tuple[str, DataFrame]], unit: str = "ha")
 
 def duplicate_lookup_keys(rows: DataFrame, table: DataFrame, key: str, check: str) -> DataFrame:
     """Keys used by ``rows`` that match more than one row of ``table``."""
-    dup = table.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    dup = table.groupBy(key).agg(expr("count(1) AS n")).filter("n > 1")
     used = rows.select(key).distinct()
     hit = dup.join(used, key, "left_semi")
-    return hit.select(F.lit(check).alias("check"), F.col(key).cast("string").alias("key"), "n")
+    return hit.selectExpr(f"{lit(check)} AS check", f"CAST({ident(key)} AS STRING) AS key", "n")
 
 
 def duplicate_row_keys(rows: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
     """Repeated keys in a table that should have one row per key."""
-    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return g.select(F.lit(check).alias("check"), key.alias("key"), "n")
+    g = rows.groupBy(*keys).agg(expr("count(1) AS n")).filter("n > 1")
+    key = "concat_ws('|', " + ", ".join(f"CAST({ident(k)} AS STRING)" for k in keys) + ")"
+    return g.selectExpr(f"{lit(check)} AS check", f"{key} AS key", "n")
 
 
 def share_sums(polygons: DataFrame) -> DataFrame:
     """Polygons per total of shares (missing share as 0); all should be 10."""
-    s = sum((F.coalesce(F.col(wide("sdec", n)), F.lit(0)) for n in (1, 2, 3)), F.lit(0))
-    return polygons.groupBy(s.alias("share_sum")).agg(F.count(F.lit(1)).alias("n"))
+    s = " + ".join(f"coalesce({wide('sdec', n)}, 0)" for n in (1, 2, 3))
+    return polygons.groupBy(expr(f"{s} AS share_sum")).agg(expr("count(1) AS n"))

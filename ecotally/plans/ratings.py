@@ -11,12 +11,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.area import apportion, to_unit
 from ..functions.classify import recode
 from ..functions.keys import compose_key, split_key
-from ..functions.nulls import strict_sum
+from ..functions.nulls import expr, ident, lit, strict_sum
 from ..operators.lookup import lookup
 from ..operators.reshape import NUMBER_TAGS, to_long
 from ..schema import (
@@ -38,17 +37,16 @@ def rating_components(polygons: DataFrame, parts: Sequence[str] = RATING_KEY_PAR
     components with area > 0 (drops shares of 0 and missing shares)."""
     fields = ["sdec"] + [RATING_PART_SOURCE[p] for p in parts if RATING_PART_SOURCE[p] not in POLYGON_PARTS]
     long = to_long(polygons, ["fid", *POLYGON_PARTS, "area"], fields, tags=NUMBER_TAGS, drop_empty=None)
-    long = long.withColumn("eco", compose_key([RATING_PART_SOURCE[p] for p in parts])).withColumn(
-        "area_t", apportion()
-    )
+    long = long.selectExpr("*", f"{compose_key([RATING_PART_SOURCE[p] for p in parts])} AS eco",
+                           f"{apportion()} AS area_t")
     if positive_only:
-        long = long.filter(F.col("area_t") > 0)
+        long = long.filter("area_t > 0")
     return long
 
 
 def rating_table(ratings: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, value: str = RATING_VALUE) -> DataFrame:
     """Rating sheet as (eco, rating) on the composed key."""
-    return ratings.select(compose_key(list(parts)).alias("eco"), F.col(value).alias("rating"))
+    return ratings.selectExpr(f"{compose_key([ident(p) for p in parts])} AS eco", f"{ident(value)} AS rating")
 
 
 def rate(
@@ -70,45 +68,42 @@ def rate(
         return lookup(comps, rating_table(ratings, parts, value), ["eco"], null_safe=False, table_rows=rating_rows)
     if mode != "nullsafe":
         raise ValueError(mode)
-    r = ratings.select(*[F.col(p).alias(f"__rk{i}") for i, p in enumerate(parts)], F.col(value).alias("rating"))
+    r = ratings.selectExpr(*[f"{ident(p)} AS __rk{i}" for i, p in enumerate(parts)], f"{ident(value)} AS rating")
     pairs = [(RATING_PART_SOURCE[p], f"__rk{i}") for i, p in enumerate(parts)]
     return lookup(comps, r, pairs, null_safe=True, table_rows=rating_rows)
 
 
 def rated_rows(rated: DataFrame) -> DataFrame:
     """Report projection: FID, decile, key, area (m2), rating."""
-    return rated.select("fid", "decile", "eco", to_unit("area_t", "m2").alias("area"), "rating")
+    return rated.selectExpr("fid", "decile", "eco", f"{to_unit('area_t', 'm2')} AS area", "rating")
 
 
 def rating_area(rated: DataFrame, first_only: bool = False, unit: str = "m2") -> DataFrame:
     """Area per rating over all components, or over the first only."""
-    r = rated.filter(F.col("decile") == NUMBER_TAGS[0]) if first_only else rated
-    g = r.groupBy("rating").agg(strict_sum("area_t").alias("area_t"))
-    return g.select("rating", to_unit("area_t", unit).alias("area_tot"))
+    r = rated.filter(f"decile = {lit(NUMBER_TAGS[0])}") if first_only else rated
+    return r.groupBy("rating").agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS area_tot"))
 
 
 def rating_wide(rated: DataFrame) -> DataFrame:
     """One row per polygon, one rating column per component.  A repeated
     (FID, component) takes the largest rating (see ``qa.duplicate_keys``)."""
-    aggs = [F.max(F.when(F.col("decile") == t, F.col("rating"))).alias(f"decile_{t}") for t in NUMBER_TAGS]
-    return rated.groupBy("fid").agg(*aggs)
+    cells = ", ".join(f"max(CASE WHEN decile = {lit(t)} THEN rating END) AS decile_{t}" for t in NUMBER_TAGS)
+    return rated.sparkSession.sql(f"SELECT fid, {cells} FROM {{src}} GROUP BY fid", src=rated)
 
 
 def unmatched(rated: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, unit: str = "m2") -> DataFrame:
     """Keys with no rating and their area, the key split for reading."""
-    miss = rated.filter((F.col("area_t") != 0) & F.col("rating").isNull())
-    g = miss.groupBy("eco").agg(strict_sum("area_t").alias("area_t"))
+    miss = rated.filter("area_t <> 0 AND rating IS NULL")
+    g = miss.groupBy("eco").agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS area"))
     pieces = split_key("eco", len(parts))
-    return g.select("eco", to_unit("area_t", unit).alias("area"),
-                    *[p.alias(name.lower()) for p, name in zip(pieces, parts)])
+    return g.selectExpr("eco", "area", *[f"{p} AS {name.lower()}" for p, name in zip(pieces, parts)])
 
 
 def ecosystem_list(comps: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, unit: str = "m2") -> DataFrame:
     """Distinct composed keys with their area; parts carried (not re-split)."""
     cols = [RATING_PART_SOURCE[p] for p in parts]
-    g = comps.groupBy("eco", *cols).agg(strict_sum("area_t").alias("area_t"))
-    return g.select("eco", *[F.col(c).alias(p.lower()) for c, p in zip(cols, parts)],
-                    to_unit("area_t", unit).alias("area"))
+    g = comps.groupBy("eco", *cols).agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS area"))
+    return g.selectExpr("eco", *[f"{c} AS {p.lower()}" for c, p in zip(cols, parts)], "area")
 
 
 def wide_keys(polygons: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS) -> DataFrame:
@@ -117,8 +112,8 @@ def wide_keys(polygons: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS) -> D
         src = RATING_PART_SOURCE[p]
         return src if src in POLYGON_PARTS else wide(src, n)
 
-    keys = [compose_key([part_col(p, n) for p in parts]).alias(f"eco_{n}") for n in (1, 2, 3)]
-    return polygons.select("cem_ecp", *keys)
+    keys = [f"{compose_key([part_col(p, n) for p in parts])} AS eco_{n}" for n in (1, 2, 3)]
+    return polygons.selectExpr("cem_ecp", *keys)
 
 
 def first_component_rating(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions.area import to_unit
 from .functions.classify import after_class, as_level, level_position, recode, structural_class
 from .functions.keys import ecosystem_label, ecosystem_unit, split_key
-from .functions.nulls import na_text_to_null_all, not_in_keep_missing
+from .functions.nulls import expr, lit, na_text_to_null_all, not_in_keep_missing
 from .operators.aggregate import group_area
 from .operators.lookup import lookup
 from .operators.project import canonicalise, cols_between, move_first
@@ -63,9 +63,22 @@ class Inputs:
                             rating_rows=RATING_ROWS)
 
 
+_INPUTS: dict[tuple[int, str], Inputs] = {}
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The (lazy) input plans of one session and scale factor, built once:
+    a dataset handle reused by every report, like a user's session would."""
+    key = (id(spark), sf_dir)
+    cached = _INPUTS.get(key)
+    if cached is None or cached.spark is not spark:
+        cached = _INPUTS[key] = Inputs(spark, sf_dir)
+    return cached
+
+
 def _q(fn: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Inputs(spark, sf_dir))
+        return fn(inputs(spark, sf_dir))
 
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
@@ -85,7 +98,7 @@ def deciles_long(i: Inputs):
 
 def apportion_area(i: Inputs):
     """PRJ-8: component area = share/10 x polygon area."""
-    return i.deciles(ids=["fid"]).select("fid", "decile", to_unit("area_t", "m2").alias("area"))
+    return i.deciles(ids=["fid"]).selectExpr("fid", "decile", f"{to_unit('area_t', 'm2')} AS area")
 
 
 def prj_canonicalise(i: Inputs):
@@ -99,13 +112,13 @@ def prj_canonicalise(i: Inputs):
 def prj_range(i: Inputs):
     """PRJ-2: contiguous column range."""
     cols = ["FID", *cols_between(i.raw, "ECO_SEC", "BGC_VRT")]
-    return i.raw.select(*[F.col(c).alias(c.lower()) for c in cols])
+    return i.raw.selectExpr(*[f"{c} AS {c.lower()}" for c in cols])
 
 
 def prj_drop(i: Inputs):
     """PRJ-3: drop the polygon area after apportioning."""
-    d = i.deciles(ids=["fid"]).withColumn("area_decile", to_unit("area_t", "m2"))
-    return d.select("fid", "decile", "sitemc", "area", "area_decile").drop("area")
+    d = i.deciles(ids=["fid"]).selectExpr("fid", "decile", "sitemc", "area", f"{to_unit('area_t', 'm2')} AS area_decile")
+    return d.drop("area")
 
 
 def prj_move_first(i: Inputs):
@@ -116,61 +129,61 @@ def prj_move_first(i: Inputs):
 def flt_not_null(i: Inputs):
     """FLT-1: components with an ecosystem (all components reshaped first)."""
     d = to_long(i.polygons, ["fid"], ["sitemc", "seral"], drop_empty=None)
-    return d.select("fid", "decile", ecosystem_label().alias("ecosystem")).filter(F.col("ecosystem").isNotNull())
+    return d.selectExpr("fid", "decile", f"{ecosystem_label()} AS ecosystem").filter("ecosystem IS NOT NULL")
 
 
 def flt_outside_footprint(i: Inputs):
     """FLT-2: polygons outside the footprint."""
-    return i.polygons.filter(F.col("dist_type").isNull()).select("fid", "location")
+    return i.polygons.filter("dist_type IS NULL").select("fid", "location")
 
 
 def flt_property_split(i: Inputs):
     """FLT-3: one property (missing location dropped)."""
-    return i.polygons.filter(F.col("location") == "Marl Fen Property").select("fid", "dist_type")
+    return i.polygons.filter(f"location = {lit('Marl Fen Property')}").select("fid", "dist_type")
 
 
 def flt_positive_area(i: Inputs):
     """FLT-4: components with area > 0 (share 0 and missing share dropped)."""
     d = eco.components(i.polygons, ids=["fid"], drop_empty=False)
-    return d.filter(F.col("area_t") > 0).select("fid", "decile", to_unit("area_t", "m2").alias("area"))
+    return d.filter("area_t > 0").selectExpr("fid", "decile", f"{to_unit('area_t', 'm2')} AS area")
 
 
 def flt_not_in_keep_null(i: Inputs):
     """FLT-5: type not excluded; a missing type is kept."""
     e = i.eu(by=["paz"]).filter(not_in_keep_missing("type", ["Anthropogenic Areas", "Water"]))
-    return e.select("paz", "bec_variant", "ecosystem", "strct", "type", to_unit("area_t", "m2").alias("total_area"))
+    return e.selectExpr("paz", "bec_variant", "ecosystem", "strct", "type", f"{to_unit('area_t', 'm2')} AS total_area")
 
 
 # --- scalar functions ----------------------------------------------------
 
 def ecosystem_label_q(i: Inputs):
     """SC-4: map code or code:seral."""
-    return i.deciles(ids=["fid"]).select("fid", "decile", ecosystem_label().alias("ecosystem"))
+    return i.deciles(ids=["fid"]).selectExpr("fid", "decile", f"{ecosystem_label()} AS ecosystem")
 
 
 def ecosystem_unit_key(i: Inputs):
     """SC-2 / SC-5: ecosystem + stage with NA pieces."""
-    d = i.deciles(ids=["fid"]).withColumn("ecosystem", ecosystem_label())
-    return d.select("fid", "decile", ecosystem_unit().alias("ecosystem_unit"))
+    d = i.deciles(ids=["fid"]).selectExpr("fid", "decile", "strct", f"{ecosystem_label()} AS ecosystem")
+    return d.selectExpr("fid", "decile", f"{ecosystem_unit()} AS ecosystem_unit")
 
 
 def structural_class_q(i: Inputs):
     """SC-6: structural class from the stage (text compare)."""
-    return i.deciles(ids=["fid"]).select("fid", "decile", "strct", structural_class().alias("structural_class"))
+    return i.deciles(ids=["fid"]).selectExpr("fid", "decile", "strct", f"{structural_class()} AS structural_class")
 
 
 def after_class_q(i: Inputs):
     """SC-7 / SC-8: class after construction per zone."""
     e = i.eu(by=["paz"])
-    return e.select("paz", "bec_variant", "ecosystem", "strct", "structural_class",
-                    after_class().alias("structural_class_after"))
+    return e.selectExpr("paz", "bec_variant", "ecosystem", "strct", "structural_class",
+                        f"{after_class()} AS structural_class_after")
 
 
 def habitat_levels(i: Inputs):
     """SC-12: habitat category as a fixed-level factor and its level."""
     e = lookup(i.eu(), eco.categories_table(i.categories), ["ecosystem_unit"], table_rows=CAT_ROWS)
-    return e.select("ecosystem_unit", F.col("bhc20").alias("bhc_raw"), as_level("bhc20").alias("bhc20"),
-                    level_position("bhc20").alias("bhc_level"))
+    return e.selectExpr("ecosystem_unit", "bhc20 AS bhc_raw", f"{as_level('bhc20')} AS bhc20",
+                        f"{level_position('bhc20')} AS bhc_level")
 
 
 def compose_key_q(i: Inputs):
@@ -181,7 +194,7 @@ def compose_key_q(i: Inputs):
 def _split(i: Inputs):
     k = i.rating_comps(positive_only=False)
     names = [p.lower() for p in RATING_KEY_PARTS]
-    return k.select("fid", "decile", "eco", *[c.alias(n) for c, n in zip(split_key("eco", len(names)), names)])
+    return k.selectExpr("fid", "decile", "eco", *[f"{c} AS {n}" for c, n in zip(split_key("eco", len(names)), names)])
 
 
 def split_key_q(i: Inputs):
@@ -204,26 +217,26 @@ def recode_rules(i: Inputs):
 def eu_area(i: Inputs):
     """AGG-1 / SC-1: strict area per BEC variant, ecosystem, stage."""
     e = eco.eu_units(i.deciles())
-    return e.select("bec_variant", "ecosystem", "strct", to_unit("area_t", "m2").alias("total_area"), "n")
+    return e.selectExpr("bec_variant", "ecosystem", "strct", f"{to_unit('area_t', 'm2')} AS total_area", "n")
 
 
 def mc_area(i: Inputs):
     """AGG-2: roll-up of the zone EU rows by zone, variant, ecosystem."""
     g = group_area(i.eu(by=["paz"]), ["paz", "bec_variant", "ecosystem"])
-    return g.select("paz", "bec_variant", "ecosystem", to_unit("area_t", "m2").alias("total_area"), "n")
+    return g.selectExpr("paz", "bec_variant", "ecosystem", f"{to_unit('area_t', 'm2')} AS total_area", "n")
 
 
 def jn_map_codes(i: Inputs):
     """JN-1 / JN-7: names by unit (null-safe), left-hand variant kept."""
-    return i.eu().select("bec_variant", "ecosystem", "strct", "unit", "sort", "site_series", "site_series_name",
-                         "type", to_unit("area_t", "m2").alias("total_area"))
+    return i.eu().selectExpr("bec_variant", "ecosystem", "strct", "unit", "sort", "site_series", "site_series_name",
+                             "type", f"{to_unit('area_t', 'm2')} AS total_area")
 
 
 def jn_habitat_category(i: Inputs):
     """JN-2: category by ecosystem unit (fan-out on duplicate keys)."""
     e = lookup(i.eu(), eco.categories_table(i.categories), ["ecosystem_unit"], table_rows=CAT_ROWS)
-    return e.select("bec_variant", "ecosystem", "strct", "ecosystem_unit", "bhc20",
-                    to_unit("area_t", "m2").alias("total_area"))
+    return e.selectExpr("bec_variant", "ecosystem", "strct", "ecosystem_unit", "bhc20",
+                        f"{to_unit('area_t', 'm2')} AS total_area")
 
 
 def eu_summary(i: Inputs):
@@ -278,7 +291,7 @@ def bhc_other_properties(i: Inputs):
 def xwalk_replace(i: Inputs):
     """JN-5: old -> new map codes; unmatched become missing."""
     d = eco.crosswalked_components(i.polygons, i.crosswalk, xwalk_rows=XWALK_ROWS)
-    return d.groupBy("sitemc").agg(F.count(F.lit(1)).alias("n"))
+    return d.groupBy("sitemc").agg(expr("count(1) AS n"))
 
 
 def bhc_crosswalked(i: Inputs):
