@@ -70,13 +70,15 @@ def wide_cells(
     names: Sequence[str] | None = None,
     fill=None,
     convert: Callable[[str], str] | None = None,
+    where: str | None = None,
 ) -> list[str]:
     """Aggregate expressions, one per category: strict sum of ``value`` over
-    the rows of that category, converted, ``fill`` where there is no row."""
+    the rows of that category (and ``where``), converted, ``fill`` where
+    there is no row."""
     names = list(names) if names is not None else [column_name(v) for v in values]
     cells = []
     for v, name in zip(values, names):
-        hit = f"{ident(names_from)} = {lit(v)}"
+        hit = f"{ident(names_from)} = {lit(v)}" + (f" AND ({where})" if where else "")
         n_rows = f"count(CASE WHEN {hit} THEN 1 END)"
         total = f"sum(CASE WHEN {hit} THEN {value} END)"
         cell = f"CASE WHEN {n_rows} = count(CASE WHEN {hit} THEN {value} END) THEN {total} END"
@@ -97,15 +99,22 @@ def to_wide(
     fill=None,
     names: Sequence[str] | None = None,
     convert: Callable[[str], str] | None = None,
+    where: str | None = None,
 ) -> DataFrame:
     """Long -> wide with an explicit category list (no plan-time job).
 
     ``convert`` maps each aggregated cell (SQL text, e.g. a unit
     conversion); ``fill`` is applied to absent cells after conversion.
+    With ``where`` only rows meeting it count, and only groups with such
+    rows are returned (a conditional aggregate instead of a filter, so the
+    input plan stays identical to other consumers of ``df`` and Spark can
+    reuse its exchange).
     """
-    cells = wide_cells(names_from, values, value, names, fill, convert)
+    cells = wide_cells(names_from, values, value, names, fill, convert, where)
     keys = ", ".join(ident(i) for i in ids)
-    return df.sparkSession.sql(f"SELECT {keys}, {', '.join(cells)} FROM {{src}} GROUP BY {keys}", src=df)
+    having = f" HAVING count(CASE WHEN {where} THEN 1 END) > 0" if where else ""
+    return df.sparkSession.sql(
+        f"SELECT {keys}, {', '.join(cells)} FROM {{src}} GROUP BY {keys}{having}", src=df)
 
 
 def row_total(cols: Sequence[str]) -> str:

@@ -79,7 +79,11 @@ def eu_summary(
     map_rows: int | None = None,
 ) -> DataFrame:
     """EU rows with names and structural class; keeps ``area_t``."""
-    eu = eu_units(deciles, by, bec_parts, ecosystem)
+    return with_names(eu_units(deciles, by, bec_parts, ecosystem), map_codes, map_rows)
+
+
+def with_names(eu: DataFrame, map_codes: DataFrame, map_rows: int | None = None) -> DataFrame:
+    """Names by ``unit`` (null-safe) and the structural class of EU rows."""
     eu = lookup(eu, names_table(map_codes), ["unit"], table_rows=map_rows)
     return eu.selectExpr("*", f"{structural_class()} AS structural_class")
 

@@ -1,10 +1,14 @@
 """Parcel report (D9): footprint split per parcel and habitat categories of
 the parcel area outside the footprint, one row per parcel.
 
-Both halves are conditional aggregations grouped by parcel (partial before
-the shuffle, so a parcel holding a third of all polygons costs one row per
-task on the wire); the two per-parcel results are joined on the parcel id,
-and AQE picks broadcast or shuffled join from their real sizes.
+Both halves come from one aggregate: area per (parcel, footprint class, BEC
+variant, ecosystem, stage).  Strict sums compose, so the footprint split is
+a roll-up of it and the habitat half is its rows outside the footprint; the
+two branches share the same exchange, which Spark plans once (one scan, one
+wide shuffle).  Both roll-ups are partial-aggregated per parcel, so a parcel
+holding a third of all polygons costs one row per task on the wire; the two
+per-parcel results are joined on the parcel id, and AQE picks broadcast or
+shuffled join from their real sizes.
 """
 
 from __future__ import annotations
@@ -18,19 +22,32 @@ from ..functions.nulls import expr, lit
 from ..operators.aggregate import distinct_values
 from ..operators.reshape import column_name, row_total, to_wide
 from ..schema import BHC_LEVELS, NA_TEXT, NOT_FOOTPRINT
-from .ecosystems import components, eu_summary, with_categories
+from .ecosystems import components, eu_units, with_categories, with_names
+
+FOOTPRINT_CLASS = f"coalesce(dist_type, {lit(NOT_FOOTPRINT)})"
 
 
 def parcel_components(polygons: DataFrame) -> DataFrame:
     return components(polygons, ids=["parcel_id", "dist_type"])
 
 
-def parcel_area(deciles: DataFrame, classes: Sequence[str] | None = None, unit: str = "ha") -> DataFrame:
+def parcel_units(polygons: DataFrame) -> DataFrame:
+    """EU rows per parcel and footprint class (the one wide shuffle)."""
+    return eu_units(parcel_components(polygons), by=["parcel_id", "dist_type"])
+
+
+def footprint_classes(polygons: DataFrame) -> list[str]:
+    """Footprint classes present among mapped components (a one-column
+    distinct, bounded)."""
+    d = parcel_components(polygons).selectExpr(f"{FOOTPRINT_CLASS} AS dist_type")
+    return distinct_values(d, "dist_type")
+
+
+def parcel_area(units: DataFrame, classes: Sequence[str], unit: str = "ha") -> DataFrame:
     """Area per parcel and footprint class (missing class = not footprint),
-    absent cells 0, plus ``parcel_area`` over all classes."""
-    d = deciles.selectExpr("parcel_id", "area_t", f"coalesce(dist_type, {lit(NOT_FOOTPRINT)}) AS dist_type")
-    if classes is None:
-        classes = distinct_values(d, "dist_type")
+    absent cells 0, plus ``parcel_area`` over all classes.  ``units`` may be
+    component rows or any finer aggregate with ``area_t``."""
+    d = units.selectExpr("parcel_id", "area_t", f"{FOOTPRINT_CLASS} AS dist_type")
     names = [column_name(c) for c in classes]
     w = to_wide(d, ["parcel_id"], "dist_type", classes, "area_t", names=names, fill=0.0,
                 convert=lambda c: to_unit(c, unit))
@@ -38,23 +55,25 @@ def parcel_area(deciles: DataFrame, classes: Sequence[str] | None = None, unit:
 
 
 def parcel_habitat(
-    deciles: DataFrame, map_codes, categories, unit: str = "ha", levels: Sequence[str] = BHC_LEVELS,
+    units: DataFrame, map_codes, categories, unit: str = "ha", levels: Sequence[str] = BHC_LEVELS,
     map_rows=None, cat_rows=None,
 ) -> DataFrame:
     """Habitat-category area per parcel outside the footprint: one column
-    per level plus ``na`` (no or unknown category); absent cells 0."""
-    outside = deciles.filter("dist_type IS NULL")
-    eu = eu_summary(outside, map_codes, by=["parcel_id"], map_rows=map_rows)
-    eu = with_categories(eu, categories, cat_rows).selectExpr("parcel_id", "area_t",
-                                                              f"coalesce(bhc20, {lit(NA_TEXT)}) AS bhc")
+    per level plus ``na`` (no or unknown category); absent cells 0; parcels
+    with no area outside the footprint are not listed."""
+    eu = with_categories(with_names(units, map_codes, map_rows), categories, cat_rows)
+    eu = eu.selectExpr("parcel_id", "area_t", "dist_type IS NULL AS outside",
+                       f"coalesce(bhc20, {lit(NA_TEXT)}) AS bhc")
     values = [*levels, NA_TEXT]
-    return to_wide(eu, ["parcel_id"], "bhc", values, "area_t", fill=0.0, convert=lambda c: to_unit(c, unit))
+    return to_wide(eu, ["parcel_id"], "bhc", values, "area_t", fill=0.0, convert=lambda c: to_unit(c, unit),
+                   where="outside")
 
 
 def parcel_report(polygons: DataFrame, map_codes, categories, classes=None, unit="ha", map_rows=None, cat_rows=None):
-    d = parcel_components(polygons)
-    area = parcel_area(d, classes, unit)
-    bhc = parcel_habitat(d, map_codes, categories, unit, map_rows=map_rows, cat_rows=cat_rows)
-    area = area.withColumnRenamed("parcel_id", "__pid")
+    units = parcel_units(polygons)
+    if classes is None:
+        classes = footprint_classes(polygons)
+    area = parcel_area(units, classes, unit).withColumnRenamed("parcel_id", "__pid")
+    bhc = parcel_habitat(units, map_codes, categories, unit, map_rows=map_rows, cat_rows=cat_rows)
     out = bhc.join(area, expr("parcel_id <=> __pid"), "left")
     return out.drop("__pid")

@@ -363,12 +363,12 @@ def whi_first_component(i: Inputs):
 
 def parcel_area_wide(i: Inputs):
     """RSH-3 / RSH-7 / SC-10: footprint split per parcel."""
-    return parcels.parcel_area(parcels.parcel_components(i.polygons))
+    return parcels.parcel_area(parcels.parcel_units(i.polygons), parcels.footprint_classes(i.polygons))
 
 
 def parcel_bhc_wide(i: Inputs):
     """RSH-3: habitat categories per parcel outside the footprint."""
-    return parcels.parcel_habitat(parcels.parcel_components(i.polygons), i.map_codes, i.categories,
+    return parcels.parcel_habitat(parcels.parcel_units(i.polygons), i.map_codes, i.categories,
                                   map_rows=MAP_ROWS, cat_rows=CAT_ROWS)
 
 
