@@ -4,9 +4,10 @@
   cells (quoted or not) are missing, blanks trimmed; a bad number becomes
   missing (``try_cast``), as the source reader does with a warning.
 * ``write_csv`` — header, missing as ``NA``, numbers without exponent.
-* ``read_sheet`` / ``write_sheet`` — a sheet whose header sits below a few
-  title lines (``skip``).  Meant for lookup sheets and reports: each file is
-  read whole into one row and split into lines, so a file must fit in a task.
+* ``read_sheet`` / ``write_sheet`` — sheets whose header sits below a few
+  title lines (``skip``); a folder may hold many such files.  Reading takes
+  each file whole into one row and splits it into lines, so one file must fit
+  in a task (lookup sheets, report parts).
 """
 
 from __future__ import annotations
@@ -70,26 +71,33 @@ def _csv_line(values: Sequence[str]) -> str:
 
 
 def write_sheet(df: DataFrame, path: str, title_lines: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
-    """Write a report as one sheet: title lines, header, rows.
+    """Write a report as sheets: every part file starts with the title lines
+    and the header, then its rows.
 
-    A sheet is one file, so this is for reports whose size is bounded by the
-    code lists (never by the polygon count); rows are ordered by ``sort_by``
-    in one final sorted partition.
+    Rows are range-partitioned on ``sort_by`` and sorted within each part,
+    so the parts in name order hold the rows in order; no task sees more than
+    its range.  The title lines are put in front of each part's first batch
+    (pandas inside the task).
     """
     p = printable(df)
     line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in p.columns]), {"nullValue": NA_TEXT})
-    body = p.select(F.lit(2).alias("__part"), *[F.col(f"`{c}`") for c in sort_by], line.alias("value"))
-    spark = df.sparkSession
-    head_rows = [(0, i, t) for i, t in enumerate(title_lines)] + [(1, 0, _csv_line(p.columns))]
-    head = spark.createDataFrame(head_rows, "__part int, __i int, value string")
-    ordered = (
-        body.select("__part", F.lit(0).alias("__i"), *[F.col(f"`{c}`") for c in sort_by], "value")
-        .unionByName(head, allowMissingColumns=True)
-        .coalesce(1)
-        .sortWithinPartitions("__part", "__i", *sort_by)
-        .select("value")
-    )
-    ordered.write.text(path)
+    lines = p.select(*[F.col(f"`{c}`") for c in sort_by], line.alias("value"))
+    if sort_by:
+        lines = lines.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
+    head = [*title_lines, _csv_line(p.columns)]
+
+    def with_head(batches):
+        import pandas as pd
+
+        first = True
+        for batch in batches:
+            out = batch[["value"]]
+            if first and len(out):
+                out = pd.concat([pd.DataFrame({"value": head}), out], ignore_index=True)
+                first = False
+            yield out
+
+    lines.select("value").mapInPandas(with_head, "value string").write.text(path)
 
 
 def read_sheet(spark: SparkSession, path: str, skip: int = 0, types: dict[str, str] | None = None) -> DataFrame:
