@@ -41,7 +41,9 @@ def names_table(map_codes: DataFrame) -> DataFrame:
     """Map-code sheet keyed by ``unit`` = BEC variant + map code."""
     m = canonical_sheet(map_codes)
     unit = "unit" if "unit" in m.columns else f"{lookup_unit_key('bec_variant', 'map_code')} AS unit"
-    rest = [c for c in m.columns if c not in ("unit", "bec_variant", "map_code")]
+    text_sort = dict(m.dtypes).get("sort") == "string"  # a sheet read as text: order numerically
+    rest = ["try_cast(sort AS INT) AS sort" if c == "sort" and text_sort else ident(c)
+            for c in m.columns if c not in ("unit", "bec_variant", "map_code")]
     return m.selectExpr(unit, *rest)
 
 

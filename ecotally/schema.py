@@ -123,11 +123,6 @@ BHC_LEVELS = (
     "CUL", "NVE", "ANT",
     "WAT",
 )
-# The same levels in chart order (used only for a bar chart).
-BHC_CHART_ORDER = (
-    "CSH", "CYF", "CMF", "DSH", "DYF", "DMF", "RSH", "RYF", "RMF", "FBS", "FBT",
-    "WGR", "WSH", "WRI", "DSG", "DSS", "CUL", "NVE", "ANT", "WAT",
-)
 
 # Structural stage -> structural class.
 STRUCTURAL_CLASSES = (

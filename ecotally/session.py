@@ -27,6 +27,30 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def cluster_settings(input_bytes: int, executors: int, cores_per_executor: int,
+                     target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of polygon files.
+
+    * scan splits of 256 MB (polygon rows are narrow after column pruning);
+    * initial shuffle partitions: enough for the one data-sized shuffle (the
+      per-polygon ratings table, ~1/4 of the scanned bytes) at
+      ``target_partition_bytes`` each, and at least 3 waves of all cores.
+      AQE then coalesces the small post-aggregate shuffles and splits skewed
+      partitions of shuffled joins.
+    """
+    cores = executors * cores_per_executor
+    shuffle = max(3 * cores, (input_bytes // 4) // target_partition_bytes)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.shuffle.partitions": str(int(shuffle)),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(32 << 20),
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 

@@ -50,12 +50,15 @@ def read_typed_csv(spark: SparkSession, path: str, types: dict[str, str] | None
 
 def printable(df: DataFrame, scale: int = 6) -> DataFrame:
     """Fractional numbers as ``decimal(28, scale)`` so text output never uses
-    an exponent (``12345678.9`` prints ``12345678.900000``)."""
+    an exponent (``12345678.9`` prints ``12345678.900000``); untyped
+    all-missing columns as text."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, _FRACTIONAL):
             c = c.cast(T.DecimalType(28, scale))
+        elif isinstance(f.dataType, T.NullType):  # an all-missing column
+            c = c.cast(T.StringType())
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
