@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import expr, ident, lit, strict_sum
-from .reshape import column_name, to_wide
+from .reshape import column_name
 
 # Largest number of distinct categories a discovered pivot may produce.
 MAX_PIVOT_VALUES = 1000
@@ -50,5 +50,3 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str] | None = N
     aggs = [expr(f"count(CASE WHEN {ident(col)} = {lit(v)} THEN 1 END) AS {ident(column_name(v))}") for v in values]
     return both.groupBy(row).agg(*aggs)
 
-
-__all__ = ["group_area", "frequencies", "crosstab", "distinct_values", "to_wide", "MAX_PIVOT_VALUES"]

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .functions.area import to_unit
 from .functions.classify import after_class, as_level, level_position, recode, structural_class
@@ -19,10 +18,10 @@ from .functions.nulls import expr, lit, na_text_to_null_all, not_in_keep_missing
 from .operators.aggregate import group_area
 from .operators.lookup import lookup
 from .operators.project import canonicalise, cols_between, move_first
-from .operators.reshape import NUMBER_TAGS, to_long
+from .operators.reshape import to_long
 from .plans import ecosystems as eco
 from .plans import parcels, qa, ratings
-from .schema import CEM, RATING_KEY_PARTS, SPATIAL_RECODES
+from .schema import CEM, RATING_KEY_PARTS, SPATIAL_RECODES, ZONE_COLUMNS
 from .session import scratch_path
 from .sources import files
 from .sources.fixture import LOOKUP_ROWS, Fixture, load_fixture
@@ -85,7 +84,6 @@ def _q(fn: Callable[[Inputs], DataFrame]) -> Callable[[SparkSession, str], DataF
     return run
 
 
-EU_REPORT = ["bec_variant", "ecosystem", "site_series_name", "type", "strct", "structural_class"]
 LONG_FIELDS = ["sdec", "sitemc", "strct", "seral"]
 
 
@@ -252,7 +250,6 @@ def eu_summary_by_zone(i: Inputs):
 def mc_wide(i: Inputs):
     """RSH-2: zones to columns (absent zone -> missing column)."""
     rep = eco.mc_report(i.eu(by=["paz"]), i.map_codes, map_rows=MAP_ROWS, order=False)
-    from .schema import ZONE_COLUMNS
     return rep.select("bec_variant", "ecosystem", *[c for _, c in ZONE_COLUMNS])
 
 

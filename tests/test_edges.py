@@ -3,7 +3,6 @@
 import glob
 import os
 
-from pyspark.sql import functions as F
 
 from ecotally.functions.nulls import expr
 from ecotally.functions.keys import ecosystem_unit, split_key
