@@ -84,7 +84,7 @@ def parcels_job(polygons, map_codes, categories, classes: Sequence[str] | None =
     classes = classes or parcels.footprint_classes(polygons)
     return {
         "parcel_area": parcels.parcel_area(units, classes, unit),
-        "parcel_habitat": parcels.parcel_report(polygons, map_codes, categories, classes, unit),
+        "parcel_habitat": parcels.parcel_report_from_units(units, map_codes, categories, classes, unit),
     }
 
 

@@ -90,8 +90,15 @@ def with_names(eu: DataFrame, map_codes: DataFrame, map_rows: int | None = None)
     return eu.selectExpr("*", f"{structural_class()} AS structural_class")
 
 
-def eu_report(eu: DataFrame, by: Sequence[str] = (), unit: str = "m2") -> DataFrame:
-    return eu.selectExpr(*by, *EU_REPORT, f"{to_unit('area_t', unit)} AS total_area")
+def _key_order(cols: Sequence[str]) -> list:
+    """Group-key order of a summary: ascending, missing last."""
+    return [expr(ident(c)).asc_nulls_last() for c in cols]
+
+
+def eu_report(eu: DataFrame, by: Sequence[str] = (), unit: str = "m2", order: bool = True) -> DataFrame:
+    """The EU table, rows in group-key order (zone, variant, ecosystem, stage)."""
+    rep = eu.selectExpr(*by, *EU_REPORT, f"{to_unit('area_t', unit)} AS total_area")
+    return rep.orderBy(*_key_order([*by, "bec_variant", "ecosystem", "strct"])) if order else rep
 
 
 def with_categories(eu: DataFrame, categories: DataFrame, rows: int | None = None) -> DataFrame:
@@ -106,7 +113,7 @@ def bhc_summary(eu_cat: DataFrame, by: Sequence[str] = (), unit: str = "ha", ord
     """Area per habitat category, categories in level order, missing last."""
     g = eu_cat.groupBy(*by, "bhc20", "bhc_level").agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS total_area"))
     if order:
-        g = g.orderBy(*by, expr("bhc_level").asc_nulls_last())
+        g = g.orderBy(*_key_order([*by, "bhc_level"]))
     return g.select(*by, "bhc20", "total_area")
 
 
@@ -130,12 +137,12 @@ def mc_report(eu_zone: DataFrame, map_codes: DataFrame, zones=ZONE_COLUMNS, unit
     return rep
 
 
-def eu_after(eu_zone: DataFrame, unit: str = "m2") -> DataFrame:
+def eu_after(eu_zone: DataFrame, unit: str = "m2", order: bool = True) -> DataFrame:
     """After-construction area by type and class (natural types only)."""
     e = eu_zone.selectExpr("type", "area_t", f"{after_class()} AS structural_class_after")
     e = e.filter(f"{not_in_keep_missing('type', AFTER_EXCLUDED_TYPES)} AND structural_class_after <> {lit(AFTER_LOST)}")
-    return e.groupBy("type", "structural_class_after").agg(
-        expr(f"{to_unit(strict_sum('area_t'), unit)} AS total_area"))
+    g = e.groupBy("type", "structural_class_after").agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS total_area"))
+    return g.orderBy(*_key_order(["type", "structural_class_after"])) if order else g
 
 
 def property_polygons(polygons: DataFrame, location: str = MARL_FEN, negate: bool = False) -> DataFrame:

@@ -52,14 +52,26 @@ def test_reshaping_is_narrow(spark, capsys):
     assert "lambdafunction" not in p
 
 
-def test_parcel_report_scans_once(spark, capsys):
-    p = plan(Q["parcel_report"](spark, SF_SMALL), capsys, executed=True)
+def test_parcel_report_with_known_classes_scans_once(spark, capsys):
+    from ecotally.plans import parcels
+    from ecotally.queries import inputs
+
+    i = inputs(spark, SF_SMALL)
+    df = parcels.parcel_report(i.polygons, i.map_codes, i.categories, classes=["Footprint", "Not footprint"],
+                               map_rows=10, cat_rows=19)
+    p = plan(df, capsys, executed=True)
     final = p.split("== Initial Plan ==")[0] if "== Initial Plan ==" in p else p
     assert "isFinalPlan=true" in final
     assert "ReusedExchange" in final
     assert final.count("FileScan parquet") == 1
 
 
+def test_parcel_report_discovering_classes_scans_once_for_the_report(spark, capsys):
+    p = plan(Q["parcel_report"](spark, SF_SMALL), capsys, executed=True)
+    final = p.split("== Initial Plan ==")[0] if "== Initial Plan ==" in p else p
+    assert "ReusedExchange" in final and final.count("FileScan parquet") == 1
+
+
 def test_property_filter_runs_on_the_scan_before_reshaping(spark, capsys):
     # the fixture derives Location with a CASE, which parquet cannot take
     # as a pushed filter; the filter still sits directly on the scan, below
