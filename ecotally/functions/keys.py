@@ -42,5 +42,7 @@ def compose_key(cols: Sequence[str], sep: str = "_") -> str:
 
 def split_key(key: str, n: int, pattern: str = SPLIT_ANY_NON_ALNUM) -> list[str]:
     """``separate``: split on a pattern; extra pieces dropped, short keys
-    filled on the right with missing."""
+    filled on the right with missing.  The default splits on any run of
+    non-alphanumerics (an empty piece shifts later pieces left); ``"_"``
+    splits on every separator exactly."""
     return [f"get(split({key}, {lit(pattern)}), {i})" for i in range(n)]

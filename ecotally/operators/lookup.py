@@ -39,6 +39,7 @@ def lookup(
     table_rows: int | None = None,
     how: str = "left",
     max_rows: int = BROADCAST_MAX_ROWS,
+    unique: bool = False,
 ) -> DataFrame:
     """``left_join(df, table, by=on)``.
 
@@ -46,9 +47,12 @@ def lookup(
     pairs.  With ``null_safe`` a missing key matches a missing key.  Columns
     of ``table`` whose names are already in ``df`` are dropped (the report
     keeps the left-hand copy); duplicate keys in ``table`` multiply rows, as
-    in the source scripts (see ``qa.duplicate_keys``).
+    in the source scripts (see ``qa.duplicate_keys``); with ``unique`` the
+    lookup refuses a table with repeated keys instead.
     """
     pairs = [(k, k) if isinstance(k, str) else tuple(k) for k in on]
+    if unique:
+        assert_unique_key(table, [r for _, r in pairs])
     right_keys = {r for _, r in pairs}
     left_cols = {c.lower() for c in df.columns}
     renamed = {r: f"__key_{i}" for i, (_, r) in enumerate(pairs)}
@@ -61,6 +65,15 @@ def lookup(
     return out.drop(*renamed.values())
 
 
+def assert_unique_key(table: DataFrame, keys: Sequence[str], show: int = 5) -> None:
+    """Raise when a lookup table repeats a key (missing keys count as equal).
+    One small aggregate over the lookup; at most ``show`` keys are fetched."""
+    cols = [ident(k) for k in keys]
+    dup = table.groupBy(*cols).agg(expr("count(1) AS n")).filter("n > 1").limit(show).collect()
+    if dup:
+        raise ValueError(f"lookup keys {list(keys)} repeat: " + ", ".join(str(tuple(r)) for r in dup))
+
+
 def crosswalk(
     df: DataFrame,
     table: DataFrame,

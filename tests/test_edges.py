@@ -217,3 +217,19 @@ def test_workbook_stage_number_prints_whole(spark):
     raw = spark.createDataFrame([("e1", 3.0, 2.5, 4, "SW")], "ECP_TAG string, Strct_S1 double, Area_ha double, Sdec_1 int, SiteMC_S1 string")
     row = canonicalise(raw, TEM).collect()[0]
     assert row["strct_1"] == "3" and row["area"] == 25000.0 and row["sitemc_1"] == "SW" and row["cem_ecp"] == "e1"
+
+
+def test_unique_lookup_refuses_repeated_keys(spark):
+    import pytest
+
+    eu = spark.createDataFrame([("SW2", 1.0)], "ecosystem_unit string, area_t double")
+    cats = spark.createDataFrame([("SW2", "DSG"), ("SW2", "DSS"), ("AM5", "DYF")], "ecosystem_unit string, bhc20 string")
+    assert lookup(eu, cats, ["ecosystem_unit"], table_rows=3).count() == 2
+    with pytest.raises(ValueError, match="SW2"):
+        lookup(eu, cats, ["ecosystem_unit"], table_rows=3, unique=True)
+
+
+def test_split_exact_separator_mode(spark):
+    df = spark.createDataFrame([("KIP_BWBS_mw__SW",)], "eco string")
+    got = tuple(df.select(*[expr(e) for e in split_key("eco", 5, "_")]).collect()[0])
+    assert got == ("KIP", "BWBS", "mw", "", "SW")
