@@ -26,7 +26,7 @@ def comp_cte(name: str = "comp", kind: str = "decile") -> str:
             f" Location AS location, ECO_SEC AS eco_sec, BGC_ZONE AS bgc_zone, BGC_SUBZON AS bgc_subzon,"
             f" BGC_VRT AS bgc_vrt, AREA AS area, '{tag}' AS decile, SDEC_{n} AS sdec, SITEMC_S{n} AS sitemc,"
             f" SITE_M{n}A AS site_ma, SITE_M{n}B AS site_mb, STRCT_S{n} AS strct, STRCT_M{n} AS strct_m,"
-            f" SERAL_{n} AS seral, AREA * SDEC_{n} AS area_t FROM polygons"
+            f" SERAL_{n} AS seral, CAST(AREA * 100 AS BIGINT) * SDEC_{n} AS area_t FROM polygons"
         )
     return f"{name} AS (\n" + "\n UNION ALL ".join(sel) + ")"
 
@@ -50,7 +50,8 @@ CATS = "cats AS (SELECT ecosystem_unit AS cat_unit, BHC20 AS bhc_raw FROM habita
 
 
 def to_unit(expr: str, unit: str) -> str:
-    return f"CAST({expr} AS DOUBLE) / {10 if unit == 'm2' else 100000}"
+    """area_t is in 1/100 m2 x tenths of share: one division to the unit."""
+    return f"CAST({expr} AS DOUBLE) / {1000 if unit == 'm2' else 10000000}"
 
 
 def eu_ctes(by: str = "", src: str = "deciles", bec: str = "bgc_zone || bgc_subzon || bgc_vrt",

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.area import apportion, to_unit
+from ..functions.area import apportion, to_unit, with_area_units
 from ..functions.classify import after_class, as_level, level_position, structural_class
 from ..functions.keys import bec_variant, ecosystem_label, ecosystem_unit, lookup_unit_key, unit_key
 from ..functions.nulls import expr, ident, lit, not_in_keep_missing, strict_sum
@@ -60,7 +60,8 @@ def components(
 ) -> DataFrame:
     """Component rows with ``area_t``; only the columns the job needs."""
     base = ["bgc_zone", "bgc_subzon"] + (["bgc_vrt"] if bec_parts == 3 else [])
-    long = to_long(polygons, [*ids, *base, "area"], fields, drop_empty="sitemc" if drop_empty else None)
+    long = to_long(with_area_units(polygons), [*ids, *base, "area", "area_u"], fields,
+                   drop_empty="sitemc" if drop_empty else None)
     return long.selectExpr("*", f"{apportion()} AS area_t")
 
 

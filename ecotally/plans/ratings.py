@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.area import apportion, to_unit
+from ..functions.area import apportion, to_unit, with_area_units
 from ..functions.classify import recode
 from ..functions.keys import compose_key, split_key
 from ..functions.nulls import expr, ident, lit, strict_sum
@@ -36,7 +36,8 @@ def rating_components(polygons: DataFrame, parts: Sequence[str] = RATING_KEY_PAR
     ``eco``, the key parts and ``area_t``; with ``positive_only`` only
     components with area > 0 (drops shares of 0 and missing shares)."""
     fields = ["sdec"] + [RATING_PART_SOURCE[p] for p in parts if RATING_PART_SOURCE[p] not in POLYGON_PARTS]
-    long = to_long(polygons, ["fid", *POLYGON_PARTS, "area"], fields, tags=NUMBER_TAGS, drop_empty=None)
+    long = to_long(with_area_units(polygons), ["fid", *POLYGON_PARTS, "area", "area_u"], fields, tags=NUMBER_TAGS,
+                   drop_empty=None)
     long = long.selectExpr("*", f"{compose_key([RATING_PART_SOURCE[p] for p in parts])} AS eco",
                            f"{apportion()} AS area_t")
     if positive_only:

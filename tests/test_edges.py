@@ -5,6 +5,7 @@ import os
 
 
 from ecotally.functions.nulls import expr
+from ecotally.functions.area import to_unit
 from ecotally.functions.keys import ecosystem_unit, split_key
 from ecotally.operators.aggregate import crosstab
 from ecotally.operators.lookup import crosswalk, lookup
@@ -26,29 +27,32 @@ def test_h1_missing_share_makes_group_total_missing(spark):
 
 
 def _eu_zone(spark, rows):
+    """EU-by-zone rows; the last field is the area in m2 (stored as area_t,
+    i.e. 1/100 m2 x tenths of share)."""
+    rows = [(*r[:-1], r[-1] * 1000.0) for r in rows]
     return spark.createDataFrame(rows, "paz string, strct string, type string, structural_class string, area_t double")
 
 
 def test_h2_missing_type_kept_on_transmission_line(spark):
-    e = _eu_zone(spark, [("Transmission Line ROW", "4", None, "Young Forest", 100.0)])
+    e = _eu_zone(spark, [("Transmission Line ROW", "4", None, "Young Forest", 10.0)])
     assert [tuple(r) for r in eco.eu_after(e).collect()] == [(None, "Shrub", 10.0)]
 
 
 def test_h3_missing_stage_kept_as_text_na_and_3a_removed(spark):
     e = _eu_zone(spark, [
-        ("Transmission Line ROW", None, "Upland Forest", "NA", 10.0),
-        ("Transmission Line ROW", "3a", "Upland Forest", "NA", 10.0),
-        ("Dam", "4", "Upland Forest", "Young Forest", 10.0),
-        (None, "2", "Upland Forest", "Herbaceous", 10.0),
+        ("Transmission Line ROW", None, "Upland Forest", "NA", 1.0),
+        ("Transmission Line ROW", "3a", "Upland Forest", "NA", 1.0),
+        ("Dam", "4", "Upland Forest", "Young Forest", 1.0),
+        (None, "2", "Upland Forest", "Herbaceous", 1.0),
     ])
     assert [tuple(r) for r in eco.eu_after(e).collect()] == [("Upland Forest", "NA", 1.0)]
 
 
 def test_after_class_excludes_water_and_anthropogenic(spark):
     e = _eu_zone(spark, [
-        ("Transmission Line ROW", "2", "Water", "Herbaceous", 10.0),
-        ("Transmission Line ROW", "2", "Anthropogenic Areas", "Herbaceous", 10.0),
-        ("Transmission Line ROW", "6", "Wetland", "Mature Forest", 30.0),
+        ("Transmission Line ROW", "2", "Water", "Herbaceous", 1.0),
+        ("Transmission Line ROW", "2", "Anthropogenic Areas", "Herbaceous", 1.0),
+        ("Transmission Line ROW", "6", "Wetland", "Mature Forest", 3.0),
     ])
     assert [tuple(r) for r in eco.eu_after(e).collect()] == [("Wetland", "Shrub", 3.0)]
 
@@ -144,7 +148,7 @@ def test_h13_parcel_area_sums_all_classes(spark):
 
 def test_h14_apportioning_and_empty_component(spark):
     p = polygons(spark, [{"sitemc_1": "A", "sitemc_2": "B", "sdec_1": 6, "sdec_2": 4, "sdec_3": None, "area": 100.0}])
-    rows = eco.components(p).select("sitemc", expr("area_t / 10 AS area")).collect()
+    rows = eco.components(p).select("sitemc", expr(f"{to_unit('area_t', 'm2')} AS area")).collect()
     assert [tuple(r) for r in rows] == [("A", 60.0), ("B", 40.0)]
 
 

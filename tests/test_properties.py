@@ -5,6 +5,7 @@ from decimal import Decimal
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from ecotally.functions.area import to_unit
 from ecotally.functions.nulls import expr
 from ecotally.operators.reshape import to_long
 from ecotally.plans import ecosystems as eco
@@ -44,7 +45,7 @@ def _total(rows):
 @given(polygon_rows())
 def test_component_areas_add_up_to_the_polygon_area(spark, rows):
     p = polygons(spark, rows)
-    got = eco.components(p).agg(expr("sum(area_t) / 10 AS a")).collect()[0]["a"]
+    got = eco.components(p).agg(expr(f"{to_unit('sum(area_t)', 'm2')} AS a")).collect()[0]["a"]
     assert abs(got - _total(rows)) <= 1e-6 * max(1.0, _total(rows))
 
 
