@@ -3,8 +3,8 @@
 A lookup side is broadcast only when its size is *proven* small: either the
 caller states its row count (a fixed sheet), or a bounded count
 (``limit(max+1).count()``) shows it is under the bound.  Above the bound the
-join is left to the planner as a shuffled join (sort-merge with AQE skew
-splitting of hot keys on the large side).
+join is a shuffled join whose hot keys are split: by AQE's skew-join
+handling when the session has it on, else by salting.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from ..functions.nulls import expr, ident
 # Largest lookup (rows) that is broadcast; lookup rows are a few short text
 # columns, so this keeps the broadcast under a few tens of MB.
 BROADCAST_MAX_ROWS = 200_000
+# Salt buckets for a shuffled lookup when AQE skew splitting is off.
+SALT_BUCKETS = 16
 
 
 def bounded_rows(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> int:
@@ -26,9 +28,19 @@ def bounded_rows(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> int:
     return table.limit(max_rows + 1).count()
 
 
-def maybe_broadcast(table: DataFrame, table_rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def fits_broadcast(table: DataFrame, table_rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     n = table_rows if table_rows is not None else bounded_rows(table, max_rows)
-    return F.broadcast(table) if n <= max_rows else table
+    return n <= max_rows
+
+
+def maybe_broadcast(table: DataFrame, table_rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    return F.broadcast(table) if fits_broadcast(table, table_rows, max_rows) else table
+
+
+def _skew_split_on(spark) -> bool:
+    conf = spark.conf
+    return (conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
+            and conf.get("spark.sql.adaptive.skewJoin.enabled", "true").lower() == "true")
 
 
 def lookup(
@@ -40,6 +52,7 @@ def lookup(
     how: str = "left",
     max_rows: int = BROADCAST_MAX_ROWS,
     unique: bool = False,
+    salt: int | None = None,
 ) -> DataFrame:
     """``left_join(df, table, by=on)``.
 
@@ -49,6 +62,13 @@ def lookup(
     keeps the left-hand copy); duplicate keys in ``table`` multiply rows, as
     in the source scripts (see ``qa.duplicate_keys``); with ``unique`` the
     lookup refuses a table with repeated keys instead.
+
+    A table above the broadcast bound is joined by shuffle.  A hot key (one
+    key holding a large share of ``df``) then lands in one task unless it is
+    split: AQE's skew-join splitting does that when enabled; otherwise (or
+    with an explicit ``salt``) the join is salted: each ``df`` row gets a
+    deterministic salt in ``[0, salt)`` from a hash of its columns, the table
+    is replicated once per salt, and the salt joins the key.
     """
     pairs = [(k, k) if isinstance(k, str) else tuple(k) for k in on]
     if unique:
@@ -58,11 +78,19 @@ def lookup(
     renamed = {r: f"__key_{i}" for i, (_, r) in enumerate(pairs)}
     keep = [c for c in table.columns if c not in right_keys and c.lower() not in left_cols]
     right = table.selectExpr(*[f"{ident(r)} AS {renamed[r]}" for r in renamed], *[ident(c) for c in keep])
-    right = maybe_broadcast(right, table_rows, max_rows)
     op = "<=>" if null_safe else "="
     cond = " AND ".join(f"{ident(l)} {op} {renamed[r]}" for l, r in pairs)
-    out = df.join(right, expr(cond), how)
-    return out.drop(*renamed.values())
+    if fits_broadcast(right, table_rows, max_rows):
+        return df.join(F.broadcast(right), expr(cond), how).drop(*renamed.values())
+    if salt is None:
+        salt = 0 if _skew_split_on(df.sparkSession) else SALT_BUCKETS
+    if salt > 1:
+        row_hash = "xxhash64(" + ", ".join(ident(c) for c in df.columns) + ")"
+        left = df.selectExpr("*", f"pmod({row_hash}, {salt}) AS __salt_l")
+        right = right.selectExpr("*", f"explode(sequence(0, {salt - 1})) AS __salt_r")
+        out = left.join(right, expr(f"{cond} AND __salt_l = __salt_r"), how)
+        return out.drop(*renamed.values(), "__salt_l", "__salt_r")
+    return df.join(right, expr(cond), how).drop(*renamed.values())
 
 
 def assert_unique_key(table: DataFrame, keys: Sequence[str], show: int = 5) -> None:

@@ -112,3 +112,23 @@ def test_no_python_in_any_plan(spark, capsys, name):
     if name.startswith(("src_", "snk_")):
         pytest.skip("writes files when built")
     assert no_python(plan(Q[name](spark, SF_SMALL), capsys))
+
+
+def test_shuffled_lookup_is_salted_without_aqe_skew_splitting(spark, capsys):
+    # a hot key: 90% of the rows share one key
+    big = spark.range(2000).selectExpr("CASE WHEN id % 10 = 0 THEN CAST(id AS STRING) ELSE 'hot' END AS k", "id AS v")
+    table = spark.range(1000).selectExpr("CAST(id * 10 AS STRING) AS k", "id AS w").union(
+        spark.createDataFrame([("hot", -1)], "k string, w bigint"))
+    want = sorted(tuple(r) for r in lookup(big, table, ["k"], table_rows=1001).collect())
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        salted = lookup(big, table, ["k"], max_rows=10)
+        p = plan(salted, capsys)
+        got = sorted(tuple(r) for r in salted.collect())
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin" in p and "__salt_l" in p and "explode(" in p and "xxhash64" in p
+    assert got == want and len(got) == 2000
