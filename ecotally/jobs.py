@@ -102,11 +102,11 @@ def rate_job(polygons, rating_sheet, value=ratings.RATING_VALUE) -> dict[str, Da
     }
 
 
-def whi_job(polygons, rating_sheet, map_codes, value=ratings.RATING_VALUE) -> dict[str, DataFrame]:
+def whi_job(polygons, rating_sheet, map_codes, value=ratings.RATING_VALUE, eu_unit="ha") -> dict[str, DataFrame]:
     parts = ratings.key_parts(polygons)
     first = ratings.first_component_rating(polygons, rating_sheet, parts, value=value)
     eu = eco.eu_summary(eco.components(polygons, drop_empty=False), map_codes)
-    return {"first_component_rating": first, "eu_summary": eco.eu_report(eu, unit="ha")}
+    return {"first_component_rating": first, "eu_summary": eco.eu_report(eu, unit=eu_unit)}
 
 
 def qa_job(polygons) -> dict[str, DataFrame]:
@@ -141,6 +141,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         ap.add_argument(f"--{sheet}-skip", type=int, default=0)
     ap.add_argument("--location", default=MARL_FEN)
     ap.add_argument("--other-properties", action="store_true")
+    ap.add_argument("--eu-unit", choices=["m2", "ha"], default=None,
+                    help="unit of EU tables (default m2; ha for the whi job)")
+    ap.add_argument("--unit", choices=["m2", "ha"], default="ha", help="unit of habitat / parcel summaries")
     ap.add_argument("--out", required=True)
     ap.add_argument("--out-format", choices=["csv", "parquet"], default="csv")
     a = ap.parse_args(argv)
@@ -151,14 +154,15 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     cats = read_sheet(spark, a.categories, a.categories_skip)
     rat = read_sheet(spark, a.ratings, a.ratings_skip)
     xw = read_sheet(spark, a.crosswalk, a.crosswalk_skip)
+    eu_unit = a.eu_unit or "m2"
     reports = {
-        "zones": lambda: zones_job(p, mc),
-        "habitat": lambda: habitat_job(p, mc, cats),
-        "property": lambda: property_job(p, mc, cats, a.location, a.other_properties),
-        "crosswalk": lambda: crosswalk_job(p, xw, mc, cats),
-        "parcels": lambda: parcels_job(p, mc, cats),
+        "zones": lambda: zones_job(p, mc, unit=eu_unit),
+        "habitat": lambda: habitat_job(p, mc, cats, eu_unit=eu_unit, unit=a.unit),
+        "property": lambda: property_job(p, mc, cats, a.location, a.other_properties, eu_unit=eu_unit, unit=a.unit),
+        "crosswalk": lambda: crosswalk_job(p, xw, mc, cats, unit=a.unit),
+        "parcels": lambda: parcels_job(p, mc, cats, unit=a.unit),
         "rate": lambda: rate_job(p, rat),
-        "whi": lambda: whi_job(p, rat, mc),
+        "whi": lambda: whi_job(p, rat, mc, eu_unit=a.eu_unit or "ha"),
         "qa": lambda: qa_job(p),
     }[a.job]()
     return write_reports(reports, a.out, a.out_format)

@@ -72,3 +72,14 @@ def test_every_job_runs(spark):
     assert all(n > 0 for n in counts.values()), counts
     # the spatial job keeps empty components: one EU group with no ecosystem
     assert outs["eu_summary"].filter("ecosystem IS NULL").count() > 0
+
+
+def test_cluster_settings_scale_with_input():
+    from ecotally.session import cluster_settings
+
+    small = cluster_settings(10 << 30, executors=10, cores_per_executor=4)
+    big = cluster_settings(100 << 40, executors=1000, cores_per_executor=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 120  # 3 waves of 40 cores
+    # 100 TB: a quarter of the input in 128 MB partitions
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // 4 // (128 << 20)
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
