@@ -48,3 +48,13 @@ def test_entry_smoke(spark):
     # level order, missing category last
     levels = [r["bhc20"] for r in rows]
     assert levels[-1] is None
+
+
+_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_column_types_match_oracle(spark, duck, name):
+    s = {c: _TYPES.get(t, t.upper().replace(" ", "")) for c, t in QUERIES[name](spark, SF_SMALL).dtypes}
+    d = {r[0]: r[1].replace(" ", "") for r in duck.execute("DESCRIBE " + ORACLE[name]).fetchall()}
+    assert s == d
