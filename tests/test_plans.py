@@ -132,3 +132,17 @@ def test_shuffled_lookup_is_salted_without_aqe_skew_splitting(spark, capsys):
             spark.conf.set(k, v)
     assert "SortMergeJoin" in p and "__salt_l" in p and "explode(" in p and "xxhash64" in p
     assert got == want and len(got) == 2000
+
+
+def test_polygons_bucketed_by_fid_make_the_per_polygon_report_shuffle_free(spark, capsys):
+    from ecotally.plans import ratings
+    from ecotally.queries import inputs
+    from ecotally.session import scratch_path
+
+    i = inputs(spark, SF_SMALL)
+    name = "polygons_by_fid_" + scratch_path(spark, "t").rsplit("-", 1)[-1][:8]
+    i.polygons.write.bucketBy(8, "fid").sortBy("fid").option("path", scratch_path(spark, "bucketed")).saveAsTable(name)
+    wide = ratings.rating_wide(ratings.rate(ratings.rating_components(spark.table(name)), i.ratings, rating_rows=6))
+    p = plan(wide, capsys)
+    assert "Exchange hashpartitioning" not in p and "rangepartitioning" not in p
+    assert wide.count() == Q["whr_wide"](spark, SF_SMALL).count()
