@@ -51,6 +51,42 @@ def area_conservation(stages: Sequence[tuple[str, DataFrame]], unit: str = "ha")
     return out
 
 
+def lookup_conservation(polygons: DataFrame, map_codes: DataFrame, categories: DataFrame, unit: str = "ha",
+                        map_rows: int | None = None, cat_rows: int | None = None) -> DataFrame:
+    """``area_conservation`` over component rows, EU rows, EU rows with
+    names and with categories, in one scan: every stage is computed from one
+    EU aggregate that also keeps the known-area sum and the number of
+    missing component areas, so the four branches share its exchange."""
+    from .ecosystems import components, with_categories, with_names  # noqa: PLC0415
+    from ..functions.keys import bec_variant, ecosystem_label, ecosystem_unit, unit_key  # noqa: PLC0415
+
+    d = components(polygons).selectExpr("strct", "area_t", f"{bec_variant()} AS bec_variant",
+                                        f"{ecosystem_label()} AS ecosystem")
+    # the extra figures use the same aggregate functions as the strict sum
+    # (count(area_t), count(1), sum(area_t)), so all branches share one
+    # partial aggregate and one exchange
+    # (written so that every branch lists them in the same order)
+    eu = d.groupBy("bec_variant", "ecosystem", "strct").agg(
+        expr("-count(area_t) + count(1) AS n_missing_parts"), expr("sum(area_t) AS area_known"),
+        expr(f"{strict_sum('area_t')} AS area_t"),
+    ).selectExpr("*", f"{unit_key()} AS unit", f"{ecosystem_unit()} AS ecosystem_unit")
+    parts = eu.agg(
+        expr(f"{lit('components')} AS stage"),
+        # missing iff a unit total is missing (that keeps all three unit
+        # columns in this branch, so its plan below the exchange is the same)
+        expr(f"CASE WHEN count_if(area_t IS NULL) = 0 THEN {to_unit('sum(area_known)', unit)} END AS total_area"),
+        expr(f"{to_unit('sum(area_known)', unit)} AS total_area_known"),
+        expr("sum(n_missing_parts) AS n_missing"),
+    )
+    named = with_names(eu, map_codes, map_rows)
+    stages = [("eu_rows", eu), ("eu_with_names", named),
+              ("eu_with_categories", with_categories(named, categories, cat_rows))]
+    out = parts
+    for name, df in stages:
+        out = out.unionByName(_stage_total(df, name, unit))
+    return out
+
+
 def duplicate_lookup_keys(rows: DataFrame, table: DataFrame, key: str, check: str) -> DataFrame:
     """Keys used by ``rows`` that match more than one row of ``table``."""
     dup = table.groupBy(key).agg(expr("count(1) AS n")).filter("n > 1")

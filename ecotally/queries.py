@@ -392,13 +392,8 @@ def qa_total_area(i: Inputs):
 
 
 def qa_area_conservation(i: Inputs):
-    """JN-9: area totals before and after each lookup."""
-    d = i.deciles()
-    eu_rows = eco.eu_units(d)
-    named = eco.eu_summary(d, i.map_codes, map_rows=MAP_ROWS)
-    cat = eco.with_categories(named, i.categories, CAT_ROWS)
-    return qa.area_conservation([("components", d), ("eu_rows", eu_rows), ("eu_with_names", named),
-                                 ("eu_with_categories", cat)])
+    """JN-9: area totals before and after each lookup (one scan)."""
+    return qa.lookup_conservation(i.polygons, i.map_codes, i.categories, map_rows=MAP_ROWS, cat_rows=CAT_ROWS)
 
 
 def qa_duplicate_keys(i: Inputs):

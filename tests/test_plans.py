@@ -146,3 +146,9 @@ def test_polygons_bucketed_by_fid_make_the_per_polygon_report_shuffle_free(spark
     p = plan(wide, capsys)
     assert "Exchange hashpartitioning" not in p and "rangepartitioning" not in p
     assert wide.count() == Q["whr_wide"](spark, SF_SMALL).count()
+
+
+def test_area_conservation_scans_once(spark, capsys):
+    p = plan(Q["qa_area_conservation"](spark, SF_SMALL), capsys, executed=True)
+    final = p.split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange [bec_variant") == 3
