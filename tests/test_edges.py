@@ -237,3 +237,21 @@ def test_split_exact_separator_mode(spark):
     df = spark.createDataFrame([("KIP_BWBS_mw__SW",)], "eco string")
     got = tuple(df.select(*[expr(e) for e in split_key("eco", 5, "_")]).collect()[0])
     assert got == ("KIP", "BWBS", "mw", "", "SW")
+
+
+def test_eleven_part_key_when_site_series_present(spark):
+    p = polygons(spark, [{"eco_sec": "KIP", "site_1": "102", "sitemc_1": "SW", "strct_1": "5", "strct_m_1": "i",
+                          "sdec_1": 10, "area": 1.0}])
+    parts = ratings.key_parts(p)
+    assert len(parts) == 11 and parts[4] == "SITE_S"
+    r = sheet(spark, [("KIP", "BWBS", "mw", "1", "102", "SW", None, None, "5", None, None, "L"),
+                      ("KIP", "BWBS", "mw", "1", "102", "SW", None, None, "5", "", None, "M")],
+              ["ECO_SEC", "BGC_ZONE", "BGC_SUBZON", "BGC_VRT", "SITE_S", "SITEMC_S", "SITE_MA", "SITE_MB", "STRCT_S",
+               "STRCT_M", "SERAL", "BSEOW_LI"])
+    # without the clean-up the modifier 'i' matches nothing; with it, 'i' -> '' matches the second row
+    raw = ratings.first_component_rating(p, r, parts, recodes=None, rating_rows=2).collect()[0]
+    clean = ratings.first_component_rating(p, r, parts, rating_rows=2).collect()[0]
+    assert raw["eco_1"] == "KIP_BWBS_mw_1_102_SW_NA_NA_5_i_NA" and raw["rating"] is None
+    assert clean["eco_1"] == "KIP_BWBS_mw_1_102_SW_NA_NA_5__NA" and clean["rating"] == "M"
+    rated = ratings.rate(ratings.rating_components(p, parts), r, parts, rating_rows=2).collect()
+    assert [(x["eco"], x["rating"]) for x in rated] == [("KIP_BWBS_mw_1_102_SW_NA_NA_5_i_NA", None)]
