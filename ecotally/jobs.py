@@ -53,8 +53,21 @@ def read_sheet(spark: SparkSession, path: str | None, skip: int = 0) -> DataFram
     return files.read_sheet(spark, path, skip=skip) if skip else files.read_typed_csv(spark, path)
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Mark a unit-level aggregate that several reports of a job read (bounded
+    by the code lists, never by the polygons): Spark keeps it after the first
+    report computes it (memory, then disk; lost parts are recomputed from
+    lineage), so the polygons are scanned once per job.  ``write_reports``
+    releases it."""
+    _SHARED.append(df.persist())
+    return df
+
+
+_SHARED: list[DataFrame] = []
+
+
 def zones_job(polygons, map_codes, unit="m2") -> dict[str, DataFrame]:
-    eu = eco.eu_summary(eco.components(polygons, ids=["paz"]), map_codes, by=["paz"])
+    eu = shared(eco.eu_summary(eco.components(polygons, ids=["paz"]), map_codes, by=["paz"]))
     return {
         "eu_by_zone": eco.eu_report(eu, by=["paz"], unit=unit),
         "map_codes_by_zone": eco.mc_report(eu, map_codes, unit=unit),
@@ -63,7 +76,7 @@ def zones_job(polygons, map_codes, unit="m2") -> dict[str, DataFrame]:
 
 
 def habitat_job(polygons, map_codes, categories, eu_unit="m2", unit="ha") -> dict[str, DataFrame]:
-    eu = eco.with_categories(eco.eu_summary(eco.components(polygons), map_codes), categories)
+    eu = shared(eco.with_categories(eco.eu_summary(eco.components(polygons), map_codes), categories))
     report = eu.selectExpr(*eco.EU_REPORT, "ecosystem_unit", "bhc20", f"{to_unit('area_t', eu_unit)} AS total_area")
     return {"eu": report, "habitat_summary": eco.bhc_summary(eu, unit=unit)}
 
@@ -74,13 +87,13 @@ def property_job(polygons, map_codes, categories, location=MARL_FEN, negate=Fals
 
 def crosswalk_job(polygons, xwalk, map_codes, categories, unit="ha") -> dict[str, DataFrame]:
     d = eco.crosswalked_components(polygons, xwalk)
-    eu = eco.with_categories(eco.eu_summary(d, map_codes, bec_parts=2, ecosystem="sitemc"), categories)
+    eu = shared(eco.with_categories(eco.eu_summary(d, map_codes, bec_parts=2, ecosystem="sitemc"), categories))
     report = eu.selectExpr(*eco.EU_REPORT, "ecosystem_unit", "bhc20", f"{to_unit('area_t', unit)} AS total_area")
     return {"eu": report, "habitat_summary": eco.bhc_summary(eu, unit=unit)}
 
 
 def parcels_job(polygons, map_codes, categories, classes: Sequence[str] | None = None, unit="ha"):
-    units = parcels.parcel_units(polygons)
+    units = shared(parcels.parcel_units(polygons))
     classes = classes or parcels.footprint_classes(polygons)
     return {
         "parcel_area": parcels.parcel_area(units, classes, unit),
@@ -119,14 +132,19 @@ def qa_job(polygons) -> dict[str, DataFrame]:
 
 
 def write_reports(reports: dict[str, DataFrame], out: str, fmt: str = "csv") -> list[str]:
+    """Write every report, then release the job's shared aggregates."""
     paths = []
-    for name, df in reports.items():
-        path = f"{out.rstrip('/')}/{name}"
-        if fmt == "csv":
-            files.write_csv(df, path, mode="overwrite")
-        else:
-            df.write.mode("overwrite").parquet(path)
-        paths.append(path)
+    try:
+        for name, df in reports.items():
+            path = f"{out.rstrip('/')}/{name}"
+            if fmt == "csv":
+                files.write_csv(df, path, mode="overwrite")
+            else:
+                df.write.mode("overwrite").parquet(path)
+            paths.append(path)
+    finally:
+        while _SHARED:
+            _SHARED.pop().unpersist()
     return paths
 
 

@@ -72,6 +72,21 @@ def test_every_job_runs(spark):
     assert all(n > 0 for n in counts.values()), counts
     # the spatial job keeps empty components: one EU group with no ecosystem
     assert outs["eu_summary"].filter("ecosystem IS NULL").count() > 0
+    while jobs._SHARED:
+        jobs._SHARED.pop().unpersist()
+
+
+def test_reports_of_a_job_share_one_scan(spark, capsys):
+    from ecotally.queries import inputs
+
+    i = inputs(spark, SF_SMALL)
+    reports = jobs.zones_job(i.polygons, i.map_codes)
+    reports["eu_by_zone"].write.format("noop").mode("overwrite").save()
+    reports["eu_after"].explain()
+    p = capsys.readouterr().out
+    assert "InMemoryTableScan" in p and "FileScan parquet" not in p
+    jobs.write_reports({}, scratch_path(spark, "none"))  # releases the job's shared aggregate
+    assert not jobs._SHARED
 
 
 def test_cluster_settings_scale_with_input():
