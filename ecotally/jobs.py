@@ -101,9 +101,14 @@ def parcels_job(polygons, map_codes, categories, classes: Sequence[str] | None =
     }
 
 
-def rate_job(polygons, rating_sheet, value=ratings.RATING_VALUE) -> dict[str, DataFrame]:
+def rate_job(polygons, rating_sheet, value=ratings.RATING_VALUE, materialise: bool = True) -> dict[str, DataFrame]:
+    """Six reports from the component rows: these are written once as a
+    table in the shared folder (one scan of the polygons), the ratings join
+    onto it by broadcast, and every report reads it."""
     parts = ratings.key_parts(polygons)
     comps = ratings.rating_components(polygons, parts)
+    if materialise:
+        comps = files.materialise(comps, "rating-components")
     rated = ratings.rate(comps, rating_sheet, parts, value=value)
     return {
         "rated": ratings.rated_rows(rated),

@@ -67,6 +67,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     printable(df).write.mode(mode).option("header", True).option("nullValue", NA_TEXT).csv(path)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared checkpoint folder and
+    return it read back: lineage cut, real size known to the planner, and
+    every later consumer reads this narrow table instead of recomputing it."""
+    from ..session import scratch_path  # noqa: PLC0415
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _csv_line(values: Sequence[str]) -> str:
     buf = io.StringIO()
     csv.writer(buf, lineterminator="").writerow(values)
