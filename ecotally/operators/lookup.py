@@ -33,10 +33,6 @@ def fits_broadcast(table: DataFrame, table_rows: int | None = None, max_rows: in
     return n <= max_rows
 
 
-def maybe_broadcast(table: DataFrame, table_rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return F.broadcast(table) if fits_broadcast(table, table_rows, max_rows) else table
-
-
 def _skew_split_on(spark) -> bool:
     conf = spark.conf
     return (conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
