@@ -129,8 +129,9 @@ def whi_job(polygons, rating_sheet, map_codes, value=ratings.RATING_VALUE, eu_un
 
 def qa_job(polygons) -> dict[str, DataFrame]:
     return {
-        "frequencies": qa.code_frequencies(polygons),
+        "frequencies": qa.code_frequencies(polygons, qa.QA_ALL_FIELDS),
         "zone_crosstab": qa.zone_crosstab(polygons),
+        **{f"crosstab_{k}": v for k, v in qa.component_crosstabs(polygons).items()},
         "total_area": qa.total_area(polygons),
         "share_sums": qa.share_sums(polygons),
     }

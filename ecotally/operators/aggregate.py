@@ -47,6 +47,8 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str] | None = N
     both = df.filter(f"{ident(row)} IS NOT NULL AND {ident(col)} IS NOT NULL")
     if values is None:
         values = distinct_values(both, col)
+    if not values:  # no counted pair at all: an empty table
+        return both.select(row).distinct()
     aggs = [expr(f"count(CASE WHEN {ident(col)} = {lit(v)} THEN 1 END) AS {ident(column_name(v))}") for v in values]
     return both.groupBy(row).agg(*aggs)
 

@@ -14,6 +14,9 @@ from ..operators.aggregate import crosstab, frequencies
 from ..schema import wide
 
 QA_FIELDS = ("sdec", "sitemc", "seral", "strct")
+# one-way and two-way tables the source scripts print per component
+QA_ALL_FIELDS = ("sdec", "sitemc", "seral", "strct", "site_ma", "site_mb", "strct_m")
+QA_PAIRS = (("sitemc", "seral"), ("strct", "strct_m"))
 
 
 def code_frequencies(polygons: DataFrame, fields: Sequence[str] = QA_FIELDS) -> DataFrame:
@@ -25,6 +28,18 @@ def zone_crosstab(polygons: DataFrame, values: Sequence[str] | None = None) -> D
     return crosstab(polygons, "bgc_zone", "bgc_subzon", values)
 
 
+def component_crosstabs(polygons: DataFrame, pairs=QA_PAIRS) -> dict[str, DataFrame]:
+    """Per component, map code x seral and stage x structural modifier
+    (pairs whose columns the source has)."""
+    out = {}
+    for a, b in pairs:
+        for n in (1, 2, 3):
+            ca, cb = wide(a, n), wide(b, n)
+            if ca in polygons.columns and cb in polygons.columns:
+                out[f"{ca}_x_{cb}"] = crosstab(polygons, ca, cb)
+    return out
+
+
 def total_area(polygons: DataFrame, unit: str = "ha") -> DataFrame:
     """Polygon count and strict area total (the scripts' control figure)."""
     div = float({"m2": 1, "ha": 10000}[unit])

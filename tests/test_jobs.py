@@ -98,3 +98,18 @@ def test_cluster_settings_scale_with_input():
     # 100 TB: a quarter of the input in 128 MB partitions
     assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // 4 // (128 << 20)
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_qa_job_tables(spark):
+    from ecotally.queries import inputs
+
+    i = inputs(spark, SF_SMALL)
+    out = jobs.qa_job(i.polygons)
+    assert {"crosstab_sitemc_1_x_seral_1", "crosstab_strct_1_x_strct_m_1", "crosstab_strct_3_x_strct_m_3"} <= set(out)
+    # map code x seral for component 1: rows are map codes, columns the seral codes seen
+    tab = out["crosstab_sitemc_1_x_seral_1"]
+    assert set(tab.columns) == {"sitemc_1", "as"}
+    freq = {(r["column"], r["value"]): r["n"] for r in out["frequencies"].collect()}
+    assert ("site_ma_1", "k") in freq and ("strct_m_1", "i") in freq
+    # a pair whose second column is all missing counts no rows
+    assert out["crosstab_strct_2_x_strct_m_2"].count() == 0
