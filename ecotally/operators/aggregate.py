@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import expr, ident, lit, strict_sum
-from .reshape import column_name
+from .reshape import column_names
 
 # Largest number of distinct categories a discovered pivot may produce.
 MAX_PIVOT_VALUES = 1000
@@ -49,6 +49,7 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str] | None = N
         values = distinct_values(both, col)
     if not values:  # no counted pair at all: an empty table
         return both.select(row).distinct()
-    aggs = [expr(f"count(CASE WHEN {ident(col)} = {lit(v)} THEN 1 END) AS {ident(column_name(v))}") for v in values]
+    names = column_names(values, taken=[row])
+    aggs = [expr(f"count(CASE WHEN {ident(col)} = {lit(v)} THEN 1 END) AS {ident(n)}") for v, n in zip(values, names)]
     return both.groupBy(row).agg(*aggs)
 

@@ -63,6 +63,21 @@ def column_name(value: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", str(value).lower()).strip("_") or "na"
 
 
+def column_names(values: Sequence[str], taken: Sequence[str] = ()) -> list[str]:
+    """``column_name`` of each value, made unique (``_2``, ``_3``, ...) where
+    two values read the same (``A`` / ``a``) or a name is already ``taken``."""
+    seen = {t.lower() for t in taken}
+    out = []
+    for v in values:
+        base = name = column_name(v)
+        k = 2
+        while name in seen:
+            name, k = f"{base}_{k}", k + 1
+        seen.add(name)
+        out.append(name)
+    return out
+
+
 def wide_cells(
     names_from: str,
     values: Sequence[str],
@@ -75,7 +90,7 @@ def wide_cells(
     """Aggregate expressions, one per category: strict sum of ``value`` over
     the rows of that category (and ``where``), converted, ``fill`` where
     there is no row."""
-    names = list(names) if names is not None else [column_name(v) for v in values]
+    names = list(names) if names is not None else column_names(values)
     cells = []
     for v, name in zip(values, names):
         hit = f"{ident(names_from)} = {lit(v)}" + (f" AND ({where})" if where else "")

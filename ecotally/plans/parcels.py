@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from ..functions.area import to_unit
 from ..functions.nulls import expr, lit
 from ..operators.aggregate import distinct_values
-from ..operators.reshape import column_name, row_total, to_wide
+from ..operators.reshape import column_names, row_total, to_wide
 from ..schema import BHC_LEVELS, COMPONENTS, NA_TEXT, NOT_FOOTPRINT, wide
 from .ecosystems import components, eu_units, with_categories, with_names
 
@@ -51,7 +51,7 @@ def parcel_area(units: DataFrame, classes: Sequence[str], unit: str = "ha") -> D
     absent cells 0, plus ``parcel_area`` over all classes.  ``units`` may be
     component rows or any finer aggregate with ``area_t``."""
     d = units.selectExpr("parcel_id", "area_t", f"{FOOTPRINT_CLASS} AS dist_type")
-    names = [column_name(c) for c in classes]
+    names = column_names(classes, taken=["parcel_id", "parcel_area"])
     w = to_wide(d, ["parcel_id"], "dist_type", classes, "area_t", names=names, fill=0.0,
                 convert=lambda c: to_unit(c, unit))
     return w.selectExpr("*", f"{row_total(names)} AS parcel_area")

@@ -255,3 +255,12 @@ def test_eleven_part_key_when_site_series_present(spark):
     assert clean["eco_1"] == "KIP_BWBS_mw_1_102_SW_NA_NA_5__NA" and clean["rating"] == "M"
     rated = ratings.rate(ratings.rating_components(p, parts), r, parts, rating_rows=2).collect()
     assert [(x["eco"], x["rating"]) for x in rated] == [("KIP_BWBS_mw_1_102_SW_NA_NA_5_i_NA", None)]
+
+
+def test_category_columns_stay_unique(spark):
+    from ecotally.operators.reshape import column_names
+
+    assert column_names(["A", "a", "x y", "x_y", ""]) == ["a", "a_2", "x_y", "x_y_2", "na"]
+    df = spark.createDataFrame([("r", "A"), ("r", "a"), ("r", "a")], "r string, c string")
+    row = crosstab(df, "r", "c").collect()[0].asDict()
+    assert row == {"r": "r", "a": 1, "a_2": 2}
