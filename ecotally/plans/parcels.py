@@ -46,12 +46,13 @@ def footprint_classes(polygons: DataFrame) -> list[str]:
     return distinct_values(d, "dist_type")
 
 
-def parcel_area(units: DataFrame, classes: Sequence[str], unit: str = "ha") -> DataFrame:
+def parcel_area(units: DataFrame, classes: Sequence[str], unit: str = "ha", taken: Sequence[str] = ()) -> DataFrame:
     """Area per parcel and footprint class (missing class = not footprint),
     absent cells 0, plus ``parcel_area`` over all classes.  ``units`` may be
-    component rows or any finer aggregate with ``area_t``."""
+    component rows or any finer aggregate with ``area_t``; class columns
+    avoid the names in ``taken``."""
     d = units.selectExpr("parcel_id", "area_t", f"{FOOTPRINT_CLASS} AS dist_type")
-    names = column_names(classes, taken=["parcel_id", "parcel_area"])
+    names = column_names(classes, taken=["parcel_id", "parcel_area", *taken])
     w = to_wide(d, ["parcel_id"], "dist_type", classes, "area_t", names=names, fill=0.0,
                 convert=lambda c: to_unit(c, unit))
     return w.selectExpr("*", f"{row_total(names)} AS parcel_area")
@@ -84,7 +85,7 @@ def parcel_report(polygons: DataFrame, map_codes, categories, classes=None, unit
 
 def parcel_report_from_units(units: DataFrame, map_codes, categories, classes, unit="ha", map_rows=None,
                              cat_rows=None) -> DataFrame:
-    area = parcel_area(units, classes, unit).withColumnRenamed("parcel_id", "__pid")
     bhc = parcel_habitat(units, map_codes, categories, unit, map_rows=map_rows, cat_rows=cat_rows)
+    area = parcel_area(units, classes, unit, taken=bhc.columns).withColumnRenamed("parcel_id", "__pid")
     out = bhc.join(area, expr("parcel_id <=> __pid"), "left")
     return out.drop("__pid")

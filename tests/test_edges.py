@@ -264,3 +264,14 @@ def test_category_columns_stay_unique(spark):
     df = spark.createDataFrame([("r", "A"), ("r", "a"), ("r", "a")], "r string, c string")
     row = crosstab(df, "r", "c").collect()[0].asDict()
     assert row == {"r": "r", "a": 1, "a_2": 2}
+
+
+def test_parcel_report_class_named_like_a_category(spark):
+    p = polygons(spark, [
+        {"parcel_id": "P", "dist_type": "CMF", "sitemc_1": "AM", "strct_1": "6", "sdec_1": 10, "area": 10000.0},
+        {"parcel_id": "P", "dist_type": None, "sitemc_1": "AM", "strct_1": "6", "sdec_1": 10, "area": 20000.0},
+    ])
+    mc = map_codes(spark, [])
+    cats = categories(spark, [("AM6", "CMF")])
+    row = parcels.parcel_report(p, mc, cats, map_rows=0, cat_rows=1).collect()[0].asDict()
+    assert row["cmf"] == 2.0 and row["cmf_2"] == 1.0 and row["not_footprint"] == 2.0 and row["parcel_area"] == 3.0
