@@ -116,3 +116,23 @@ def test_qa_job_tables(spark):
     assert ("site_ma_1", "k") in freq and ("strct_m_1", "i") in freq
     # a pair whose second column is all missing counts no rows
     assert out["crosstab_strct_2_x_strct_m_2"].count() == 0
+
+
+def test_cli_runs_as_a_module(spark):
+    import os
+    import subprocess
+    import sys
+
+    fx = load_fixture(spark, SF_SMALL)
+    base = scratch_path(spark, "cli")
+    fx.polygons.write.option("header", True).option("nullValue", "NA").csv(f"{base}/polygons")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {**os.environ, "PYTHONPATH": root}
+    res = subprocess.run(
+        [sys.executable, "-m", "ecotally.jobs", "qa", "--polygons", f"{base}/polygons", "--polygons-format", "csv",
+         "--out", f"{base}/out"],
+        cwd=root, env=env, capture_output=True, text=True, timeout=300,
+    )
+    assert res.returncode == 0, res.stderr[-2000:]
+    shares = files.read_typed_csv(spark, f"{base}/out/share_sums", {"share_sum": "int", "n": "bigint"})
+    assert sum(r["n"] for r in shares.collect()) == fx.polygons.count()
