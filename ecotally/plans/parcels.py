@@ -18,13 +18,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..functions.area import to_unit
-from ..functions.nulls import expr, lit
+from ..functions.nulls import lit
 from ..operators.aggregate import distinct_values
 from ..operators.reshape import column_names, row_total, to_wide
 from ..schema import BHC_LEVELS, COMPONENTS, NA_TEXT, NOT_FOOTPRINT, wide
 from .ecosystems import components, eu_units, with_categories, with_names
 
 FOOTPRINT_CLASS = f"coalesce(dist_type, {lit(NOT_FOOTPRINT)})"
+# Per-parcel results are grouped by a null-free form of the parcel id (text +
+# "is missing" flag, one-to-one with the id, missing included): the report's
+# join on them is then a plain equi-join whose required partitioning both
+# grouped inputs already have (no extra exchange, even when not broadcast).
+PARCEL_KEYS = ["__pkey", "__pnull"]
+PARCEL_KEY_EXPRS = ["coalesce(CAST(parcel_id AS STRING), '') AS __pkey", "parcel_id IS NULL AS __pnull"]
+PARCEL_ID = "CASE WHEN __pnull THEN NULL ELSE __pkey END AS parcel_id"
 
 
 def parcel_components(polygons: DataFrame) -> DataFrame:
@@ -46,31 +53,34 @@ def footprint_classes(polygons: DataFrame) -> list[str]:
     return distinct_values(d, "dist_type")
 
 
-def parcel_area(units: DataFrame, classes: Sequence[str], unit: str = "ha", taken: Sequence[str] = ()) -> DataFrame:
+def parcel_area(units: DataFrame, classes: Sequence[str], unit: str = "ha", taken: Sequence[str] = (),
+                keys: bool = False) -> DataFrame:
     """Area per parcel and footprint class (missing class = not footprint),
     absent cells 0, plus ``parcel_area`` over all classes.  ``units`` may be
     component rows or any finer aggregate with ``area_t``; class columns
-    avoid the names in ``taken``."""
-    d = units.selectExpr("parcel_id", "area_t", f"{FOOTPRINT_CLASS} AS dist_type")
+    avoid the names in ``taken``.  With ``keys`` the parcel comes as the
+    join keys ``PARCEL_KEYS`` instead of ``parcel_id``."""
+    d = units.selectExpr(*PARCEL_KEY_EXPRS, "area_t", f"{FOOTPRINT_CLASS} AS dist_type")
     names = column_names(classes, taken=["parcel_id", "parcel_area", *taken])
-    w = to_wide(d, ["parcel_id"], "dist_type", classes, "area_t", names=names, fill=0.0,
+    w = to_wide(d, PARCEL_KEYS, "dist_type", classes, "area_t", names=names, fill=0.0,
                 convert=lambda c: to_unit(c, unit))
-    return w.selectExpr("*", f"{row_total(names)} AS parcel_area")
+    return w.selectExpr(*(PARCEL_KEYS if keys else [PARCEL_ID]), *names, f"{row_total(names)} AS parcel_area")
 
 
 def parcel_habitat(
     units: DataFrame, map_codes, categories, unit: str = "ha", levels: Sequence[str] = BHC_LEVELS,
-    map_rows=None, cat_rows=None,
+    map_rows=None, cat_rows=None, keys: bool = False,
 ) -> DataFrame:
     """Habitat-category area per parcel outside the footprint: one column
     per level plus ``na`` (no or unknown category); absent cells 0; parcels
     with no area outside the footprint are not listed."""
     eu = with_categories(with_names(units, map_codes, map_rows), categories, cat_rows)
-    eu = eu.selectExpr("parcel_id", "area_t", "dist_type IS NULL AS outside",
+    eu = eu.selectExpr(*PARCEL_KEY_EXPRS, "area_t", "dist_type IS NULL AS outside",
                        f"coalesce(bhc20, {lit(NA_TEXT)}) AS bhc")
     values = [*levels, NA_TEXT]
-    return to_wide(eu, ["parcel_id"], "bhc", values, "area_t", fill=0.0, convert=lambda c: to_unit(c, unit),
-                   where="outside")
+    w = to_wide(eu, PARCEL_KEYS, "bhc", values, "area_t", fill=0.0, convert=lambda c: to_unit(c, unit),
+                where="outside")
+    return w if keys else w.selectExpr(PARCEL_ID, *[c for c in w.columns if c not in PARCEL_KEYS])
 
 
 def parcel_report(polygons: DataFrame, map_codes, categories, classes=None, unit="ha", map_rows=None, cat_rows=None):
@@ -85,7 +95,7 @@ def parcel_report(polygons: DataFrame, map_codes, categories, classes=None, unit
 
 def parcel_report_from_units(units: DataFrame, map_codes, categories, classes, unit="ha", map_rows=None,
                              cat_rows=None) -> DataFrame:
-    bhc = parcel_habitat(units, map_codes, categories, unit, map_rows=map_rows, cat_rows=cat_rows)
-    area = parcel_area(units, classes, unit, taken=bhc.columns).withColumnRenamed("parcel_id", "__pid")
-    out = bhc.join(area, expr("parcel_id <=> __pid"), "left")
-    return out.drop("__pid")
+    bhc = parcel_habitat(units, map_codes, categories, unit, map_rows=map_rows, cat_rows=cat_rows, keys=True)
+    area = parcel_area(units, classes, unit, taken=bhc.columns, keys=True)
+    out = bhc.join(area, PARCEL_KEYS, "left")  # missing parcel id matches missing, as in the source
+    return out.selectExpr(PARCEL_ID, *[c for c in out.columns if c not in PARCEL_KEYS])

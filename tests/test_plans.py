@@ -152,3 +152,24 @@ def test_area_conservation_scans_once(spark, capsys):
     p = plan(Q["qa_area_conservation"](spark, SF_SMALL), capsys, executed=True)
     final = p.split("== Initial Plan ==")[0]
     assert final.count("FileScan parquet") == 1 and final.count("ReusedExchange [bec_variant") == 3
+
+
+def test_parcel_join_needs_no_extra_exchange_when_not_broadcast(spark, capsys):
+    from ecotally.plans import parcels
+    from ecotally.queries import inputs
+
+    i = inputs(spark, SF_SMALL)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = parcels.parcel_report(i.polygons, i.map_codes, i.categories, classes=["Footprint", "Not footprint"],
+                                   map_rows=10, cat_rows=19)
+        p = plan(df, capsys)
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin [__pkey" in p
+    # one unit shuffle (reused) + one per per-parcel aggregate; nothing added for the join
+    assert p.count("Exchange hashpartitioning") == 3 and "ReusedExchange" in p
+    assert p.count("FileScan parquet") == 1
