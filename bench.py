@@ -1,9 +1,10 @@
 """Benchmark the headline jobs.
 
 Runs each headline query on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1)
-with ``local[$BENCH_CPUS]``: one warm-up pass over all jobs, then per job one
-warm-up and the median of ``$BENCH_REPS`` (default 5) runs, each written in
-full to the ``noop`` sink (plan building included).
+with ``local[$BENCH_CPUS]``: two warm-up passes over all jobs, then
+``$BENCH_REPS`` (default 5) interleaved passes; each job's time is the median
+of its runs, each written in full to the ``noop`` sink (plan building
+included).
 Prints one JSON line.
 """
 
@@ -35,12 +36,14 @@ def main() -> None:
     reps = int(os.environ.get("BENCH_REPS", "5"))
     names = sys.argv[1:] or HEADLINE
     spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus, app="ecotally-bench")
-    for name in names:  # warm the JVM on every job's code paths first
-        run_once(spark, name, sf_dir)
-    times = {}
-    for name in names:
-        run_once(spark, name, sf_dir)  # warm-up
-        times[name] = round(statistics.median(run_once(spark, name, sf_dir) for _ in range(reps)), 4)
+    for _ in range(2):  # warm-up: every job twice, so the JVM has compiled their code paths
+        for name in names:
+            run_once(spark, name, sf_dir)
+    runs = {name: [] for name in names}
+    for _ in range(reps):  # interleaved, so drift of the machine spreads evenly over the jobs
+        for name in names:
+            runs[name].append(run_once(spark, name, sf_dir))
+    times = {name: round(statistics.median(ts), 4) for name, ts in runs.items()}
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({
         "metric": "headline_total_median_sec",
