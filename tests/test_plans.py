@@ -174,3 +174,16 @@ def test_parcel_join_needs_no_extra_exchange_when_not_broadcast(spark, capsys):
     exchanges = [ln for ln in p.splitlines() if "Exchange hashpartitioning" in ln and "ReusedExchange" not in ln]
     assert len(exchanges) == 3 and "ReusedExchange" in p
     assert p.count("FileScan parquet") == 1
+
+
+@pytest.mark.parametrize("name", ["eu_summary_by_zone", "bhc_summary", "mc_report", "parcel_report", "whr_wide",
+                                  "qa_frequencies", "rating_area_all"])
+def test_every_hash_exchange_is_fed_by_a_partial_aggregate(spark, capsys, name):
+    # a hot key (one unit / zone / parcel with a third of all rows) then costs
+    # one row per map task on the wire, not a third of the data in one task
+    lines = plan(Q[name](spark, SF_SMALL), capsys).splitlines()
+    hash_exchanges = [i for i, ln in enumerate(lines) if "Exchange hashpartitioning" in ln and "Reused" not in ln]
+    assert hash_exchanges
+    for i in hash_exchanges:
+        below = lines[i + 1]
+        assert re.search(r"(HashAggregate|SortAggregate)\(keys?=\[[^\]]*\], functions=\[(partial_|\])", below), below
