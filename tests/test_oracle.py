@@ -12,11 +12,13 @@ ORACLE = entry.oracle_sql()
 
 
 def _norm(v):
+    """Exact comparison: the library and the oracle compute every double the
+    same way (exact integer sums, one division), so values must be equal to
+    the last bit."""
     if v is None:
         return (0, "")
-    if isinstance(v, float) or hasattr(v, "as_tuple"):
-        f = float(v)
-        return (1, "nan" if math.isnan(f) else repr(round(f, 6)))
+    if isinstance(v, float):
+        return (1, "nan" if math.isnan(v) else repr(v))
     return (1, str(v))
 
 
