@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, tokens, toxicity
+from . import decontaminate, hmm, langid, mixing, quality, simhash, tokens, toxicity
 from .common import id_remainder, table
 
 
@@ -53,8 +53,20 @@ def op6_token_output(spark, sf_dir):
     return tokens.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_simhash_anchors(spark, sf_dir):
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_hmm_score(spark, sf_dir):
+    """Language-model score of every document, learned from four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return hmm.scored(docs.withColumn("held_out", hmm.held_out()))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_poisson_mix, op3_quality_ledger, op4_language_id, op5_toxicity, op6_token_output,
+    op9_simhash_anchors, op10_hmm_score,
 )}
 
 ORACLE = {"op2_poisson_mix": mixing.SQL, "op3_quality_ledger": quality.SQL}
