@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, langid, mixing, quality, simhash, tokens, toxicity
+from . import decontaminate, hmm, langid, mixing, phrases, quality, simhash, tokens, toxicity
 from .common import id_remainder, table
 
 
@@ -53,6 +53,12 @@ def op6_token_output(spark, sf_dir):
     return tokens.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_repeated_phrases(spark, sf_dir):
+    """Words of each document that no earlier 20-word window covers."""
+    kept = phrases.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_simhash_anchors(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     return simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -66,7 +72,7 @@ def op10_hmm_score(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_poisson_mix, op3_quality_ledger, op4_language_id, op5_toxicity, op6_token_output,
-    op9_simhash_anchors, op10_hmm_score,
+    op7_repeated_phrases, op9_simhash_anchors, op10_hmm_score,
 )}
 
 ORACLE = {"op2_poisson_mix": mixing.SQL, "op3_quality_ledger": quality.SQL}
