@@ -6,9 +6,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, langid, mixing, phrases, quality, simhash, tokens, toxicity
+from . import decontaminate, hmm, langid, mixing, phrases, quality, simhash, surrogates, tokens, toxicity
 from .common import id_remainder, table
 
+#: Key of the registered query; a real run passes its own secret.
+SURROGATE_KEY = "registered-query"
+
 
 def op1_decontamination(spark, sf_dir):
     """Words of documents covered by benchmark windows, and the verdict."""
@@ -59,6 +62,12 @@ def op7_repeated_phrases(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_pii_surrogates(spark, sf_dir):
+    """Documents with personal data replaced by keyed surrogates."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replaced(docs, SURROGATE_KEY).select("doc_id", "text", "n_entities", "entities")
+
+
 def op9_simhash_anchors(spark, sf_dir):
     """Fingerprint and near-duplicate component of every document."""
     return simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -72,7 +81,7 @@ def op10_hmm_score(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_poisson_mix, op3_quality_ledger, op4_language_id, op5_toxicity, op6_token_output,
-    op7_repeated_phrases, op9_simhash_anchors, op10_hmm_score,
+    op7_repeated_phrases, op8_pii_surrogates, op9_simhash_anchors, op10_hmm_score,
 )}
 
 ORACLE = {"op2_poisson_mix": mixing.SQL, "op3_quality_ledger": quality.SQL}
