@@ -244,7 +244,7 @@ def expected_counts(model: dict, seqs):
 def updated(model: dict, first, moves, emissions) -> dict:
     """Model of the expected counts, smoothed so that nothing has chance 0."""
     first, moves = first + 0.1, moves + 0.1
-    emissions = emissions + 20 * model["prior"]
+    emissions = emissions + 400 * model["prior"]
     return {"first": first / first.sum(), "move": moves / moves.sum(axis=1, keepdims=True),
             "emit": emissions / emissions.sum(axis=1, keepdims=True), "prior": model["prior"]}
 
