@@ -21,13 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import plain_words, scratch
+from .common import LOWER_BYTES, plain_words, scratch
 
 END_ID = 2
 ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
-#: Encoded words that a task remembers; full, it starts anew.
-REMEMBERED = 400_000
+#: Encoded words that a Python worker remembers; full, it starts anew.
+REMEMBERED = 600_000
+#: Marks that may follow a word's letters and are encoded by themselves.
+MARKS = b".,:;!?"
 
 SCHEMA = "{id} {id_type}, part int, offset long, n_tokens long, ids array<int>"
 
@@ -42,28 +44,81 @@ def encoder(path: str | None = None, end_id: int = END_ID):
     """A function from a text to its ids as little-endian 32-bit bytes.
 
     The vocabulary drops white space and never joins across it, so a text's
-    ids are those of its blank-separated words in turn; each word is encoded
-    once and remembered."""
+    ids are those of its words in turn; each word is encoded once and
+    remembered.  A new word of letters a-z and plain closing marks is taken
+    apart, because the vocabulary lower-cases and encodes marks apart from
+    letters: "The," is "the" and ",".  Such letter runs are encoded together,
+    one token sequence for each that ends in a token with a word end; all
+    other words one by one."""
+    import os  # noqa: PLC0415
+    import re  # noqa: PLC0415
+    import sys  # noqa: PLC0415
+
     import numpy as np  # noqa: PLC0415
     from tokenizers import Tokenizer  # noqa: PLC0415
 
-    tok = Tokenizer.from_file(path or tokenizer_path())
-    known: dict[bytes, bytes] = {}
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
+    # a Python worker keeps what it has encoded for its later tasks
+    path = path or tokenizer_path()
+    tok, known, parts = sys.__dict__.setdefault("_encoded_words", {}).setdefault(path, (Tokenizer.from_file(path), {}, {b"": b""}))
+    ends = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
+    ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
+    # letters of one case-less shape: a-z, and the two-byte letters from U+00E0 on that have no further lower case
+    letters = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
     end = np.array([end_id], "<u4").tobytes()
 
-    def encode(text: str | None) -> bytes:
-        words = plain_words(text)
-        if new := {w for w in words if w not in known}:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = set(words)
-            new = list(new)
-            encoded = tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, encoded):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([*map(known.__getitem__, words), end])
-
-    return encode
+    def one_by_one(words):
+        some = tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in some]
+
+    def learn(words: set[bytes]) -> None:
+        later, odd, new = [], [], set()
+        for w in words:
+            x = w.translate(LOWER_BYTES)
+            y = x.rstrip(MARKS)
+            z = x[len(y):]
+            if y in parts and z in parts:
+                known[w] = parts[y] + parts[z] if z else parts[y]
+            elif letters(y):
+                later.append((w, y, z))
+                new.add(y)
+                new.add(z)
+            else:
+                odd.append(w)
+        new = [x for x in new if x not in parts]
+        runs = [x for x in new if x[0] >= 0x61]
+        marks = [x for x in new if x[0] < 0x61]
+        if runs:
+            ids = np.array(tok.encode_batch_fast([b" ".join(runs).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ends[ids]) + 1
+            if len(cuts) == len(runs) and cuts[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for x, c in zip(runs, (4 * cuts).tolist()):
+                    parts[x] = raw[at:c]
+                    at = c
+            else:
+                parts.update(zip(runs, one_by_one(runs)))
+        if marks:
+            parts.update(zip(marks, one_by_one(marks)))
+        if odd:
+            known.update(zip(odd, one_by_one(odd)))
+        for w, y, z in later:
+            known[w] = parts[y] + parts[z] if z else parts[y]
+
+    def encode_all(texts: list) -> list[bytes]:
+        lists = [plain_words(t) for t in texts]
+        some = set().union(*lists)
+        new = some.difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = some
+            if len(parts) > REMEMBERED:
+                parts.clear()
+                parts[b""] = b""
+        learn(new)
+        return [b"".join([*map(known.__getitem__, words), end]) for words in lists]
+
+    return encode_all
 
 
 def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
@@ -88,7 +143,7 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 b = batch.slice(lo, 256)
-                blobs = [encode(t) for t in b.column(1).to_pylist()]
+                blobs = encode(b.column(1).to_pylist())
                 counts = np.array([len(x) // 4 for x in blobs], np.int64)
                 starts = np.concatenate([[0], np.cumsum(counts)])
                 ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
