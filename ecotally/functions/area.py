@@ -4,11 +4,14 @@ A component's area is ``share/10 * polygon area``.  The library carries the
 undivided product ``area_t = area_u * share``, where ``area_u`` is the
 polygon area in hundredths of a square metre:
 
-* from a fixed-point source with at most two decimals (``decimal(p, s<=2)``)
-  ``area_u`` is an exact BIGINT, so every sum of ``area_t`` is exact in any
-  order and runs as plain long arithmetic (Spark sums of wide decimals go
-  through BigDecimal and byte buffers per row);
-* from any other source it is a double.
+* from a fixed-point source with at most two decimals and 15 whole digits
+  (``decimal(p, s<=2)``) ``area_u`` is an exact BIGINT that leaves room for
+  the share, so every sum of ``area_t`` is exact in any order and runs as
+  plain long arithmetic (Spark sums of wide decimals go through BigDecimal
+  and byte buffers per row); totals are split sums (``nulls.total``);
+* from any other fixed-point source it is an exact DECIMAL(38, 6);
+* from any other source it is a double; sums of doubles depend on their
+  order in the last digits unless every value is a multiple of a power of two.
 
 The single division happens at the report edge (``to_unit``).
 """
@@ -26,12 +29,14 @@ SHARE_DENOMINATOR = 10  # shares are in tenths
 
 
 def area_units(df: DataFrame, area: str = "area") -> str:
-    """``area_u``: the polygon area in 1/100 m2 — exact BIGINT for a
-    fixed-point area with at most two decimals, double otherwise."""
+    """``area_u``: the polygon area in 1/100 m2 — exact BIGINT or DECIMAL for a
+    fixed-point area, double otherwise."""
     dtype = dict(df.dtypes)[area]
     m = re.fullmatch(r"decimal\((\d+),(\d+)\)", dtype)
-    if m and int(m.group(2)) <= 2 and int(m.group(1)) - int(m.group(2)) <= 16:
+    if m and int(m.group(2)) <= 2 and int(m.group(1)) - int(m.group(2)) <= 15:
         return f"CAST({area} * {AREA_UNITS_PER_M2} AS BIGINT)"
+    if m:
+        return f"CAST({area} * {AREA_UNITS_PER_M2} AS DECIMAL(38, 6))"
     return f"CAST({area} AS DOUBLE) * {float(AREA_UNITS_PER_M2)!r}D"
 
 

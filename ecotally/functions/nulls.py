@@ -42,10 +42,28 @@ def ident(name: str) -> str:
     return name if name.replace("_", "").isalnum() and not name[0].isdigit() else "`" + name.replace("`", "``") + "`"
 
 
-def strict_sum(x: str) -> str:
-    """Sum that is missing when any input is missing (R ``sum`` without
+#: Part size of a split BIGINT sum: both parts of a sum of 10^12 values stay far from the BIGINT limit.
+SUM_PART = 1_000_000
+
+
+def total(x: str, dtype: str = "bigint") -> str:
+    """Sum of ``x``.  A BIGINT is summed in two BIGINT parts (millions and the
+    rest) that are joined as ``DECIMAL(38,0)`` after the sums, so totals
+    beyond 9.2e18 stay exact at the speed of long arithmetic."""
+    if dtype != "bigint":
+        return f"sum({x})"
+    return f"(CAST(sum({x} div {SUM_PART}) AS DECIMAL(31,0)) * {SUM_PART} + sum({x} % {SUM_PART}))"
+
+
+def strict_sum(x: str, dtype: str = "bigint") -> str:
+    """``total`` that is missing when any input is missing (R ``sum`` without
     ``na.rm``): one aggregate, partial before the shuffle."""
-    return f"CASE WHEN count({x}) = count(1) THEN sum({x}) END"
+    return f"CASE WHEN count({x}) = count(1) THEN {total(x, dtype)} END"
+
+
+def type_of(df, x: str) -> str:
+    """SQL type of a column, which decides how it is summed."""
+    return dict(df.dtypes)[x]
 
 
 def text_or_na(x: str) -> str:

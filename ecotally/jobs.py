@@ -25,10 +25,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.area import to_unit
+from .operators.aggregate import crosstabs
 from .operators.project import canonicalise
 from .plans import ecosystems as eco
 from .plans import parcels, qa, ratings
-from .schema import MARL_FEN, SOURCES
+from .schema import DISPLAY_NAMES, MARL_FEN, RATING_KEY_PARTS, RATING_KEY_PARTS_SITE, SOURCES, ZONE_LABELS
 from .sources import files
 
 
@@ -54,8 +55,8 @@ def read_sheet(spark: SparkSession, path: str | None, skip: int = 0) -> DataFram
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """Mark a unit-level aggregate that several reports of a job read (bounded
-    by the code lists, never by the polygons): Spark keeps it after the first
+    """Mark a unit-level aggregate that several reports of a job read (one row
+    per unit, or per unit and parcel): Spark keeps it after the first
     report computes it (memory, then disk; lost parts are recomputed from
     lineage), so the polygons are scanned once per job.  ``write_reports``
     releases it."""
@@ -94,35 +95,36 @@ def crosswalk_job(polygons, xwalk, map_codes, categories, unit="ha") -> dict[str
 
 def parcels_job(polygons, map_codes, categories, classes: Sequence[str] | None = None, unit="ha"):
     units = shared(parcels.parcel_units(polygons))
-    classes = classes or parcels.footprint_classes(polygons)
+    classes = classes or parcels.footprint_classes(units)
     return {
         "parcel_area": parcels.parcel_area(units, classes, unit),
         "parcel_habitat": parcels.parcel_report_from_units(units, map_codes, categories, classes, unit),
     }
 
 
-def rate_job(polygons, rating_sheet, value=ratings.RATING_VALUE, materialise: bool = True) -> dict[str, DataFrame]:
-    """Six reports from the component rows: these are written once as a
-    table in the shared folder (one scan of the polygons), the ratings join
-    onto it by broadcast, and every report reads it."""
-    parts = ratings.key_parts(polygons)
+def rate_job(polygons, rating_sheet, value=ratings.RATING_VALUE) -> dict[str, DataFrame]:
+    """The rating reports on the ten-part key.  Rows per component and per
+    polygon come straight from the polygons; the area reports and control
+    totals share one aggregate per key and component."""
+    parts = RATING_KEY_PARTS
     comps = ratings.rating_components(polygons, parts)
-    if materialise:
-        comps = files.materialise(comps, "rating-components")
     rated = ratings.rate(comps, rating_sheet, parts, value=value)
+    units = shared(ratings.rating_units(comps, parts))
+    rated_units = ratings.rate(units, rating_sheet, parts, value=value)
     return {
         "rated": ratings.rated_rows(rated),
         "rating_by_polygon": ratings.rating_wide(rated),
-        "unmatched": ratings.unmatched(rated, parts),
-        "area_by_rating": ratings.rating_area(rated),
-        "area_by_rating_first": ratings.rating_area(rated, first_only=True),
-        "ecosystem_list": ratings.ecosystem_list(comps, parts),
+        "unmatched": ratings.unmatched(rated_units, parts),
+        "area_by_rating": ratings.rating_area(rated_units),
+        "area_by_rating_first": ratings.rating_area(rated_units, first_only=True),
+        "ecosystem_list": ratings.ecosystem_list(units, parts),
+        "control_totals": qa.rating_conservation(units, rated_units),
     }
 
 
 def whi_job(polygons, rating_sheet, map_codes, value=ratings.RATING_VALUE, eu_unit="ha") -> dict[str, DataFrame]:
-    parts = ratings.key_parts(polygons)
-    first = ratings.first_component_rating(polygons, rating_sheet, parts, value=value)
+    """First-component rating on the eleven-part key (with the site series)."""
+    first = ratings.first_component_rating(polygons, rating_sheet, RATING_KEY_PARTS_SITE, value=value)
     eu = eco.eu_summary(eco.components(polygons, drop_empty=False), map_codes)
     return {"first_component_rating": first, "eu_summary": eco.eu_report(eu, unit=eu_unit)}
 
@@ -130,21 +132,40 @@ def whi_job(polygons, rating_sheet, map_codes, value=ratings.RATING_VALUE, eu_un
 def qa_job(polygons) -> dict[str, DataFrame]:
     return {
         "frequencies": qa.code_frequencies(polygons, qa.QA_ALL_FIELDS),
-        "zone_crosstab": qa.zone_crosstab(polygons),
-        **{f"crosstab_{k}": v for k, v in qa.component_crosstabs(polygons).items()},
+        "zone_crosstab": crosstabs(polygons, [("bgc_zone", "bgc_subzon")]),
+        "component_crosstabs": qa.component_crosstabs(polygons),
         "total_area": qa.total_area(polygons),
         "share_sums": qa.share_sums(polygons),
     }
 
 
+def df_labels(df: DataFrame) -> dict[str, str]:
+    """Printed headers of columns made of category values: the values
+    themselves, kept in the columns' metadata."""
+    return {f.name: f.metadata["label"] for f in df.schema.fields if f.metadata and "label" in f.metadata}
+
+
+def with_display_names(df: DataFrame) -> DataFrame:
+    """Report columns under their printed headers."""
+    names = {**DISPLAY_NAMES, **ZONE_LABELS, **df_labels(df)}
+    out, seen = [], set()
+    for c in df.columns:
+        label = names.get(c, c)
+        label = c if label.lower() in seen else label  # a sheet can't hold two headers of one name
+        seen.add(label.lower())
+        out.append(label)
+    return df.toDF(*out)
+
+
 def write_reports(reports: dict[str, DataFrame], out: str, fmt: str = "csv") -> list[str]:
-    """Write every report, then release the job's shared aggregates."""
+    """Write every report (CSV under its printed headers), then release the
+    job's shared aggregates."""
     paths = []
     try:
         for name, df in reports.items():
             path = f"{out.rstrip('/')}/{name}"
             if fmt == "csv":
-                files.write_csv(df, path, mode="overwrite")
+                files.write_csv(with_display_names(df), path, mode="overwrite")
             else:
                 df.write.mode("overwrite").parquet(path)
             paths.append(path)

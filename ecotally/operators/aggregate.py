@@ -7,17 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import expr, ident, lit, strict_sum
+from ..functions.nulls import expr, ident, lit, strict_sum, type_of
 from .reshape import column_names
 
-# Largest number of distinct categories a discovered pivot may produce.
-MAX_PIVOT_VALUES = 1000
-
 
 def group_area(df: DataFrame, keys: Sequence[str], value: str = "area_t", out: str = "area_t", count: str | None = "n") -> DataFrame:
     """Strict area sum per group (partial aggregate before the shuffle, so a
     hot group costs one row per map task on the wire)."""
-    aggs = [expr(f"{strict_sum(value)} AS {out}")]
+    aggs = [expr(f"{strict_sum(value, type_of(df, value))} AS {out}")]
     if count:
         aggs.append(expr(f"count(1) AS {count}"))
     return df.groupBy(*keys).agg(*aggs)
@@ -33,17 +30,28 @@ def frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.filter("value IS NOT NULL").groupBy("column", "value").agg(expr("count(1) AS n"))
 
 
-def distinct_values(df: DataFrame, col: str, max_values: int = MAX_PIVOT_VALUES) -> list:
-    """Sorted distinct non-missing values of a category column, bounded."""
-    rows = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"{col} has more than {max_values} distinct values; give them explicitly")
-    return sorted(r[0] for r in rows)
+def distinct_values(df: DataFrame, col: str) -> list:
+    """Sorted distinct non-missing values of a category column.  They become
+    columns, so the caller has them on the driver: use it on code columns."""
+    return sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())
+
+
+def crosstabs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Two-way count tables of many column pairs in one pass and in long form:
+    (table, row, col, n).  Rows missing either variable are not counted; a
+    pair of values never seen has no row (its count is 0).  Any number of
+    distinct values."""
+    cells = ", ".join(
+        f"named_struct('table', {lit(f'{a}_x_{b}')}, 'row', CAST({ident(a)} AS STRING), 'col', CAST({ident(b)} AS STRING))"
+        for a, b in pairs)
+    long = df.selectExpr(f"inline(array({cells}))").filter("`row` IS NOT NULL AND `col` IS NOT NULL")
+    return long.groupBy("table", "row", "col").agg(expr("count(1) AS n"))
 
 
 def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str] | None = None) -> DataFrame:
     """Two-way count table: rows missing either variable are not counted;
-    pairs never seen show 0 (``table(a, b)``)."""
+    pairs never seen show 0 (``table(a, b)``).  One column per value of
+    ``col``, so its ``values`` are asked for first when not given."""
     both = df.filter(f"{ident(row)} IS NOT NULL AND {ident(col)} IS NOT NULL")
     if values is None:
         values = distinct_values(both, col)
@@ -52,4 +60,3 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str] | None = N
     names = column_names(values, taken=[row])
     aggs = [expr(f"count(CASE WHEN {ident(col)} = {lit(v)} THEN 1 END) AS {ident(n)}") for v, n in zip(values, names)]
     return both.groupBy(row).agg(*aggs)
-

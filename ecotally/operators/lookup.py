@@ -1,10 +1,11 @@
 """Left lookups against reference sheets.
 
-A lookup side is broadcast only when its size is *proven* small: either the
-caller states its row count (a fixed sheet), or a bounded count
-(``limit(max+1).count()``) shows it is under the bound.  Above the bound the
-join is a shuffled join whose hot keys are split: by AQE's skew-join
-handling when the session has it on, else by salting.
+A lookup side is broadcast only when its size is *shown* to be small: by the
+planner's own size of a table that is read or given (no job), or else by
+measuring it, at most ``max_rows + 1`` rows, in rows and bytes.  A row count
+stated by the caller can only rule a broadcast out.  Above the bound the join
+is a shuffled join whose hot keys are split: by AQE's skew-join handling when
+the session has it on, else by salting.
 """
 
 from __future__ import annotations
@@ -16,21 +17,44 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import expr, ident
 
-# Largest lookup (rows) that is broadcast; lookup rows are a few short text
-# columns, so this keeps the broadcast under a few tens of MB.
+# Largest lookup that is broadcast, in rows and in bytes of its values.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 32 << 20
+# Planned size below which a lookup is taken as small without measuring it:
+# files are compressed, so far below the bound.
+PLANNED_MAX_BYTES = 1 << 20
 # Salt buckets for a shuffled lookup when AQE skew splitting is off.
 SALT_BUCKETS = 16
 
 
-def bounded_rows(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> int:
-    """Row count of ``table``, but reading at most ``max_rows + 1`` rows."""
-    return table.limit(max_rows + 1).count()
+def planned_bytes(table: DataFrame) -> int | None:
+    """The planner's size of ``table``, where it bounds the rows from above:
+    a scan or given rows with filters and projections on top."""
+    plan = table._jdf.queryExecution().optimizedPlan()
+    if any(name in plan.toString() for name in ("Generate", "Expand", "Join", "Union", "Aggregate", "Range")):
+        return None
+    return int(plan.stats().sizeInBytes())
 
 
-def fits_broadcast(table: DataFrame, table_rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    n = table_rows if table_rows is not None else bounded_rows(table, max_rows)
-    return n <= max_rows
+def measured(table: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[int, int]:
+    """(rows, bytes) of ``table``, reading at most ``max_rows + 1`` rows."""
+    size = " + ".join(f"coalesce(octet_length(CAST({ident(c)} AS STRING)), 0) + 8" for c in table.columns)
+    n, b = table.limit(max_rows + 1).agg(expr("count(1)"), expr(f"coalesce(sum(CAST({size} AS BIGINT)), 0)")).first()
+    return n, b
+
+
+def fits_broadcast(table: DataFrame, table_rows: int | None = None, max_rows: int = BROADCAST_MAX_ROWS,
+                   max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Whether ``table`` is small enough to be sent to every executor.
+    ``table_rows`` above the bound answers at once; below, it proves nothing."""
+    if table_rows is not None and table_rows > max_rows:
+        return False
+    if max_rows >= BROADCAST_MAX_ROWS and max_bytes >= BROADCAST_MAX_BYTES:
+        planned = planned_bytes(table)
+        if planned is not None and planned <= PLANNED_MAX_BYTES:
+            return True
+    n, b = measured(table, max_rows)
+    return n <= max_rows and b <= max_bytes
 
 
 def _skew_split_on(spark) -> bool:
@@ -47,6 +71,7 @@ def lookup(
     table_rows: int | None = None,
     how: str = "left",
     max_rows: int = BROADCAST_MAX_ROWS,
+    max_bytes: int = BROADCAST_MAX_BYTES,
     unique: bool = False,
     salt: int | None = None,
 ) -> DataFrame:
@@ -76,7 +101,7 @@ def lookup(
     right = table.selectExpr(*[f"{ident(r)} AS {renamed[r]}" for r in renamed], *[ident(c) for c in keep])
     op = "<=>" if null_safe else "="
     cond = " AND ".join(f"{ident(l)} {op} {renamed[r]}" for l, r in pairs)
-    if fits_broadcast(right, table_rows, max_rows):
+    if fits_broadcast(right, table_rows, max_rows, max_bytes):
         return df.join(F.broadcast(right), expr(cond), how).drop(*renamed.values())
     if salt is None:
         salt = 0 if _skew_split_on(df.sparkSession) else SALT_BUCKETS

@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.nulls import ident, lit
+from ..functions.nulls import expr, ident, lit, total, type_of
 from ..schema import COMPONENTS, wide
 
 DECILE_TAGS = ("Decile1", "Decile2", "Decile3")
@@ -78,6 +78,14 @@ def column_names(values: Sequence[str], taken: Sequence[str] = ()) -> list[str]:
     return out
 
 
+def labelled(df: DataFrame, names: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """``df`` whose columns ``names`` carry the category values they stand for
+    as metadata (``label``), for the header of an export."""
+    for name, label in zip(names, labels):
+        df = df.withMetadata(name, {"label": str(label)})
+    return df
+
+
 def wide_cells(
     names_from: str,
     values: Sequence[str],
@@ -86,6 +94,7 @@ def wide_cells(
     fill=None,
     convert: Callable[[str], str] | None = None,
     where: str | None = None,
+    dtype: str = "bigint",
 ) -> list[str]:
     """Aggregate expressions, one per category: strict sum of ``value`` over
     the rows of that category (and ``where``), converted, ``fill`` where
@@ -95,8 +104,8 @@ def wide_cells(
     for v, name in zip(values, names):
         hit = f"{ident(names_from)} = {lit(v)}" + (f" AND ({where})" if where else "")
         n_rows = f"count(CASE WHEN {hit} THEN 1 END)"
-        total = f"sum(CASE WHEN {hit} THEN {value} END)"
-        cell = f"CASE WHEN {n_rows} = count(CASE WHEN {hit} THEN {value} END) THEN {total} END"
+        area = total(f"CASE WHEN {hit} THEN {value} END", dtype)
+        cell = f"CASE WHEN {n_rows} = count(CASE WHEN {hit} THEN {value} END) THEN {area} END"
         if convert is not None:
             cell = convert(cell)
         if fill is not None:
@@ -125,13 +134,15 @@ def to_wide(
     input plan stays identical to other consumers of ``df`` and Spark can
     reuse its exchange).
     """
-    cells = wide_cells(names_from, values, value, names, fill, convert, where)
-    keys = ", ".join(ident(i) for i in ids)
-    having = f" HAVING count(CASE WHEN {where} THEN 1 END) > 0" if where else ""
-    return df.sparkSession.sql(
-        f"SELECT {keys}, {', '.join(cells)} FROM {{src}} GROUP BY {keys}{having}", src=df)
+    cells = [expr(c) for c in wide_cells(names_from, values, value, names, fill, convert, where, type_of(df, value))]
+    if where:
+        cells.append(expr(f"count(CASE WHEN {where} THEN 1 END) AS __n_where"))
+    if not cells:  # no category at all: the keys alone
+        return df.select(*ids).distinct()
+    wide_rows = df.groupBy(*ids).agg(*cells)
+    return wide_rows.filter("__n_where > 0").drop("__n_where") if where else wide_rows
 
 
 def row_total(cols: Sequence[str]) -> str:
-    """Row-wise sum with ``+``: missing when any part is missing."""
-    return " + ".join(ident(c) for c in cols)
+    """Row-wise sum with ``+``: missing when any part is missing; 0 of none."""
+    return " + ".join(ident(c) for c in cols) or "0.0D"

@@ -9,8 +9,18 @@ concatenation, ``COALESCE(x,'NA')`` for ``NA`` pieces.
 
 from __future__ import annotations
 
-from .schema import BHC_LEVELS, ZONE_COLUMNS
-from .sources.fixture import duckdb_ctes
+from .sources.fixture import TEM_SQL, duckdb_ctes
+
+# Fixed values, stated here apart from the library's own lists: habitat
+# categories in report order, and the zones with their report columns.
+BHC_LEVELS = (
+    "CMF", "CYF", "CSH", "DMF", "DYF", "DSH", "RMF", "RYF", "RSH", "FBS", "FBT", "WRI", "WSH", "WGR", "DSS", "DSG",
+    "CUL", "NVE", "ANT", "WAT",
+)
+ZONE_COLUMNS = (
+    ("Dam", "dam"), ("Reservoir", "reservoir"), ("Transmission Line ROW", "tl"), ("Hwy 29", "hwy_29"),
+    ("Road", "road"), ("Quarry", "quarry"), ("Erosion Impact Area", "erosion_impact"),
+)
 
 
 def _tags(kind: str) -> tuple[str, str, str]:
@@ -111,8 +121,12 @@ def split_cols(expr: str, names=RATING_PART_NAMES, na_to_null: bool = False) ->
     return ", ".join(out)
 
 
-def wide_key(n: int) -> str:
-    return ukey(f"ECO_SEC,BGC_ZONE,BGC_SUBZON,BGC_VRT,SITEMC_S{n},SITE_M{n}A,SITE_M{n}B,STRCT_S{n},STRCT_M{n},SERAL_{n}")
+RKEY_SITE = ukey("ECO_SEC,BGC_ZONE,BGC_SUBZON,BGC_VRT,SITE_S,SITEMC_S,SITE_MA,SITE_MB,STRCT_S,STRCT_M,SERAL")
+
+
+def wide_key(n: int, site: bool = False) -> str:
+    series = f"SITE_S{n}," if site else ""
+    return ukey(f"ECO_SEC,BGC_ZONE,BGC_SUBZON,BGC_VRT,{series}SITEMC_S{n},SITE_M{n}A,SITE_M{n}B,STRCT_S{n},STRCT_M{n},SERAL_{n}")
 
 
 ZONE_CELLS = ", ".join(
@@ -162,7 +176,7 @@ CANON_POLY = (
     " Location AS location, ECO_SEC AS eco_sec, BGC_ZONE AS bgc_zone, BGC_SUBZON AS bgc_subzon,"
     " BGC_VRT AS bgc_vrt, AREA AS area, "
     + ", ".join(
-        f"SDEC_{n} AS sdec_{n}, SITEMC_S{n} AS sitemc_{n}, SITE_M{n}A AS site_ma_{n}, SITE_M{n}B AS site_mb_{n},"
+        f"SDEC_{n} AS sdec_{n}, SITE_S{n} AS site_{n}, SITEMC_S{n} AS sitemc_{n}, SITE_M{n}A AS site_ma_{n}, SITE_M{n}B AS site_mb_{n},"
         f" STRCT_S{n} AS strct_{n}, STRCT_M{n} AS strct_m_{n}, SERAL_{n} AS seral_{n}"
         for n in (1, 2, 3)
     )
@@ -280,7 +294,7 @@ ORACLE: dict[str, str] = {
         " LEFT JOIN rtab r ON k.eco = r.reco", *RATED_BASE[:3]),
     "whr_rate": sql(f"SELECT fid, decile, eco, {to_unit('area_t', 'm2')} AS area, rating FROM rated", *RATED_BASE),
     "whr_rate_revised": sql(f"SELECT fid, decile, eco, {to_unit('area_t', 'm2')} AS area, rating FROM rated",
-                            *RATED_BASE),
+                            *[c.replace("FROM ratings)", "FROM ratings_revised)") for c in RATED_BASE]),
     "whr_wide": sql(
         "SELECT fid, MAX(rating) FILTER (WHERE decile = '1') AS decile_1, MAX(rating) FILTER (WHERE decile = '2')"
         " AS decile_2, MAX(rating) FILTER (WHERE decile = '3') AS decile_3 FROM rated GROUP BY fid", *RATED_BASE),
@@ -298,9 +312,9 @@ ORACLE: dict[str, str] = {
         f"SELECT w.cem_ecp, w.eco_1, r.rating FROM (SELECT CEM_ECP AS cem_ecp, {wide_key(1)} AS eco_1 FROM polygons) w"
         " LEFT JOIN rtab r ON w.eco_1 = r.reco", f"rtab AS (SELECT {RKEY} AS reco, BSEOW_LI AS rating FROM ratings)"),
     "whi_first_component": sql(
-        f"SELECT w.cem_ecp, w.eco_1, w.eco_2, w.eco_3, r.rating FROM (SELECT CEM_ECP AS cem_ecp, {wide_key(1)} AS eco_1,"
-        f" {wide_key(2)} AS eco_2, {wide_key(3)} AS eco_3 FROM rpoly) w LEFT JOIN rtab r ON w.eco_1 = r.reco",
-        f"rtab AS (SELECT {RKEY} AS reco, BSEOW_LI AS rating FROM ratings)",
+        f"SELECT w.cem_ecp, w.eco_1, w.eco_2, w.eco_3, r.rating FROM (SELECT CEM_ECP AS cem_ecp, {wide_key(1, True)} AS eco_1,"
+        f" {wide_key(2, True)} AS eco_2, {wide_key(3, True)} AS eco_3 FROM rpoly) w LEFT JOIN rtab r ON w.eco_1 = r.reco",
+        f"rtab AS (SELECT {RKEY_SITE} AS reco, BSEOW_LI AS rating FROM ratings)",
         "rpoly AS (SELECT * REPLACE ("
         " CASE WHEN STRCT_M1 = 'i' THEN '' WHEN STRCT_M1 = 's' THEN '' ELSE STRCT_M1 END AS STRCT_M1,"
         " CASE WHEN STRCT_M3 = '3' THEN NULL ELSE STRCT_M3 END AS STRCT_M3,"
@@ -329,13 +343,35 @@ ORACLE: dict[str, str] = {
     "src_typed_csv": sql(
         "SELECT CAST(FID AS VARCHAR) AS fid, cem_ecp, parcel_id, paz, dist_type, location, eco_sec, bgc_zone,"
         " bgc_subzon, bgc_vrt, CAST(area AS DOUBLE) AS area, "
-        + ", ".join(f"sdec_{n}, sitemc_{n}, site_ma_{n}, site_mb_{n}, strct_{n}, strct_m_{n}, seral_{n}"
+        + ", ".join(f"sdec_{n}, site_{n}, sitemc_{n}, site_ma_{n}, site_mb_{n}, strct_{n}, strct_m_{n}, seral_{n}"
                     for n in (1, 2, 3)) + " FROM (SELECT " + CANON_POLY + " FROM polygons)"),
     "snk_csv_roundtrip": sql(
         "SELECT bec_variant, ecosystem, site_series_name, type, strct, NULLIF(structural_class, 'NA') AS structural_class,"
-        f" CAST(CAST({to_unit('area_t', 'm2')} AS DECIMAL(28,6)) AS VARCHAR) AS total_area FROM eun", *EU_ALL),
+        f" {to_unit('area_t', 'ha')} AS total_area FROM eun", *EU_ALL),
     "src_header_offset": sql(
         "SELECT paz, bec_variant, ecosystem, site_series_name, type, strct, NULLIF(structural_class, 'NA')"
-        f" AS structural_class, CAST(CAST({to_unit('area_t', 'm2')} AS DECIMAL(28,6)) AS VARCHAR) AS total_area"
-        " FROM eun", *EU_ZONE),
+        f" AS structural_class, {to_unit('area_t', 'm2')} AS total_area FROM eun", *EU_ZONE),
+    "qa_component_crosstabs": sql(" UNION ALL ".join(
+        f"SELECT '{a}_x_{b}' AS \"table\", {a} AS \"row\", {b} AS col, COUNT(*) AS n FROM cpoly"
+        f" WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}"
+        for x, y in (("sitemc", "seral"), ("strct", "strct_m")) for a, b in ((f"{x}_{n}", f"{y}_{n}") for n in (1, 2, 3))),
+        f"cpoly AS (SELECT {CANON_POLY} FROM polygons)"),
+    "qa_rating_conservation": sql(" UNION ALL ".join(
+        f"SELECT '{s}' AS stage, {to_unit(STRICT_T, 'm2')} AS total_area, {to_unit('SUM(area_t)', 'm2')} AS total_area_known,"
+        f" COUNT(*) FILTER (WHERE area_t IS NULL) AS n_missing FROM {t}"
+        for s, t in (("components", "keyed WHERE area_t > 0"), ("ecosystem_list", "keyed WHERE area_t > 0"), ("rated", "rated"))),
+        *RATED_BASE),
+    "jn_lookup_shuffled": sql("SELECT p.FID AS fid, p.CEM_ECP AS cem_ecp, t.p_brand, t.p_size FROM polygons p"
+                              " LEFT JOIN part t ON p.CEM_ECP = CAST(t.p_partkey AS VARCHAR)"),
+    "eu_area_double": sql(
+        "SELECT bgc_zone || bgc_subzon || bgc_vrt AS bec_variant, ecosystem, strct,"
+        " CASE WHEN COUNT(a) = COUNT(*) THEN SUM(a) END / 1000 AS total_area, COUNT(*) AS n FROM"
+        f" (SELECT *, {LABEL} AS ecosystem, CAST(FLOOR(area * 4) AS DOUBLE) / 4 * 100 * sdec AS a FROM deciles)"
+        " GROUP BY bgc_zone || bgc_subzon || bgc_vrt, ecosystem, strct", comp_cte(), DECILES),
+    "bhc_crosswalked_tem": sql(
+        BHC_ROLLUP, "tem AS (" + TEM_SQL.replace("{polygons}", "polygons") + ")",
+        "deciles AS (SELECT * FROM (" + " UNION ALL ".join(
+            f"SELECT Bgc_Zone AS bgc_zone, Bgc_Subzon AS bgc_subzon, SiteMC_S{n} AS sitemc, Strct_S{n} AS strct, Seral_{n} AS seral,"
+            f" CAST(Area_ha * 1000000 AS BIGINT) * Sdec_{n} AS area_t FROM tem" for n in (1, 2, 3)) + ") WHERE sitemc IS NOT NULL)",
+        *XWALK[2:], *eu_ctes(src="xd", bec="bgc_zone || bgc_subzon", eco="sitemc")),
 }

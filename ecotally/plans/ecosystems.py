@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from ..functions.area import apportion, to_unit, with_area_units
 from ..functions.classify import after_class, as_level, level_position, structural_class
 from ..functions.keys import bec_variant, ecosystem_label, ecosystem_unit, lookup_unit_key, unit_key
-from ..functions.nulls import expr, ident, lit, not_in_keep_missing, strict_sum
+from ..functions.nulls import expr, ident, lit, not_in_keep_missing, strict_sum, type_of
 from ..operators.aggregate import group_area
 from ..operators.lookup import crosswalk, lookup
 from ..operators.reshape import to_long, to_wide
@@ -112,7 +112,8 @@ def with_categories(eu: DataFrame, categories: DataFrame, rows: int | None = Non
 
 def bhc_summary(eu_cat: DataFrame, by: Sequence[str] = (), unit: str = "ha", order: bool = True) -> DataFrame:
     """Area per habitat category, categories in level order, missing last."""
-    g = eu_cat.groupBy(*by, "bhc20", "bhc_level").agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS total_area"))
+    area = strict_sum("area_t", type_of(eu_cat, "area_t"))
+    g = eu_cat.groupBy(*by, "bhc20", "bhc_level").agg(expr(f"{to_unit(area, unit)} AS total_area"))
     if order:
         g = g.orderBy(*_key_order([*by, "bhc_level"]))
     return g.select(*by, "bhc20", "total_area")
@@ -142,7 +143,8 @@ def eu_after(eu_zone: DataFrame, unit: str = "m2", order: bool = True) -> DataFr
     """After-construction area by type and class (natural types only)."""
     e = eu_zone.selectExpr("type", "area_t", f"{after_class()} AS structural_class_after")
     e = e.filter(f"{not_in_keep_missing('type', AFTER_EXCLUDED_TYPES)} AND structural_class_after <> {lit(AFTER_LOST)}")
-    g = e.groupBy("type", "structural_class_after").agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS total_area"))
+    area = strict_sum("area_t", type_of(e, "area_t"))
+    g = e.groupBy("type", "structural_class_after").agg(expr(f"{to_unit(area, unit)} AS total_area"))
     return g.orderBy(*_key_order(["type", "structural_class_after"])) if order else g
 
 

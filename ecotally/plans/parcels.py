@@ -18,10 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..functions.area import to_unit
-from ..functions.nulls import lit
+from ..functions.nulls import ident, lit
 from ..operators.aggregate import distinct_values
-from ..operators.reshape import column_names, row_total, to_wide
-from ..schema import BHC_LEVELS, COMPONENTS, NA_TEXT, NOT_FOOTPRINT, wide
+from ..operators.reshape import column_names, labelled, row_total, to_wide
+from ..schema import BHC_LEVELS, NA_TEXT, NOT_FOOTPRINT
 from .ecosystems import components, eu_units, with_categories, with_names
 
 FOOTPRINT_CLASS = f"coalesce(dist_type, {lit(NOT_FOOTPRINT)})"
@@ -43,14 +43,10 @@ def parcel_units(polygons: DataFrame) -> DataFrame:
     return eu_units(parcel_components(polygons), by=["parcel_id", "dist_type"])
 
 
-def footprint_classes(polygons: DataFrame) -> list[str]:
-    """Footprint classes present among mapped components: a bounded distinct
-    over four narrow columns of the polygon table (the class and the three
-    map codes), partial-aggregated, so it costs a fraction of the report's
-    scan."""
-    mapped = " OR ".join(f"{wide('sitemc', n)} IS NOT NULL" for n in COMPONENTS)
-    d = polygons.filter(mapped).selectExpr(f"{FOOTPRINT_CLASS} AS dist_type")
-    return distinct_values(d, "dist_type")
+def footprint_classes(units: DataFrame) -> list[str]:
+    """Footprint classes present among the units (any number of them; they
+    become columns)."""
+    return distinct_values(units.selectExpr(f"{FOOTPRINT_CLASS} AS dist_type"), "dist_type")
 
 
 def parcel_area(units: DataFrame, classes: Sequence[str], unit: str = "ha", taken: Sequence[str] = (),
@@ -64,7 +60,8 @@ def parcel_area(units: DataFrame, classes: Sequence[str], unit: str = "ha", take
     names = column_names(classes, taken=["parcel_id", "parcel_area", *taken])
     w = to_wide(d, PARCEL_KEYS, "dist_type", classes, "area_t", names=names, fill=0.0,
                 convert=lambda c: to_unit(c, unit))
-    return w.selectExpr(*(PARCEL_KEYS if keys else [PARCEL_ID]), *names, f"{row_total(names)} AS parcel_area")
+    out = w.selectExpr(*(PARCEL_KEYS if keys else [PARCEL_ID]), *[ident(n) for n in names], f"{row_total(names)} AS parcel_area")
+    return labelled(out, names, classes)
 
 
 def parcel_habitat(
@@ -80,17 +77,20 @@ def parcel_habitat(
     values = [*levels, NA_TEXT]
     w = to_wide(eu, PARCEL_KEYS, "bhc", values, "area_t", fill=0.0, convert=lambda c: to_unit(c, unit),
                 where="outside")
+    w = labelled(w, column_names(values), values)
     return w if keys else w.selectExpr(PARCEL_ID, *[c for c in w.columns if c not in PARCEL_KEYS])
 
 
 def parcel_report(polygons: DataFrame, map_codes, categories, classes=None, unit="ha", map_rows=None, cat_rows=None):
     """Habitat categories per parcel with the footprint split joined on.
 
-    One scan and one wide shuffle shared by both halves (reused exchange);
-    without ``classes`` a bounded distinct finds them first."""
-    if classes is None:
-        classes = footprint_classes(polygons)
-    return parcel_report_from_units(parcel_units(polygons), map_codes, categories, classes, unit, map_rows, cat_rows)
+    One scan and one wide shuffle shared by both halves (reused exchange).
+    Without ``classes`` they are taken from the units first; pass units that
+    are kept (``jobs.shared``) to ``parcel_report_from_units`` to avoid a
+    second scan for that."""
+    units = parcel_units(polygons)
+    return parcel_report_from_units(units, map_codes, categories, classes or footprint_classes(units), unit, map_rows,
+                                    cat_rows)
 
 
 def parcel_report_from_units(units: DataFrame, map_codes, categories, classes, unit="ha", map_rows=None,
@@ -98,4 +98,4 @@ def parcel_report_from_units(units: DataFrame, map_codes, categories, classes, u
     bhc = parcel_habitat(units, map_codes, categories, unit, map_rows=map_rows, cat_rows=cat_rows, keys=True)
     area = parcel_area(units, classes, unit, taken=bhc.columns, keys=True)
     out = bhc.join(area, PARCEL_KEYS, "left")  # missing parcel id matches missing, as in the source
-    return out.selectExpr(PARCEL_ID, *[c for c in out.columns if c not in PARCEL_KEYS])
+    return out.selectExpr(PARCEL_ID, *[ident(c) for c in out.columns if c not in PARCEL_KEYS])

@@ -9,9 +9,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from ..functions.area import to_unit
-from ..functions.nulls import expr, ident, lit, strict_sum
-from ..operators.aggregate import crosstab, frequencies
-from ..schema import wide
+from ..functions.nulls import expr, ident, lit, strict_sum, total, type_of
+from ..operators.aggregate import crosstab, crosstabs, frequencies
+from ..operators.reshape import NUMBER_TAGS
+from ..schema import NA_TEXT, wide
 
 QA_FIELDS = ("sdec", "sitemc", "seral", "strct")
 # one-way and two-way tables the source scripts print per component
@@ -28,29 +29,28 @@ def zone_crosstab(polygons: DataFrame, values: Sequence[str] | None = None) -> D
     return crosstab(polygons, "bgc_zone", "bgc_subzon", values)
 
 
-def component_crosstabs(polygons: DataFrame, pairs=QA_PAIRS) -> dict[str, DataFrame]:
-    """Per component, map code x seral and stage x structural modifier
-    (pairs whose columns the source has)."""
-    out = {}
-    for a, b in pairs:
-        for n in (1, 2, 3):
-            ca, cb = wide(a, n), wide(b, n)
-            if ca in polygons.columns and cb in polygons.columns:
-                out[f"{ca}_x_{cb}"] = crosstab(polygons, ca, cb)
-    return out
+def component_crosstabs(polygons: DataFrame, pairs=QA_PAIRS) -> DataFrame:
+    """Per component, map code x seral and stage x structural modifier (pairs
+    whose columns the source has), all in one scan and in long form: (table,
+    row, col, n)."""
+    present = [(wide(a, n), wide(b, n)) for a, b in pairs for n in (1, 2, 3)
+               if wide(a, n) in polygons.columns and wide(b, n) in polygons.columns]
+    return crosstabs(polygons, present)
 
 
 def total_area(polygons: DataFrame, unit: str = "ha") -> DataFrame:
     """Polygon count and strict area total (the scripts' control figure)."""
     div = float({"m2": 1, "ha": 10000}[unit])
-    return polygons.agg(expr("count(1) AS n"), expr(f"CAST({strict_sum('area')} AS DOUBLE) / {div!r}D AS total_area"))
+    return polygons.agg(expr("count(1) AS n"), expr(
+        f"CAST({strict_sum('area', type_of(polygons, 'area'))} AS DOUBLE) / {div!r}D AS total_area"))
 
 
 def _stage_total(df: DataFrame, stage: str, unit: str) -> DataFrame:
+    dtype = type_of(df, "area_t")
     return df.agg(
         expr(f"{lit(stage)} AS stage"),
-        expr(f"{to_unit(strict_sum('area_t'), unit)} AS total_area"),
-        expr(f"{to_unit('sum(area_t)', unit)} AS total_area_known"),
+        expr(f"{to_unit(strict_sum('area_t', dtype), unit)} AS total_area"),
+        expr(f"{to_unit(total('area_t', dtype), unit)} AS total_area_known"),
         expr("count_if(area_t IS NULL) AS n_missing"),
     )
 
@@ -77,13 +77,14 @@ def lookup_conservation(polygons: DataFrame, map_codes: DataFrame, categories: D
 
     d = components(polygons).selectExpr("strct", "area_t", f"{bec_variant()} AS bec_variant",
                                         f"{ecosystem_label()} AS ecosystem")
+    dtype = type_of(d, "area_t")
     # the extra figures use the same aggregate functions as the strict sum
     # (count(area_t), count(1), sum(area_t)), so all branches share one
     # partial aggregate and one exchange
     # (written so that every branch lists them in the same order)
     eu = d.groupBy("bec_variant", "ecosystem", "strct").agg(
-        expr("-count(area_t) + count(1) AS n_missing_parts"), expr("sum(area_t) AS area_known"),
-        expr(f"{strict_sum('area_t')} AS area_t"),
+        expr("-count(area_t) + count(1) AS n_missing_parts"), expr(f"{total('area_t', dtype)} AS area_known"),
+        expr(f"{strict_sum('area_t', dtype)} AS area_t"),
     ).selectExpr("*", f"{unit_key()} AS unit", f"{ecosystem_unit()} AS ecosystem_unit")
     parts = eu.agg(
         expr(f"{lit('components')} AS stage"),
@@ -102,19 +103,33 @@ def lookup_conservation(polygons: DataFrame, map_codes: DataFrame, categories: D
     return out
 
 
-def duplicate_lookup_keys(rows: DataFrame, table: DataFrame, key: str, check: str) -> DataFrame:
-    """Keys used by ``rows`` that match more than one row of ``table``."""
-    dup = table.groupBy(key).agg(expr("count(1) AS n")).filter("n > 1")
-    used = rows.select(key).distinct()
-    hit = dup.join(used, key, "left_semi")
-    return hit.selectExpr(f"{lit(check)} AS check", f"CAST({ident(key)} AS STRING) AS key", "n")
-
-
-def duplicate_row_keys(rows: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
-    """Repeated keys in a table that should have one row per key."""
-    g = rows.groupBy(*keys).agg(expr("count(1) AS n")).filter("n > 1")
-    key = "concat_ws('|', " + ", ".join(f"CAST({ident(k)} AS STRING)" for k in keys) + ")"
-    return g.selectExpr(f"{lit(check)} AS check", f"{key} AS key", "n")
+def rating_conservation(units: DataFrame, rated_units: DataFrame, unit: str = "m2") -> DataFrame:
+    """Control totals of the rating job: after reshaping, over the key list and
+    after the rating join.  All three derive from the same units."""
+    keys = units.groupBy("eco").agg(expr(f"{strict_sum('area_t', type_of(units, 'area_t'))} AS area_t"))
+    return area_conservation([("components", units), ("ecosystem_list", keys), ("rated", rated_units)], unit)
+
+
+def duplicate_lookup_keys(rows: DataFrame, tables: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Keys used by ``rows`` that match more than one row of a lookup table;
+    ``tables`` holds (check, table, key).  A missing key matches a missing key,
+    as in the lookups.  One pass over ``rows``."""
+    cells = ", ".join(f"named_struct('check', {lit(c)}, 'key', CAST({ident(k)} AS STRING))" for c, _, k in tables)
+    used = rows.selectExpr(f"inline(array({cells}))").distinct().selectExpr("`check` AS __check", "key AS __key")
+    dup = None
+    for check, table, key in tables:
+        d = table.groupBy(key).agg(expr("count(1) AS n")).filter("n > 1")
+        d = d.selectExpr(f"{lit(check)} AS check", f"CAST({ident(key)} AS STRING) AS key", "n")
+        dup = d if dup is None else dup.unionByName(d)
+    return dup.join(used, expr("check = __check AND key <=> __key"), "left_semi")
+
+
+def duplicate_components(rated: DataFrame, check: str, key: str = "fid", tags: Sequence[str] = NUMBER_TAGS) -> DataFrame:
+    """Components with more than one row, reported as ``fid|component``:
+    counted per polygon, so one row of three counts each is shuffled."""
+    g = rated.groupBy(key).agg(*[expr(f"count_if(decile = {lit(t)}) AS n_{t}") for t in tags])
+    cells = ", ".join(f"named_struct('key', concat(coalesce(CAST({ident(key)} AS STRING), {lit(NA_TEXT)}), '|', {lit(t)}), 'n', n_{t})" for t in tags)
+    return g.filter(" OR ".join(f"n_{t} > 1" for t in tags)).selectExpr(f"{lit(check)} AS check", f"inline(array({cells}))").filter("n > 1")
 
 
 def share_sums(polygons: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Wildlife habitat rating jobs (D1, D1b, D2, D11).
 
-The rating table is a lookup on a composed ten-part key.  Component rows
-come from ``to_long`` (narrow) and meet the rating sheet in a broadcast hash
-join: no shuffle of the component rows at all.  Reports aggregate after the
-join (partial+final).
+The rating table is a lookup on a composed key: ten parts in the rating job
+(D1, D2), eleven with the site series number in the first-component job (D11);
+which one is the caller's choice, never read off the columns.  Per-component
+results join the component rows (``to_long``, narrow) to the sheet: no shuffle
+of the rows.  Area reports first sum the area per key and component
+(``rating_units``, the only shuffle of the rows, partial sums before it) and
+join the ratings to that small table.
 """
 
 from __future__ import annotations
@@ -15,22 +18,17 @@ from pyspark.sql import DataFrame
 from ..functions.area import apportion, to_unit, with_area_units
 from ..functions.classify import recode
 from ..functions.keys import compose_key, split_key
-from ..functions.nulls import expr, ident, lit, strict_sum
+from ..functions.nulls import expr, ident, lit, strict_sum, type_of
 from ..operators.lookup import lookup
 from ..operators.reshape import NUMBER_TAGS, to_long
 from ..schema import (
-    RATING_KEY_PARTS, RATING_KEY_PARTS_SITE, RATING_PART_SOURCE, SPATIAL_RECODES, wide,
+    RATING_KEY_PARTS, RATING_PART_SOURCE, SPATIAL_RECODES, wide,
 )
 
 RATING_VALUE = "BSEOW_LI"
 POLYGON_PARTS = ("eco_sec", "bgc_zone", "bgc_subzon", "bgc_vrt")
 
 
-def key_parts(polygons: DataFrame) -> tuple[str, ...]:
-    """Eleven-part key when the source has site series numbers, else ten."""
-    return RATING_KEY_PARTS_SITE if "site_1" in polygons.columns else RATING_KEY_PARTS
-
-
 def rating_components(polygons: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, positive_only: bool = True):
     """Component rows (all three, empty ones included) with the composed key
     ``eco``, the key parts and ``area_t``; with ``positive_only`` only
@@ -79,10 +77,22 @@ def rated_rows(rated: DataFrame) -> DataFrame:
     return rated.selectExpr("fid", "decile", "eco", f"{to_unit('area_t', 'm2')} AS area", "rating")
 
 
+def rating_units(comps: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS) -> DataFrame:
+    """Area per key and component (``eco``, its parts, ``decile``, ``area_t``,
+    rows ``n``): the table that every area report of the job derives from."""
+    cols = [RATING_PART_SOURCE[p] for p in parts]
+    area = strict_sum("area_t", type_of(comps, "area_t"))
+    # grouped by the parts; the key is composed on the result
+    g = comps.groupBy(*cols, "decile").agg(expr(f"{area} AS area_t"), expr("count(1) AS n"))
+    return g.selectExpr(f"{compose_key(cols)} AS eco", "*")
+
+
 def rating_area(rated: DataFrame, first_only: bool = False, unit: str = "m2") -> DataFrame:
-    """Area per rating over all components, or over the first only."""
+    """Area per rating over all components, or over the first only.  ``rated``
+    holds rated units (or rated component rows)."""
     r = rated.filter(f"decile = {lit(NUMBER_TAGS[0])}") if first_only else rated
-    return r.groupBy("rating").agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS area_tot"))
+    area = strict_sum("area_t", type_of(rated, "area_t"))
+    return r.groupBy("rating").agg(expr(f"{to_unit(area, unit)} AS area_tot"))
 
 
 def rating_wide(rated: DataFrame) -> DataFrame:
@@ -93,17 +103,20 @@ def rating_wide(rated: DataFrame) -> DataFrame:
 
 
 def unmatched(rated: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, unit: str = "m2") -> DataFrame:
-    """Keys with no rating and their area, the key split for reading."""
+    """Keys with no rating and their area, the key split for reading; from
+    rated units (or rated component rows)."""
     miss = rated.filter("area_t <> 0 AND rating IS NULL")
-    g = miss.groupBy("eco").agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS area"))
+    area = strict_sum("area_t", type_of(rated, "area_t"))
+    g = miss.groupBy("eco").agg(expr(f"{to_unit(area, unit)} AS area"))
     pieces = split_key("eco", len(parts))
     return g.selectExpr("eco", "area", *[f"{p} AS {name.lower()}" for p, name in zip(pieces, parts)])
 
 
-def ecosystem_list(comps: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, unit: str = "m2") -> DataFrame:
+def ecosystem_list(units: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, unit: str = "m2") -> DataFrame:
     """Distinct composed keys with their area; parts carried (not re-split)."""
     cols = [RATING_PART_SOURCE[p] for p in parts]
-    g = comps.groupBy("eco", *cols).agg(expr(f"{to_unit(strict_sum('area_t'), unit)} AS area"))
+    area = strict_sum("area_t", type_of(units, "area_t"))
+    g = units.groupBy("eco", *cols).agg(expr(f"{to_unit(area, unit)} AS area"))
     return g.selectExpr("eco", *[f"{c} AS {p.lower()}" for c, p in zip(cols, parts)], "area")
 
 

@@ -21,7 +21,7 @@ from .operators.project import canonicalise, cols_between, move_first
 from .operators.reshape import to_long
 from .plans import ecosystems as eco
 from .plans import parcels, qa, ratings
-from .schema import CEM, RATING_KEY_PARTS, SPATIAL_RECODES, ZONE_COLUMNS
+from .schema import CEM, NOT_FOOTPRINT, RATING_KEY_PARTS, RATING_KEY_PARTS_SITE, SPATIAL_RECODES, TEM, ZONE_COLUMNS
 from .session import scratch_path
 from .sources import files
 from .sources.fixture import LOOKUP_ROWS, Fixture, load_fixture
@@ -30,6 +30,9 @@ MAP_ROWS = LOOKUP_ROWS["map_codes"]
 CAT_ROWS = LOOKUP_ROWS["habitat_categories"]
 RATING_ROWS = LOOKUP_ROWS["ratings"]
 XWALK_ROWS = LOOKUP_ROWS["crosswalk"]
+# code lists of the fixture, given so that no plan needs a job of its own
+FOOTPRINT_CLASSES = ["Footprint", NOT_FOOTPRINT]
+SUBZONES = ["mv", "mw"]
 
 
 class Inputs:
@@ -38,11 +41,14 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         fx: Fixture = load_fixture(spark, sf_dir)
         self.spark = spark
+        self.sf_dir = sf_dir
         self.raw = fx.polygons
         self.polygons = canonicalise(fx.polygons, CEM)
         self.map_codes = fx.map_codes
         self.categories = fx.habitat_categories
         self.ratings = fx.ratings
+        self.ratings_revised = fx.ratings_revised
+        self.polygons_tem = canonicalise(fx.polygons_tem, TEM)
         self.crosswalk = fx.crosswalk
 
     def deciles(self, ids=(), **kw) -> DataFrame:
@@ -57,6 +63,12 @@ class Inputs:
     def rating_comps(self, positive_only=True) -> DataFrame:
         return ratings.rating_components(self.polygons, RATING_KEY_PARTS, positive_only)
 
+    def rating_units(self) -> DataFrame:
+        return ratings.rating_units(self.rating_comps(), RATING_KEY_PARTS)
+
+    def rated_units(self) -> DataFrame:
+        return ratings.rate(self.rating_units(), self.ratings, RATING_KEY_PARTS, rating_rows=RATING_ROWS)
+
     def rated(self, positive_only=True, mode="composed") -> DataFrame:
         return ratings.rate(self.rating_comps(positive_only), self.ratings, RATING_KEY_PARTS, mode,
                             rating_rows=RATING_ROWS)
@@ -315,8 +327,8 @@ def whr_rate(i: Inputs):
 
 
 def whr_rate_revised(i: Inputs):
-    """D1b: the same job against the revised sheet (the fixture has one)."""
-    r = ratings.rate(i.rating_comps(), i.ratings, rating_rows=RATING_ROWS)
+    """D1b: the same job against the revised sheet."""
+    r = ratings.rate(i.rating_comps(), i.ratings_revised, rating_rows=LOOKUP_ROWS["ratings_revised"])
     return ratings.rated_rows(r)
 
 
@@ -327,22 +339,22 @@ def whr_wide(i: Inputs):
 
 def whr_unmatched(i: Inputs):
     """JN-8: keys with no rating, area, key split."""
-    return ratings.unmatched(i.rated())
+    return ratings.unmatched(i.rated_units())
 
 
 def rating_area_all(i: Inputs):
     """AGG-7: area per rating, all components."""
-    return ratings.rating_area(i.rated())
+    return ratings.rating_area(i.rated_units())
 
 
 def rating_area_first(i: Inputs):
     """AGG-8: area per rating, first component."""
-    return ratings.rating_area(i.rated(), first_only=True)
+    return ratings.rating_area(i.rated_units(), first_only=True)
 
 
 def ecosystem_list(i: Inputs):
     """AGG-6: distinct composed keys with area."""
-    return ratings.ecosystem_list(i.rating_comps())
+    return ratings.ecosystem_list(i.rating_units())
 
 
 def jn_rating_first_component(i: Inputs):
@@ -352,15 +364,15 @@ def jn_rating_first_component(i: Inputs):
 
 
 def whi_first_component(i: Inputs):
-    """D11: cleaned modifiers, three keys, component-1 rating."""
-    return ratings.first_component_rating(i.polygons, i.ratings, rating_rows=RATING_ROWS)
+    """D11: cleaned modifiers, three eleven-part keys, component-1 rating."""
+    return ratings.first_component_rating(i.polygons, i.ratings, RATING_KEY_PARTS_SITE, rating_rows=RATING_ROWS)
 
 
 # --- parcels -------------------------------------------------------------
 
 def parcel_area_wide(i: Inputs):
     """RSH-3 / RSH-7 / SC-10: footprint split per parcel."""
-    return parcels.parcel_area(parcels.parcel_units(i.polygons), parcels.footprint_classes(i.polygons))
+    return parcels.parcel_area(parcels.parcel_units(i.polygons), FOOTPRINT_CLASSES)
 
 
 def parcel_bhc_wide(i: Inputs):
@@ -371,7 +383,8 @@ def parcel_bhc_wide(i: Inputs):
 
 def parcel_report(i: Inputs):
     """D9 / JN-6: parcel categories joined to the footprint split."""
-    return parcels.parcel_report(i.polygons, i.map_codes, i.categories, map_rows=MAP_ROWS, cat_rows=CAT_ROWS)
+    return parcels.parcel_report(i.polygons, i.map_codes, i.categories, FOOTPRINT_CLASSES, map_rows=MAP_ROWS,
+                                 cat_rows=CAT_ROWS)
 
 
 # --- QA ------------------------------------------------------------------
@@ -383,7 +396,7 @@ def qa_frequencies(i: Inputs):
 
 def qa_crosstab(i: Inputs):
     """AGG-5: zone x subzone counts, zero cells shown."""
-    return qa.zone_crosstab(i.polygons)
+    return qa.zone_crosstab(i.polygons, SUBZONES)
 
 
 def qa_total_area(i: Inputs):
@@ -398,11 +411,40 @@ def qa_area_conservation(i: Inputs):
 
 def qa_duplicate_keys(i: Inputs):
     """JN-9 / RSH-4: lookup keys that multiply rows; repeated rated keys."""
-    eu_rows = eco.eu_units(i.deciles())
-    a = qa.duplicate_lookup_keys(eu_rows, eco.categories_table(i.categories), "ecosystem_unit", "habitat_categories")
-    b = qa.duplicate_lookup_keys(eu_rows, eco.names_table(i.map_codes), "unit", "map_codes")
-    c = qa.duplicate_row_keys(i.rated(), ["fid", "decile"], "rated_fid_decile")
-    return a.unionByName(b).unionByName(c)
+    keys = qa.duplicate_lookup_keys(eco.eu_units(i.deciles()), [
+        ("habitat_categories", eco.categories_table(i.categories), "ecosystem_unit"),
+        ("map_codes", eco.names_table(i.map_codes), "unit")])
+    return keys.unionByName(qa.duplicate_components(i.rated(), "rated_fid_decile"))
+
+
+def qa_component_crosstabs(i: Inputs):
+    """AGG-5 / D10: map code x seral and stage x modifier per component."""
+    return qa.component_crosstabs(i.polygons)
+
+
+def qa_rating_conservation(i: Inputs):
+    """AGG-3: control totals of the rating job."""
+    return qa.rating_conservation(i.rating_units(), i.rated_units())
+
+
+def jn_lookup_shuffled(i: Inputs):
+    """JN-1: a lookup above the broadcast bound (joined by shuffle)."""
+    part = i.spark.read.parquet(f"{i.sf_dir}/part.parquet")
+    table = part.selectExpr("CAST(p_partkey AS STRING) AS cem_ecp", "p_brand", "p_size")
+    return lookup(i.polygons.select("fid", "cem_ecp"), table, ["cem_ecp"], max_rows=10)
+
+
+def eu_area_double(i: Inputs):
+    """AGG-1 on areas that arrive as doubles (quarter square metres)."""
+    p = i.polygons.selectExpr(*[c for c in i.polygons.columns if c != "area"], "CAST(floor(area * 4) AS DOUBLE) / 4D AS area")
+    e = eco.eu_units(eco.components(p))
+    return e.selectExpr("bec_variant", "ecosystem", "strct", f"{to_unit('area_t', 'm2')} AS total_area", "n")
+
+
+def bhc_crosswalked_tem(i: Inputs):
+    """D8 on a terrestrial-map workbook: its spelling, hectares, two-part variant."""
+    return eco.crosswalked_habitat_summary(i.polygons_tem, i.crosswalk, i.map_codes, i.categories,
+                                           xwalk_rows=XWALK_ROWS, map_rows=MAP_ROWS, cat_rows=CAT_ROWS)
 
 
 def qa_share_sum(i: Inputs):
@@ -424,8 +466,8 @@ def src_typed_csv(i: Inputs):
 def snk_csv_roundtrip(i: Inputs):
     """SNK-1: EU summary written as CSV (NA, no exponent), read as text."""
     path = scratch_path(i.spark, "eu-csv")
-    files.write_csv(eco.eu_report(i.eu()), path)
-    return files.read_typed_csv(i.spark, path)
+    files.write_csv(eco.eu_report(i.eu(), unit="ha"), path)
+    return files.read_typed_csv(i.spark, path, {"total_area": "double"})
 
 
 def src_header_offset(i: Inputs):
@@ -434,7 +476,7 @@ def src_header_offset(i: Inputs):
     rep = eco.eu_report(i.eu(by=["paz"]), by=["paz"])
     files.write_sheet(rep, path, ["Ecosystem units by project activity zone", "area in m2"],
                       sort_by=["paz", "bec_variant", "ecosystem", "strct"])
-    return files.read_sheet(i.spark, path, skip=2)
+    return files.read_sheet(i.spark, path, skip=2, types={"total_area": "double"})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -495,6 +537,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "qa_area_conservation": qa_area_conservation,
         "qa_duplicate_keys": qa_duplicate_keys,
         "qa_share_sum": qa_share_sum,
+        "qa_component_crosstabs": qa_component_crosstabs,
+        "qa_rating_conservation": qa_rating_conservation,
+        "jn_lookup_shuffled": jn_lookup_shuffled,
+        "eu_area_double": eu_area_double,
+        "bhc_crosswalked_tem": bhc_crosswalked_tem,
         "src_typed_csv": src_typed_csv,
         "snk_csv_roundtrip": snk_csv_roundtrip,
         "src_header_offset": src_header_offset,

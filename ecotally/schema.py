@@ -75,7 +75,7 @@ CEM_SHAPE_AREA = SourceSpelling(
 TEM = SourceSpelling(
     name="tem",
     polygon={
-        "cem_ecp": "ECP_TAG", "eco_sec": "Eco_Sec", "bgc_zone": "Bgc_Zone",
+        "fid": "ECP_TAG", "cem_ecp": "ECP_TAG", "eco_sec": "Eco_Sec", "bgc_zone": "Bgc_Zone",
         "bgc_subzon": "Bgc_Subzon", "bgc_vrt": "Bgc_Vrt", "area": "Area_ha",
         "location": "Location", "dist_type": "Dist_Type", "parcel_id": "ParcelID_t",
     },
@@ -97,6 +97,14 @@ RATING_KEY_PARTS_SITE = (
     "ECO_SEC", "BGC_ZONE", "BGC_SUBZON", "BGC_VRT", "SITE_S", "SITEMC_S",
     "SITE_MA", "SITE_MB", "STRCT_S", "STRCT_M", "SERAL",
 )
+# Headers of the exported reports.
+DISPLAY_NAMES = {
+    "sort": "Sort", "paz": "PAZ", "parcel_id": "ParcelID_t", "bec_variant": "BEC Variant", "ecosystem": "Ecosystem",
+    "site_series": "Site Series", "site_series_name": "Site Series Name", "type": "Type", "strct": "STRCT",
+    "ecosystem_unit": "Ecosystem Unit", "bhc20": "BHC20", "total_area": "Total_area", "fid": "FID",
+    "decile_1": "Decile_1", "decile_2": "Decile_2", "decile_3": "Decile_3", "cem_ecp": "CEM_ECP",
+    "area": "Area", "rating": "BSEOW_LI",
+}
 # canonical component-row column for each rating-key part
 RATING_PART_SOURCE = {
     "ECO_SEC": "eco_sec", "BGC_ZONE": "bgc_zone", "BGC_SUBZON": "bgc_subzon",
@@ -144,6 +152,12 @@ ZONE_COLUMNS = (
     ("Erosion Impact Area", "erosion_impact"),
 )
 
+# Printed headers of the zone columns.
+ZONE_LABELS = {
+    "dam": "Dam", "reservoir": "Reservoir", "tl": "TL", "hwy_29": "Hwy 29", "road": "Road", "quarry": "Quarry",
+    "erosion_impact": "Erosion Impact",
+}
+
 NOT_FOOTPRINT = "Not footprint"
 MARL_FEN = "Marl Fen Property"
 

@@ -4,6 +4,7 @@ scratch folder (``spark.checkpoint.dir``) for anything written mid-job."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,13 +55,16 @@ def cluster_settings(input_bytes: int, executors: int, cores_per_executor: int,
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
-    Read from the session; only when the session names none (local tests) a
-    folder is created and registered, so later calls and ``checkpoint()`` use
-    the same place.
+    Read from the session.  A local session that names none (tests) gets a
+    folder of its own, registered so that later calls and ``checkpoint()`` use
+    the same place; on a cluster the setting is required, because executors
+    don't share machine-local folders.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ecotally-ckpt-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")

@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.nulls import ident
 from ..schema import NA_TEXT
 
-_FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
-
 
 def _clean_text(c: str) -> F.Column:
     return F.nullif(F.col(f"`{c}`"), F.lit(""))
@@ -48,36 +47,38 @@ def read_typed_csv(spark: SparkSession, path: str, types: dict[str, str] | None
     return raw.select(*cols)
 
 
-def printable(df: DataFrame, scale: int = 6) -> DataFrame:
-    """Fractional numbers as ``decimal(28, scale)`` so text output never uses
-    an exponent (``12345678.9`` prints ``12345678.900000``); untyped
+def plain_number(x: str) -> str:
+    """A double as text without exponent and without loss: the digits that
+    tell it from its neighbours, the point moved (``1.23E7`` -> ``12300000``)."""
+    # lambdas name the parts once, so the text of the expression stays short
+    mantissa = "replace(split(s, 'E')[0], '-', '')"
+    parts = (f"named_struct('s', s, 'minus', CASE WHEN s LIKE '-%' THEN '-' ELSE '' END, 'digits', replace({mantissa}, '.', ''),"
+             f" 'point', CASE WHEN s LIKE '%E%' THEN instr({mantissa}, '.') - 1 + CAST(split(s, 'E')[1] AS INT) END)")
+    moved = ("CASE WHEN r.point <= 0 THEN concat('0.', repeat('0', -r.point), r.digits)"
+             " WHEN r.point >= length(r.digits) THEN rpad(r.digits, r.point, '0')"
+             " ELSE concat(substr(r.digits, 1, r.point), '.', substr(r.digits, r.point + 1)) END")
+    text = f"CASE WHEN r.point IS NULL THEN r.s ELSE concat(r.minus, {moved}) END"
+    return f"regexp_replace(get(transform(transform(array(CAST({x} AS STRING)), s -> {parts}), r -> {text}), 0), '[.]0+$', '')"
+
+
+def printable(df: DataFrame) -> DataFrame:
+    """Fractional numbers as text without exponent and without loss, untyped
     all-missing columns as text."""
     cols = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, _FRACTIONAL):
-            c = c.cast(T.DecimalType(28, scale))
-        elif isinstance(f.dataType, T.NullType):  # an all-missing column
-            c = c.cast(T.StringType())
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+        c = ident(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            c = plain_number(c)
+        elif isinstance(f.dataType, (T.DecimalType, T.NullType)):
+            c = f"CAST({c} AS STRING)"
+        cols.append(f"{c} AS {ident(f.name)}")
+    return df.selectExpr(*cols)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     printable(df).write.mode(mode).option("header", True).option("nullValue", NA_TEXT).csv(path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared checkpoint folder and
-    return it read back: lineage cut, real size known to the planner, and
-    every later consumer reads this narrow table instead of recomputing it."""
-    from ..session import scratch_path  # noqa: PLC0415
-
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _csv_line(values: Sequence[str]) -> str:
     buf = io.StringIO()
     csv.writer(buf, lineterminator="").writerow(values)
@@ -86,32 +87,24 @@ def _csv_line(values: Sequence[str]) -> str:
 
 def write_sheet(df: DataFrame, path: str, title_lines: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
     """Write a report as sheets: every part file starts with the title lines
-    and the header, then its rows.
+    and the header, then its rows; a report without rows is one such file.
 
-    Rows are range-partitioned on ``sort_by`` and sorted within each part,
-    so the parts in name order hold the rows in order; no task sees more than
-    its range.  The title lines are put in front of each part's first batch
-    (pandas inside the task).
-    """
+    Rows are range-partitioned on ``sort_by`` and sorted within each part, so
+    the parts in name order hold the rows in order; no task sees more than its
+    range.  The head is put in front of the first row of each part."""
     p = printable(df)
+    head = "\n".join([*title_lines, _csv_line(p.columns)])
     line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in p.columns]), {"nullValue": NA_TEXT})
     lines = p.select(*[F.col(f"`{c}`") for c in sort_by], line.alias("value"))
     if sort_by:
         lines = lines.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
-    head = [*title_lines, _csv_line(p.columns)]
-
-    def with_head(batches):
-        import pandas as pd
-
-        first = True
-        for batch in batches:
-            out = batch[["value"]]
-            if first and len(out):
-                out = pd.concat([pd.DataFrame({"value": head}), out], ignore_index=True)
-                first = False
-            yield out
-
-    lines.select("value").mapInPandas(with_head, "value string").write.text(path)
+    else:
+        lines = lines.coalesce(1 << 20)  # as they are; rows given by the driver are numbered by the tasks too
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # row numbers start anew in each part
+    sheet = lines.select(F.when(first, F.concat(F.lit(head + "\n"), "value")).otherwise(F.col("value")).alias("value"))
+    if df.isEmpty():
+        sheet = df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1)
+    sheet.write.text(path)
 
 
 def read_sheet(spark: SparkSession, path: str, skip: int = 0, types: dict[str, str] | None = None) -> DataFrame:

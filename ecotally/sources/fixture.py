@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 # The fixture definition (codes invented, zone / property /
 # type / class / habitat-category names as used in the analysed scripts).
 POLYGONS_SQL = """
-SELECT o_orderkey AS FID, CAST(o_orderkey AS STRING) AS CEM_ECP,
+SELECT o_orderkey AS FID, CASE WHEN o_orderkey = 103 THEN '87238' ELSE CAST(o_orderkey AS STRING) END AS CEM_ECP,
   CONCAT('P', CAST(o_custkey % 50 AS STRING)) AS ParcelID_t,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'Dam' WHEN '2-HIGH' THEN 'Reservoir'
        WHEN '3-MEDIUM' THEN 'Transmission Line ROW' WHEN '4-NOT SPECIFIED' THEN 'Road' END AS PAZ,
@@ -31,6 +31,8 @@ SELECT o_orderkey AS FID, CAST(o_orderkey AS STRING) AS CEM_ECP,
        WHEN o_orderkey % 5 < 3 THEN 7 ELSE 5 END AS SDEC_1,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 4 THEN 5 ELSE 3 END AS SDEC_2,
   CASE WHEN o_orderkey % 5 < 3 THEN NULL WHEN o_orderkey % 5 = 3 THEN 2 ELSE 0 END AS SDEC_3,
+  CASE o_custkey % 6 WHEN 0 THEN '101' WHEN 1 THEN '102' WHEN 2 THEN '111' WHEN 5 THEN '112' END AS SITE_S1,
+  CASE WHEN o_custkey % 2 = 0 THEN '102' END AS SITE_S2, CAST(NULL AS STRING) AS SITE_S3,
   CASE o_custkey % 6 WHEN 0 THEN 'AM' WHEN 1 THEN 'SW' WHEN 2 THEN 'SH'
        WHEN 3 THEN 'WA' WHEN 4 THEN 'CF' ELSE 'BT' END AS SITEMC_S1,
   CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_custkey % 2 = 0 THEN 'SW' ELSE 'FM' END AS SITEMC_S2,
@@ -48,7 +50,7 @@ SELECT o_orderkey AS FID, CAST(o_orderkey AS STRING) AS CEM_ECP,
   CASE WHEN o_custkey % 5 = 0 THEN 'as' END AS SERAL_1,
   CASE WHEN o_custkey % 7 = 0 THEN 'ap' END AS SERAL_2,
   CAST(NULL AS STRING) AS SERAL_3,
-  CAST(o_totalprice AS DECIMAL(18,2)) AS AREA
+  CAST(o_totalprice AS DECIMAL(15,2)) AS AREA
 FROM {orders}"""
 
 MAP_CODES_SQL = """
@@ -67,17 +69,35 @@ SELECT * FROM (VALUES ('AM5','DYF'),('AM6','DMF'),('AM:as3','DSH'),('SW4','CYF')
 
 RATINGS_SQL = """
 SELECT * FROM (VALUES
-  ('PEL','BWBS','mw','1','AM',NULL,NULL,'6',NULL,NULL,'H'), ('KIP','BWBS','mw','2','SW','k',NULL,'1','s',NULL,'M'),
-  ('KIP','BWBS','mw','2','SW',NULL,NULL,'5',NULL,NULL,'L'), ('KIP','ESSF','mv','1','FM',NULL,NULL,'4',NULL,NULL,'N'),
-  ('PEL','BWBS','mw','2','OW',NULL,NULL,'1',NULL,NULL,'N'), ('KIP','BWBS','mw',NULL,'SW',NULL,NULL,'1',NULL,NULL,'L')
+  ('PEL','BWBS','mw','1','101','AM',NULL,NULL,'6',NULL,NULL,'H'), ('KIP','BWBS','mw','2','102','SW','k',NULL,'1','s',NULL,'M'),
+  ('KIP','BWBS','mw','2','102','SW',NULL,NULL,'5',NULL,NULL,'L'), ('KIP','ESSF','mv','1',NULL,'FM',NULL,NULL,'4',NULL,NULL,'N'),
+  ('PEL','BWBS','mw','2',NULL,'OW',NULL,NULL,'1',NULL,NULL,'N'), ('KIP','BWBS','mw',NULL,'102','SW',NULL,NULL,'1',NULL,NULL,'L'),
+  ('KIP','BWBS','mw','2','102','SW','k',NULL,'1','',NULL,'H'), ('KIP','BWBS','mw','2','102','SW','k',NULL,'5','','as','M')
+ ) AS t(ECO_SEC,BGC_ZONE,BGC_SUBZON,BGC_VRT,SITE_S,SITEMC_S,SITE_MA,SITE_MB,STRCT_S,STRCT_M,SERAL,BSEOW_LI)"""
+
+# the revised sheet: no site series, one rating changed, one dropped, one new
+RATINGS_REVISED_SQL = """
+SELECT * FROM (VALUES
+  ('PEL','BWBS','mw','1','AM',NULL,NULL,'6',NULL,NULL,'M'), ('KIP','BWBS','mw','2','SW','k',NULL,'1','s',NULL,'M'),
+  ('KIP','ESSF','mv','1','FM',NULL,NULL,'4',NULL,NULL,'N'), ('PEL','BWBS','mw','2','OW',NULL,NULL,'1',NULL,NULL,'L'),
+  ('KIP','BWBS','mw','2','FM',NULL,NULL,'4',NULL,NULL,'H')
  ) AS t(ECO_SEC,BGC_ZONE,BGC_SUBZON,BGC_VRT,SITEMC_S,SITE_MA,SITE_MB,STRCT_S,STRCT_M,SERAL,BSEOW_LI)"""
 
+# two thirds of the polygons as a terrestrial-map workbook spells them, areas in hectares
+TEM_SQL = """
+SELECT CEM_ECP AS ECP_TAG, Location, Dist_Type, ParcelID_t, ECO_SEC AS Eco_Sec, BGC_ZONE AS Bgc_Zone,
+  BGC_SUBZON AS Bgc_Subzon, BGC_VRT AS Bgc_Vrt, SDEC_1 AS Sdec_1, SDEC_2 AS Sdec_2, SDEC_3 AS Sdec_3,
+  SITE_S1 AS Site_S1, SITE_S2 AS Site_S2, SITE_S3 AS Site_S3, SITEMC_S1 AS SiteMC_S1, SITEMC_S2 AS SiteMC_S2,
+  SITEMC_S3 AS SiteMC_S3, STRCT_S1 AS Strct_S1, STRCT_S2 AS Strct_S2, STRCT_S3 AS Strct_S3, SERAL_1 AS Seral_1,
+  SERAL_2 AS Seral_2, SERAL_3 AS Seral_3, CAST(AREA * 0.0001 AS DECIMAL(19,6)) AS Area_ha
+FROM {polygons} WHERE FID % 3 <> 0"""
+
 CROSSWALK_SQL = """
 SELECT * FROM (VALUES ('AM:as','AM'),('SW','SW'),('SH','WS'),('FM:ap','FM'),('BT','BT')) AS t(eco, SITEMC_replace)"""
 
 # Row counts of the fixed lookup sheets: the proven size bound used when
 # deciding to broadcast them.
-LOOKUP_ROWS = {"map_codes": 10, "habitat_categories": 19, "ratings": 6, "crosswalk": 5}
+LOOKUP_ROWS = {"map_codes": 10, "habitat_categories": 19, "ratings": 8, "ratings_revised": 5, "crosswalk": 5}
 
 
 def duckdb_ctes() -> str:
@@ -87,6 +107,7 @@ def duckdb_ctes() -> str:
         ("map_codes", MAP_CODES_SQL),
         ("habitat_categories", HABITAT_CATEGORIES_SQL),
         ("ratings", RATINGS_SQL),
+        ("ratings_revised", RATINGS_REVISED_SQL),
         ("crosswalk", CROSSWALK_SQL),
     ]
     return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in parts) + "\n"
@@ -98,15 +119,20 @@ class Fixture:
     map_codes: DataFrame
     habitat_categories: DataFrame
     ratings: DataFrame
+    ratings_revised: DataFrame
     crosswalk: DataFrame
+    polygons_tem: DataFrame  # terrestrial-map spelling, hectares
 
 
 def load_fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    polygons = spark.sql(POLYGONS_SQL, orders=orders)
     return Fixture(
-        polygons=spark.sql(POLYGONS_SQL, orders=orders),
+        polygons=polygons,
         map_codes=spark.sql(MAP_CODES_SQL),
         habitat_categories=spark.sql(HABITAT_CATEGORIES_SQL),
         ratings=spark.sql(RATINGS_SQL),
+        ratings_revised=spark.sql(RATINGS_REVISED_SQL),
         crosswalk=spark.sql(CROSSWALK_SQL),
+        polygons_tem=spark.sql(TEM_SQL, polygons=polygons),
     )

@@ -5,7 +5,8 @@ for map updates delivered as files.  The stream keeps one state row per
 ecosystem unit (the strict-sum parts: number of rows, number of known areas,
 area total), so state is bounded by the distinct codes, not the polygons.
 Each micro-batch sees the complete unit table, applies the (small,
-broadcast) lookups and rewrites the report.  Checkpoint and report live in
+broadcast) lookups and writes the report as a new version; ``latest_report``
+reads the last complete one.  Checkpoint and report live in
 the shared checkpoint folder, so a restarted query resumes from its state.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.keys import bec_variant, ecosystem_label, ecosystem_unit, unit_key
-from ..functions.nulls import expr
+from ..functions.nulls import expr, total, type_of
 from ..operators.project import canonicalise
 from ..plans import ecosystems as eco
 from ..schema import SourceSpelling
@@ -30,7 +31,7 @@ def unit_state(polygons: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     d = eco.components(polygons, ids=by).selectExpr(
         *by, "strct", "area_t", f"{bec_variant()} AS bec_variant", f"{ecosystem_label()} AS ecosystem")
     return d.groupBy(*by, "bec_variant", "ecosystem", "strct").agg(
-        expr("count(1) AS n"), expr("count(area_t) AS n_known"), expr("sum(area_t) AS area_sum"))
+        expr("count(1) AS n"), expr("count(area_t) AS n_known"), expr(f"{total('area_t', type_of(d, 'area_t'))} AS area_sum"))
 
 
 def finish_units(state: DataFrame) -> DataFrame:
@@ -41,6 +42,13 @@ def finish_units(state: DataFrame) -> DataFrame:
     ).drop("n_known", "area_sum")
 
 
+def latest_report(spark: SparkSession, output_dir: str) -> DataFrame:
+    """The report of the last micro-batch that was written in full."""
+    versions = spark.read.parquet(output_dir)
+    last = versions.agg(expr("max(version)")).first()[0]
+    return versions.filter(f"version = {last}").drop("version")
+
+
 def start_habitat_stream(
     spark: SparkSession,
     source_dir: str,
@@ -67,7 +75,7 @@ def start_habitat_stream(
         units = finish_units(batch)
         cat = eco.with_categories(eco.with_names(units, map_codes, map_rows), categories, cat_rows)
         report = eco.bhc_summary(cat)
-        report.write.mode("overwrite").parquet(output_dir)
+        report.write.mode("overwrite").parquet(f"{output_dir}/version={batch_id}")
 
     writer = (
         state.writeStream.outputMode("complete")

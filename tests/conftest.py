@@ -33,5 +33,6 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{SF_SMALL}/orders.parquet')")
+    for t in ("orders", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return con

@@ -7,7 +7,8 @@ import os
 from ecotally.functions.nulls import expr
 from ecotally.functions.area import to_unit
 from ecotally.functions.keys import ecosystem_unit, split_key
-from ecotally.operators.aggregate import crosstab
+from ecotally.operators.aggregate import crosstab, crosstabs
+from ecotally.schema import RATING_KEY_PARTS_SITE
 from ecotally.operators.lookup import crosswalk, lookup
 from ecotally.operators.reshape import to_long, to_wide
 from ecotally.plans import ecosystems as eco
@@ -63,7 +64,7 @@ def test_h4_present_missing_total_stays_missing_absent_cell_is_zero(spark):
         {"parcel_id": "A", "dist_type": None, "sitemc_1": "AM", "sdec_1": 10, "area": 10000.0},
         {"parcel_id": "B", "dist_type": None, "sitemc_1": "AM", "sdec_1": 10, "area": 20000.0},
     ])
-    out = {r["parcel_id"]: r for r in parcels.parcel_area(parcels.parcel_units(p), parcels.footprint_classes(p)).collect()}
+    out = {r["parcel_id"]: r for r in parcels.parcel_area(parcels.parcel_units(p), parcels.footprint_classes(parcels.parcel_units(p))).collect()}
     assert out["A"]["footprint"] is None and out["A"]["not_footprint"] == 1.0 and out["A"]["parcel_area"] is None
     assert out["B"]["footprint"] == 0.0 and out["B"]["not_footprint"] == 2.0 and out["B"]["parcel_area"] == 2.0
 
@@ -98,7 +99,7 @@ def test_h8_duplicate_category_key_multiplies_area_and_is_reported(spark):
     stages = qa.area_conservation([("components", d), ("with_categories", eco.with_categories(named, cats, 2))])
     totals = {r["stage"]: r["total_area"] for r in stages.collect()}
     assert totals == {"components": 10.0, "with_categories": 20.0}
-    dup = qa.duplicate_lookup_keys(eco.eu_units(d), eco.categories_table(cats), "ecosystem_unit", "cat").collect()
+    dup = qa.duplicate_lookup_keys(eco.eu_units(d), [("cat", eco.categories_table(cats), "ecosystem_unit")]).collect()
     assert [(r["key"], r["n"]) for r in dup] == [("SW2", 2)]
 
 
@@ -132,7 +133,7 @@ def test_h11_ids_are_carried_onto_every_component(spark):
 def test_h12_repeated_component_rating(spark):
     rated = spark.createDataFrame([(1, "1", "H"), (1, "1", "L"), (1, "2", "M")], "fid bigint, decile string, rating string")
     assert [tuple(r) for r in ratings.rating_wide(rated).collect()] == [(1, "L", "M", None)]
-    dup = qa.duplicate_row_keys(rated, ["fid", "decile"], "rated").collect()
+    dup = qa.duplicate_components(rated, "rated").collect()
     assert [(r["key"], r["n"]) for r in dup] == [("1|1", 2)]
 
 
@@ -141,7 +142,7 @@ def test_h13_parcel_area_sums_all_classes(spark):
         {"parcel_id": "P", "dist_type": c, "sitemc_1": "AM", "sdec_1": 10, "area": a * 10000.0}
         for c, a in (("Dam", 1.0), ("Road", 2.0), (None, 4.0))
     ])
-    rows = parcels.parcel_area(parcels.parcel_components(p), parcels.footprint_classes(p)).collect()
+    rows = parcels.parcel_area(parcels.parcel_components(p), parcels.footprint_classes(parcels.parcel_units(p))).collect()
     assert rows[0]["parcel_area"] == 7.0
     assert sorted(rows[0].asDict()) == ["dam", "not_footprint", "parcel_area", "parcel_id", "road"]
 
@@ -183,7 +184,97 @@ def test_h18_csv_numbers_without_exponent(spark):
     lines = set()
     for f in glob.glob(os.path.join(path, "part-*")):
         lines.update(open(f).read().splitlines())
-    assert lines == {"area", "12345678.900000"}
+    assert lines == {"area", "12345678.9"}
+
+
+def test_csv_numbers_lose_nothing(spark):
+    import random
+
+    rng = random.Random(4)
+    values = [0.0, -0.0, 0.1234567891, 1e-7, -2.5e-9, 123456789012345680.0, -1.5e22, 5e-324, 1.7976931348623157e308, 10.0, 1e7, 12345678.125]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-20, 20) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("v", f"{files.plain_number('v')} AS t")
+    for v, t in df.collect():
+        assert float(t) == v and "E" not in t.upper() and not t.endswith(".0"), (v, t)
+    path = scratch_path(spark, "lossless")
+    files.write_csv(spark.createDataFrame([(None, "0.12345678912345")], "v double, d string").selectExpr("v", "CAST(d AS DECIMAL(20,14)) AS d"), path)
+    row = files.read_typed_csv(spark, path).collect()[0]
+    assert (row["v"], row["d"]) == (None, "0.12345678912345")
+
+
+def test_any_number_of_categories(spark):
+    df = spark.range(20_000).selectExpr("concat('r', id % 3) AS r", "concat('c', id % 5000) AS c")
+    long = crosstabs(df, [("r", "c")])
+    assert long.count() == 15_000 and long.agg({"n": "sum"}).first()[0] == 20_000
+    wide = crosstab(df.limit(1500), "r", "c")
+    assert len(wide.columns) > 1001
+
+
+def test_totals_beyond_bigint_are_exact(spark):
+    from ecotally.operators.aggregate import group_area
+
+    big = 9_223_372_036_854_775_000
+    df = spark.createDataFrame([("a", big), ("a", big), ("a", 7), ("a", -3), ("b", 5), ("b", None)], "k string, area_t bigint")
+    out = {r["k"]: r["area_t"] for r in group_area(df, ["k"]).collect()}
+    assert out == {"a": 2 * big + 4, "b": None}
+    again = group_area(group_area(df.filter("area_t IS NOT NULL"), ["k"]).select("area_t"), []).first()
+    assert again["area_t"] == 2 * big + 9
+    wide = to_wide(df.withColumnRenamed("k", "z").selectExpr("1 AS i", "z", "area_t"), ["i"], "z", ["a", "b"], "area_t").first()
+    assert (wide["a"], wide["b"]) == (2 * big + 4, None)
+
+
+def test_fixed_point_areas_stay_exact(spark):
+    from ecotally.functions.area import with_area_units
+
+    for dtype, want in (("DECIMAL(15,2)", "bigint"), ("DECIMAL(17,2)", "bigint"), ("DECIMAL(18,2)", "decimal(38,6)"), ("DECIMAL(19,6)", "decimal(38,6)"), ("DOUBLE", "double")):
+        df = with_area_units(spark.sql(f"SELECT CAST(12.25 AS {dtype}) AS area"))
+        assert dict(df.dtypes)["area_u"] == want and float(df.first()["area_u"]) == 1225.0
+
+
+def test_no_polygons_at_all(spark):
+    p = polygons(spark, [{"sitemc_1": "AM", "area": 1.0}]).filter("false")
+    mc, cats = map_codes(spark, [("BWBSmw1", "AM", "n", "t")]), categories(spark, [("AM6", "CMF")])
+    assert parcels.parcel_report(p, mc, cats).count() == 0
+    assert parcels.parcel_area(parcels.parcel_units(p), []).count() == 0
+    unmapped = polygons(spark, [{"parcel_id": "P", "area": 1.0}])  # a polygon without a mapped component
+    assert parcels.parcel_report(unmapped, mc, cats).count() == 0
+
+
+def test_braces_in_a_category(spark):
+    df = spark.createDataFrame([("P", "a{b}", 10.0), ("P", "{}", 5.0)], "k string, c string, area_t double")
+    row = to_wide(df, ["k"], "c", ["a{b}", "{}"], "area_t", names=["x", "y"]).first()
+    assert (row["x"], row["y"]) == (10.0, 5.0)
+
+
+def test_empty_sheet_has_its_header(spark):
+    path = scratch_path(spark, "empty-sheet")
+    files.write_sheet(spark.createDataFrame([], "code string, area double"), path, ["Title"])
+    back = files.read_sheet(spark, path, skip=1)
+    assert back.columns == ["code", "area"] and back.count() == 0
+
+
+def test_missing_duplicate_key_is_reported(spark):
+    from ecotally.plans import qa
+
+    rows = spark.createDataFrame([("u1",), (None,)], "unit string")
+    table = spark.createDataFrame([(None, "x"), (None, "y"), ("u1", "z"), ("u2", "a"), ("u2", "b")], "unit string, name string")
+    out = qa.duplicate_lookup_keys(rows, [("names", table, "unit")]).collect()
+    assert [tuple(r) for r in out] == [("names", None, 2)]
+    rated = spark.createDataFrame([(1, "1"), (1, "1"), (1, "2"), (None, "3"), (None, "3")], "fid bigint, decile string")
+    got = sorted(tuple(r) for r in qa.duplicate_components(rated, "c").collect())
+    assert got == [("c", "1|1", 2), ("c", "NA|3", 2)]
+
+
+def test_terrestrial_spelling_can_be_rated(spark):
+    from ecotally.operators.project import canonicalise
+    from ecotally.schema import TEM
+
+    raw = spark.createDataFrame([("e1", "KIP", "BWBS", "mw", "1", 10, "SW", "5", 2.5)],
+                                "ECP_TAG string, Eco_Sec string, Bgc_Zone string, Bgc_Subzon string, Bgc_Vrt string, Sdec_1 int, SiteMC_S1 string, Strct_S1 string, Area_ha double")
+    r = sheet(spark, [("KIP", "BWBS", "mw", "1", "SW", None, None, "5", None, None, "L")],
+              ["ECO_SEC", "BGC_ZONE", "BGC_SUBZON", "BGC_VRT", "SITEMC_S", "SITE_MA", "SITE_MB", "STRCT_S", "STRCT_M", "SERAL", "BSEOW_LI"])
+    out = ratings.rated_rows(ratings.rate(ratings.rating_components(canonicalise(raw, TEM)), r)).collect()
+    assert [(x["fid"], x["decile"], x["area"], x["rating"]) for x in out] == [("e1", "1", 25000.0, "L")]
 
 
 def test_crosswalk_unmatched_code_becomes_missing(spark):
@@ -242,7 +333,7 @@ def test_split_exact_separator_mode(spark):
 def test_eleven_part_key_when_site_series_present(spark):
     p = polygons(spark, [{"eco_sec": "KIP", "site_1": "102", "sitemc_1": "SW", "strct_1": "5", "strct_m_1": "i",
                           "sdec_1": 10, "area": 1.0}])
-    parts = ratings.key_parts(p)
+    parts = RATING_KEY_PARTS_SITE
     assert len(parts) == 11 and parts[4] == "SITE_S"
     r = sheet(spark, [("KIP", "BWBS", "mw", "1", "102", "SW", None, None, "5", None, None, "L"),
                       ("KIP", "BWBS", "mw", "1", "102", "SW", None, None, "5", "", None, "M")],

@@ -1,13 +1,12 @@
 """File-to-report jobs give the registered queries' results."""
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
 from ecotally import jobs
 from ecotally.session import scratch_path
 from ecotally.sources import files
 from ecotally.sources.fixture import load_fixture
 
-Q = entry.queries()
+from ecotally.queries import QUERIES as Q
 
 
 def _sorted(df, cols):
@@ -40,11 +39,25 @@ def test_habitat_and_rate_jobs_from_files(spark):
     sheets = ["--map-codes", f"{base}/map_codes", "--map-codes-skip", "1",
               "--categories", f"{base}/categories", "--categories-skip", "3"]
     jobs.main(["habitat", *common, *sheets, "--out", f"{base}/habitat"], spark=spark)
-    got = files.read_typed_csv(spark, f"{base}/habitat/habitat_summary", {"total_area": "double"})
+    got = files.read_typed_csv(spark, f"{base}/habitat/habitat_summary", {"Total_area": "double"})
+    assert got.columns == ["BHC20", "Total_area"]
+    got = got.toDF("bhc20", "total_area")
     _close(_sorted(got, ["bhc20", "total_area"]), _sorted(Q["bhc_summary"](spark, SF_SMALL), ["bhc20", "total_area"]))
 
     jobs.main(["zones", *common, *sheets, "--out", f"{base}/zones"], spark=spark)
-    got = files.read_typed_csv(spark, f"{base}/zones/map_codes_by_zone", {"sort": "int"})
+    got = files.read_typed_csv(spark, f"{base}/zones/map_codes_by_zone", {"Sort": "int"})
+    assert got.columns == ["Sort", "BEC Variant", "Ecosystem", "Site Series", "Site Series Name", "Type", "Dam", "Reservoir",
+                           "TL", "Hwy 29", "Road", "Quarry", "Erosion Impact"]
+    zones = files.read_typed_csv(spark, f"{base}/zones/eu_by_zone")
+    assert zones.columns == ["PAZ", "BEC Variant", "Ecosystem", "Site Series Name", "Type", "STRCT", "structural_class", "Total_area"]
+    after = files.read_typed_csv(spark, f"{base}/zones/eu_after")
+    assert after.columns == ["Type", "structural_class_after", "Total_area"]
+
+    jobs.main(["parcels", *common, *sheets, "--out", f"{base}/parcels"], spark=spark)
+    split = files.read_typed_csv(spark, f"{base}/parcels/parcel_area")
+    assert split.columns == ["ParcelID_t", "Footprint", "Not footprint", "parcel_area"]
+    header = spark.read.text(f"{base}/parcels/parcel_habitat").filter("value LIKE 'ParcelID%'").first()[0].split(",")
+    assert header[:3] == ["ParcelID_t", "CMF", "CYF"] and header[-4:] == ["NA", "Footprint", "Not footprint", "parcel_area"]
     assert got.count() == Q["mc_report"](spark, SF_SMALL).count()
 
     jobs.main(["rate", *common, "--ratings", f"{base}/ratings", "--out", f"{base}/rate"], spark=spark)
@@ -54,6 +67,25 @@ def test_habitat_and_rate_jobs_from_files(spark):
            _sorted(want.withColumnRenamed("area_tot", "area"), ["rating", "area"]))
 
 
+def test_rating_job_uses_ten_parts_whatever_the_columns(spark):
+    """Site series columns in the polygons and the sheet don't change the rating job."""
+    from ecotally.queries import inputs
+
+    i = inputs(spark, SF_SMALL)
+    assert "site_1" in i.polygons.columns and "SITE_S" in i.ratings.columns
+    out = jobs.rate_job(i.polygons, i.ratings)
+    without = jobs.rate_job(i.polygons.drop("site_1", "site_2", "site_3"), i.ratings.drop("SITE_S"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(out["rated"]) == rows(without["rated"]) == rows(Q["whr_rate"](spark, SF_SMALL))
+    assert out["rated"].filter("rating IS NOT NULL").count() > 0
+    totals = {r["total_area"] for r in out["control_totals"].collect()}
+    assert len(totals) == 1
+    whi = jobs.whi_job(i.polygons, i.ratings, i.map_codes)["first_component_rating"]
+    assert rows(whi) == rows(Q["whi_first_component"](spark, SF_SMALL))
+    while jobs._SHARED:
+        jobs._SHARED.pop().unpersist()
+
+
 def test_every_job_runs(spark):
     from ecotally.queries import inputs
 
@@ -69,10 +101,7 @@ def test_every_job_runs(spark):
         **jobs.qa_job(i.polygons),
     }
     counts = {k: v.count() for k, v in outs.items()}
-    # every report has rows, except crosstabs on a column the fixture leaves all missing
-    empty = {"crosstab_strct_2_x_strct_m_2", "crosstab_sitemc_3_x_seral_3"}
-    assert all(n > 0 for k, n in counts.items() if k not in empty), counts
-    assert all(counts[k] == 0 for k in empty)
+    assert all(counts.values()), counts
     # the spatial job keeps empty components: one EU group with no ecosystem
     assert outs["eu_summary"].filter("ecosystem IS NULL").count() > 0
     while jobs._SHARED:
@@ -108,14 +137,14 @@ def test_qa_job_tables(spark):
 
     i = inputs(spark, SF_SMALL)
     out = jobs.qa_job(i.polygons)
-    assert {"crosstab_sitemc_1_x_seral_1", "crosstab_strct_1_x_strct_m_1", "crosstab_strct_3_x_strct_m_3"} <= set(out)
-    # map code x seral for component 1: rows are map codes, columns the seral codes seen
-    tab = out["crosstab_sitemc_1_x_seral_1"]
-    assert set(tab.columns) == {"sitemc_1", "as"}
+    tabs = {}
+    for r in out["component_crosstabs"].collect():
+        tabs.setdefault(r["table"], set()).add((r["row"], r["col"]))
+    # map code x seral for component 1; a pair whose second column is all missing counts no rows
+    assert {c for _, c in tabs["sitemc_1_x_seral_1"]} == {"as"} and "strct_3_x_strct_m_3" in tabs
+    assert "strct_2_x_strct_m_2" not in tabs and "sitemc_3_x_seral_3" not in tabs
     freq = {(r["column"], r["value"]): r["n"] for r in out["frequencies"].collect()}
     assert ("site_ma_1", "k") in freq and ("strct_m_1", "i") in freq
-    # a pair whose second column is all missing counts no rows
-    assert out["crosstab_strct_2_x_strct_m_2"].count() == 0
 
 
 def test_cli_runs_as_a_module(spark):

@@ -7,8 +7,8 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF_SMALL
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+from ecotally.oracle import ORACLE
+from ecotally.queries import QUERIES
 
 
 def _norm(v):
@@ -42,6 +42,25 @@ def test_query_matches_oracle(spark, duck, name):
     assert s_rows == d_rows
 
 
+def test_entry_holds_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
+def test_map_code_report_is_in_sort_order(spark):
+    rows = QUERIES["mc_report"](spark, SF_SMALL).collect()
+    keys = [(r["sort"] is None, r["sort"] or 0, r["bec_variant"] is not None, r["bec_variant"] or "", r["ecosystem"]) for r in rows]
+    assert keys == sorted(keys) and any(k[0] for k in keys) and not all(k[0] for k in keys)
+
+
+def test_neighbours_differ(spark):
+    """Queries on their own inputs give results of their own."""
+    rows = lambda name: sorted(map(str, QUERIES[name](spark, SF_SMALL).collect()))
+    assert rows("whr_rate") != rows("whr_rate_revised")
+    assert rows("bhc_crosswalked") != rows("bhc_crosswalked_tem")
+    assert QUERIES["whi_first_component"](spark, SF_SMALL).filter("rating IS NOT NULL").count() > 0
+    assert QUERIES["recode_rules"](spark, SF_SMALL).filter("cem_ecp = '87238' AND strct_3 = '3'").count() == 1
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()

@@ -4,12 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
 from conftest import SF_SMALL
 from ecotally.operators.lookup import lookup
 from ecotally.session import shared_dir
 
-Q = entry.queries()
+from ecotally.queries import QUERIES as Q
 
 
 def plan(df, capsys, executed=False) -> str:
@@ -109,11 +108,75 @@ def test_scratch_folder_comes_from_the_session(spark):
 
 @pytest.mark.parametrize("name", sorted(Q))
 def test_no_python_in_any_plan(spark, capsys, name):
-    if name.startswith(("src_", "snk_")):
-        pytest.skip("writes files when built")
     assert no_python(plan(Q[name](spark, SF_SMALL), capsys))
 
 
+def test_no_python_in_what_the_file_queries_write(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    seen = []
+    for kind in ("csv", "text"):
+        def write(self, path, *a, f=getattr(DataFrameWriter, kind), **kw):
+            seen.append(self._df._jdf.queryExecution().executedPlan().toString())
+            return f(self, path, *a, **kw)
+
+        monkeypatch.setattr(DataFrameWriter, kind, write)
+    for name in ("src_typed_csv", "snk_csv_roundtrip", "src_header_offset"):
+        Q[name](spark, SF_SMALL)
+    assert len(seen) == 3 and all(no_python(p) for p in seen)
+
+
+@pytest.mark.parametrize("name", ["rating_area_all", "rating_area_first", "whr_unmatched"])
+def test_area_reports_join_ratings_after_the_first_exchange(spark, capsys, name):
+    p = plan(Q[name](spark, SF_SMALL), capsys)
+    below = p[p.rindex("Exchange hashpartitioning"):]
+    assert "Join" in p and "Join" not in below
+
+
+@pytest.mark.parametrize("name, scans", [("qa_component_crosstabs", 1), ("qa_duplicate_keys", 2), ("qa_rating_conservation", 1)])
+def test_qa_scans_and_builds_without_jobs(spark, capsys, name, scans):
+    from ecotally.queries import inputs
+
+    inputs(spark, SF_SMALL)  # reading a file's schema is a job
+    tracker, group = spark.sparkContext.statusTracker(), f"build-{name}"
+    spark.sparkContext.setJobGroup(group, name)
+    try:
+        df = Q[name](spark, SF_SMALL)
+        assert not tracker.getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    p = plan(df, capsys, executed=True).split("== Initial Plan ==")[0]
+    assert p.count("FileScan parquet") <= scans
+
+
+def test_few_wide_rows_are_not_broadcast(spark, capsys):
+    big = spark.range(1000).selectExpr("CAST(id AS STRING) AS k", "id AS v")
+    wide = spark.range(20).selectExpr("CAST(id AS STRING) AS k", "repeat('x', 100000) AS w")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        over = plan(lookup(big, wide, ["k"], table_rows=20, max_bytes=1 << 20), capsys)
+        under = plan(lookup(big, wide, ["k"], table_rows=20), capsys)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "BroadcastHashJoin" not in over and "BroadcastHashJoin" in under
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    def session(master, path=None):
+        sc = SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": path} if path else {}, getCheckpointDir=lambda: None)
+        return SimpleNamespace(sparkContext=sc)
+
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs:///x/")) == "hdfs:///x"
+
+
 def test_shuffled_lookup_is_salted_without_aqe_skew_splitting(spark, capsys):
     # a hot key: 90% of the rows share one key
     big = spark.range(2000).selectExpr("CASE WHEN id % 10 = 0 THEN CAST(id AS STRING) ELSE 'hot' END AS k", "id AS v")
