@@ -136,7 +136,7 @@ def test_matcher_finds_one_edit(term, data):
 
 
 def test_toxicity_of_odd_rows(spark):
-    sayings = [(i, f"you are an idiot and a loser {'abcdefghij'[i % 10]} w{i}" if i % 2 else f"a kind word number {i} for you", "en", "a", 1)
+    sayings = [(i, f"you are such w{i} idiot and a{i} loser today" if i % 2 else f"a kind word number {i} for you", "en", "a", 1)
                for i in range(100, 200)]
     labels = spark.createDataFrame([(i, i % 2) for i in range(100, 200)] + [(100, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(spark.createDataFrame(sayings, rows.SCHEMA), labels)
@@ -177,6 +177,7 @@ def test_surrogates_keep_type_format_and_identity(spark):
         assert s != entity and entity not in " ".join(texts.values())
         if kind != "person" and kind != "ip":
             assert [c.isdigit() for c in s] == [c.isdigit() for c in entity] or kind == "secret"
+            assert kind != "secret" or s[:3] == entity[:3]
             assert len(s) == len(entity)
     assert seen["email", "Bob.99@Mail4.example.com"].lower() == seen["email", "bob.99@mail4.example.com"]
     assert seen["person", "Mr. John Smith"][4:] == seen["person", "Mr John Smith"][3:]
