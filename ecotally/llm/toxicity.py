@@ -28,7 +28,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACES, add_columns, stored
+from .common import add_columns, stored
 
 SAMPLE = 6_000
 MAX_TERMS = 5_000
@@ -208,36 +208,74 @@ def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: s
 
 
 def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
-    """Terms and stems from sampled (d, t, y)."""
-    edge = EDGES + SPACE_CHARS
-    words = F.transform(F.split(F.lower(F.coalesce("t", F.lit(""))), SPACES), lambda w: F.btrim(w, F.lit(edge)))
-    rows = texts.withColumn("w", words).withColumn("p", F.explode(F.expr(
-        "transform(sequence(0, size(w) - 1), i -> named_struct('w', w[i], 'before', CASE WHEN i > 0 THEN w[i - 1] ELSE '' END))")))
-    rows = rows.select("d", "y", "p.w", "p.before").filter("length(w) >= 3").distinct()
+    """Terms and stems from sampled (d, t, y).
+
+    Words and stems are counted in the toxic texts first; clean texts are then
+    asked for those alone that came up often and in several contexts."""
     n = {r[0]: r[1] for r in texts.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         return [], []
-    ratio = n[1] / n[0]
     least = max(2, math.ceil(math.log(CHANCE) / math.log(n[1] / (n[0] + n[1]))))
 
-    def strong(keyed: DataFrame, *more) -> DataFrame:
-        c = keyed.groupBy("k").agg(
-            F.count_distinct(F.when(F.col("y") == 1, F.col("d"))).alias("toxic"),
-            F.count_distinct(F.when(F.col("y") == 0, F.col("d"))).alias("clean"),
-            F.count_distinct(F.when(F.col("y") == 1, F.col("before"))).alias("contexts"), *more)
-        share = F.col("toxic") / (F.col("toxic") + F.col("clean") * F.lit(ratio) * 3)
-        return c.filter((F.col("toxic") >= least) & (2 * F.col("contexts") >= least) & (share >= MIN_SHARE))
-
-    best = [F.desc("contexts"), F.desc("toxic"), F.asc("k")]
-    terms = [r["k"] for r in strong(rows.withColumn("k", F.col("w"))).orderBy(*best).limit(MAX_TERMS).collect()]
-    lengths = F.array(*[F.lit(i) for i in STEM_LENGTHS])
-    keyed = rows.withColumn("n", F.explode(lengths)).filter("length(w) >= n").withColumn("k", F.expr("left(w, n)"))
-    kinds = F.count_distinct(F.when(F.col("y") == 1, F.col("w"))).alias("kinds")
-    stems = [r["k"] for r in strong(keyed, kinds).filter("kinds >= 3").orderBy(*best).limit(MAX_TERMS).collect()]
+    def in_toxic(batches):
+        import pandas as pd  # noqa: PLC0415
+
+        seen: dict[tuple, list] = {}
+        for b in batches:
+            for t in b["t"]:
+                words, mine = bare_words(t), set()
+                for before, w in zip(["", *words], words):
+                    for k in keys_of(w):
+                        c = seen.setdefault(k, [0, set(), set()])
+                        if k not in mine:
+                            mine.add(k)
+                            c[0] += 1
+                        if len(c[1]) < least:  # no more are asked for
+                            c[1].add(before)
+                        if len(c[2]) < 3:
+                            c[2].add(w)
+        yield pd.DataFrame([(*k, c[0], sorted(c[1]), sorted(c[2])) for k, c in seen.items()],
+                           columns=["stem", "k", "toxic", "contexts", "kinds"])
+
+    rows = texts.filter("y = 1").select("t").mapInPandas(in_toxic, "stem boolean, k string, toxic long, contexts array<string>, kinds array<string>")
+    often = rows.groupBy("stem", "k").agg(
+        F.sum("toxic").alias("toxic"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
+    often = often.filter((F.col("toxic") >= least) & (2 * F.col("contexts") >= least) & (~F.col("stem") | (F.col("kinds") >= 3)))
+    toxic = {(r["stem"], r["k"]): r["toxic"] for r in often.collect()}  # bounded by the sample
+
+    def in_clean(batches):
+        import pandas as pd  # noqa: PLC0415
+
+        clean: dict[tuple, int] = {}
+        for b in batches:
+            for t in b["t"]:
+                for k in {k for w in set(bare_words(t)) for k in keys_of(w)}:
+                    if k in toxic:
+                        clean[k] = clean.get(k, 0) + 1
+        yield pd.DataFrame([(*k, c) for k, c in clean.items()], columns=["stem", "k", "clean"])
+
+    rows = texts.filter("y = 0").select("t").mapInPandas(in_clean, "stem boolean, k string, clean long")
+    clean = {(r["stem"], r["k"]): r["n"] for r in rows.groupBy("stem", "k").agg(F.sum("clean").alias("n")).collect()}
+    ratio = 3 * n[1] / n[0]
+    strong = [k for k, c in toxic.items() if c >= MIN_SHARE * (c + ratio * clean.get(k, 0))]
+    strong.sort(key=lambda k: (-toxic[k], k))
+    terms = [k for stem, k in strong if not stem][:MAX_TERMS]
+    stems = [k for stem, k in strong if stem][:MAX_TERMS]
     short = set(stems)
     return terms, [s for s in stems if not any(s[:k] in short for k in range(1, len(s)))]
 
 
+def bare_words(text: str | None) -> list[str]:
+    """Words of three letters or more without the marks at their edges."""
+    return [w for w in (x.strip(EDGES) for x in tokens(text or "")) if len(w) >= 3]
+
+
+def keys_of(word: str) -> list[tuple[bool, str]]:
+    """The word itself and its stems, as (is a stem, text)."""
+    return [(False, word), *[(True, word[:k]) for k in STEM_LENGTHS if len(word) >= k]]
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
         sample: int = SAMPLE) -> dict:
     """Model from labelled rows (the caller leaves out what is held out)."""
