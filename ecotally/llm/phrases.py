@@ -278,45 +278,75 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         remove, f"id {id_type}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", doc_id)
 
 
+#: Symbols of one automaton step: a word's number is written with two of them, from ranges that don't meet, so that no
+#: node of the automaton has many children and no match begins inside a word.
+BASE = 512
+
+
 def _located(pdf, window: int):
     """For each segment of a shard a mask over its windows: 0 the window occurs
     once, 1 it recurs and starts earlier elsewhere, 2 it recurs and the
-    segment's first place is its first."""
+    segment's first place is its first.
+
+    A passage is a run of recurring windows of a segment.  The automaton holds
+    the first window of every passage; where one is met in the stream, the
+    passage goes on as long as the next window recurs."""
     import ahocorasick  # noqa: PLC0415
     import numpy as np  # noqa: PLC0415
     import pandas as pd  # noqa: PLC0415
 
-    number: dict[bytes, int] = {}
-    rows = [tuple([number.setdefault(w, len(number)) for w in t.split(b" ")]) for t in pdf["text"]]
-    seen: dict[tuple, int] = {}
-    for r, twice in zip(rows, pdf["twice"]):
-        for i in range(len(r) - window + 1):
-            x = r[i:i + window]
+    class Codes(dict):
+        def __missing__(self, word):
+            high, low = divmod(len(self), BASE)
+            code = self[word] = chr(0x10000 + high) + chr(0x100 + low)
+            return code
+
+    codes, size = Codes(), 2 * window
+    rows = ["".join(map(codes.__getitem__, t.split(b" "))) for t in pdf["text"]]
+    codes.clear()
+    seen: dict[str, int] = {}
+    for r, twice in zip(rows, pdf["twice"].tolist()):
+        for i in range(0, len(r) - size + 1, 2):
+            x = r[i:i + size]
             seen[x] = seen.get(x, 0) + 1 + twice
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    phrases = 0
-    for x, c in seen.items():
-        if c > 1:
-            automaton.add_word(x, phrases)
-            phrases += 1
-    seen.clear()
-    if not phrases:
+    seen = {x: k for k, x in enumerate(x for x, c in seen.items() if c > 1)}  # confirmed phrases
+    if not seen:
         return pd.DataFrame({"block": [], "segment": [], "mask": []})
+    starts = set()
+    for r in rows:
+        before = False
+        for i in range(0, len(r) - size + 1, 2):
+            x = r[i:i + size]
+            now = x in seen
+            if now and not before:
+                starts.add(x)
+            before = now
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for x in starts:
+        automaton.add_word(x)
+    starts.clear()
     automaton.make_automaton()
     order = _order(_ids(pdf))
-    first: list = [None] * phrases
+    first: list = [None] * len(seen)
     hits = []
     for r, o, lo in zip(rows, order, pdf["place"].tolist()):
-        found = [(end - window + 1, p) for end, p in automaton.iter(r)]
+        found = []
+        for end, _ in automaton.iter(r):
+            i = end + 1 - size
+            if found and i <= found[-1][0]:
+                continue  # inside a passage that was followed already
+            while i + size <= len(r) and (p := seen.get(r[i:i + size])) is not None:
+                found.append((i, p))
+                place = (o, lo + i // 2)
+                if first[p] is None or place < first[p]:
+                    first[p] = place
+                i += 2
         hits.append(found)
-        for i, p in found:
-            if first[p] is None or (o, lo + i) < first[p]:
-                first[p] = (o, lo + i)
     out = []
     for block, segment, r, o, lo, found in zip(pdf["block"].tolist(), pdf["segment"].tolist(), rows, order, pdf["place"].tolist(), hits):
         if found:
-            mask = np.zeros(len(r) - window + 1, np.uint8)
+            mask = np.zeros((len(r) - size) // 2 + 1, np.uint8)
             for i, p in found:
-                mask[i] = 2 if first[p] == (o, lo + i) else 1
+                mask[i // 2] = 2 if first[p] == (o, lo + i // 2) else 1
             out.append((block, segment, mask.tobytes()))
     return pd.DataFrame(out, columns=["block", "segment", "mask"])
