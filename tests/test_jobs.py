@@ -33,7 +33,8 @@ def test_habitat_and_rate_jobs_from_files(spark):
     files.write_sheet(mc, f"{base}/map_codes", ["Map codes"], sort_by=["Sort"])
     files.write_sheet(fx.habitat_categories.withColumnRenamed("ecosystem_unit", "Ecosystem Unit"),
                       f"{base}/categories", ["EUs", "with", "categories"])
-    files.write_csv(fx.ratings, f"{base}/ratings")
+    # a CSV cell can't hold an empty text that is not missing; such keys match no uncleaned modifier anyway
+    files.write_csv(fx.ratings.filter("STRCT_M IS NULL OR STRCT_M <> ''"), f"{base}/ratings")
 
     common = ["--polygons", f"{base}/polygons", "--polygons-format", "csv", "--spelling", "cem_shape_area"]
     sheets = ["--map-codes", f"{base}/map_codes", "--map-codes-skip", "1",
