@@ -34,17 +34,20 @@ TITLES = {
     "n": ["Dr", "Prof", "Mx"],
 }
 _NAME = r"(?:\p{Lu}[\p{L}'’-]+)"
+#: What stands before a secret's value; it is part of the entity and stays.
+_KEYED = r"""(?:(?i:password|passwd|pwd|token|secret|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}["']?)"""
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 
 #: type -> pattern; earlier types win where several match at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"""(?<=(?:password|passwd|pwd|token|secret|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}["']{0,1})[A-Za-z0-9_+/.-]{8,}"""
+    "secret": rf"""{_KEYED}(?=[^\s"']*\d)[A-Za-z0-9_+/.-]{{7,}}[A-Za-z0-9_+/=-]"""
               r"|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}|\b[0-9a-f]{32,64}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<!\d)\+\d{9,15}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+             r"|(?<!\d)\+\d{9,15}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]\d{2,4}){3,5}(?!\d)|(?<![\d.-])\d{2}(?:[ .]\d{2}){4}(?![\d.-]*\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{4} \d{4} \d{1,7})(?!\d)",
     "person": rf"\b(?:{_TITLE})\.? {_NAME}(?: {_NAME})?",
 }
@@ -52,13 +55,10 @@ PATTERNS = {
 WHOLE = PATTERNS | {
     "ip": r"(?:\d{1,3}\.){3}\d{1,3}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{9,15}",
+    "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{9,15}|\+\d{1,3}(?:[ .-]\d{2,4}){3,5}|\d{2}(?:[ .]\d{2}){4}",
     "card": r"\d{13,19}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{4} \d{4} \d{1,7}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Cheap test that leaves out most texts: a digit, an at sign or a title.
-MAY_HOLD = rf"[0-9@]|\b(?:{_TITLE})\.? \p{{Lu}}|(?:password|passwd|pwd|token|secret|api_key|apikey|api-key)\s{{0,3}}[=:]"
-
 #: Given names by gender (Latin script), and by gender in Cyrillic.
 NAMES = {
     "f": "Anna Clara Elena Emma Eva Flora Greta Hanna Ida Julia Laura Lena Maria Martha Nina Olga Paula Rosa Sara Sofia Tessa Vera",
@@ -84,10 +84,19 @@ def _type_of(e: str) -> Column:
     return out
 
 
+def may_hold(text: str) -> Column:
+    """Cheap test that leaves out most texts: every entity has a digit, an at
+    sign or a title."""
+    t = F.col(text)
+    titled = F.lit(False)
+    for title in _TITLE.split("|"):
+        titled = titled | F.contains(t, F.lit(f"{title} ")) | F.contains(t, F.lit(f"{title}. "))
+    return t.rlike("[0-9@]") | titled
+
+
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_e`` (entities in order) and ``_p`` (the text between)."""
-    may = F.col(text).rlike(MAY_HOLD)
-    some = F.when(may, F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
+    some = F.when(may_hold(text), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     with_e = docs.withColumn("_e", some)
     return with_e.withColumn("_p", F.when(F.size("_e") > 0, F.split(F.col(text), ANY, -1)))
 
@@ -100,7 +109,7 @@ def identities(entities: DataFrame) -> DataFrame:
         gender = F.when(F.col("e").rlike(rf"^(?:{'|'.join(TITLES[g])})\b"), F.lit(g)).otherwise(gender)
     bare = F.regexp_replace("e", rf"^(?:{_TITLE})\.? ", "")
     canonical = (
-        F.when(F.col("type") == "person", F.lower(bare))
+        F.when(F.col("type") == "person", F.lower(bare)).when(F.col("type") == "secret", F.regexp_replace("e", f"^{_KEYED}", ""))
         .when(F.col("type").isin("phone", "card", "ssn"), F.regexp_replace("e", "[^0-9]", ""))
         .when(F.col("type") == "iban", F.regexp_replace("e", " ", ""))
         .when(F.col("type") == "email", F.lower("e")).otherwise(F.col("e")))
@@ -202,8 +211,9 @@ def _in_format() -> Column:
     person = f"""concat(regexp_extract(e, '^((?:{_TITLE})\\\\.? )', 1), CASE
         WHEN regexp_replace(e, '^(?:{_TITLE})\\\\.? ', '') = upper(regexp_replace(e, '^(?:{_TITLE})\\\\.? ', '')) THEN upper(surrogate)
         ELSE initcap(surrogate) END)"""
-    return F.expr(f"""CASE WHEN type IN ('phone', 'card', 'ssn') THEN {digits} WHEN type = 'iban' THEN {grouped}
+    shown = F.expr(f"""CASE WHEN type IN ('phone', 'card', 'ssn') THEN {digits} WHEN type = 'iban' THEN {grouped}
         WHEN type = 'email' THEN {cased} WHEN type = 'person' THEN {person} ELSE surrogate END""")
+    return F.when(F.col("type") == "secret", F.concat(F.regexp_extract("e", f"^({_KEYED})", 1), "surrogate")).otherwise(shown)
 
 
 def replaced(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
