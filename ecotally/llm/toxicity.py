@@ -8,11 +8,15 @@ exactly).  The product automaton is made deterministic as it is used, so a
 word costs a few table steps.  Scoring: each hit has the smoothed share of
 toxic texts among the training texts that hold such a hit, by term, distance
 and context (inside quotation marks or not, other hits within ``NEAR`` words
-or not); a text's score is the chance that at least one hit is real.
+or not): the odds of the term times the likelihood ratio of the context over
+all terms, then the counts of the term in that context; a text's score is the
+chance that at least one hit is real.  A word that clean texts hold only
+inside quotation marks can be a term.
 
 The sample to learn from is bounded: about ``SAMPLE`` toxic and ``SAMPLE``
 clean labelled texts, chosen by hash.  Inexact hits are rated on one half of
-it, after words that clean texts of the other half hold have been excepted.
+it, after words that clean texts of the other half hold outside quotation
+marks have been excepted.
 
 Results of odd input: a null or empty text has no hits and the score of such
 texts; a table without labels learns nothing and scores 0 everywhere; several
@@ -40,7 +44,7 @@ MIN_CHANCE = 0.5
 STEM_LENGTHS = range(4, 9)
 NEAR = 10
 EDGES = "\"'`.,;:!?()[]{}<>«»“”„‘’‚‹›*_~-–—…|/\\#$%&+="
-OPENING, CLOSING = "\"«“„‘‚‹", "\"»”“’›"
+OPENING, CLOSING = frozenset("\"«“„‘‚‹"), frozenset("\"»”“’›")
 REMEMBERED = 300_000
 PREDICTED_FROM = 0.3
 
@@ -155,6 +159,19 @@ def tokens(text: str) -> list[str]:
     return text.lower().split()
 
 
+def quoted_places(raw: list[str]) -> set[int]:
+    """Places of the words inside quotation marks that close within
+    ``4 * NEAR`` words."""
+    places, since = set(), None
+    for i, w in enumerate(raw):
+        if w[0] in OPENING and (since is None or i - since >= 4 * NEAR):
+            since = i
+        if since is not None and w.rstrip(".,;:!?)")[-1:] in CLOSING and (len(w) > 1 or i > since):
+            places.update(range(max(since, i - 4 * NEAR + 1), i + 1))
+            since = None
+    return places
+
+
 def hits_of(text: str | None, matcher: Matcher, known: dict) -> list[tuple[str, int, str, str]]:
     """Hits of a text: (term, distance, context, the word itself); context is
     two letters: quoted (q/-) and other hits near (n/-)."""
@@ -175,18 +192,8 @@ def hits_of(text: str | None, matcher: Matcher, known: dict) -> list[tuple[str,
             bare[w] = m
     if not bare:
         return []
-    quoted, inside = set(), False
-    found = []
-    for i, w in enumerate(raw):
-        if w[0] in OPENING:
-            inside = True
-        if w in bare:
-            found.append(i)
-            if inside:
-                quoted.add(i)
-        if inside and w.rstrip(".,;:!?)")[-1:] in CLOSING and len(w) > 1:
-            inside = False
-    closed = {i for i in quoted if any(x.rstrip(".,;:!?)")[-1:] in CLOSING for x in raw[i:i + 4 * NEAR])}
+    found = [i for i, w in enumerate(raw) if w in bare]
+    closed = quoted_places(raw)
     out = []
     for k, i in enumerate(found):
         near = (k and i - found[k - 1] <= NEAR) or (k + 1 < len(found) and found[k + 1] - i <= NEAR)
@@ -211,7 +218,8 @@ def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
     """Terms and stems from sampled (d, t, y).
 
     Words and stems are counted in the toxic texts first; clean texts are then
-    asked for those alone that came up often and in several contexts."""
+    asked for those alone that came up often and in several contexts.  Toxic
+    texts must hold a term nearly alone, anywhere or outside quotation marks."""
     n = {r[0]: r[1] for r in texts.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         return [], []
@@ -224,9 +232,11 @@ def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
         for b in batches:
             for t in b["t"]:
                 words, mine = bare_words(t), set()
+                for k in {k for w in set(bare_words(t, unquoted=True)) for k in keys_of(w)}:
+                    seen.setdefault(k, [0, set(), set(), 0])[3] += 1
                 for before, w in zip(["", *words], words):
                     for k in keys_of(w):
-                        c = seen.setdefault(k, [0, set(), set()])
+                        c = seen.setdefault(k, [0, set(), set(), 0])
                         if k not in mine:
                             mine.add(k)
                             c[0] += 1
@@ -234,31 +244,38 @@ def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
                             c[1].add(before)
                         if len(c[2]) < 3:
                             c[2].add(w)
-        yield pd.DataFrame([(*k, c[0], sorted(c[1]), sorted(c[2])) for k, c in seen.items()],
-                           columns=["stem", "k", "toxic", "contexts", "kinds"])
+        yield pd.DataFrame([(*k, c[0], c[3], sorted(c[1]), sorted(c[2])) for k, c in seen.items()],
+                           columns=["stem", "k", "toxic", "plain", "contexts", "kinds"])
 
-    rows = texts.filter("y = 1").select("t").mapInPandas(in_toxic, "stem boolean, k string, toxic long, contexts array<string>, kinds array<string>")
+    rows = texts.filter("y = 1").select("t").mapInPandas(in_toxic, "stem boolean, k string, toxic long, plain long, contexts array<string>, kinds array<string>")
     often = rows.groupBy("stem", "k").agg(
-        F.sum("toxic").alias("toxic"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"),
+        F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"),
         F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
     often = often.filter((F.col("toxic") >= least) & (2 * F.col("contexts") >= least) & (~F.col("stem") | (F.col("kinds") >= 3)))
-    toxic = {(r["stem"], r["k"]): r["toxic"] for r in often.collect()}  # bounded by the sample
+    rows = often.collect()  # bounded by the sample
+    toxic, plain = ({(r["stem"], r["k"]): r[n] for r in rows} for n in ("toxic", "plain"))
 
     def in_clean(batches):
         import pandas as pd  # noqa: PLC0415
 
-        clean: dict[tuple, int] = {}
+        clean: dict[tuple, list[int]] = {}
         for b in batches:
             for t in b["t"]:
-                for k in {k for w in set(bare_words(t)) for k in keys_of(w)}:
-                    if k in toxic:
-                        clean[k] = clean.get(k, 0) + 1
-        yield pd.DataFrame([(*k, c) for k, c in clean.items()], columns=["stem", "k", "clean"])
-
-    rows = texts.filter("y = 0").select("t").mapInPandas(in_clean, "stem boolean, k string, clean long")
-    clean = {(r["stem"], r["k"]): r["n"] for r in rows.groupBy("stem", "k").agg(F.sum("clean").alias("n")).collect()}
+                for place, unquoted in enumerate((False, True)):
+                    for k in {k for w in set(bare_words(t, unquoted)) for k in keys_of(w)}:
+                        if k in toxic:
+                            clean.setdefault(k, [0, 0])[place] += 1
+        yield pd.DataFrame([(*k, *c) for k, c in clean.items()], columns=["stem", "k", "clean", "plain"])
+
+    rows = texts.filter("y = 0").select("t").mapInPandas(in_clean, "stem boolean, k string, clean long, plain long")
+    clean = {(r["stem"], r["k"]): (r["n"], r["p"]) for r in rows.groupBy("stem", "k").agg(F.sum("clean").alias("n"), F.sum("plain").alias("p")).collect()}
     ratio = 3 * n[1] / n[0]
-    strong = [k for k, c in toxic.items() if c >= MIN_SHARE * (c + ratio * clean.get(k, 0))]
+
+    def alone(k: tuple) -> bool:
+        anywhere, outside = clean.get(k, (0, 0))
+        return toxic[k] >= MIN_SHARE * (toxic[k] + ratio * anywhere) or least <= plain[k] >= MIN_SHARE * (plain[k] + ratio * outside)
+
+    strong = [k for k in toxic if alone(k)]
     strong.sort(key=lambda k: (-toxic[k], k))
     terms = [k for stem, k in strong if not stem][:MAX_TERMS]
     stems = [k for stem, k in strong if stem][:MAX_TERMS]
@@ -266,9 +283,13 @@ def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
     return terms, [s for s in stems if not any(s[:k] in short for k in range(1, len(s)))]
 
 
-def bare_words(text: str | None) -> list[str]:
-    """Words of three letters or more without the marks at their edges."""
-    return [w for w in (x.strip(EDGES) for x in tokens(text or "")) if len(w) >= 3]
+def bare_words(text: str | None, unquoted: bool = False) -> list[str]:
+    """Words of three letters or more without the marks at their edges, all or
+    those outside quotation marks."""
+    raw = tokens(text or "")
+    if unquoted and (inside := quoted_places(raw)):
+        raw = [w for i, w in enumerate(raw) if i not in inside]
+    return [w for w in (x.strip(EDGES) for x in raw) if len(w) >= 3]
 
 
 def keys_of(word: str) -> list[tuple[bool, str]]:
@@ -296,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     halves = texts.withColumn("half", F.pmod(F.xxhash64("t"), F.lit(2)).cast("int")).repartition("d")
     hits = halves.mapInPandas(run, "term string, distance int, context string, word string, y int, half int")
     rows = hits.groupBy("term", "distance", "context", "word", "y", "half").count().collect()  # bounded by the sample
-    clean_words = [{r["word"] for r in rows if r["y"] == 0 and r["distance"] > 0 and r["half"] == k} for k in (0, 1)]
+    clean_words = [{r["word"] for r in rows if r["y"] == 0 and r["distance"] > 0 and r["half"] == k and r["context"][0] != "q"} for k in (0, 1)]
     exceptions = sorted(clean_words[0] | clean_words[1])
     seen: dict[tuple, list[float]] = {}
     none = [0.5, 0.5]
@@ -304,19 +325,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         if not r["term"]:
             none[r["y"]] += r["count"]
         elif not r["distance"] or r["half"] and r["word"] not in clean_words[0]:
-            for key in (("c", min(r["distance"], 2), r["context"]), ("t", r["term"], min(r["distance"], 2))):
+            d = min(r["distance"], 2)
+            for key in (("d", d), ("c", d, r["context"]), ("t", r["term"], d), ("x", r["term"], d, r["context"])):
                 seen.setdefault(key, [0.0, 0.0])[r["y"]] += r["count"]
     return {"terms": terms, "stems": stems, "exceptions": exceptions, "seen": seen,
             "empty": none[1] / (none[0] + none[1]) if terms or stems else 0.0}
 
 
 def hit_chance(model: dict, term: str, distance: int, context: str) -> float:
-    """Smoothed share of toxic texts among training texts with such a hit."""
+    """Smoothed share of toxic texts among training texts with such a hit: the
+    odds of the term at this distance, times the likelihood ratio of the
+    context over all terms, are the prior of the counts of the term in this
+    context."""
     d = min(distance, 2)
-    c0, c1 = model["seen"].get(("c", d, context), (0.0, 0.0))
-    prior = (c1 + (0.8, 0.5, 0.2)[d] * 4) / (c0 + c1 + 4)
-    t0, t1 = model["seen"].get(("t", term, d), (0.0, 0.0))
-    return (t1 + 2 * prior) / (t0 + t1 + 2)
+    (a0, a1), (c0, c1), (t0, t1), (x0, x1) = (
+        model["seen"].get(k, (0.0, 0.0)) for k in (("d", d), ("c", d, context), ("t", term, d), ("x", term, d, context)))
+    base = (a1 + (0.8, 0.5, 0.2)[d] * 4) / (a0 + a1 + 4)
+    # a term never seen in clean texts still has half a clean text, for the ratio to act on
+    odds = (t1 + 2 * base) / (t0 + max(2 * (1 - base), 0.5))
+    ratio = (c1 + base) / (c0 + 1 - base) * (1 - base) / base
+    prior = odds * ratio / (1 + odds * ratio)
+    return (x1 + 2 * prior) / (x0 + x1 + 2)
 
 
 def scored(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
