@@ -14,7 +14,9 @@ chance that at least one hit is real.  A word that clean texts hold only
 inside quotation marks can be a term.
 
 The sample to learn from is bounded: about ``SAMPLE`` toxic and ``SAMPLE``
-clean labelled texts, chosen by hash.  Inexact hits are rated on one half of
+clean labelled texts, chosen by hash.  Hits and texts without hits count by
+the inverse of their class's sampling rate, so scores are shares of the whole
+corpus whatever its size.  Inexact hits are rated on one half of
 it, after words that clean texts of the other half hold outside quotation
 marks have been excepted.
 
@@ -202,8 +204,9 @@ def hits_of(text: str | None, matcher: Matcher, known: dict) -> list[tuple[str,
     return out
 
 
-def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, sample: int) -> DataFrame:
-    """(d, t, y): about ``sample`` labelled texts of each class, by hash."""
+def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, sample: int) -> tuple[DataFrame, dict[int, float]]:
+    """(d, t, y), about ``sample`` labelled texts of each class, by hash, and
+    the weight of a text of each class, 1 for the class sampled most fully."""
     y = labels.filter(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("d")).agg(F.max(F.col(toxic).cast("int")).alias("y"))
     sizes = {r[0]: r[1] for r in y.groupBy("y").count().collect()}  # two rows
     part = F.pmod(F.xxhash64("d"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -211,7 +214,9 @@ def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: s
     for value, n in sizes.items():
         keep = keep | ((F.col("y") == value) & (part * n < sample))
     ids = y.filter(keep)  # at most about 2 * sample ids
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(ids), "d")
+    texts = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(ids), "d")
+    inverse = {value: max(1.0, n / sample) for value, n in sizes.items()}
+    return texts, {value: w / min(inverse.values()) for value, w in inverse.items()}
 
 
 def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
@@ -219,7 +224,9 @@ def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
 
     Words and stems are counted in the toxic texts first; clean texts are then
     asked for those alone that came up often and in several contexts.  Toxic
-    texts must hold a term nearly alone, anywhere or outside quotation marks."""
+    texts must hold a term nearly alone, anywhere or outside quotation marks.
+    The tests compare rates within each class (``ratio``) and ask what chance
+    does in this very sample (``least``), so they need no sampling weights."""
     n = {r[0]: r[1] for r in texts.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         return [], []
@@ -300,7 +307,8 @@ def keys_of(word: str) -> list[tuple[bool, str]]:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
         sample: int = SAMPLE) -> dict:
     """Model from labelled rows (the caller leaves out what is held out)."""
-    texts = stored(sampled(docs, labels, doc_id, text, toxic, sample), "toxicity-sample")
+    texts, weight = sampled(docs, labels, doc_id, text, toxic, sample)
+    texts = stored(texts, "toxicity-sample")
     terms, stems = learn_lexicon(texts)
 
     def run(batches):
@@ -323,11 +331,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     none = [0.5, 0.5]
     for r in rows:
         if not r["term"]:
-            none[r["y"]] += r["count"]
+            none[r["y"]] += r["count"] * weight[r["y"]]
         elif not r["distance"] or r["half"] and r["word"] not in clean_words[0]:
             d = min(r["distance"], 2)
             for key in (("d", d), ("c", d, r["context"]), ("t", r["term"], d), ("x", r["term"], d, r["context"])):
-                seen.setdefault(key, [0.0, 0.0])[r["y"]] += r["count"]
+                seen.setdefault(key, [0.0, 0.0])[r["y"]] += r["count"] * weight[r["y"]]
     return {"terms": terms, "stems": stems, "exceptions": exceptions, "seen": seen,
             "empty": none[1] / (none[0] + none[1]) if terms or stems else 0.0}
 
