@@ -37,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import add_columns, stored
 
 SAMPLE = 6_000
-MAX_TERMS = 5_000
 #: A term is kept when toxic texts would hold it as often by chance with less than this probability.
 CHANCE = 1e-6
 MIN_SHARE = 0.95
@@ -284,8 +283,8 @@ def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
 
     strong = [k for k in toxic if alone(k)]
     strong.sort(key=lambda k: (-toxic[k], k))
-    terms = [k for stem, k in strong if not stem][:MAX_TERMS]
-    stems = [k for stem, k in strong if stem][:MAX_TERMS]
+    terms = [k for stem, k in strong if not stem]
+    stems = [k for stem, k in strong if stem]
     short = set(stems)
     return terms, [s for s in stems if not any(s[:k] in short for k in range(1, len(s)))]
 
