@@ -41,7 +41,7 @@ _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 #: type -> pattern; earlier types win where several match at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": rf"""{_KEYED}(?=[^\s"']*\d)[A-Za-z0-9_+/.-]{{7,}}[A-Za-z0-9_+/=-]"""
+    "secret": rf"""{_KEYED}[A-Za-z0-9_+/.-]{{7,}}[A-Za-z0-9_+/=-]"""
               r"|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}|\b[0-9a-f]{32,64}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
@@ -86,12 +86,19 @@ def _type_of(e: str) -> Column:
 
 def may_hold(text: str) -> Column:
     """Cheap test that leaves out most texts: every entity has a digit, an at
-    sign or a title."""
+    sign or a title, or is a secret behind a keyword or key prefix or of
+    letters from a to f."""
     t = F.col(text)
     titled = F.lit(False)
     for title in _TITLE.split("|"):
         titled = titled | F.contains(t, F.lit(f"{title} ")) | F.contains(t, F.lit(f"{title}. "))
-    return t.rlike("[0-9@]") | titled
+    keyed = F.lit(False)
+    for word in ("passw", "pwd", "token", "secret", "api_key", "apikey", "api-key"):
+        keyed = keyed | F.contains(F.lower(t), F.lit(word))
+    keyed = (F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))) & keyed
+    for prefix in ("AKIA", "ASIA", *[f"{p}{c}" for p in ("sk", "pk", "ghp", "gho", "xoxb", "xoxp") for c in "-_"]):
+        keyed = keyed | F.contains(t, F.lit(prefix))
+    return t.rlike("[0-9@]") | titled | keyed | t.rlike("[a-f]{32}")
 
 
 def found(docs: DataFrame, text: str = "text") -> DataFrame:
