@@ -252,6 +252,21 @@ def test_secrets_without_digits_are_found(spark):
         assert r["n_entities"] == 1 and r["entities"][0]["type"] == "secret" and value not in r["text"]
 
 
+def test_persons_are_found_and_agree(spark):
+    said = ["Yesterday John Smith met us. Later Smith left, and SMITH'S dog too.", "Dr. Maria Garcia Lopez and Prof. Dr. Ludwig van Beethoven spoke; Lopez sang.",
+            "Dr Anna Meyer wrote", "Frau Anna Meyer wrote", "Mr. John Smith and Mr Smith", "Mr. John B. Smith's car", "no persons, The Table and Of Course", "Dr Αλέξης Παππάς"]
+    got = {r["doc_id"]: r for r in surrogates.replaced(rows.table(spark, [(i, t, None, None, 1) for i, t in enumerate(said)]), "k").collect()}
+    texts = {i: r["text"] for i, r in got.items()}
+    for name in ("John", "Smith", "SMITH", "Maria", "Garcia", "Lopez", "Ludwig", "Beethoven", "Anna", "Meyer", "Αλέξης", "Παππάς"):
+        assert not any(name in t for t in texts.values())
+    seen = {e["entity"]: e["surrogate"] for r in got.values() for e in r["entities"]}
+    first, last = seen["John Smith"].split()
+    assert texts[0] == f"Yesterday {first} {last} met us. Later {last} left, and {last.upper()}'S dog too."
+    assert texts[4] == f"Mr. {first} {last} and Mr {last}" and texts[5].startswith(f"Mr. {first} ") and texts[5].endswith(f" {last}'s car")
+    assert texts[2][3:] == texts[3][5:] and texts[2].split()[1] in surrogates.NAMES["f"].split()
+    assert texts[6] == said[6] and " van " in texts[1]
+
+
 def test_surrogates_of_odd_rows(spark):
     odd = rows.table(spark, rows.odd_rows())
     out = surrogates.replaced(odd, "k")
