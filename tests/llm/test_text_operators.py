@@ -108,7 +108,7 @@ def test_language_of_odd_rows(spark, docs):
     assert out[1]["n_words"] == "own n_words" and out[2]["rejected"] is True
     nothing = langid.fit(rows.empty(spark))
     assert {r["lang_pred"] for r in langid.identified(odd, nothing).collect()} == {"und"}
-    assert langid.fit(odd)["langs"] == ["de", "en"]
+    assert sorted(set(langid.fit(odd)["langs"])) == ["de", "en"]
 
 
 def test_toxicity_on_held_out_rows(spark):
