@@ -1,9 +1,11 @@
-"""Small hand-made tables in the canonical polygon layout."""
+"""Constants and small hand-made tables in the canonical polygon layout."""
 
 from pyspark.sql import types as T
 
 from ecotally.schema import COMPONENT_FIELDS, wide
 
+SF_SMALL = "/root/testdata/sf0.001"
+
 POLYGON_TYPES = {
     "fid": T.LongType(), "cem_ecp": T.StringType(), "parcel_id": T.StringType(), "paz": T.StringType(),
     "dist_type": T.StringType(), "location": T.StringType(), "eco_sec": T.StringType(),

@@ -1,6 +1,6 @@
 """File-to-report jobs give the registered queries' results."""
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from ecotally import jobs
 from ecotally.session import scratch_path
 from ecotally.sources import files

@@ -5,7 +5,7 @@ import math
 import pytest
 
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 from ecotally.oracle import ORACLE
 from ecotally.queries import QUERIES

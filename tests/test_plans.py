@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from ecotally.operators.lookup import lookup
 from ecotally.session import shared_dir
 

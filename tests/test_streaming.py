@@ -6,7 +6,7 @@ from ecotally.session import scratch_path
 from ecotally.sources.fixture import LOOKUP_ROWS, load_fixture
 from ecotally.operators.project import canonicalise
 from ecotally.streaming import latest_report, start_habitat_stream
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 
 def _rows(df):
