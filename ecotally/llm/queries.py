@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, langid, mixing, phrases, quality, simhash, surrogates, tokens, toxicity
+from . import decontaminate, hmm, langid, mixing, phrases, prefix_trie, quality, simhash, surrogates, tokens, toxicity
 from .common import id_remainder, table
 
 #: Key of the registered query; a real run passes its own secret.
@@ -79,9 +79,15 @@ def op10_hmm_score(spark, sf_dir):
     return hmm.scored(docs.withColumn("held_out", hmm.held_out()))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    turns = prefix_trie.rebuilt(table(spark, sf_dir, "conversations"))
+    return prefix_trie.digest(*prefix_trie.trie(turns))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_poisson_mix, op3_quality_ledger, op4_language_id, op5_toxicity, op6_token_output,
-    op7_repeated_phrases, op8_pii_surrogates, op9_simhash_anchors, op10_hmm_score,
+    op7_repeated_phrases, op8_pii_surrogates, op9_simhash_anchors, op10_hmm_score, op11_prefix_trie,
 )}
 
-ORACLE = {"op2_poisson_mix": mixing.SQL, "op3_quality_ledger": quality.SQL}
+ORACLE = {"op2_poisson_mix": mixing.SQL, "op3_quality_ledger": quality.SQL, "op11_prefix_trie": prefix_trie.SQL}
