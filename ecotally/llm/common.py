@@ -47,6 +47,17 @@ def id_remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+#: DuckDB: the CRC-32 table as the list ``tab`` of a CTE ``poly``, and the value of an ASCII text read through it.
+CRC_TABLE_SQL = """poly AS (SELECT list(c ORDER BY i) AS tab FROM (
+        SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) x(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda s: ascii(s)::BIGINT)), "
+            "lambda c, s: xor(c >> 8, tab[(xor(c, s) & 255) + 1])), 4294967295)")
+
+
 def pieces(df: DataFrame, wanted: int | None = None) -> int:
     """Partitions of a shuffle of rows about as large as ``df``'s."""
     return wanted or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from .common import CRC_TABLE_SQL, crc_sql, stored
 
 KEY = 32
 STEP = KEY + 8
@@ -301,15 +301,12 @@ def digest(nodes: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 #: ``op11`` in DuckDB SQL over ``conversations``: every prefix as a list of its turns.
-SQL = """
+SQL = f"""
 WITH t AS (SELECT conv_id::BIGINT AS conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
- o AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
+ o AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, role, text) AS turns FROM t GROUP BY conv_id),
  b AS (SELECT o.conv_id, o.turns, h.turns AS head FROM o LEFT JOIN o h ON h.conv_id = o.conv_id - o.conv_id % 100),
- poly AS (SELECT list(c ORDER BY i) AS tab FROM (
-        SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
-        FROM range(256) x(i))),
- h AS (SELECT conv_id, turns, head, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
-        lambda c, s: xor(c >> 8, tab[(xor(c, s) & 255) + 1])), 4294967295) % 6 AS h FROM b, poly),
+ {CRC_TABLE_SQL},
+ h AS (SELECT conv_id, turns, head, {crc_sql("conv_id::VARCHAR")} % 6 AS h FROM b, poly),
  p AS (SELECT conv_id, list_concat(COALESCE(list_slice(head, 1, h), []), list_slice(turns, h + 1, len(turns))) AS path FROM h),
  m AS (SELECT conv_id, path, d FROM p, range(0, 100000) r(d) WHERE d <= len(path)),
  n AS (SELECT list_slice(path, 1, d) AS node, d AS depth, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs,

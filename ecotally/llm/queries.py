@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, langid, mixing, phrases, prefix_trie, quality, simhash, surrogates, tokens, toxicity
+from . import decontaminate, hmm, langid, mixing, phrases, prefix_trie, quality, simhash, structure_repair, surrogates, tokens, toxicity
 from .common import id_remainder, table
 
 #: Key of the registered query; a real run passes its own secret.
@@ -85,9 +85,16 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.digest(*prefix_trie.trie(turns))
 
 
+def op12_structure_repair(spark, sf_dir):
+    """Faults and cheapest repair of every damaged conversation."""
+    rows = structure_repair.damaged(table(spark, sf_dir, "conversations"))
+    return structure_repair.digest(structure_repair.repaired(rows))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_poisson_mix, op3_quality_ledger, op4_language_id, op5_toxicity, op6_token_output,
-    op7_repeated_phrases, op8_pii_surrogates, op9_simhash_anchors, op10_hmm_score, op11_prefix_trie,
+    op7_repeated_phrases, op8_pii_surrogates, op9_simhash_anchors, op10_hmm_score, op11_prefix_trie, op12_structure_repair,
 )}
 
-ORACLE = {"op2_poisson_mix": mixing.SQL, "op3_quality_ledger": quality.SQL, "op11_prefix_trie": prefix_trie.SQL}
+ORACLE = {"op2_poisson_mix": mixing.SQL, "op3_quality_ledger": quality.SQL, "op11_prefix_trie": prefix_trie.SQL,
+          "op12_structure_repair": structure_repair.SQL}

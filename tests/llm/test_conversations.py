@@ -1,7 +1,9 @@
 """Prefix trie and structure repair of conversations."""
 
 import hashlib
+import itertools
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -9,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ecotally.llm import prefix_trie, queries
+from ecotally.llm import prefix_trie, queries, structure_repair
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -102,3 +104,150 @@ def test_trie_of_odd_rows(spark):
     assert nodes_of(conversations(spark, [(None, 1, "user", "x")])) == []
     one = nodes_of(conversations(spark, [(201, 0, "user", "x")]))  # its own turn gives way to an absent head, or stays
     assert one == sorted(brute_trie(rebuilt([(201, 0, "user", "x")])), key=str)
+
+
+# --- structure repair ---------------------------------------------------------
+
+FAULTS = ["blank", "duplicate", "truncated"]
+RESULT = ["conv_id", "gaps", *FAULTS, "illegal", "cost", "audit", "repaired_sha256"]
+WANTED = re.compile(r"(s?(ua)+)?")
+
+
+def faults_of(turns):
+    out, seen = [], set()
+    for role, text in turns:
+        bare = text.strip(" \t\n\x0b\x0c\r")
+        out.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def every_repair(turns, faults):
+    """All edits of a short conversation: (cost, audit, repaired)."""
+    def options(turn, fault):
+        yield 3, "D", []
+        if fault not in ("blank", "duplicate"):
+            late = fault == "truncated"
+            yield late, "K", [turn]
+            for role in ("user", "assistant"):
+                yield 2 + late, "R", [(role, turn[1])]
+
+    inserts = [(2 * n, "I" * n, [(r, "") for r in rs]) for n in range(3) for rs in itertools.product(("user", "assistant"), repeat=n)]
+    steps = [inserts]
+    for t, f in zip(turns, faults):
+        steps += [list(options(t, f)), inserts]
+    for path in itertools.product(*steps):
+        kept = [x for _, _, k in path for x in k]
+        if WANTED.fullmatch("".join(r[:1] or "-" for r, _ in kept)):
+            yield sum(c for c, _, _ in path), "".join(a for _, a, _ in path), kept
+
+
+def plain_repair(turns, faults):
+    """The same by a shortest path over (node, turn) with whole texts."""
+    step = {"": {"s": "s", "u": "u"}, "s": {"u": "u"}, "u": {"a": "a"}, "a": {"u": "u"}}
+    name = {"u": "user", "a": "assistant"}
+
+    def insert(best):
+        for _ in range(2):
+            for n, (c, x, k) in list(best.items()):
+                for m in set(step[n]) & {"u", "a"}:
+                    best[m] = min(best.get(m, (9**9,)), (c + 2, x + "I", (*k, (name[m], ""))), key=lambda z: z[:2])
+        return best
+
+    best = {"": (0, "", ())}
+    for (role, text), fault in zip(turns, faults):
+        new = {}
+        for n, (c, x, k) in insert(best).items():
+            found = [(n, (c + 3, x + "D", k))]
+            if fault not in ("blank", "duplicate"):
+                late = fault == "truncated"
+                if role[:1] in step[n]:
+                    found.append((step[n][role[:1]], (c + late, x + "K", (*k, (role, text)))))
+                found += [(m, (c + 2 + late, x + "R", (*k, (name[m], text)))) for m in set(step[n]) & {"u", "a"}]
+            for m, z in found:
+                new[m] = min(new.get(m, (9**9,)), z, key=lambda z: z[:2])
+        best = new
+    return min((z for n, z in insert(best).items() if n in ("", "a")), key=lambda z: z[:2])
+
+
+def damage(rows):
+    out = defaultdict(list)
+    for c, turn, role, text in rows:
+        k = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        out[c] += [] if k == 0 else [(turn, "user" if k == 4 else role, "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text)] * (1 + (k == 3))
+    return {c: sorted(t, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])) for c, t in out.items()}
+
+
+def brute_repairs(convs, solve=plain_repair):
+    out = []
+    for c, rows in convs.items():
+        turns, at = [r[1:] for r in rows], {r[0] for r in rows} - {None}
+        faults = faults_of(turns)
+        cost, audit, kept = solve(turns, faults)
+        initials = [r[:1] for r, _ in turns]
+        out.append((c, max(at) - min(at) + 1 - len(at) if at else 0, *[faults.count(f) for f in FAULTS],
+                    sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:])), cost, audit,
+                    hashlib.sha256("\n".join(f"{r}:{t}" for r, t in kept).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def repairs_of(rows, **kw):
+    return sorted([tuple(r[c] for c in RESULT) for r in structure_repair.digest(structure_repair.repaired(rows, **kw)).collect()], key=str)
+
+
+def test_repair_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    names, want = answer(con, structure_repair.SQL)
+    got = queries.op12_structure_repair(spark, SF)
+    assert sorted([tuple(r[n] for n in names) for r in got.collect()], key=str) == want
+    assert dict(got.dtypes) == {**dict.fromkeys(RESULT[:-2], "bigint"), "audit": "string", "repaired_sha256": "string"}
+
+
+def random_turns(rng, n):
+    return [(rng.choice(["user", "assistant", "user", "assistant", "system", "tool", "", "s"]), rng.choice(["", "a.", "b!", "cut", "d. ", f"{rng.random()}."]))
+            for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3])
+def test_solver_finds_the_least_of_all_edits(n):
+    rng = random.Random(n)
+    for _ in range(40 if n < 3 else 15):
+        turns = random_turns(rng, n)
+        faults = faults_of(turns)
+        want = min(every_repair(turns, faults), key=lambda z: z[:2])
+        assert plain_repair(turns, faults)[:2] == want[:2]
+        solver = structure_repair.Solver(block=2)
+        for (role, _), f in zip(turns, faults):
+            solver.add(role[:1], f)
+        assert "".join(solver.solve()) == want[1]
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_solver_ranks_long_conversations(block):
+    rng = random.Random(block)
+    for _ in range(30):
+        turns = random_turns(rng, rng.randint(4, 150))
+        faults = faults_of(turns)
+        solver = structure_repair.Solver(block)
+        for (role, _), f in zip(turns, faults):
+            solver.add(role[:1], f)
+        assert "".join(solver.solve()) == plain_repair(turns, faults)[1]
+
+
+def test_repair_of_odd_rows(spark):
+    rng = random.Random(5)
+    rows = ODD + [(c, k, *t) for c in range(400, 440) for k, t in enumerate(random_turns(rng, rng.randint(1, 90)))]
+    want = brute_repairs(damage(rows))
+    damaged = structure_repair.damaged(conversations(spark, rows))
+    assert repairs_of(damaged) == want
+    assert repairs_of(damaged, block=2, spool=500) == want  # turns wait in a file
+    assert any(r[-2] == "" and r[-1] == hashlib.sha256(b"").hexdigest() for r in want)
+    assert repairs_of(structure_repair.damaged(conversations(spark, []))) == []
+
+
+def test_repaired_turns_alternate(spark):
+    got = structure_repair.repaired(structure_repair.damaged(spark.read.parquet(f"{SF}/conversations.parquet")))
+    stays = got.filter("edit <> 'D'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("place", "role"))).alias("r")).collect()
+    assert stays and all(WANTED.fullmatch("".join(x["role"][0] for x in r["r"])) for r in stays)
