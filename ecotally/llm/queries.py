@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm, langid, mixing, phrases, prefix_trie, quality, simhash, structure_repair, surrogates, tokens, toxicity
+from . import decontaminate, hmm, langid, mixing, page_text, phrases, prefix_trie, quality, simhash, structure_repair, surrogates, tokens, toxicity
 from .common import id_remainder, table
 
 #: Key of the registered query; a real run passes its own secret.
@@ -91,9 +91,16 @@ def op12_structure_repair(spark, sf_dir):
     return structure_repair.digest(structure_repair.repaired(rows))
 
 
+def op13_page_text(spark, sf_dir):
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_text.extracted(pages, page_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_poisson_mix, op3_quality_ledger, op4_language_id, op5_toxicity, op6_token_output,
     op7_repeated_phrases, op8_pii_surrogates, op9_simhash_anchors, op10_hmm_score, op11_prefix_trie, op12_structure_repair,
+    op13_page_text,
 )}
 
 ORACLE = {"op2_poisson_mix": mixing.SQL, "op3_quality_ledger": quality.SQL, "op11_prefix_trie": prefix_trie.SQL,
