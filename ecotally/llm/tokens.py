@@ -21,15 +21,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, plain_words, scratch
+from .common import LOWER_BYTES, scratch
 
 END_ID = 2
 ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
-#: Encoded words that a Python worker remembers; full, it starts anew.
-REMEMBERED = 600_000
-#: Marks that may follow a word's letters and are encoded by themselves.
-MARKS = b".,:;!?"
+#: Words whose ids a Python worker remembers; full, it starts anew.
+REMEMBERED = 1_000_000
+#: Bytes of text whose words are numbered together.
+CHUNK_BYTES = 12 << 20
+#: ASCII marks that may follow a word's letters; the vocabulary encodes such a run by itself.
+MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
 SCHEMA = "{id} {id_type}, part int, offset long, n_tokens long, ids array<int>"
 
@@ -40,85 +42,180 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def encoder(path: str | None = None, end_id: int = END_ID):
-    """A function from a text to its ids as little-endian 32-bit bytes.
+#: Preparation of a text for which its words can be encoded one by one (see ``Encoder``).
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+#: Letters with one lower case: A-Z and those of U+00C0 to U+00FF.
+LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 
-    The vocabulary drops white space and never joins across it, so a text's
-    ids are those of its words in turn; each word is encoded once and
-    remembered.  A new word of letters a-z and plain closing marks is taken
-    apart, because the vocabulary lower-cases and encodes marks apart from
-    letters: "The," is "the" and ",".  Such letter runs are encoded together,
-    one token sequence for each that ends in a token with a word end; all
-    other words one by one."""
-    import os  # noqa: PLC0415
-    import re  # noqa: PLC0415
-    import sys  # noqa: PLC0415
 
-    import numpy as np  # noqa: PLC0415
-    from tokenizers import Tokenizer  # noqa: PLC0415
+class Encoder:
+    """Ids of texts by a public tokenizer, each text followed by ``end_id``.
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
-    # a Python worker keeps what it has encoded for its later tasks
-    path = path or tokenizer_path()
-    tok, known, parts = sys.__dict__.setdefault("_encoded_words", {}).setdefault(path, (Tokenizer.from_file(path), {}, {b"": b""}))
-    ends = np.zeros(tok.get_vocab_size(with_added_tokens=True), bool)
-    ends[[i for t, i in tok.get_vocab().items() if t.endswith("</w>")]] = True
-    # letters of one case-less shape: a-z, and the two-byte letters from U+00E0 on that have no further lower case
-    letters = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
-    end = np.array([end_id], "<u4").tobytes()
-
-    def one_by_one(words):
-        some = tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in some]
-
-    def learn(words: set[bytes]) -> None:
-        later, odd, new = [], [], set()
-        for w in words:
-            x = w.translate(LOWER_BYTES)
-            y = x.rstrip(MARKS)
-            z = x[len(y):]
-            if y in parts and z in parts:
-                known[w] = parts[y] + parts[z] if z else parts[y]
-            elif letters(y):
-                later.append((w, y, z))
-                new.add(y)
-                new.add(z)
-            else:
-                odd.append(w)
-        new = [x for x in new if x not in parts]
-        runs = [x for x in new if x[0] >= 0x61]
-        marks = [x for x in new if x[0] < 0x61]
-        if runs:
-            ids = np.array(tok.encode_batch_fast([b" ".join(runs).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ends[ids]) + 1
-            if len(cuts) == len(runs) and cuts[-1] == len(ids):
+    Where the tokenizer prepares texts as ``BY_WORDS`` says, it drops white
+    space, never joins across it, lower-cases, and encodes letters apart from
+    the marks behind them.  The texts of a chunk then are split and their
+    words numbered by Arrow, and only distinct words are encoded: letters and
+    marks by themselves, many letter runs in one call (each ends in a token
+    with a word end), any other word as it is.  Any other tokenizer encodes
+    whole texts."""
+
+    def __init__(self, path: str, end_id: int = END_ID):
+        import json  # noqa: PLC0415
+        import os  # noqa: PLC0415
+        import re  # noqa: PLC0415
+
+        import numpy as np  # noqa: PLC0415
+        from tokenizers import Tokenizer  # noqa: PLC0415
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
+        self.tok, self.end_id = Tokenizer.from_file(path), end_id
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        self.by_words = (all(made.get(k) == v for k, v in BY_WORDS.items()) and made.get("post_processor") is None
+                         and made["model"].get("end_of_word_suffix") == "</w>" and not made["model"].get("dropout")
+                         and all(re.search(r"\W$", t["content"]) for t in made.get("added_tokens", [])))
+        self.ends = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self.letters = re.compile(LETTERS).fullmatch
+        self.parts: dict[bytes, bytes] = {b"": b""}  # ids of letter runs and marks
+        self.odd: dict[bytes, bytes] = {}  # ids of other words
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        import numpy as np  # noqa: PLC0415
+
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, runs: list[bytes], marks: list[bytes], odd: list[bytes]) -> None:
+        import numpy as np  # noqa: PLC0415
+
+        for lo in range(0, len(runs), 50_000):
+            some = runs[lo:lo + 50_000]
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
                 raw, at = ids.tobytes(), 0
-                for x, c in zip(runs, (4 * cuts).tolist()):
-                    parts[x] = raw[at:c]
+                for x, c in zip(some, (4 * cuts).tolist()):
+                    self.parts[x] = raw[at:c]
                     at = c
             else:
-                parts.update(zip(runs, one_by_one(runs)))
-        if marks:
-            parts.update(zip(marks, one_by_one(marks)))
-        if odd:
-            known.update(zip(odd, one_by_one(odd)))
-        for w, y, z in later:
-            known[w] = parts[y] + parts[z] if z else parts[y]
-
-    def encode_all(texts: list) -> list[bytes]:
-        lists = [plain_words(t) for t in texts]
-        some = set().union(*lists)
-        new = some.difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = some
-            if len(parts) > REMEMBERED:
-                parts.clear()
-                parts[b""] = b""
-        learn(new)
-        return [b"".join([*map(known.__getitem__, words), end]) for words in lists]
-
-    return encode_all
+                self.parts.update(zip(some, self._each([x.decode() for x in some])))
+        self.parts.update(zip(marks, self._each([x.decode() for x in marks])))
+        self.odd.update(zip(odd, self._each([x.decode("utf-8", "replace") for x in odd])))
+
+    def _ids_of(self, found: list[bytes]) -> list[bytes | None]:
+        """Ids of distinct letter runs and marks, lower-cased; None for what is
+        neither."""
+        parts = self.parts
+        if len(parts) + len(self.odd) > REMEMBERED:
+            parts.clear()
+            self.odd.clear()
+            parts[b""] = b""
+        get = parts.get
+        ids = [get(x) for x in found]
+        runs, marks, where = {}, [], []
+        for k, x in enumerate(found):
+            if ids[k] is None:
+                if self.letters(x):
+                    runs[x if x.isascii() else x.decode().lower().encode()] = None
+                    where.append(k)
+                elif not x.strip(MARKS):
+                    marks.append(x)
+                    where.append(k)
+        self._learn([x for x in runs if x not in parts], marks, [])
+        for k in where:
+            x = found[k]
+            if x not in parts:
+                parts[x] = parts[x.decode().lower().encode()]
+            ids[k] = parts[x]
+        return ids
+
+    def _of_words(self, words):
+        """(pool, numbers): ids of distinct words, an Arrow array; word k has
+        the lists numbered 2k and 2k + 1, of its letters and the marks behind."""
+        import numpy as np  # noqa: PLC0415
+        import pyarrow as pa  # noqa: PLC0415
+        import pyarrow.compute as pc  # noqa: PLC0415
+
+        n = len(words)
+        lower = pc.ascii_lower(words)
+        bare = pc.ascii_rtrim(lower, characters=MARKS.decode())
+        _, at, data = pa.concat_arrays([lower]).buffers()
+        starts = np.frombuffer(at, np.int64, n + 1)
+        cuts = np.empty(2 * n + 1, np.int64)
+        cuts[0::2] = starts
+        cuts[1::2] = starts[:-1] + pc.binary_length(bare).to_numpy()
+        split = pa.LargeBinaryArray.from_buffers(pa.large_binary(), 2 * n, [None, pa.py_buffer(cuts), data]).dictionary_encode()
+        ids, numbers = self._ids_of(split.dictionary.to_pylist()), split.indices.to_numpy()
+        none = np.fromiter((x is None for x in ids), bool, len(ids))
+        if none.any():  # other words are encoded as they are
+            numbers = numbers.copy()
+            at = np.flatnonzero(none[numbers[0::2]])
+            raw = [x.encode("utf-8", "surrogatepass") for x in words.take(pa.array(at)).to_pylist()]
+            self._learn([], [], [x for x in raw if x not in self.odd])
+            numbers[2 * at] = len(ids) + np.arange(len(at))
+            numbers[2 * at + 1] = len(ids) + len(at)
+            ids += [*[self.odd[x] for x in raw], b""]
+        sizes = np.fromiter((len(x or b"") for x in ids), np.int64, len(ids)) // 4
+        pool = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join([x or b"" for x in ids]), "<u4"))
+        return pool, numbers, sizes
+
+    def encode(self, texts):
+        """(ids, offsets) of an Arrow array of texts (null: empty)."""
+        import numpy as np  # noqa: PLC0415
+        import pyarrow as pa  # noqa: PLC0415
+        import pyarrow.compute as pc  # noqa: PLC0415
+
+        if self.by_words:
+            lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+            words = lists.values.dictionary_encode()
+            pool, numbers, sizes = self._of_words(words.dictionary)
+            pool = pa.LargeListArray.from_arrays(  # a list for each word
+                np.concatenate([[0], np.cumsum(sizes[numbers])])[0::2], pool.take(pa.array(numbers)).flatten())
+            sizes = np.diff(pool.offsets.to_numpy())
+            ids = pool.take(words.indices).flatten().to_numpy()
+            word_ends = np.concatenate([[0], np.cumsum(sizes[words.indices.to_numpy()])])
+            offsets = word_ends[lists.offsets.to_numpy()]
+        else:
+            each = self._each([t or "" for t in texts.to_pylist()])
+            ids = np.frombuffer(b"".join(each), "<u4")
+            offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)) // 4)])
+        return np.insert(ids, offsets[1:], np.uint32(self.end_id)), offsets + np.arange(len(offsets))
+
+
+def encoder(path: str | None = None, end_id: int = END_ID) -> Encoder:
+    """The worker's ``Encoder`` of a tokenizer: a Python worker that Spark uses
+    again keeps what it has learned, in a module of its own."""
+    import sys  # noqa: PLC0415
+    import types  # noqa: PLC0415
+
+    path = path or tokenizer_path()
+    kept = sys.modules.setdefault("ecotally_worker", types.ModuleType("ecotally_worker", "What a Python worker keeps between tasks."))
+    found = vars(kept).setdefault("encoders", {})
+    if path not in found:
+        found[path] = Encoder(path, end_id)
+    found[path].end_id = end_id
+    return found[path]
+
+
+def in_chunks(batch, column: int, size: int = CHUNK_BYTES):
+    """Slices of an Arrow batch of about ``size`` bytes in a text column; a
+    longer text is a slice by itself."""
+    import numpy as np  # noqa: PLC0415
+    import pyarrow as pa  # noqa: PLC0415
+    import pyarrow.compute as pc  # noqa: PLC0415
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).cast(pa.int64()).to_numpy()
+    group = np.cumsum(sizes) // size
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
 
 def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
@@ -138,19 +235,17 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         import pyarrow as pa  # noqa: PLC0415
         from pyspark import TaskContext  # noqa: PLC0415
 
-        encode, offset = encoder(tokenizer, end_id), 0
+        encode, offset = encoder(tokenizer, end_id).encode, 0
         part = TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                b = batch.slice(lo, 256)
-                blobs = encode(b.column(1).to_pylist())
-                counts = np.array([len(x) // 4 for x in blobs], np.int64)
-                starts = np.concatenate([[0], np.cumsum(counts)])
-                ids = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
+            for b in in_chunks(batch, 1):
+                ids, offsets = encode(b.column(1))
+                counts = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(np.full(len(blobs), part, np.int32)), pa.array(offset + starts[:-1]),
-                     pa.array(counts), ids], names=[doc_id, "part", "offset", "n_tokens", "ids"])
-                offset += int(starts[-1])
+                    [b.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(offset + offsets[:-1]), pa.array(counts),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))],
+                    names=[doc_id, "part", "offset", "n_tokens", "ids"])
+                offset += int(offsets[-1])
 
     encoded = rows.select("_id", "_text").mapInArrow(run, SCHEMA.format(id=f"`{doc_id}`", id_type=id_type))
     (encoded.write.option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES)

@@ -1,5 +1,6 @@
 """Mixing, token files, substring dedup, SimHash, components and the HMM."""
 
+import functools
 import math
 import zlib
 from collections import Counter
@@ -7,6 +8,7 @@ from collections import Counter
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import rows
 from hypothesis import given, settings
@@ -66,11 +68,15 @@ def test_mix_of_odd_rows(spark, monkeypatch):
 
 # --- token files ----------------------------------------------------------------
 
-def want_tokens(doc_rows):
+@functools.cache
+def whole_text_tokenizer():
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokens.tokenizer_path())
-    out, at = {}, 0
+    return Tokenizer.from_file(tokens.tokenizer_path())
+
+
+def want_tokens(doc_rows):
+    tok, out, at = whole_text_tokenizer(), {}, 0
     for d, t in sorted(doc_rows):
         ids = [*tok.encode(t or "", add_special_tokens=False).ids, tokens.END_ID]
         out[d] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
@@ -86,11 +92,27 @@ def test_token_files_round_trip(spark, doc_rows):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abzAZéÉàßİΣσςÖ'’.,!?<|># \n\t\x0b\x1c\xa0　́̊019中ñ´÷×—…"), max_size=40))
 def test_words_encode_like_the_whole_text(text):
+    want = [*whole_text_tokenizer().encode(text, add_special_tokens=False).ids, tokens.END_ID]
+    ids, offsets = tokens.encoder().encode(pa.array([text, None, text]))
+    assert ids.tolist() == [*want, tokens.END_ID, *want] and offsets.tolist() == [0, len(want), len(want) + 1, 2 * len(want) + 1]
+
+
+def test_other_vocabularies_encode_whole_texts(doc_rows):
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokens.tokenizer_path())
-    want = [*tok.encode(text, add_special_tokens=False).ids, tokens.END_ID]
-    assert np.frombuffer(tokens.encoder()([text])[0], "<u4").tolist() == want
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    tok, some = Tokenizer.from_file(path), [t or "" for _, t in doc_rows[:20]]
+    other = tokens.encoder(path)
+    ids, offsets = other.encode(pa.array(some))
+    assert not other.by_words and tokens.encoder().by_words
+    for k, t in enumerate(some):
+        assert ids[offsets[k]:offsets[k + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, tokens.END_ID]
+
+
+def test_chunks_hold_all_rows():
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 50, None, "", "b" * 500, "c", "d" * 90])], names=["i", "t"])
+    got = list(tokens.in_chunks(b, 1, 100))
+    assert [x for c in got for x in c.column(0).to_pylist()] == list(range(6)) and len(got) > 2
 
 
 def test_token_files_of_odd_rows(spark, tmp_path):
