@@ -10,8 +10,9 @@ polygon area in hundredths of a square metre:
   plain long arithmetic (Spark sums of wide decimals go through BigDecimal
   and byte buffers per row); totals are split sums (``nulls.total``);
 * from any other fixed-point source it is an exact DECIMAL(38, 6);
-* from any other source it is a double; sums of doubles depend on their
-  order in the last digits unless every value is a multiple of a power of two.
+* from any other source it is a double; sums of doubles are taken in bins of
+  fixed powers of two (``nulls.double_total``), so they don't depend on the
+  order of the rows either.
 
 The single division happens at the report edge (``to_unit``).
 """

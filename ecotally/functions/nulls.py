@@ -46,10 +46,43 @@ def ident(name: str) -> str:
 SUM_PART = 1_000_000
 
 
+#: Doubles are summed in bins of ``BIN_BITS`` bits: powers of two of the lowest bits of the five bins, and of the
+#: first value above them.  A bin's sum has room for 2^39 rows.
+BIN_BITS, BIN_FROM, BIN_TO = 24, -60, 60
+
+
+def double_total(x: str) -> str:
+    """Sum of a double that does not depend on the order of the rows.
+
+    Each value below 2^60 is cut at fixed powers of two into five integers of
+    24 bits (exact; what lies below 2^-60 is cut off), each bin is summed as
+    BIGINT, and the five sums are joined once: they make two exact integers,
+    of which the upper takes the carry of the lower.  Larger values, infinite
+    ones and NaN are summed as doubles beside them."""
+    near = f"CASE WHEN abs({x}) < {2.0 ** BIN_TO!r}D THEN {x} END"
+    bins = []
+    for low in range(BIN_FROM, BIN_TO, BIN_BITS):
+        part = near if low + BIN_BITS == BIN_TO else f"({near}) % {2.0 ** (low + BIN_BITS)!r}D"
+        bins.append(f"coalesce(sum(CAST(({part}) * {2.0 ** -low!r}D AS BIGINT)), 0L)")
+    wide = [f"CAST({b} AS DECIMAL(20,0))" for b in bins]
+    carry, half = 1 << 3 * BIN_BITS, 1 << 2 * BIN_BITS
+    joined = f"named_struct('hi', {wide[4]} * {1 << BIN_BITS} + {wide[3]}, 'lo', {wide[2]} * {half} + {wide[1]} * {1 << BIN_BITS} + {wide[0]})"
+    # lambdas name the integers once, so the text of the expression stays short
+    rest = f"s -> named_struct('hi', s.hi, 'lo', s.lo, 'rest', pmod(s.lo, CAST({carry} AS DECIMAL(38,0))))"
+    value = (f"r -> CAST(r.hi + (r.lo - r.rest) div {carry} AS DOUBLE) * {2.0 ** (BIN_FROM + 3 * BIN_BITS)!r}D"
+             f" + (CAST(r.rest div {half} AS DOUBLE) * {2.0 ** (BIN_FROM + 2 * BIN_BITS)!r}D"
+             f" + CAST(r.rest % {half} AS DOUBLE) * {2.0 ** BIN_FROM!r}D)")
+    far = f"coalesce(sum(CASE WHEN NOT abs({x}) < {2.0 ** BIN_TO!r}D THEN {x} END), 0D)"
+    return f"CASE WHEN count({x}) > 0 THEN get(transform(transform(array({joined}), {rest}), {value}), 0) + {far} END"
+
+
 def total(x: str, dtype: str = "bigint") -> str:
-    """Sum of ``x``.  A BIGINT is summed in two BIGINT parts (millions and the
-    rest) that are joined as ``DECIMAL(38,0)`` after the sums, so totals
-    beyond 9.2e18 stay exact at the speed of long arithmetic."""
+    """Sum of ``x``, the same for any order of the rows.  A BIGINT is summed in
+    two BIGINT parts (millions and the rest) that are joined as
+    ``DECIMAL(38,0)`` after the sums, so totals beyond 9.2e18 stay exact at
+    the speed of long arithmetic; doubles are summed in bins."""
+    if dtype in ("double", "float"):
+        return double_total(x if dtype == "double" else f"CAST({x} AS DOUBLE)")
     if dtype != "bigint":
         return f"sum({x})"
     return f"(CAST(sum({x} div {SUM_PART}) AS DECIMAL(31,0)) * {SUM_PART} + sum({x} % {SUM_PART}))"

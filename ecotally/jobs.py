@@ -3,7 +3,8 @@
 Each job reads a polygon file (parquet or CSV, in a source spelling), the
 lookup sheets it needs (CSV with an optional header offset, or parquet),
 runs the plans of ``ecotally.plans`` and writes its reports (CSV with ``NA``
-and no exponents, or parquet) under ``out``, one folder per report.
+and no exponents, or parquet) under ``out``: one folder per report in a new
+version, which the manifest names when all are written.
 
     python -m ecotally.jobs habitat --polygons p.parquet --map-codes mc.csv \\
         --map-codes-skip 1 --categories bhc.csv --categories-skip 3 --out out/
@@ -20,26 +21,28 @@ first component on the wide table, EU summary in ha over all components) and
 from __future__ import annotations
 
 import argparse
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.area import to_unit
-from .operators.aggregate import crosstabs
 from .operators.project import canonicalise
 from .plans import ecosystems as eco
 from .plans import parcels, qa, ratings
 from .schema import DISPLAY_NAMES, MARL_FEN, RATING_KEY_PARTS, RATING_KEY_PARTS_SITE, SOURCES, ZONE_LABELS
-from .sources import files
+from .sources import commit, files
 
 
-def read_polygons(spark: SparkSession, path: str, spelling: str = "cem", fmt: str = "parquet") -> DataFrame:
+def read_polygons(spark: SparkSession, path: str, spelling: str = "cem", fmt: str = "parquet",
+                  report: files.ReadReport | None = None) -> DataFrame:
     """Polygon table in canonical names.  CSV: text by default, shares int,
-    area double (as the source readers declare them)."""
+    area double (as the source readers declare them); ``report`` counts the
+    cells that aren't."""
     s = SOURCES[spelling]
     if fmt == "csv":
         types = {s.polygon["area"]: "double", **{s.component["sdec"].format(n=n): "int" for n in (1, 2, 3)}}
-        raw = files.read_typed_csv(spark, path, types)
+        raw = files.read_typed_csv(spark, path, types, report)
     else:
         raw = spark.read.parquet(path)
     return canonicalise(raw, s)
@@ -67,6 +70,11 @@ def shared(df: DataFrame) -> DataFrame:
 _SHARED: list[DataFrame] = []
 
 
+def release_shared() -> None:
+    while _SHARED:
+        _SHARED.pop().unpersist()
+
+
 def zones_job(polygons, map_codes, unit="m2") -> dict[str, DataFrame]:
     eu = shared(eco.eu_summary(eco.components(polygons, ids=["paz"]), map_codes, by=["paz"]))
     return {
@@ -102,23 +110,27 @@ def parcels_job(polygons, map_codes, categories, classes: Sequence[str] | None =
     }
 
 
-def rate_job(polygons, rating_sheet, value=ratings.RATING_VALUE) -> dict[str, DataFrame]:
+def rate_job(polygons, rating_sheet, value=ratings.RATING_VALUE, revised=None) -> dict[str, DataFrame | Callable[[], DataFrame]]:
     """The rating reports on the ten-part key.  Rows per component and per
-    polygon come straight from the polygons; the area reports and control
-    totals share one aggregate per key and component."""
+    polygon come straight from the polygons, by lookups on the rows; the area
+    reports share one aggregate per key and component.  With a ``revised``
+    sheet the area reports use it, the rows the first one.  Control totals are
+    taken while the reports are written."""
     parts = RATING_KEY_PARTS
-    comps = ratings.rating_components(polygons, parts)
-    rated = ratings.rate(comps, rating_sheet, parts, value=value)
-    units = shared(ratings.rating_units(comps, parts))
-    rated_units = ratings.rate(units, rating_sheet, parts, value=value)
+    comps, at_comps = qa.observed(ratings.rating_components(polygons, parts), "components")
+    rated, at_rated = qa.observed(ratings.rate(comps, rating_sheet, parts, value=value), "rated")
+    units = shared(ratings.rating_units(ratings.rating_components(polygons, parts), parts))
+    keys, at_keys = qa.observed(ratings.ecosystem_keys(units, parts), "ecosystem_list")
+    rated_units = ratings.rate(units, rating_sheet if revised is None else revised, parts, value=value)
+    stages = [("components", at_comps), ("ecosystem_list", at_keys), ("rated", at_rated)]
     return {
         "rated": ratings.rated_rows(rated),
-        "rating_by_polygon": ratings.rating_wide(rated),
+        "rating_by_polygon": ratings.rating_by_polygon(polygons, rating_sheet, parts, value),
         "unmatched": ratings.unmatched(rated_units, parts),
         "area_by_rating": ratings.rating_area(rated_units),
         "area_by_rating_first": ratings.rating_area(rated_units, first_only=True),
-        "ecosystem_list": ratings.ecosystem_list(units, parts),
-        "control_totals": qa.rating_conservation(units, rated_units),
+        "ecosystem_list": ratings.key_report(keys, parts),
+        "control_totals": lambda: qa.observed_totals(polygons.sparkSession, stages),
     }
 
 
@@ -130,13 +142,8 @@ def whi_job(polygons, rating_sheet, map_codes, value=ratings.RATING_VALUE, eu_un
 
 
 def qa_job(polygons) -> dict[str, DataFrame]:
-    return {
-        "frequencies": qa.code_frequencies(polygons, qa.QA_ALL_FIELDS),
-        "zone_crosstab": crosstabs(polygons, [("bgc_zone", "bgc_subzon")]),
-        "component_crosstabs": qa.component_crosstabs(polygons),
-        "total_area": qa.total_area(polygons),
-        "share_sums": qa.share_sums(polygons),
-    }
+    """All QA tables from one scan."""
+    return qa.pack_reports(shared(qa.pack(polygons)))
 
 
 def df_labels(df: DataFrame) -> dict[str, str]:
@@ -157,22 +164,29 @@ def with_display_names(df: DataFrame) -> DataFrame:
     return df.toDF(*out)
 
 
-def write_reports(reports: dict[str, DataFrame], out: str, fmt: str = "csv") -> list[str]:
-    """Write every report (CSV under its printed headers), then release the
-    job's shared aggregates."""
-    paths = []
+def write_reports(reports: dict[str, DataFrame | Callable[[], DataFrame]], out: str, fmt: str = "csv") -> list[str]:
+    """Write every report under its printed headers, all or none: they go to
+    a new version folder below ``out``, and only when the last one is written
+    does the manifest name it (``sources.commit``).  A report given as a
+    function is made after those before it are written.  Then the job's
+    shared aggregates are released."""
+    paths = {}
+    spark = None
     try:
+        version = commit.new_version()
         for name, df in reports.items():
-            path = f"{out.rstrip('/')}/{name}"
+            df = with_display_names(df() if callable(df) else df)
+            spark = df.sparkSession
+            paths[name] = commit.version_path(out, version, name)
             if fmt == "csv":
-                files.write_csv(with_display_names(df), path, mode="overwrite")
+                files.write_csv(df, paths[name])
             else:
-                df.write.mode("overwrite").parquet(path)
-            paths.append(path)
+                df.write.parquet(paths[name])
+        if spark is not None:
+            commit.publish(spark, out, version, list(reports), fmt)
     finally:
-        while _SHARED:
-            _SHARED.pop().unpersist()
-    return paths
+        release_shared()
+    return list(paths.values())
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> list[str]:
@@ -181,7 +195,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     ap.add_argument("--polygons", required=True)
     ap.add_argument("--polygons-format", choices=["parquet", "csv"], default="parquet")
     ap.add_argument("--spelling", choices=sorted(SOURCES), default="cem")
-    for sheet in ("map-codes", "categories", "ratings", "crosswalk"):
+    for sheet in ("map-codes", "categories", "ratings", "ratings-revised", "crosswalk"):
         ap.add_argument(f"--{sheet}")
         ap.add_argument(f"--{sheet}-skip", type=int, default=0)
     ap.add_argument("--location", default=MARL_FEN)
@@ -194,10 +208,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     a = ap.parse_args(argv)
 
     spark = spark or SparkSession.builder.appName(f"ecotally-{a.job}").getOrCreate()
-    p = read_polygons(spark, a.polygons, a.spelling, a.polygons_format)
+    seen = files.ReadReport()
+    p = read_polygons(spark, a.polygons, a.spelling, a.polygons_format, seen)
     mc = read_sheet(spark, a.map_codes, a.map_codes_skip)
     cats = read_sheet(spark, a.categories, a.categories_skip)
     rat = read_sheet(spark, a.ratings, a.ratings_skip)
+    revised = read_sheet(spark, a.ratings_revised, a.ratings_revised_skip)
     xw = read_sheet(spark, a.crosswalk, a.crosswalk_skip)
     eu_unit = a.eu_unit or "m2"
     reports = {
@@ -206,11 +222,15 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         "property": lambda: property_job(p, mc, cats, a.location, a.other_properties, eu_unit=eu_unit, unit=a.unit),
         "crosswalk": lambda: crosswalk_job(p, xw, mc, cats, unit=a.unit),
         "parcels": lambda: parcels_job(p, mc, cats, unit=a.unit),
-        "rate": lambda: rate_job(p, rat),
+        "rate": lambda: rate_job(p, rat, revised=revised),
         "whi": lambda: whi_job(p, rat, mc, eu_unit=a.eu_unit or "ha"),
         "qa": lambda: qa_job(p),
     }[a.job]()
-    return write_reports(reports, a.out, a.out_format)
+    paths = write_reports(reports, a.out, a.out_format)
+    if a.polygons_format == "csv":
+        for line in seen.warnings():
+            print(f"warning: {a.polygons}: {line}", file=sys.stderr)
+    return paths
 
 
 if __name__ == "__main__":

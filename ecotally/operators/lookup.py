@@ -1,8 +1,9 @@
 """Left lookups against reference sheets.
 
 A lookup side is broadcast only when its size is *shown* to be small: by the
-planner's own size of a table that is read or given (no job), or else by
-measuring it, at most ``max_rows + 1`` rows, in rows and bytes.  A row count
+planner's own size of rows that are given with the plan (no job), or else by
+measuring it, at most ``max_rows + 1`` rows, in rows and bytes.  The planned
+size of a file proves nothing: millions of equal rows compress to kilobytes.  A row count
 stated by the caller can only rule a broadcast out.  Above the bound the join
 is a shuffled join whose hot keys are split: by AQE's skew-join handling when
 the session has it on, else by salting.
@@ -20,18 +21,20 @@ from ..functions.nulls import expr, ident
 # Largest lookup that is broadcast, in rows and in bytes of its values.
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 32 << 20
-# Planned size below which a lookup is taken as small without measuring it:
-# files are compressed, so far below the bound.
+# Planned size below which given rows are taken as small without measuring them.
 PLANNED_MAX_BYTES = 1 << 20
 # Salt buckets for a shuffled lookup when AQE skew splitting is off.
 SALT_BUCKETS = 16
 
 
 def planned_bytes(table: DataFrame) -> int | None:
-    """The planner's size of ``table``, where it bounds the rows from above:
-    a scan or given rows with filters and projections on top."""
+    """The planner's size of ``table`` where it bounds the rows from above:
+    rows given with the plan, with filters and projections on top; None for
+    anything else."""
     plan = table._jdf.queryExecution().optimizedPlan()
-    if any(name in plan.toString() for name in ("Generate", "Expand", "Join", "Union", "Aggregate", "Range")):
+    leaves = plan.collectLeaves()
+    given = all(leaves.apply(k).nodeName() in ("LocalRelation", "OneRowRelation") for k in range(leaves.size()))
+    if not given or any(name in plan.toString() for name in ("Generate", "Expand", "Join", "Union", "Aggregate", "Range")):
         return None
     return int(plan.stats().sizeInBytes())
 

@@ -111,6 +111,15 @@ RATED_BASE = [
 ]
 
 
+# every 97th polygon has the id of the one before, the water keys of the sheet stand twice
+REPEATED_BASE = [
+    RATED_BASE[0],
+    f"keyed AS (SELECT * REPLACE (CASE WHEN fid % 97 = 0 THEN fid - 1 ELSE fid END AS fid), {ukey(RATING_PARTS_SQL)} AS eco FROM rcomp)",
+    f"rtab AS (SELECT {RKEY} AS reco, BSEOW_LI AS rating FROM ratings UNION ALL SELECT {RKEY}, 'W' FROM ratings WHERE SITEMC_S = 'OW')",
+    RATED_BASE[3],
+]
+
+
 def split_cols(expr: str, names=RATING_PART_NAMES, na_to_null: bool = False) -> str:
     out = []
     for i, n in enumerate(names, start=1):
@@ -183,6 +192,7 @@ CANON_POLY = (
 )
 
 QA_COLS = [f"{f}_{n}" for n in (1, 2, 3) for f in ("sdec", "sitemc", "seral", "strct")]
+QA_PAIR_COLS = [(f"{x}_{n}", f"{y}_{n}") for x, y in (("sitemc", "seral"), ("strct", "strct_m")) for n in (1, 2, 3)]
 QA_FREQ = " UNION ALL ".join(
     f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, COUNT(*) AS n FROM cpoly WHERE {c} IS NOT NULL GROUP BY {c}"
     for c in QA_COLS
@@ -200,6 +210,18 @@ CONSERVATION = " UNION ALL ".join(
     for s, t, _ in STAGES
 )
 
+ODD_DOUBLE = "CAST(area AS DOUBLE) * 0.7310585786300049"
+
+
+def exact_total(x: str) -> str:
+    """Exact sum of non-negative doubles: integers of 2^-60 in a HUGEINT, read
+    back in three parts that doubles hold exactly."""
+    t = f"SUM(CAST({x} * 1152921504606846976.0::DOUBLE AS HUGEINT))"
+    low = f"({t} % 4722366482869645213696)"
+    return (f"(CAST({t} // 4722366482869645213696 AS DOUBLE) * 4096 + (CAST({low} // 281474976710656 AS DOUBLE) / 4096"
+            f" + CAST({low} % 281474976710656 AS DOUBLE) / 1152921504606846976.0::DOUBLE))")
+
+
 ORACLE: dict[str, str] = {
     "deciles_long": sql("SELECT fid, decile, sdec, sitemc, strct, seral FROM deciles", comp_cte(), DECILES),
     "apportion_area": sql(f"SELECT fid, decile, {to_unit('area_t', 'm2')} AS area FROM deciles", comp_cte(), DECILES),
@@ -352,10 +374,38 @@ ORACLE: dict[str, str] = {
         "SELECT paz, bec_variant, ecosystem, site_series_name, type, strct, NULLIF(structural_class, 'NA')"
         f" AS structural_class, {to_unit('area_t', 'm2')} AS total_area FROM eun", *EU_ZONE),
     "qa_component_crosstabs": sql(" UNION ALL ".join(
-        f"SELECT '{a}_x_{b}' AS \"table\", {a} AS \"row\", {b} AS col, COUNT(*) AS n FROM cpoly"
-        f" WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}"
-        for x, y in (("sitemc", "seral"), ("strct", "strct_m")) for a, b in ((f"{x}_{n}", f"{y}_{n}") for n in (1, 2, 3))),
+        f"SELECT '{a}_x_{b}' AS \"table\", r.a AS \"row\", c.b AS col, COUNT(p.a) AS n FROM (SELECT DISTINCT {a} AS a FROM cpoly"
+        f" WHERE {a} IS NOT NULL) r CROSS JOIN (SELECT DISTINCT {b} AS b FROM cpoly WHERE {b} IS NOT NULL) c"
+        f" LEFT JOIN (SELECT {a} AS a, {b} AS b FROM cpoly) p ON p.a = r.a AND p.b = c.b GROUP BY r.a, c.b"
+        for a, b in QA_PAIR_COLS), f"cpoly AS (SELECT {CANON_POLY} FROM polygons)"),
+    "qa_pack": sql(" UNION ALL ".join(
+        [f"SELECT 'code' AS kind, '{c}' AS tab, CAST({c} AS VARCHAR) AS row_value, NULL AS col_value, COUNT(*) AS n FROM cpoly"
+         f" WHERE {c} IS NOT NULL GROUP BY {c}" for c in QA_COLS]
+        + [f"SELECT 'pair', '{a}_x_{b}', {a}, {b}, COUNT(*) FROM cpoly WHERE {a} IS NOT NULL OR {b} IS NOT NULL GROUP BY {a}, {b}"
+           for a, b in [("bgc_zone", "bgc_subzon"), *QA_PAIR_COLS]]
+        + ["SELECT 'shares', 'share_sum', CAST(CAST(COALESCE(sdec_1,0) + COALESCE(sdec_2,0) + COALESCE(sdec_3,0) AS INTEGER) AS VARCHAR),"
+           " NULL, COUNT(*) FROM cpoly GROUP BY 3", "SELECT 'total', 'total_area', NULL, NULL, COUNT(*) FROM cpoly"]),
         f"cpoly AS (SELECT {CANON_POLY} FROM polygons)"),
+    "rating_area_revised": sql(f"SELECT rating, {to_unit(STRICT_T, 'm2')} AS area_tot FROM rated GROUP BY rating",
+                               *[c.replace("FROM ratings)", "FROM ratings_revised)") for c in RATED_BASE]),
+    "rate_job_totals": sql(" UNION ALL ".join(
+        f"SELECT '{s}' AS stage, {to_unit(STRICT_T, 'm2')} AS total_area, {to_unit('SUM(area_t)', 'm2')} AS total_area_known,"
+        f" COUNT(*) FILTER (WHERE area_t IS NULL) AS n_missing FROM {t}"
+        for s, t in (("components", "keyed WHERE area_t > 0"), ("ecosystem_list", "keyed WHERE area_t > 0"), ("rated", "rated"))),
+        *RATED_BASE),
+    "src_csv_diagnostics": sql(
+        "SELECT 'AREA' AS column_name, COUNT(*) FILTER (WHERE FID % 7 = 0) AS n_bad, FALSE AS absent FROM polygons"
+        " UNION ALL SELECT 'SDEC_1', COUNT(*) FILTER (WHERE FID % 11 = 0), FALSE FROM polygons"
+        " UNION ALL SELECT 'SDEC_2', 0, FALSE UNION ALL SELECT 'area_ha', NULL, TRUE"),
+    "src_sheet_in_blocks": sql(
+        "SELECT FID AS fid, CASE WHEN FID % 3 = 0 THEN 'seen \"' || FID || '\"' || chr(10) || 'then, again'"
+        " WHEN FID % 5 = 0 THEN 'plain, text' END AS note, SITEMC_S1 AS sitemc FROM polygons"),
+    "whr_wide_repeated": sql(
+        "SELECT fid, MAX(rating) FILTER (WHERE decile = '1') AS decile_1, MAX(rating) FILTER (WHERE decile = '2')"
+        " AS decile_2, MAX(rating) FILTER (WHERE decile = '3') AS decile_3 FROM rated GROUP BY fid", *REPEATED_BASE),
+    "qa_duplicate_rated": sql(
+        "SELECT 'rated_fid_decile' AS \"check\", CAST(fid AS VARCHAR) || '|' || decile AS key, COUNT(*) AS n FROM rated"
+        " GROUP BY fid, decile HAVING COUNT(*) > 1", *REPEATED_BASE),
     "qa_rating_conservation": sql(" UNION ALL ".join(
         f"SELECT '{s}' AS stage, {to_unit(STRICT_T, 'm2')} AS total_area, {to_unit('SUM(area_t)', 'm2')} AS total_area_known,"
         f" COUNT(*) FILTER (WHERE area_t IS NULL) AS n_missing FROM {t}"
@@ -368,6 +418,14 @@ ORACLE: dict[str, str] = {
         " CASE WHEN COUNT(a) = COUNT(*) THEN SUM(a) END / 1000 AS total_area, COUNT(*) AS n FROM"
         f" (SELECT *, {LABEL} AS ecosystem, CAST(FLOOR(area * 4) AS DOUBLE) / 4 * 100 * sdec AS a FROM deciles)"
         " GROUP BY bgc_zone || bgc_subzon || bgc_vrt, ecosystem, strct", comp_cte(), DECILES),
+    "eu_area_any_double": sql(
+        "SELECT bgc_zone || bgc_subzon || bgc_vrt AS bec_variant, ecosystem, strct,"
+        f" CASE WHEN COUNT(a) = COUNT(*) THEN {exact_total('a')} END / 1000 AS total_area, COUNT(*) AS n FROM"
+        f" (SELECT *, {LABEL} AS ecosystem, {ODD_DOUBLE} * 100 * sdec AS a FROM deciles)"
+        " GROUP BY bgc_zone || bgc_subzon || bgc_vrt, ecosystem, strct", comp_cte(), DECILES),
+    "qa_total_area_any_double": sql(
+        f"SELECT COUNT(*) AS n, CASE WHEN COUNT(a) = COUNT(*) THEN {exact_total('a')} END / 10000 AS total_area"
+        f" FROM (SELECT {ODD_DOUBLE} AS a FROM polygons)"),
     "bhc_crosswalked_tem": sql(
         BHC_ROLLUP, "tem AS (" + TEM_SQL.replace("{polygons}", "polygons") + ")",
         "deciles AS (SELECT * FROM (" + " UNION ALL ".join(
@@ -375,3 +433,8 @@ ORACLE: dict[str, str] = {
             f" CAST(Area_ha * 1000000 AS BIGINT) * Sdec_{n} AS area_t FROM tem" for n in (1, 2, 3)) + ") WHERE sitemc IS NOT NULL)",
         *XWALK[2:], *eu_ctes(src="xd", bec="bgc_zone || bgc_subzon", eco="sitemc")),
 }
+
+ORACLE["prj_display_names"] = (
+    'SELECT sort AS "Sort", bec_variant AS "BEC Variant", ecosystem AS "Ecosystem", site_series AS "Site Series",'
+    ' site_series_name AS "Site Series Name", type AS "Type", dam AS "Dam", reservoir AS "Reservoir", tl AS "TL", hwy_29 AS "Hwy 29",'
+    f' road AS "Road", quarry AS "Quarry", erosion_impact AS "Erosion Impact" FROM ({ORACLE["mc_report"]})')

@@ -20,6 +20,7 @@ from ..functions.classify import recode
 from ..functions.keys import compose_key, split_key
 from ..functions.nulls import expr, ident, lit, strict_sum, type_of
 from ..operators.lookup import lookup
+from ..operators.repeats import once_per_key, suspects
 from ..operators.reshape import NUMBER_TAGS, to_long
 from ..schema import (
     RATING_KEY_PARTS, RATING_PART_SOURCE, SPATIAL_RECODES, wide,
@@ -102,6 +103,52 @@ def rating_wide(rated: DataFrame) -> DataFrame:
     return rated.sparkSession.sql(f"SELECT fid, {cells} FROM {{src}} GROUP BY fid", src=rated)
 
 
+def _part(p: str, n: int) -> str:
+    """Column of a key part of component ``n`` on the wide table."""
+    src = RATING_PART_SOURCE[p]
+    return src if src in POLYGON_PARTS else wide(src, n)
+
+
+def wide_rated_keys(polygons: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS) -> DataFrame:
+    """Per polygon with a component of area > 0 the composed keys ``eco_1`` to
+    ``eco_3`` of such components (missing: no such component); narrow."""
+    shown = [f"{apportion('area_u', wide('sdec', n))} > 0" for n in (1, 2, 3)]
+    keys = ", ".join(f"CASE WHEN {x} THEN {compose_key([_part(p, n) for p in parts])} END AS eco_{n}" for n, x in zip((1, 2, 3), shown))
+    # the filter names the areas, not the long keys: the planner derives further conditions from it
+    return polygons.sparkSession.sql(f"SELECT fid, {keys} FROM {{src}} WHERE {' OR '.join(shown)}", src=with_area_units(polygons))
+
+
+def rating_by_polygon(polygons: DataFrame, ratings: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, value: str = RATING_VALUE,
+                      rating_rows: int | None = None) -> DataFrame:
+    """One row per polygon, one rating column per component, as
+    ``rating_wide`` gives it, without shuffling the polygons: three keyed
+    lookups on the polygon's own row.  Only polygons whose id is shown to
+    repeat are grouped (largest rating)."""
+    best = rating_table(ratings, parts, value).groupBy("eco").agg(expr("max(rating) AS rating"))
+    rows = wide_rated_keys(polygons, parts)
+    for n, tag in zip((1, 2, 3), NUMBER_TAGS):
+        one = best.selectExpr("eco AS __eco", f"rating AS decile_{tag}")
+        rows = lookup(rows, one, [(f"eco_{n}", "__eco")], null_safe=False, table_rows=rating_rows)
+    cols = [f"decile_{t}" for t in NUMBER_TAGS]
+    return once_per_key(rows.select("fid", *cols), "fid", [f"max({c}) AS {c}" for c in cols], suspects(polygons, "fid"))
+
+
+def repeating_polygons(polygons: DataFrame, ratings: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS) -> DataFrame | None:
+    """The polygons whose components may be rated more than once: those whose
+    id may repeat, and those with a key that the sheet repeats.  None if
+    there can't be any."""
+    clean, some = suspects(polygons, "fid").split(polygons)
+    again = rating_table(ratings, parts).groupBy("eco").agg(expr("count(1) AS n")).filter("n > 1")
+    if clean is None or again.isEmpty():
+        return some
+    keys = ", ".join(f"{compose_key([_part(p, n) for p in parts])} AS __eco_{n}" for n in (1, 2, 3))
+    keyed = polygons.sparkSession.sql(f"SELECT *, {keys} FROM {{src}}", src=clean)
+    for n in (1, 2, 3):
+        keyed = lookup(keyed, again.selectExpr("eco AS __again", f"true AS __hit_{n}"), [(f"__eco_{n}", "__again")], null_safe=False)
+    hits = keyed.filter("coalesce(__hit_1, __hit_2, __hit_3)").select(*polygons.columns)
+    return hits if some is None else some.unionByName(hits)
+
+
 def unmatched(rated: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, unit: str = "m2") -> DataFrame:
     """Keys with no rating and their area, the key split for reading; from
     rated units (or rated component rows)."""
@@ -112,21 +159,24 @@ def unmatched(rated: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, unit: s
     return g.selectExpr("eco", "area", *[f"{p} AS {name.lower()}" for p, name in zip(pieces, parts)])
 
 
+def ecosystem_keys(units: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS) -> DataFrame:
+    """Distinct composed keys with their parts and ``area_t``."""
+    cols = [RATING_PART_SOURCE[p] for p in parts]
+    return units.groupBy("eco", *cols).agg(expr(f"{strict_sum('area_t', type_of(units, 'area_t'))} AS area_t"))
+
+
 def ecosystem_list(units: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, unit: str = "m2") -> DataFrame:
     """Distinct composed keys with their area; parts carried (not re-split)."""
-    cols = [RATING_PART_SOURCE[p] for p in parts]
-    area = strict_sum("area_t", type_of(units, "area_t"))
-    g = units.groupBy("eco", *cols).agg(expr(f"{to_unit(area, unit)} AS area"))
-    return g.selectExpr("eco", *[f"{c} AS {p.lower()}" for c, p in zip(cols, parts)], "area")
+    return key_report(ecosystem_keys(units, parts), parts, unit)
+
+
+def key_report(keys: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS, unit: str = "m2") -> DataFrame:
+    return keys.selectExpr("eco", *[f"{RATING_PART_SOURCE[p]} AS {p.lower()}" for p in parts], f"{to_unit('area_t', unit)} AS area")
 
 
 def wide_keys(polygons: DataFrame, parts: Sequence[str] = RATING_KEY_PARTS) -> DataFrame:
     """The composed key of each component on the wide table (no reshaping)."""
-    def part_col(p: str, n: int) -> str:
-        src = RATING_PART_SOURCE[p]
-        return src if src in POLYGON_PARTS else wide(src, n)
-
-    keys = [f"{compose_key([part_col(p, n) for p in parts])} AS eco_{n}" for n in (1, 2, 3)]
+    keys = [f"{compose_key([_part(p, n) for p in parts])} AS eco_{n}" for n in (1, 2, 3)]
     return polygons.selectExpr("cem_ecp", *keys)
 
 

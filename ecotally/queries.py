@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import jobs
 from .functions.area import to_unit
 from .functions.classify import after_class, as_level, level_position, recode, structural_class
 from .functions.keys import ecosystem_label, ecosystem_unit, split_key
@@ -334,7 +335,23 @@ def whr_rate_revised(i: Inputs):
 
 def whr_wide(i: Inputs):
     """RSH-4: one row per polygon, one rating column per component."""
-    return ratings.rating_wide(i.rated())
+    return ratings.rating_by_polygon(i.polygons, i.ratings, rating_rows=RATING_ROWS)
+
+
+def whr_wide_repeated(i: Inputs):
+    """RSH-4 where polygon ids repeat and a key stands twice in the sheet."""
+    return ratings.rating_by_polygon(repeated(i), twice(i.ratings))
+
+
+def repeated(i: Inputs) -> DataFrame:
+    """The polygons, every 97th with the id of another one."""
+    return i.polygons.selectExpr("if(fid % 97 = 0, fid - 1, fid) AS fid", *[c for c in i.polygons.columns if c != "fid"])
+
+
+def twice(sheet: DataFrame) -> DataFrame:
+    """A rating sheet whose water keys stand twice, the second time rated W."""
+    again = sheet.filter("SITEMC_S = 'OW'").selectExpr(*["'W' AS BSEOW_LI" if c == "BSEOW_LI" else c for c in sheet.columns])
+    return sheet.unionByName(again)
 
 
 def whr_unmatched(i: Inputs):
@@ -414,7 +431,17 @@ def qa_duplicate_keys(i: Inputs):
     keys = qa.duplicate_lookup_keys(eco.eu_units(i.deciles()), [
         ("habitat_categories", eco.categories_table(i.categories), "ecosystem_unit"),
         ("map_codes", eco.names_table(i.map_codes), "unit")])
-    return keys.unionByName(qa.duplicate_components(i.rated(), "rated_fid_decile"))
+    return keys.unionByName(qa.duplicate_rated(i.polygons, i.ratings, "rated_fid_decile", rating_rows=RATING_ROWS))
+
+
+def qa_duplicate_rated(i: Inputs):
+    """JN-9: repeated rated components where ids and sheet keys repeat."""
+    return qa.duplicate_rated(repeated(i), twice(i.ratings), "rated_fid_decile")
+
+
+def qa_pack(i: Inputs):
+    """D10: all QA counts from one scan."""
+    return qa.pack(i.polygons, qa.QA_FIELDS).selectExpr("kind", "`table` AS tab", "`row` AS row_value", "col AS col_value", "n")
 
 
 def qa_component_crosstabs(i: Inputs):
@@ -441,12 +468,51 @@ def eu_area_double(i: Inputs):
     return e.selectExpr("bec_variant", "ecosystem", "strct", f"{to_unit('area_t', 'm2')} AS total_area", "n")
 
 
+ODD_FACTOR = 0.7310585786300049
+
+
+def odd_doubles(i: Inputs) -> DataFrame:
+    """The polygons with areas that are no round numbers in any unit."""
+    return i.polygons.selectExpr(*[c for c in i.polygons.columns if c != "area"], f"CAST(area AS DOUBLE) * {ODD_FACTOR!r}D AS area")
+
+
+def eu_area_any_double(i: Inputs):
+    """AGG-1 on arbitrary doubles: the same total for any order of the rows."""
+    e = eco.eu_units(eco.components(odd_doubles(i)))
+    return e.selectExpr("bec_variant", "ecosystem", "strct", f"{to_unit('area_t', 'm2')} AS total_area", "n")
+
+
+def qa_total_area_any_double(i: Inputs):
+    """AGG-3 on arbitrary doubles."""
+    return qa.total_area(odd_doubles(i))
+
+
 def bhc_crosswalked_tem(i: Inputs):
     """D8 on a terrestrial-map workbook: its spelling, hectares, two-part variant."""
     return eco.crosswalked_habitat_summary(i.polygons_tem, i.crosswalk, i.map_codes, i.categories,
                                            xwalk_rows=XWALK_ROWS, map_rows=MAP_ROWS, cat_rows=CAT_ROWS)
 
 
+def rating_area_revised(i: Inputs):
+    """AGG-7 / D1b: area per rating of the revised sheet."""
+    units = ratings.rate(i.rating_units(), i.ratings_revised, RATING_KEY_PARTS, rating_rows=LOOKUP_ROWS["ratings_revised"])
+    return ratings.rating_area(units)
+
+
+def rate_job_totals(i: Inputs):
+    """JN-9 / AGG-3: control totals that the rating job takes while it writes."""
+    reports = jobs.rate_job(i.polygons, i.ratings)
+    for name in ("rated", "ecosystem_list"):
+        reports[name].write.format("noop").mode("overwrite").save()
+    jobs.release_shared()
+    return reports["control_totals"]()
+
+
+def prj_display_names(i: Inputs):
+    """PRJ-7: the map-code table under its printed headers."""
+    return jobs.with_display_names(mc_report(i))
+
+
 def qa_share_sum(i: Inputs):
     """D10: polygons per share total."""
     return qa.share_sums(i.polygons)
@@ -479,6 +545,35 @@ def src_header_offset(i: Inputs):
     return files.read_sheet(i.spark, path, skip=2, types={"total_area": "double"})
 
 
+def src_csv_diagnostics(i: Inputs):
+    """SRC-1: cells of typed columns that hold something else, and absent typed
+    columns, counted while the table is read."""
+    path = scratch_path(i.spark, "odd-csv")
+    odd = {"AREA": "if(FID % 7 = 0, 'unknown', CAST(AREA AS STRING))", "SDEC_1": "if(FID % 11 = 0, 'ten', CAST(SDEC_1 AS STRING))"}
+    files.write_csv(i.raw.selectExpr(*[f"{odd[c]} AS {c}" if c in odd else c for c in i.raw.columns]), path)
+    seen = files.ReadReport()
+    table = files.read_typed_csv(i.spark, path, {"SDEC_1": "int", "SDEC_2": "int", "AREA": "double", "Area_ha": "double"}, seen)
+    table.write.format("noop").mode("overwrite").save()
+    rows = [(c, n, False) for c, n in seen.bad_cells.items()] + [(c, None, True) for c in seen.absent]
+    return i.spark.createDataFrame(rows, "column_name string, n_bad bigint, absent boolean")
+
+
+def src_sheet_in_blocks(i: Inputs):
+    """SRC-3: a sheet whose cells hold line breaks and quotes, read by several
+    tasks."""
+    path = scratch_path(i.spark, "notes-sheet")
+    note = "CASE WHEN FID % 3 = 0 THEN concat('seen \"', FID, '\"\nthen, again') WHEN FID % 5 = 0 THEN 'plain, text' END"
+    files.write_sheet(i.raw.selectExpr("FID AS fid", f"{note} AS note", "SITEMC_S1 AS sitemc"), path, ["Notes", "on polygons"], sort_by=["fid"])
+    old = {k: i.spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        i.spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        i.spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        return files.read_sheet(i.spark, path, skip=2, types={"fid": "bigint"})
+    finally:
+        for k, v in old.items():
+            i.spark.conf.set(k, v)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _q(fn)
     for name, fn in {
@@ -522,6 +617,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "whr_rate": whr_rate,
         "whr_rate_revised": whr_rate_revised,
         "whr_wide": whr_wide,
+        "whr_wide_repeated": whr_wide_repeated,
         "whr_unmatched": whr_unmatched,
         "rating_area_all": rating_area_all,
         "rating_area_first": rating_area_first,
@@ -537,10 +633,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "qa_area_conservation": qa_area_conservation,
         "qa_duplicate_keys": qa_duplicate_keys,
         "qa_share_sum": qa_share_sum,
+        "qa_duplicate_rated": qa_duplicate_rated,
+        "qa_pack": qa_pack,
+        "rating_area_revised": rating_area_revised,
+        "rate_job_totals": rate_job_totals,
+        "prj_display_names": prj_display_names,
+        "src_csv_diagnostics": src_csv_diagnostics,
+        "src_sheet_in_blocks": src_sheet_in_blocks,
         "qa_component_crosstabs": qa_component_crosstabs,
         "qa_rating_conservation": qa_rating_conservation,
         "jn_lookup_shuffled": jn_lookup_shuffled,
         "eu_area_double": eu_area_double,
+        "eu_area_any_double": eu_area_any_double,
+        "qa_total_area_any_double": qa_total_area_any_double,
         "bhc_crosswalked_tem": bhc_crosswalked_tem,
         "src_typed_csv": src_typed_csv,
         "snk_csv_roundtrip": snk_csv_roundtrip,

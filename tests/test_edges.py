@@ -210,6 +210,28 @@ def test_any_number_of_categories(spark):
     assert len(wide.columns) > 1001
 
 
+def test_categories_that_are_none_are_refused(spark, monkeypatch):
+    import pytest
+    from ecotally.operators import aggregate
+
+    df = spark.range(60).selectExpr("CAST(id % 2 AS STRING) AS r", "CAST(id AS STRING) AS c")
+    with pytest.raises(ValueError, match="more than 50 values"):
+        aggregate.distinct_values(df, "c", most=50)
+    counts = crosstabs(df, [("r", "c")], zero_cells=False)
+    with pytest.raises(Exception, match="2 x 60 cells, more than 100"):
+        aggregate.with_zero_cells(counts, max_cells=100).collect()
+    assert aggregate.with_zero_cells(counts, max_cells=120).count() == 120
+
+
+def test_long_crosstab_shows_zero_cells(spark):
+    rows = [("a", "x"), ("a", "x"), ("b", None), (None, "y"), (None, None)]
+    out = crosstabs(spark.createDataFrame(rows, "r string, c string"), [("r", "c"), ("c", "c")]).collect()
+    got = {(x["table"], x["row"], x["col"]): x["n"] for x in out}
+    # a value seen only beside a missing one is a level: its cells show 0
+    assert got == {("r_x_c", "a", "x"): 2, ("r_x_c", "a", "y"): 0, ("r_x_c", "b", "x"): 0, ("r_x_c", "b", "y"): 0,
+                   ("c_x_c", "x", "x"): 2, ("c_x_c", "x", "y"): 0, ("c_x_c", "y", "x"): 0, ("c_x_c", "y", "y"): 1}
+
+
 def test_totals_beyond_bigint_are_exact(spark):
     from ecotally.operators.aggregate import group_area
 

@@ -3,7 +3,7 @@
 from helpers import SF_SMALL
 from ecotally import jobs
 from ecotally.session import scratch_path
-from ecotally.sources import files
+from ecotally.sources import commit, files
 from ecotally.sources.fixture import load_fixture
 
 from ecotally.queries import QUERIES as Q
@@ -40,29 +40,29 @@ def test_habitat_and_rate_jobs_from_files(spark):
     sheets = ["--map-codes", f"{base}/map_codes", "--map-codes-skip", "1",
               "--categories", f"{base}/categories", "--categories-skip", "3"]
     jobs.main(["habitat", *common, *sheets, "--out", f"{base}/habitat"], spark=spark)
-    got = files.read_typed_csv(spark, f"{base}/habitat/habitat_summary", {"Total_area": "double"})
+    got = files.read_typed_csv(spark, commit.report_paths(spark, f"{base}/habitat")["habitat_summary"], {"Total_area": "double"})
     assert got.columns == ["BHC20", "Total_area"]
     got = got.toDF("bhc20", "total_area")
     _close(_sorted(got, ["bhc20", "total_area"]), _sorted(Q["bhc_summary"](spark, SF_SMALL), ["bhc20", "total_area"]))
 
     jobs.main(["zones", *common, *sheets, "--out", f"{base}/zones"], spark=spark)
-    got = files.read_typed_csv(spark, f"{base}/zones/map_codes_by_zone", {"Sort": "int"})
+    got = files.read_typed_csv(spark, commit.report_paths(spark, f"{base}/zones")["map_codes_by_zone"], {"Sort": "int"})
     assert got.columns == ["Sort", "BEC Variant", "Ecosystem", "Site Series", "Site Series Name", "Type", "Dam", "Reservoir",
                            "TL", "Hwy 29", "Road", "Quarry", "Erosion Impact"]
-    zones = files.read_typed_csv(spark, f"{base}/zones/eu_by_zone")
+    zones = files.read_typed_csv(spark, commit.report_paths(spark, f"{base}/zones")["eu_by_zone"])
     assert zones.columns == ["PAZ", "BEC Variant", "Ecosystem", "Site Series Name", "Type", "STRCT", "structural_class", "Total_area"]
-    after = files.read_typed_csv(spark, f"{base}/zones/eu_after")
+    after = files.read_typed_csv(spark, commit.report_paths(spark, f"{base}/zones")["eu_after"])
     assert after.columns == ["Type", "structural_class_after", "Total_area"]
 
     jobs.main(["parcels", *common, *sheets, "--out", f"{base}/parcels"], spark=spark)
-    split = files.read_typed_csv(spark, f"{base}/parcels/parcel_area")
+    split = files.read_typed_csv(spark, commit.report_paths(spark, f"{base}/parcels")["parcel_area"])
     assert split.columns == ["ParcelID_t", "Footprint", "Not footprint", "parcel_area"]
-    header = spark.read.text(f"{base}/parcels/parcel_habitat").filter("value LIKE 'ParcelID%'").first()[0].split(",")
+    header = spark.read.text(commit.report_paths(spark, f"{base}/parcels")["parcel_habitat"]).filter("value LIKE 'ParcelID%'").first()[0].split(",")
     assert header[:3] == ["ParcelID_t", "CMF", "CYF"] and header[-4:] == ["NA", "Footprint", "Not footprint", "parcel_area"]
     assert got.count() == Q["mc_report"](spark, SF_SMALL).count()
 
     jobs.main(["rate", *common, "--ratings", f"{base}/ratings", "--out", f"{base}/rate"], spark=spark)
-    got = files.read_typed_csv(spark, f"{base}/rate/area_by_rating", {"area_tot": "double"})
+    got = files.read_typed_csv(spark, commit.report_paths(spark, f"{base}/rate")["area_by_rating"], {"area_tot": "double"})
     want = Q["rating_area_all"](spark, SF_SMALL)
     got = got.withColumnRenamed("BSEOW_LI", "rating")
     _close(_sorted(got.withColumnRenamed("area_tot", "area"), ["rating", "area"]),
@@ -80,12 +80,13 @@ def test_rating_job_uses_ten_parts_whatever_the_columns(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(out["rated"]) == rows(without["rated"]) == rows(Q["whr_rate"](spark, SF_SMALL))
     assert out["rated"].filter("rating IS NOT NULL").count() > 0
-    totals = {r["total_area"] for r in out["control_totals"].collect()}
-    assert len(totals) == 1
+    out["ecosystem_list"].collect()
+    totals = out["control_totals"]().collect()  # of the rows that the two reports above have written
+    want = Q["qa_rating_conservation"](spark, SF_SMALL).collect()
+    assert sorted(map(str, totals)) == sorted(map(str, want)) and len({r["total_area"] for r in totals}) == 1
     whi = jobs.whi_job(i.polygons, i.ratings, i.map_codes)["first_component_rating"]
     assert rows(whi) == rows(Q["whi_first_component"](spark, SF_SMALL))
-    while jobs._SHARED:
-        jobs._SHARED.pop().unpersist()
+    jobs.release_shared()
 
 
 def test_every_job_runs(spark):
@@ -102,12 +103,12 @@ def test_every_job_runs(spark):
         **jobs.whi_job(i.polygons, i.ratings, i.map_codes),
         **jobs.qa_job(i.polygons),
     }
-    counts = {k: v.count() for k, v in outs.items()}
+    counts = {k: v.count() for k, v in outs.items() if k != "control_totals"}
+    assert outs["control_totals"]().count() == 3
     assert all(counts.values()), counts
     # the spatial job keeps empty components: one EU group with no ecosystem
     assert outs["eu_summary"].filter("ecosystem IS NULL").count() > 0
-    while jobs._SHARED:
-        jobs._SHARED.pop().unpersist()
+    jobs.release_shared()
 
 
 def test_reports_of_a_job_share_one_scan(spark, capsys):
@@ -123,6 +124,72 @@ def test_reports_of_a_job_share_one_scan(spark, capsys):
     assert not jobs._SHARED
 
 
+def scans(df, capsys):
+    df.explain()
+    return capsys.readouterr().out.count("FileScan parquet")
+
+
+def test_qa_job_scans_once(spark, capsys):
+    from ecotally.queries import inputs
+
+    i = inputs(spark, SF_SMALL)
+    reports = jobs.qa_job(i.polygons)
+    packed = jobs._SHARED[-1]
+    assert scans(packed, capsys) == 1
+    for df in reports.values():
+        df.explain()
+        plan = capsys.readouterr().out
+        assert plan.count("InMemoryTableScan") >= 1
+        # below the kept aggregate the printed lineage has the scan; above it nothing reads the polygons
+        assert all("InMemoryRelation" in part for part in plan.split("FileScan parquet")[:-1])
+    jobs.release_shared()
+
+
+def test_reports_appear_all_or_none(spark):
+    import pytest
+
+    out = scratch_path(spark, "set")
+    a = spark.range(3).selectExpr("id AS fid", "'x' AS rating")
+    jobs.write_reports({"one": a, "two": a}, out)
+    assert {k: v.count() for k, v in commit.read_reports(spark, out).items()} == {"one": 3, "two": 3}
+    assert commit.read_reports(spark, out)["one"].columns == ["FID", "BSEOW_LI"]
+
+    def broken():
+        raise RuntimeError("third report")
+
+    with pytest.raises(RuntimeError, match="third report"):
+        jobs.write_reports({"one": a.limit(1), "two": a.limit(1), "three": broken}, out)
+    assert {k: v.count() for k, v in commit.read_reports(spark, out).items()} == {"one": 3, "two": 3}
+    before = commit.manifest(spark, out)["version"]
+    for n in (2, 1):
+        jobs.write_reports({"one": a.limit(n)}, out, fmt="parquet")
+        assert {k: v.count() for k, v in commit.read_reports(spark, out).items()} == {"one": n}
+    assert commit.manifest(spark, out)["before"] != before
+    with pytest.raises(FileNotFoundError):
+        commit.read_reports(spark, out + "-none")
+
+
+def test_rating_job_takes_totals_by_the_revised_sheet(spark):
+    from ecotally.queries import inputs
+
+    i = inputs(spark, SF_SMALL)
+    out = jobs.rate_job(i.polygons, i.ratings, revised=i.ratings_revised)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(out["area_by_rating"]) == rows(Q["rating_area_revised"](spark, SF_SMALL))
+    assert rows(out["rating_by_polygon"]) == rows(Q["whr_wide"](spark, SF_SMALL))
+    jobs.release_shared()
+
+
+def test_warnings_of_the_reader(spark, capsys):
+    path = scratch_path(spark, "bad") + ".csv"
+    spark.createDataFrame([("FID,SDEC_1,Shape_Area",), ("1,ten,5.5",), ("2,10,big",), ("3,,",)], "v string").coalesce(1).write.text(path)
+    seen = files.ReadReport()
+    df = files.read_typed_csv(spark, path, {"SDEC_1": "int", "Shape_Area": "double", "SDEC_2": "int"}, seen)
+    assert [tuple(r) for r in df.collect()] == [("1", None, 5.5), ("2", 10, None), ("3", None, None)]
+    assert seen.rows == 3 and seen.bad_cells == {"SDEC_1": 1, "Shape_Area": 1} and seen.absent == ["sdec_2"]
+    assert len(seen.warnings()) == 3
+
+
 def test_cluster_settings_scale_with_input():
     from ecotally.session import cluster_settings
 
@@ -165,5 +232,5 @@ def test_cli_runs_as_a_module(spark):
         cwd=root, env=env, capture_output=True, text=True, timeout=300,
     )
     assert res.returncode == 0, res.stderr[-2000:]
-    shares = files.read_typed_csv(spark, f"{base}/out/share_sums", {"share_sum": "int", "n": "bigint"})
+    shares = files.read_typed_csv(spark, commit.report_paths(spark, f"{base}/out")["share_sums"], {"share_sum": "int", "n": "bigint"})
     assert sum(r["n"] for r in shares.collect()) == fx.polygons.count()

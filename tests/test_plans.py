@@ -133,7 +133,7 @@ def test_area_reports_join_ratings_after_the_first_exchange(spark, capsys, name)
     assert "Join" in p and "Join" not in below
 
 
-@pytest.mark.parametrize("name, scans", [("qa_component_crosstabs", 1), ("qa_duplicate_keys", 2), ("qa_rating_conservation", 1)])
+@pytest.mark.parametrize("name, scans", [("qa_component_crosstabs", 1), ("qa_pack", 1), ("qa_rating_conservation", 1)])
 def test_qa_scans_and_builds_without_jobs(spark, capsys, name, scans):
     from ecotally.queries import inputs
 
@@ -211,6 +211,33 @@ def test_polygons_bucketed_by_fid_make_the_per_polygon_report_shuffle_free(spark
     assert wide.count() == Q["whr_wide"](spark, SF_SMALL).count()
 
 
+def test_per_polygon_ratings_shuffle_no_polygon(spark, capsys):
+    lines = plan(Q["whr_wide"](spark, SF_SMALL), capsys).splitlines()
+    assert not [ln for ln in lines if "Exchange" in ln and "fid" in ln] and sum("FileScan" in ln for ln in lines) == 1
+    some = plan(Q["whr_wide_repeated"](spark, SF_SMALL), capsys)
+    assert "hashpartitioning(fid" in some and "left_anti".replace("left_", "Left").replace("anti", "Anti") in some
+
+
+def test_duplicates_of_clean_data_shuffle_no_polygon(spark, capsys):
+    from ecotally.plans import qa
+    from ecotally.queries import inputs
+
+    i = inputs(spark, SF_SMALL)
+    assert "Exchange" not in plan(qa.duplicate_rated(i.polygons, i.ratings, "c"), capsys)
+
+
+def test_planned_size_of_files_proves_nothing(spark):
+    from ecotally.operators.lookup import fits_broadcast
+    from ecotally.session import scratch_path
+
+    path = scratch_path(spark, "equal-rows")
+    spark.range(0, 3_000_000, numPartitions=4).selectExpr("1 AS k", "'same' AS v").write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 20  # what the planner sees
+    assert not fits_broadcast(rows) and not fits_broadcast(rows, table_rows=10)
+    assert fits_broadcast(spark.createDataFrame([(1, "a")], "k int, v string"))
+
+
 def test_area_conservation_scans_once(spark, capsys):
     p = plan(Q["qa_area_conservation"](spark, SF_SMALL), capsys, executed=True)
     final = p.split("== Initial Plan ==")[0]
