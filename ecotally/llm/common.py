@@ -58,9 +58,58 @@ def crc_sql(text: str) -> str:
             "lambda c, s: xor(c >> 8, tab[(xor(c, s) & 255) + 1])), 4294967295)")
 
 
-def pieces(df: DataFrame, wanted: int | None = None) -> int:
-    """Partitions of a shuffle of rows about as large as ``df``'s."""
-    return wanted or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def planned_bytes(df: DataFrame) -> int | None:
+    """The planner's size of ``df`` where it follows the bytes of the files
+    that are read (a scan with filters and projections); else None."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(name in plan.toString() for name in ("Join", "Generate", "Expand", "Aggregate", "MapIn", "Range", "LogicalRDD")):
+        return None
+    return int(plan.stats().sizeInBytes())
+
+
+def pieces(df: DataFrame, each: int = 16 << 20) -> int:
+    """Parts of ``df`` of about ``each`` bytes as stored, so that a part's
+    size does not grow with the table; at least the session's shuffle
+    partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(planned_bytes(df) or 0) // each))
+
+
+class Aside:
+    """The further columns of a table, packed into one while an operator works,
+    so that none of its own column names can clash with theirs.
+
+    ``rows`` has the columns ``reads`` and the pack; ``restored(df, results)``
+    gives the table's columns in their order with the operator's results
+    after them; a column with a result's name is replaced."""
+
+    def __init__(self, df: DataFrame, reads: list[str]):
+        self.columns, self.reads = df.columns, reads
+        self.others = [c for c in df.columns if c not in reads]
+        self.pack = "_aside"
+        while self.pack in df.columns:
+            self.pack += "_"
+        packed = F.struct(*[F.col(f"`{c}`") for c in self.others]) if self.others else F.struct(F.lit(None).cast("int").alias("none"))
+        self.rows = df.select(*[F.col(f"`{c}`") for c in reads], packed.alias(self.pack))
+
+    def restored(self, df: DataFrame, results: list[str] = ()) -> DataFrame:
+        own = [F.col(f"`{c}`") if c in self.reads else F.col(self.pack)[c].alias(c) for c in self.columns if c not in results]
+        return df.select(*own, *[F.col(f"`{c}`") for c in results])
+
+
+def words_of(texts):
+    """(words, offsets) of an Arrow array of texts: the runs of characters
+    other than space and tab to CR, and where each text's begin and end."""
+    import numpy as np  # noqa: PLC0415
+    import pyarrow as pa  # noqa: PLC0415
+    import pyarrow.compute as pc  # noqa: PLC0415
+
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    words, offsets = lists.values, lists.offsets.to_numpy().astype(np.int64)
+    some = pc.not_equal(words, "")
+    if not pc.all(some).as_py():  # white space at an end of a text
+        offsets = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[offsets]
+        words = words.filter(some)
+    return words, offsets
 
 
 def lower_words(text: str | None) -> list[bytes]:

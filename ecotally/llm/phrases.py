@@ -9,15 +9,18 @@ document before) goes.
    string in it of smallest hash, so equal windows have equal anchors; about
    one word in six starts one.  Blocks send their distinct anchors to buckets,
    which answer which of them occur twice or more anywhere.
-2. The words around a recurring anchor (all windows that share it) form a
-   segment.  A block sends each distinct segment once, with its first place,
-   to the shard of its anchor; an anchor of more than ``HOT`` places is split
-   by window, so that no shard has to take all its surroundings.
-3. A shard confirms by text which windows recur, compiles them into an
-   Aho-Corasick automaton over words and streams its segments through it; the
-   first place of each phrase follows, and the blocks learn for every window
-   of their segments whether it recurs and whether its first place is theirs.
-4. Blocks drop the covered words.
+2. Consecutive windows around one occurrence of a recurring anchor form a
+   segment.  A block sends the windows of its distinct segments, as 128-bit
+   hashes with their places, to the shard of their hash.  A shard confirms
+   which of them recur and which place is a phrase's first, and tells the
+   blocks; the hash spreads any phrase's neighbourhood over all shards, and a
+   block sends a segment once however often it holds it.
+3. A block compiles the confirmed passages of its segments (runs of recurring
+   windows) into Aho-Corasick automata of at most ``PATTERNS`` passages each
+   and streams all its documents through them.  The automata locate every
+   occurrence: a window of a document lies in a segment, and equal segments
+   hold equal passages.  Places that are a phrase's first stay; the words
+   covered by the other occurrences are dropped.
 
 Results of odd input: a null or empty text has no words; texts under 20 words
 are kept whole; rows with equal ids count as one document, so equal windows at
@@ -33,43 +36,74 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, plain_words, scratch, stored
+from .common import pieces, scratch, stored, words_of
 
 WINDOW = 20
 GRAM = 10
-HOT = 5_000
+PATTERNS = 20_000
+#: Symbols of one automaton step: a word's number is written with two of them, from ranges that don't meet, so that no
+#: node of the automaton has many children and no match begins inside a word.
+BASE = 512
+
+RECURS, FIRST, STARTS = 1, 2, 4  # of a window: recurs; its place is the first; first window of its segment
 
 
 class Block:
-    """The documents of a block: words, anchors and segments."""
+    """The documents of a block, in order of their ids: words and numbers."""
 
     def __init__(self, ids, texts, window: int, gram: int):
         import numpy as np  # noqa: PLC0415
+
+        self.window, self.gram, self.ids = window, gram, ids
+        self.words, self.begins = words_of(texts)
+        coded = self.words.dictionary_encode()
+        self.numbers, self.vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        self.doc_of = np.repeat(np.arange(len(self.begins) - 1), np.diff(self.begins))
+
+    def _word_hashes(self, seed: int):
+        import numpy as np  # noqa: PLC0415
         from xxhash import xxh64_intdigest  # noqa: PLC0415
 
-        class Hashes(dict):
-            def __missing__(self, w):
-                h = self[w] = xxh64_intdigest(w)
-                return h
-
-        self.window, self.ids, self.words = window, ids, [plain_words(t) for t in texts]
-        hashes = Hashes()
-        self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
-        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
-        total = int(self.begins[-1])
-        a = np.empty(total, np.uint64)
-        for k, w in enumerate(self.words):
-            a[self.begins[k]:self.begins[k + 1]] = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-        hashes.clear()
-        self.doc_of = np.repeat(np.arange(len(self.words)), self.sizes)
+        words = [w.encode("utf-8", "surrogatepass") for w in self.vocabulary.to_pylist()]
+        h = np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
+        return h[self.numbers] if len(h) else np.zeros(0, np.uint64)
+
+    @staticmethod
+    def _mixed(h):
+        import numpy as np  # noqa: PLC0415
+
+        h = h ^ (h >> np.uint64(29))
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
+
+    def _strings(self, a, starts, sizes):
+        """Hashes of the strings of ``sizes`` words at ``starts``, from prefix
+        sums of a polynomial in an odd base modulo 2^64."""
+        import numpy as np  # noqa: PLC0415
+
+        n, base = len(a), 0x9E3779B97F4A7C15
+        inverse = pow(base, -1, 1 << 64)
+        up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
+        if n:
+            up[0] = down[0] = 1
+        powers, back = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a * powers, dtype=np.uint64)])
+        return self._mixed((sums[starts + sizes] - sums[starts]) * back[starts])
+
+    def segments(self) -> None:
+        """Anchors, and the segments (first window, windows) that share them."""
+        import numpy as np  # noqa: PLC0415
+
+        total, window, gram = len(self.numbers), self.window, self.gram
+        self.hash = self._word_hashes(0)
         n, span = max(0, total - window + 1), window - gram + 1
-        grams = self._polynomial(a, gram)
-        low = grams[:n].copy()
+        where = np.arange(max(0, total - gram + 1))
+        grams = self._strings(self.hash, where, gram)
+        low, at = grams[:n].copy(), np.zeros(n, np.int64)
         for j in range(1, span):
-            np.minimum(low, grams[j:j + n], out=low)
-        at = np.zeros(n, np.int64)
-        for j in range(span - 1, -1, -1):
-            at[grams[j:j + n] == low] = j  # the first of equal ones
+            less = grams[j:j + n] < low  # the first of equal ones
+            low[less] = grams[j:j + n][less]
+            at[less] = j
         start = np.arange(n)
         inside = self.doc_of[:n] == self.doc_of[window - 1:] if n else np.zeros(0, bool)
         start, at, low = start[inside], (start + at)[inside], low[inside]
@@ -77,24 +111,8 @@ class Block:
         new = np.ones(len(start), bool)
         new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
         first = np.flatnonzero(new)
-        self.anchor = low[first]
-        self.start = start[first]
+        self.anchor, self.start = low[first], start[first]
         self.count = np.diff(np.append(first, len(start)))
-        self.hash20 = None
-        self._a = a
-
-    @staticmethod
-    def _polynomial(a, k: int):
-        import numpy as np  # noqa: PLC0415
-
-        n = max(0, len(a) - k + 1)
-        h = np.zeros(n, np.uint64)
-        for j in range(k):
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h += a[j:j + n]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
 
     def distinct_anchors(self, buckets: int):
         """(anchors, counts, place of each segment's anchor among them,
@@ -109,31 +127,83 @@ class Block:
         bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
         return u[order], counts[order], place[inverse], bounds
 
-    def text(self, doc: int, lo: int, hi: int) -> bytes:
-        return b" ".join(self.words[doc][lo:hi])
+    def distinct_windows(self, recurring):
+        """The windows of the distinct segments whose anchors recur: (hash,
+        other hash, start, whether its segment occurs again in the block,
+        whether it is its segment's first)."""
+        import numpy as np  # noqa: PLC0415
+
+        on = np.flatnonzero(recurring)
+        start, count = self.start[on], self.count[on]
+        other = self._word_hashes(1)
+        sizes = count + self.window - 1
+        key = np.stack([self._strings(self.hash, start, sizes), self._strings(other, start, sizes), count.astype(np.uint64)])
+        order = np.lexsort((start, *key))
+        same = (key[:, order[1:]] == key[:, order[:-1]]).all(axis=0)
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), ~same]))
+        times = np.diff(np.append(heads, len(order)))
+        start, count = start[order[heads]], count[order[heads]]
+        total = int(count.sum())
+        begin = np.cumsum(count) - count
+        w = np.arange(total) - np.repeat(begin, count) + np.repeat(start, count)
+        head = np.zeros(total, bool)
+        head[begin] = True
+        size = np.full(total, self.window)
+        return self._strings(self.hash, w, size), self._strings(other, w, size), w, np.repeat(times > 1, count), head
+
+    def located(self, starts, flags, patterns: int):
+        """Which words are covered, given the confirmed windows of the block's
+        distinct segments: their starts, ascending, and flags."""
+        import ahocorasick  # noqa: PLC0415
+        import numpy as np  # noqa: PLC0415
 
-    def segments(self, levels):
-        """Distinct segments: text -> [key, [(document, place), ...]], given
-        the level of each anchor occurrence (1: recurring, 2: hot)."""
+        total, window = len(self.numbers), self.window
+        begins = np.zeros(total + 1, np.int32)
+        if not len(starts):
+            return begins[:-1] > 0
+        text = np.empty(2 * total, "<u4")
+        text[0::2] = 0x10000 + self.numbers // BASE
+        text[1::2] = 0x100 + self.numbers % BASE
+        text = text.tobytes().decode("utf-32-le")
+        new = np.ones(len(starts), bool)
+        new[1:] = (starts[1:] != starts[:-1] + 1) | (flags[1:] & STARTS > 0)
+        heads = np.flatnonzero(new)
+        ends = starts[np.append(heads[1:], len(starts)) - 1] + window
+        passages = sorted({text[2 * a:2 * b] for a, b in zip(starts[heads].tolist(), ends.tolist())})
+        for lo in range(0, len(passages), patterns):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for p in passages[lo:lo + patterns]:
+                automaton.add_word(p)
+            automaton.make_automaton()
+            found = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
+            last, size = found[:, 0] // 2, found[:, 1] // 2
+            first = last + 1 - size
+            whole = self.doc_of[first] == self.doc_of[last]  # not over the end of a document
+            np.add.at(begins, first[whole], 1)
+            np.add.at(begins, (first + size - window + 1)[whole], -1)
+        again = np.cumsum(begins[:-1]) > 0
+        again[self._first_places(starts[flags & FIRST > 0])] = False
+        cover = np.zeros(total + 1, np.int32)
+        at = np.flatnonzero(again)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + window, -1)
+        return np.cumsum(cover[:-1]) > 0
+
+    def _first_places(self, first):
+        """``first`` with the equal windows at the same places of rows of equal ids."""
         import numpy as np  # noqa: PLC0415
 
-        found: dict[bytes, list] = {}
-        w = self.window
-        hot_hash = self._polynomial(self._a, w) if (levels == 2).any() else None
-        on = np.flatnonzero(levels)
-        docs = self.doc_of[self.start[on]]
-        places = self.start[on] - self.begins[docs]
-        for k, doc, lo, n, level, key in zip(on.tolist(), docs.tolist(), places.tolist(), self.count[on].tolist(),
-                                             levels[on].tolist(), self.anchor[on].tolist()):
-            if level == 1:
-                t = self.text(doc, lo, lo + n + w - 1)
-                found.setdefault(t, [key, []])[1].append((doc, lo))
-            else:
-                g = int(self.start[k])
-                for i in range(n):
-                    t = self.text(doc, lo + i, lo + i + w)
-                    found.setdefault(t, [int(hot_hash[g + i]), []])[1].append((doc, lo + i))
-        return found
+        out = [first]
+        rows = {}
+        for k, x in enumerate(self.ids.to_pylist()):
+            rows.setdefault(x, []).append(k)
+        shared = {k: ks for ks in rows.values() if len(ks) > 1 for k in ks}
+        for s in first.tolist() if shared else []:
+            for k in shared.get(int(self.doc_of[s]), ()):
+                t = int(self.begins[k] + s - self.begins[self.doc_of[s]])
+                if t + self.window <= self.begins[k + 1] and (self.numbers[t:t + self.window] == self.numbers[s:s + self.window]).all():
+                    out.append(np.array([t]))
+        return np.concatenate(out)
 
 
 def _blocks(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
@@ -148,205 +218,141 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     name, path = f"phrase_blocks_{uuid.uuid4().hex}", scratch(spark, "phrase-blocks")
     rows = docs.select(block.alias("block"), F.col(doc_id).alias("id"), F.col(text).alias("text")).repartition(n, "block")
     rows.write.bucketBy(n, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
-
-
-def _order(ids: list) -> list:
-    """Keys that sort like the ids, null first."""
-    return [(x is not None, x) if x is not None else (False, 0) for x in ids]
-
-
-def _ids(pdf) -> list:
-    import pandas as pd  # noqa: PLC0415
-
-    return [None if pd.isna(x) else x for x in pdf["id"].tolist()]
+    found = spark.table(name)
+    found.schema  # noqa: B018  the plan knows the files from here on
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry; the files stay
+    return found
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM,
-                    hot: int = HOT) -> DataFrame:
+                    patterns: int = PATTERNS) -> DataFrame:
     """Per document: n_words, n_removed and ``kept_text`` (the words that stay,
     joined by one blank)."""
     id_type = docs.schema[doc_id].dataType.simpleString()
-    n = pieces(docs)
+    n = pieces(docs.select(doc_id, text))
     buckets = 2 * n
     blocks = _blocks(docs, doc_id, text, n)
 
-    def block_of(pdf):
-        return Block(_ids(pdf), pdf["text"].tolist(), window, gram)
+    def ordered(t):
+        import pyarrow.compute as pc  # noqa: PLC0415
 
-    def ordered(pdf):
-        return pdf.sort_values(["id", "text"], kind="stable", na_position="first", ignore_index=True)
+        t = t.combine_chunks()
+        return t.take(pc.sort_indices(t, [("id", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
-    def send_anchors(pdf):
-        import pandas as pd  # noqa: PLC0415
+    def block_of(t):
+        return Block(t.column("id").combine_chunks(), t.column("text").combine_chunks(), window, gram)
 
-        anchors, counts, _, bounds = block_of(ordered(pdf)).distinct_anchors(buckets)
-        rows = [(k, anchors[a:b].astype("<u8").tobytes(), counts[a:b].astype("<u4").tobytes())
-                for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
-        out = pd.DataFrame(rows, columns=["bucket", "anchors", "counts"])
-        return out.assign(block=int(pdf["block"].iloc[0]))[["block", "bucket", "anchors", "counts"]]
+    def blob(array, kind):
+        return array.astype(kind).tobytes()
 
-    sent = blocks.groupBy("block").applyInPandas(send_anchors, "block long, bucket int, anchors binary, counts binary")
+    def send_anchors(t):
+        import pyarrow as pa  # noqa: PLC0415
 
-    def count_anchors(pdf):
+        block = block_of(ordered(t))
+        block.segments()
+        anchors, counts, _, bounds = block.distinct_anchors(buckets)
+        rows = [(k, blob(anchors[a:b], "<u8"), blob(counts[a:b], "<u4")) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])) if b > a]
+        return pa.table({"block": pa.array([t.column("block")[0].as_py()] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()),
+                         "anchors": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
+
+    sent = blocks.groupBy("block").applyInArrow(send_anchors, "block long, bucket int, anchors binary, counts binary")
+
+    def count_anchors(t):
         import numpy as np  # noqa: PLC0415
-        import pandas as pd  # noqa: PLC0415
+        import pyarrow as pa  # noqa: PLC0415
 
-        lists = [np.frombuffer(x, "<u8") for x in pdf["anchors"]]
+        lists = [np.frombuffer(x, "<u8") for x in t.column("anchors").to_pylist()]
         u, inverse = np.unique(np.concatenate(lists), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<u4") for x in pdf["counts"]]), minlength=len(u))
-        level = ((total >= 2).astype(np.uint8) + (total > hot).astype(np.uint8))[inverse]
+        total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()]), minlength=len(u))
+        level = (total >= 2).astype(np.uint8)[inverse]
         cuts = np.cumsum([len(x) for x in lists])[:-1]
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "levels": [x.tobytes() for x in np.split(level, cuts)]})
+        return pa.table({"block": t.column("block"), "bucket": t.column("bucket"),
+                         "levels": pa.array([x.tobytes() for x in np.split(level, cuts)], pa.binary())})
 
-    levels = stored(sent.groupBy("bucket").applyInPandas(count_anchors, "block long, bucket int, levels binary"), "anchor-levels")
+    levels = stored(sent.groupBy("bucket").applyInArrow(count_anchors, "block long, bucket int, levels binary"), "anchor-levels")
 
-    def segments_of(block, level_rows):
+    def send_windows(t, level_rows):
         import numpy as np  # noqa: PLC0415
+        import pyarrow as pa  # noqa: PLC0415
 
-        blob = b"".join(level_rows.sort_values("bucket")["levels"])
-        _, _, place, _ = block.distinct_anchors(buckets)
-        return block.segments(np.frombuffer(blob, np.uint8)[place])
-
-    def send_segments(pdf, level_rows):
-        import pandas as pd  # noqa: PLC0415
-
-        names = ["shard", "block", "segment", "text", "id", "place", "twice"]
-        if not len(pdf):
-            return pd.DataFrame(columns=names)
-        block = block_of(ordered(pdf))
-        order = _order(block.ids)
         rows = []
-        for k, (t, (key, places)) in enumerate(segments_of(block, level_rows).items()):
-            doc, lo = min(places, key=lambda p: (order[p[0]], p[1]))
-            rows.append((key % buckets, int(pdf["block"].iloc[0]), k, t, block.ids[doc], lo, len(places) > 1))
-        return pd.DataFrame(rows, columns=names)
-
-    segments = blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInPandas(
-        send_segments, f"shard int, block long, segment int, text binary, id {id_type}, place int, twice boolean")
-
-    def locate(pdf):
-        return _located(pdf, window)
-
-    masks = stored(segments.groupBy("shard").applyInPandas(locate, "block long, segment int, mask binary"), "phrase-masks")
-
-    # levels and masks of a block come as rows of one kind
-    told = levels.selectExpr("block", "bucket", "levels", "CAST(NULL AS int) AS segment", "CAST(NULL AS binary) AS mask").unionByName(
-        masks.selectExpr("block", "CAST(NULL AS int) AS bucket", "CAST(NULL AS binary) AS levels", "segment", "mask"))
-
-    def remove(pdf, told_rows):
-        import itertools  # noqa: PLC0415
-
+        if t.num_rows and level_rows.num_rows:
+            block = block_of(ordered(t))
+            block.segments()
+            levels = b"".join(level_rows.sort_by("bucket").column("levels").to_pylist())
+            _, _, place, _ = block.distinct_anchors(buckets)
+            h, other, start, twice, head = block.distinct_windows(np.frombuffer(levels, np.uint8)[place] > 0)
+            doc = block.doc_of[start]
+            shard = (h % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(buckets + 1))
+            for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                if b > a:
+                    x = order[a:b]
+                    used, number = np.unique(doc[x], return_inverse=True)
+                    rows.append((k, blob(h[x], "<u8"), blob(other[x], "<u8"), blob(used, "<u4"), blob(number, "<u4"),
+                                 blob(start[x] - block.begins[doc[x]], "<u4"), blob(twice[x] + STARTS * head[x], "u1"),
+                                 block.ids.take(pa.array(used))))
+        block_id = t.column("block")[0].as_py() if t.num_rows else 0
+        kinds = [pa.int32(), *[pa.binary()] * 6]
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        ids = pa.concat_arrays([r[7] for r in rows]) if rows else t.column("id").combine_chunks().slice(0, 0)
+        offsets = np.concatenate([[0], np.cumsum([len(r[7]) for r in rows])]).astype(np.int32)
+        return pa.table([pa.array([block_id] * len(rows), pa.int64()), *columns, pa.ListArray.from_arrays(pa.array(offsets), ids)],
+                        names=["block", "shard", "h", "other", "used", "doc", "place", "bits", "ids"])
+
+    windows = blocks.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(
+        send_windows, "block long, shard int, h binary, other binary, used binary, doc binary, place binary, bits binary, "
+                      f"ids array<{id_type}>")
+
+    def confirm(t):
+        import numpy as np  # noqa: PLC0415
+        import pyarrow as pa  # noqa: PLC0415
+        import pyarrow.compute as pc  # noqa: PLC0415
+
+        t = t.combine_chunks()
+        lists = {c: [np.frombuffer(x, k) for x in t.column(c).to_pylist()]
+                 for c, k in (("h", "<u8"), ("other", "<u8"), ("used", "<u4"), ("doc", "<u4"), ("place", "<u4"), ("bits", "u1"))}
+        sizes = [len(x) for x in lists["h"]]
+        h, other, place, bits = (np.concatenate(lists[c]) for c in ("h", "other", "place", "bits"))
+        ids = t.column("ids").combine_chunks().flatten()
+        before = np.cumsum([0, *[len(x) for x in lists["used"]]])[:-1]
+        rank = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+        rank = rank[np.concatenate([x + b for x, b in zip(lists["doc"], before)])]
+        order = np.lexsort((place, rank, other, h))
+        same = (h[order[1:]] == h[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
+        group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
+        recurs = np.bincount(group, weights=1 + (bits[order] & 1)) > 1
+        flags = np.zeros(len(order), np.uint8)
+        flags[order] = np.where(recurs[group], RECURS + FIRST * np.concatenate([np.ones(min(1, len(order)), bool), ~same]), 0)
+        flags += np.where(flags > 0, bits & STARTS, 0).astype(np.uint8)
+        out, at = [], 0
+        for k, (size, used, doc) in enumerate(zip(sizes, lists["used"], lists["doc"])):
+            on = np.flatnonzero(flags[at:at + size])
+            if len(on):
+                out.append((k, used[doc[on]].tobytes(), place[at:at + size][on].tobytes(), flags[at:at + size][on].tobytes()))
+            at += size
+        return pa.table({"block": t.column("block").take(pa.array([r[0] for r in out], pa.int64())),
+                         **{c: pa.array([r[k] for r in out], pa.binary()) for k, c in ((1, "doc"), (2, "place"), (3, "flags"))}})
+
+    told = stored(windows.groupBy("shard").applyInArrow(confirm, "block long, doc binary, place binary, flags binary"), "phrase-places")
+
+    def remove(t, told_rows):
         import numpy as np  # noqa: PLC0415
-        import pandas as pd  # noqa: PLC0415
+        import pyarrow as pa  # noqa: PLC0415
+        import pyarrow.compute as pc  # noqa: PLC0415
 
-        names = ["id", "n_words", "n_removed", "kept_text"]
-        if not len(pdf):
-            return pd.DataFrame(columns=names)
-        rows = ordered(pdf)
+        rows = ordered(t)
         block = block_of(rows)
-        order = _order(block.ids)
-        mask_rows = told_rows[told_rows["mask"].notna()]
-        mask = dict(zip(mask_rows["segment"].astype(int).tolist(), mask_rows["mask"]))
-        step = np.zeros(int(block.begins[-1]) + 1, np.int32)
-        starts = []
-        if mask:
-            for k, (_, (_, places)) in enumerate(segments_of(block, told_rows[told_rows["levels"].notna()]).items()):
-                if k not in mask:
-                    continue
-                m = np.frombuffer(mask[k], np.uint8)
-                again, own = np.flatnonzero(m), np.flatnonzero(m == 1)
-                first = min((order[d], lo) for d, lo in places) if len(own) < len(again) else None
-                for d, lo in places:
-                    starts.append(block.begins[d] + lo + (own if (order[d], lo) == first else again))
-        if starts:
-            s = np.concatenate(starts)
-            np.add.at(step, s, 1)
-            np.add.at(step, s + window, -1)
-        covered = np.cumsum(step[:-1]) > 0
-        out = []
-        for k, w in enumerate(block.words):
-            gone = covered[block.begins[k]:block.begins[k + 1]]
-            removed = int(gone.sum())
-            kept = list(itertools.compress(w, (~gone).tolist())) if removed else w
-            out.append((len(w), removed, b" ".join(kept).decode("utf-8", "replace")))
-        result = pd.DataFrame(out, columns=names[1:])
-        result.insert(0, "id", rows["id"])
-        return result
-
-    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
+        doc, place, flags = (np.frombuffer(b"".join(told_rows.column(c).to_pylist()), k) for c, k in (("doc", "<u4"), ("place", "<u4"), ("flags", "u1")))
+        starts = block.begins[doc] + place
+        order = np.argsort(starts, kind="stable")
+        stays = ~block.located(starts[order], flags[order], patterns)
+        ends = np.concatenate([[0], np.cumsum(stays)])[block.begins]
+        kept = pa.LargeListArray.from_arrays(pa.array(ends), block.words.filter(pa.array(stays)))
+        n_words = np.diff(block.begins)
+        return pa.table({"id": rows.column("id"), "n_words": pa.array(n_words), "n_removed": pa.array(n_words - np.diff(ends)),
+                         "kept_text": pc.binary_join(kept, pa.scalar(" ", pa.large_string())).cast(pa.string())})
+
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
         remove, f"id {id_type}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", doc_id)
-
-
-#: Symbols of one automaton step: a word's number is written with two of them, from ranges that don't meet, so that no
-#: node of the automaton has many children and no match begins inside a word.
-BASE = 512
-
-
-def _located(pdf, window: int):
-    """For each segment of a shard a mask over its windows: 0 the window occurs
-    once, 1 it recurs and starts earlier elsewhere, 2 it recurs and the
-    segment's first place is its first.
-
-    A passage is a run of recurring windows of a segment.  The automaton holds
-    the first window of every passage; where one is met in the stream, the
-    passage goes on as long as the next window recurs."""
-    import ahocorasick  # noqa: PLC0415
-    import numpy as np  # noqa: PLC0415
-    import pandas as pd  # noqa: PLC0415
-
-    class Codes(dict):
-        def __missing__(self, word):
-            high, low = divmod(len(self), BASE)
-            code = self[word] = chr(0x10000 + high) + chr(0x100 + low)
-            return code
-
-    codes, size = Codes(), 2 * window
-    rows = ["".join(map(codes.__getitem__, t.split(b" "))) for t in pdf["text"]]
-    codes.clear()
-    seen: dict[str, int] = {}
-    for r, twice in zip(rows, pdf["twice"].tolist()):
-        for i in range(0, len(r) - size + 1, 2):
-            x = r[i:i + size]
-            seen[x] = seen.get(x, 0) + 1 + twice
-    seen = {x: k for k, x in enumerate(x for x, c in seen.items() if c > 1)}  # confirmed phrases
-    if not seen:
-        return pd.DataFrame({"block": [], "segment": [], "mask": []})
-    starts = set()
-    for r in rows:
-        before = False
-        for i in range(0, len(r) - size + 1, 2):
-            x = r[i:i + size]
-            now = x in seen
-            if now and not before:
-                starts.add(x)
-            before = now
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for x in starts:
-        automaton.add_word(x)
-    starts.clear()
-    automaton.make_automaton()
-    order = _order(_ids(pdf))
-    first: list = [None] * len(seen)
-    hits = []
-    for r, o, lo in zip(rows, order, pdf["place"].tolist()):
-        found = []
-        for end, _ in automaton.iter(r):
-            i = end + 1 - size
-            if found and i <= found[-1][0]:
-                continue  # inside a passage that was followed already
-            while i + size <= len(r) and (p := seen.get(r[i:i + size])) is not None:
-                found.append((i, p))
-                place = (o, lo + i // 2)
-                if first[p] is None or place < first[p]:
-                    first[p] = place
-                i += 2
-        hits.append(found)
-    out = []
-    for block, segment, r, o, lo, found in zip(pdf["block"].tolist(), pdf["segment"].tolist(), rows, order, pdf["place"].tolist(), hits):
-        if found:
-            mask = np.zeros((len(r) - size) // 2 + 1, np.uint8)
-            for i, p in found:
-                mask[i // 2] = 2 if first[p] == (o, lo + i // 2) else 1
-            out.append((block, segment, mask.tobytes()))
-    return pd.DataFrame(out, columns=["block", "segment", "mask"])
