@@ -16,7 +16,8 @@ document before) goes.
    blocks; the hash spreads any phrase's neighbourhood over all shards, and a
    block sends a segment once however often it holds it.
 3. A block compiles the confirmed passages of its segments (runs of recurring
-   windows) into Aho-Corasick automata of at most ``PATTERNS`` passages each
+   windows; over several segments where the block has them once) into
+   Aho-Corasick automata of at most ``PATTERNS`` passages each
    and streams all its documents through them.  The automata locate every
    occurrence: a window of a document lies in a segment, and equal segments
    hold equal passages.  Places that are a phrase's first stay; the words
@@ -41,11 +42,14 @@ from .common import pieces, scratch, stored, words_of
 WINDOW = 20
 GRAM = 10
 PATTERNS = 20_000
+#: Symbols that one automaton may hold besides.
+PATTERN_SYMBOLS = 1_500_000
 #: Symbols of one automaton step: a word's number is written with two of them, from ranges that don't meet, so that no
 #: node of the automaton has many children and no match begins inside a word.
 BASE = 512
 
-RECURS, FIRST, STARTS = 1, 2, 4  # of a window: recurs; its place is the first; first window of its segment
+#: Of a window: it recurs; its place is the first; it is the first of its segment; its segment occurs again in the block.
+RECURS, FIRST, STARTS, AGAIN = 1, 2, 4, 8
 
 
 class Block:
@@ -60,13 +64,15 @@ class Block:
         self.numbers, self.vocabulary = coded.indices.to_numpy().astype(np.int64), coded.dictionary
         self.doc_of = np.repeat(np.arange(len(self.begins) - 1), np.diff(self.begins))
 
-    def _word_hashes(self, seed: int):
+    def _word_hashes(self):
+        """Two hashes of each word, one after the other."""
         import numpy as np  # noqa: PLC0415
-        from xxhash import xxh64_intdigest  # noqa: PLC0415
+        import pyarrow as pa  # noqa: PLC0415
+        from xxhash import xxh3_128_digest  # noqa: PLC0415
 
-        words = [w.encode("utf-8", "surrogatepass") for w in self.vocabulary.to_pylist()]
-        h = np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-        return h[self.numbers] if len(h) else np.zeros(0, np.uint64)
+        words = self.vocabulary.cast(pa.large_binary()).to_pylist()
+        h = np.frombuffer(b"".join(map(xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+        return h[:, 0][self.numbers], h[:, 1][self.numbers]
 
     @staticmethod
     def _mixed(h):
@@ -76,9 +82,9 @@ class Block:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         return h ^ (h >> np.uint64(32))
 
-    def _strings(self, a, starts, sizes):
-        """Hashes of the strings of ``sizes`` words at ``starts``, from prefix
-        sums of a polynomial in an odd base modulo 2^64."""
+    def _polynomial(self, a):
+        """Prefix sums of a polynomial in an odd base modulo 2^64, and the
+        powers that shift a part of it back."""
         import numpy as np  # noqa: PLC0415
 
         n, base = len(a), 0x9E3779B97F4A7C15
@@ -87,7 +93,11 @@ class Block:
         if n:
             up[0] = down[0] = 1
         powers, back = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a * powers, dtype=np.uint64)])
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(a * powers, dtype=np.uint64)]), back
+
+    def _strings(self, polynomial, starts, sizes):
+        """Hashes of the strings of ``sizes`` words at ``starts``."""
+        sums, back = polynomial
         return self._mixed((sums[starts + sizes] - sums[starts]) * back[starts])
 
     def segments(self) -> None:
@@ -95,15 +105,18 @@ class Block:
         import numpy as np  # noqa: PLC0415
 
         total, window, gram = len(self.numbers), self.window, self.gram
-        self.hash = self._word_hashes(0)
+        one, other = self._word_hashes()
+        self.one, self.other = self._polynomial(one), self._polynomial(other)
         n, span = max(0, total - window + 1), window - gram + 1
-        where = np.arange(max(0, total - gram + 1))
-        grams = self._strings(self.hash, where, gram)
-        low, at = grams[:n].copy(), np.zeros(n, np.int64)
+        sums, back = self.one
+        # the low bits of a gram's hash give way to its place in the window: of equal ones the first is the least
+        free = np.uint64((1 << (span - 1).bit_length()) - 1)
+        grams = self._mixed((sums[gram:] - sums[:len(sums) - gram]) * back[:max(0, total - gram + 1)]) & ~free if n else sums[:0]
+        low = grams[:n].copy()
         for j in range(1, span):
-            less = grams[j:j + n] < low  # the first of equal ones
-            low[less] = grams[j:j + n][less]
-            at[less] = j
+            np.minimum(low, grams[j:j + n] | np.uint64(j), out=low)
+        at = (low & free).astype(np.int64)
+        low &= ~free
         start = np.arange(n)
         inside = self.doc_of[:n] == self.doc_of[window - 1:] if n else np.zeros(0, bool)
         start, at, low = start[inside], (start + at)[inside], low[inside]
@@ -135,9 +148,8 @@ class Block:
 
         on = np.flatnonzero(recurring)
         start, count = self.start[on], self.count[on]
-        other = self._word_hashes(1)
         sizes = count + self.window - 1
-        key = np.stack([self._strings(self.hash, start, sizes), self._strings(other, start, sizes), count.astype(np.uint64)])
+        key = np.stack([self._strings(self.one, start, sizes), self._strings(self.other, start, sizes), count.astype(np.uint64)])
         order = np.lexsort((start, *key))
         same = (key[:, order[1:]] == key[:, order[:-1]]).all(axis=0)
         heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), ~same]))
@@ -148,45 +160,46 @@ class Block:
         w = np.arange(total) - np.repeat(begin, count) + np.repeat(start, count)
         head = np.zeros(total, bool)
         head[begin] = True
-        size = np.full(total, self.window)
-        return self._strings(self.hash, w, size), self._strings(other, w, size), w, np.repeat(times > 1, count), head
+        return self._strings(self.one, w, self.window), self._strings(self.other, w, self.window), w, np.repeat(times > 1, count), head
 
     def located(self, starts, flags, patterns: int):
         """Which words are covered, given the confirmed windows of the block's
         distinct segments: their starts, ascending, and flags."""
+        import itertools  # noqa: PLC0415
+
         import ahocorasick  # noqa: PLC0415
         import numpy as np  # noqa: PLC0415
 
         total, window = len(self.numbers), self.window
-        begins = np.zeros(total + 1, np.int32)
         if not len(starts):
-            return begins[:-1] > 0
+            return np.zeros(total, bool)
         text = np.empty(2 * total, "<u4")
         text[0::2] = 0x10000 + self.numbers // BASE
         text[1::2] = 0x100 + self.numbers % BASE
         text = text.tobytes().decode("utf-32-le")
+        # a passage ends with its segment if that or the next one is somewhere else in the block too: it may go on otherwise
+        # there; segments that occur once make long passages
         new = np.ones(len(starts), bool)
-        new[1:] = (starts[1:] != starts[:-1] + 1) | (flags[1:] & STARTS > 0)
+        new[1:] = (starts[1:] != starts[:-1] + 1) | (flags[1:] & STARTS > 0) & ((flags[1:] | flags[:-1]) & AGAIN > 0)
         heads = np.flatnonzero(new)
         ends = starts[np.append(heads[1:], len(starts)) - 1] + window
         passages = sorted({text[2 * a:2 * b] for a, b in zip(starts[heads].tolist(), ends.tolist())})
-        for lo in range(0, len(passages), patterns):
+        depth = np.zeros(total + 1, np.int64)
+        for group in _groups(passages, patterns):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-            for p in passages[lo:lo + patterns]:
+            for p in group:
                 automaton.add_word(p)
             automaton.make_automaton()
-            found = np.array(list(automaton.iter(text)), np.int64).reshape(-1, 2)
+            found = np.fromiter(itertools.chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2)
             last, size = found[:, 0] // 2, found[:, 1] // 2
             first = last + 1 - size
             whole = self.doc_of[first] == self.doc_of[last]  # not over the end of a document
-            np.add.at(begins, first[whole], 1)
-            np.add.at(begins, (first + size - window + 1)[whole], -1)
-        again = np.cumsum(begins[:-1]) > 0
+            depth += np.bincount(first[whole], minlength=total + 1)
+            depth -= np.bincount((first + size - window + 1)[whole], minlength=total + 1)
+        again = np.cumsum(depth[:-1]) > 0
         again[self._first_places(starts[flags & FIRST > 0])] = False
-        cover = np.zeros(total + 1, np.int32)
         at = np.flatnonzero(again)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + window, -1)
+        cover = np.bincount(at, minlength=total + 1) - np.bincount(at + window, minlength=total + 1)
         return np.cumsum(cover[:-1]) > 0
 
     def _first_places(self, first):
@@ -206,6 +219,19 @@ class Block:
         return np.concatenate(out)
 
 
+def _groups(passages: list[str], patterns: int):
+    """The passages of one automaton after the other."""
+    group, symbols = [], 0
+    for p in passages:
+        if group and (len(group) >= patterns or symbols + len(p) > PATTERN_SYMBOLS):
+            yield group
+            group, symbols = [], 0
+        group.append(p)
+        symbols += len(p)
+    if group:
+        yield group
+
+
 def _blocks(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
     """(block, id, text) bucketed by block, one block per bucket."""
     spark = docs.sparkSession
@@ -291,7 +317,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     x = order[a:b]
                     used, number = np.unique(doc[x], return_inverse=True)
                     rows.append((k, blob(h[x], "<u8"), blob(other[x], "<u8"), blob(used, "<u4"), blob(number, "<u4"),
-                                 blob(start[x] - block.begins[doc[x]], "<u4"), blob(twice[x] + STARTS * head[x], "u1"),
+                                 blob(start[x] - block.begins[doc[x]], "<u4"), blob(AGAIN * twice[x] + STARTS * head[x], "u1"),
                                  block.ids.take(pa.array(used))))
         block_id = t.column("block")[0].as_py() if t.num_rows else 0
         kinds = [pa.int32(), *[pa.binary()] * 6]
@@ -322,10 +348,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         order = np.lexsort((place, rank, other, h))
         same = (h[order[1:]] == h[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
         group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
-        recurs = np.bincount(group, weights=1 + (bits[order] & 1)) > 1
+        recurs = np.bincount(group, weights=1 + (bits[order] & AGAIN)) > 1
         flags = np.zeros(len(order), np.uint8)
         flags[order] = np.where(recurs[group], RECURS + FIRST * np.concatenate([np.ones(min(1, len(order)), bool), ~same]), 0)
-        flags += np.where(flags > 0, bits & STARTS, 0).astype(np.uint8)
+        flags += np.where(flags > 0, bits, 0).astype(np.uint8)
         out, at = [], 0
         for k, (size, used, doc) in enumerate(zip(sizes, lists["used"], lists["doc"])):
             on = np.flatnonzero(flags[at:at + size])
