@@ -6,9 +6,11 @@ no vocabulary is ever whole in one place.  Model: ``STATES`` latent states
 emit ``CLASSES`` hashed token classes, and a class emits its tokens in the
 proportion of their smoothed counts; so the chance of a text is the chance of
 its class sequence (the scaled forward recursion, exact) times the chance of
-each token within its class.  Training is Baum-Welch: a start from a bounded
-sample, then ``ROUNDS`` rounds whose expected counts are summed over all
-training documents (cut into pieces of ``PIECE`` tokens, all of them used).
+each token within its class.  Training is Baum-Welch: a start from pieces of
+about ``SAMPLE_TOKENS`` tokens, then rounds whose expected counts are summed
+over all training documents (cut into pieces of ``PIECE`` tokens, all of them
+used), until a round adds less than ``GAIN`` to the log likelihood of a token,
+``ROUNDS`` at most.
 
 Results of odd input: a null or empty text is its end token alone; a null id
 counts as held out (its remainder is unknown); repeated rows get a row each
@@ -25,8 +27,9 @@ from .common import id_remainder, pieces, plain_words, scratch, stored
 
 STATES = 8
 CLASSES = 4096
-ROUNDS = 2
-SAMPLE_DOCS = 800
+ROUNDS = 12
+GAIN = 0.002
+SAMPLE_TOKENS = 250_000
 SAMPLE_ROUNDS = 25
 PIECE = 1024
 #: Tokens of a block: documents that learn their tokens' counts together.
@@ -215,9 +218,15 @@ def forward(model: dict, seqs, keep: bool = False):
 
 def expected_counts(model: dict, seqs):
     """Baum-Welch counts of some sequences: (first, moves, emissions)."""
+    return counts_and_likelihood(model, seqs)[:3]
+
+
+def counts_and_likelihood(model: dict, seqs):
+    """Baum-Welch counts of some sequences and their log likelihood: (first,
+    moves, emissions, log likelihood)."""
     import numpy as np  # noqa: PLC0415
 
-    _, offsets, flat, alpha, scales = forward(model, seqs, keep=True)
+    logs, offsets, flat, alpha, scales = forward(model, seqs, keep=True)
     move = model["move"].astype(np.float32)
     back = np.ascontiguousarray(move.T)
     emit = np.ascontiguousarray(model["emit"].T.astype(np.float32))
@@ -238,7 +247,7 @@ def expected_counts(model: dict, seqs):
         else:
             alpha[lo:hi] *= beta
     emissions = np.stack([np.bincount(flat, weights=alpha[:, s], minlength=CLASSES) for s in range(states)])
-    return alpha[:offsets[1]].sum(axis=0, dtype=float), moves * model["move"], emissions
+    return alpha[:offsets[1]].sum(axis=0, dtype=float), moves * model["move"], emissions, np.array(logs.sum())
 
 
 def updated(model: dict, first, moves, emissions) -> dict:
@@ -256,16 +265,19 @@ def _cut(blob: bytes):
     return [s[i:i + PIECE] for i in range(0, len(s), PIECE)]
 
 
-def train(train_docs: DataFrame, class_tokens, rounds: int = ROUNDS, states: int = STATES) -> dict:
-    """Baum-Welch over ``train_docs`` (column ``classes``)."""
+def train(train_docs: DataFrame, class_tokens, rounds: int = ROUNDS, states: int = STATES, gain: float = GAIN) -> dict:
+    """Baum-Welch over ``train_docs`` (columns ``doc_id`` and ``classes``)."""
     import numpy as np  # noqa: PLC0415
 
     model = start_model(class_tokens, states)
-    n = train_docs.count()
-    if not n:
+    tokens = float(class_tokens.sum())
+    if not tokens:
         return model
-    part = F.pmod(F.xxhash64("doc_id", "classes"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    few = train_docs.filter(part * n < SAMPLE_DOCS).select("classes", F.lit(0).alias("g"))
+    size = 2 * PIECE  # bytes of a piece
+    piece = F.explode(F.expr(f"sequence(0, (length(classes) - 1) div {size})"))
+    part = F.pmod(F.xxhash64("doc_id", "classes", "k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = train_docs.filter("length(classes) > 0").select("doc_id", "classes", piece.alias("k")).filter(part * tokens < SAMPLE_TOKENS)
+    few = few.select(F.expr(f"substring(classes, k * {size} + 1, {size}) AS classes"), F.lit(0).alias("g"))
 
     def begin(pdf):
         import pickle  # noqa: PLC0415
@@ -282,7 +294,8 @@ def train(train_docs: DataFrame, class_tokens, rounds: int = ROUNDS, states: int
 
     got = few.groupBy("g").applyInPandas(begin, "m binary").collect()  # one row: the model
     model = pickle.loads(got[0][0]) if got else model
-    sizes = [states, states * states, states * CLASSES]
+    sizes = [states, states * states, states * CLASSES, 1]
+    before = None
     for _ in range(rounds):
         def count(batches, model=model):
             import numpy as np  # noqa: PLC0415
@@ -294,18 +307,21 @@ def train(train_docs: DataFrame, class_tokens, rounds: int = ROUNDS, states: int
                     seqs += _cut(blob)
                     held += len(blob) // 2
                     if held >= PASS_TOKENS:
-                        total += np.concatenate([x.ravel() for x in expected_counts(model, seqs)])
+                        total += np.concatenate([x.ravel() for x in counts_and_likelihood(model, seqs)])
                         seqs, held = [], 0
             if seqs:
-                total += np.concatenate([x.ravel() for x in expected_counts(model, seqs)])
+                total += np.concatenate([x.ravel() for x in counts_and_likelihood(model, seqs)])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["slot", "n"])
 
         rows = train_docs.select("classes").mapInArrow(count, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).collect()
         total = np.zeros(sum(sizes))
         for slot, value in rows:  # one row for each model parameter
             total[slot] = value
-        first, moves, emissions = np.split(total, np.cumsum(sizes)[:-1])
+        first, moves, emissions, likely = np.split(total, np.cumsum(sizes)[:-1])
         model = updated(model, first, moves.reshape(states, states), emissions.reshape(states, CLASSES))
+        if before is not None and (likely[0] - before) / tokens < gain:
+            break
+        before = likely[0]
     return model
 
 
@@ -315,7 +331,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held: st
     unigrams) and score, both log10; ``held`` marks rows not to learn from."""
     spark = docs.sparkSession
     id_type = docs.schema[doc_id].dataType.simpleString()
-    path = _packed(docs, doc_id, text, held, buckets=2 * pieces(docs))
+    path = _packed(docs, doc_id, text, held, buckets=2 * pieces(docs.select(doc_id, text)))
     schema = f"block long, bucket int, doc_id {id_type}, held_out boolean, positions binary, classes binary"
     packed = spark.read.schema(schema + ", kind string").parquet(path)
     rows = packed.filter("kind = 'doc'").select("block", "doc_id", "held_out", "positions", "classes")
@@ -326,28 +342,24 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held: st
 
     def score(docs_of, counts_of):
         import numpy as np  # noqa: PLC0415
-        import pandas as pd  # noqa: PLC0415
+        import pyarrow as pa  # noqa: PLC0415
 
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        if not len(docs_of):
-            return pd.DataFrame(columns=names)
-        blobs = counts_of.sort_values("bucket")["counts"]
-        counts = np.frombuffer(b"".join(blobs), "<i8")
+        counts = np.frombuffer(b"".join(counts_of.sort_by("bucket").column("counts").to_pylist()), "<i8")
         logs = np.log10(counts + 0.5)
         within = np.log10(class_tokens + 0.5 * (class_words + 1))
         whole = np.log10(n + 0.5 * (v + 1))
-        seqs = [np.frombuffer(x, "<u2") for x in docs_of["classes"]]
-        ids = [np.frombuffer(x, "<i4") for x in docs_of["positions"]]
-        tokens = np.array([len(s) for s in seqs])
-        words = np.array([logs[i].sum() for i in ids])
-        chain = forward(model, seqs) / np.log(10)
-        return pd.DataFrame({
-            "doc_id": docs_of["doc_id"], "held_out": docs_of["held_out"], "n_tokens": tokens,
-            "n_known": [int((counts[i] > 0).sum()) for i in ids], "train_tokens": int(n),
-            "base_score": words - tokens * whole,
-            "score": chain + words - np.array([within[s].sum() for s in seqs])})[names]
-
-    return rows.groupBy("block").cogroup(counted.filter("block >= 0").groupBy("block")).applyInPandas(
+        seqs = [np.frombuffer(x, "<u2") for x in docs_of.column("classes").to_pylist()]
+        ids = [np.frombuffer(x, "<i4") for x in docs_of.column("positions").to_pylist()]
+        tokens = np.array([len(s) for s in seqs], np.int64)
+        words = np.array([logs[i].sum() for i in ids], float)
+        chain = forward(model, seqs) / np.log(10) if seqs else np.zeros(0)
+        return pa.table({
+            "doc_id": docs_of.column("doc_id"), "held_out": docs_of.column("held_out"), "n_tokens": tokens,
+            "n_known": pa.array([int((counts[i] > 0).sum()) for i in ids], pa.int64()),
+            "train_tokens": pa.array([int(n)] * len(seqs), pa.int64()), "base_score": words - tokens * whole,
+            "score": chain + words - np.array([within[s].sum() for s in seqs], float)})
+
+    return rows.groupBy("block").cogroup(counted.filter("block >= 0").groupBy("block")).applyInArrow(
         score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     ).withColumnRenamed("doc_id", doc_id)
 
