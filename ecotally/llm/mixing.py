@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Aside, stored
 
 #: Sources whose rates are sent to every executor; beyond, they are joined by a shuffle with salted keys.
 BROADCAST_SOURCES = 50_000
@@ -38,26 +38,30 @@ def smoothed_weights(sizes: DataFrame, power: float = 0.5) -> DataFrame:
 
 def rates(sizes: DataFrame, weights: DataFrame) -> DataFrame:
     """Mean repetition per source that gives each its share of the present
-    total; ``cdf`` holds the distribution function at 0, 1, 2, ... up to 1."""
+    total."""
     w = weights.select(F.col("_source").alias("_w"), "weight")
     both = sizes.join(w, F.col("_source").eqNullSafe(F.col("_w"))).drop("_w")
     all_size, all_weight = both.agg(F.sum("size"), F.sum("weight")).first()
     share = F.col("weight") / F.lit(float(all_weight or 0))
     rate = F.when((F.col("size") > 0) & F.lit(bool(all_weight)), share * F.lit(float(all_size or 0)) / F.col("size"))
-    return both.select("_source", F.coalesce(rate, F.lit(0.0)).alias("rate")).withColumn("cdf", poisson_cdf("rate"))
+    return both.select("_source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
-def poisson_cdf(rate: str):
-    """P(count <= k) for k = 0, 1, ... as far as a double tells it from 1.
+def poisson_inverse(rate: str, u: str):
+    """The least k with P(count <= k) > ``u``.
 
-    Terms are summed in logarithms, so large rates don't underflow."""
+    The distribution is summed upward by its recursion, with nothing kept but
+    the term, the sum and the count, from 0 or, for large rates, from 12
+    standard deviations below the mean on, where the term is had from
+    Stirling's series: about 24 times the root of the rate in steps."""
+    low = f"CAST(greatest(0, floor({rate} - 12 * sqrt({rate}) - 30)) AS int)"
+    start = f"if({low} < 20, 0, {low})"
     most = f"CAST(ceil({rate} + 12 * sqrt({rate}) + 30) AS int)"
-    step = f"""named_struct('log_p', s.log_p + ln({rate}) - ln(CAST(k AS double)),
-        'sum', s.sum + exp(s.log_p + ln({rate}) - ln(CAST(k AS double))),
-        'cdf', array_append(s.cdf, s.sum + exp(s.log_p + ln({rate}) - ln(CAST(k AS double)))))"""
-    start = f"named_struct('log_p', -{rate}, 'sum', exp(-{rate}), 'cdf', array(exp(-{rate})))"
-    return F.expr(f"CASE WHEN {rate} > 0 THEN aggregate(sequence(1, {most}), {start}, (s, k) -> {step}, s -> s.cdf) "
-                  "ELSE array(CAST(1 AS double)) END")
+    term = f"""CASE WHEN {low} < 20 THEN exp(-{rate}) ELSE exp({low} * ln({rate} / {low}) - {rate} + {low} - 0.5 * ln(2 * pi() * {low})
+        - 1 / (12D * {low}) + 1 / (360D * {low} * {low} * {low})) END"""
+    step = f"""named_struct('p', s.p * {rate} / (k + 1), 'sum', s.sum + s.p, 'n', s.n + if(s.sum + s.p <= {u}, 1, 0))"""
+    return F.expr(f"""CASE WHEN {rate} > 0 THEN CAST(aggregate(sequence({start}, {most}),
+        named_struct('p', {term}, 'sum', 0D, 'n', {start}), (s, k) -> {step}, s -> s.n) AS long) ELSE 0L END""")
 
 
 def uniform(seed: int, *columns: str):
@@ -77,17 +81,18 @@ def with_counts(docs: DataFrame, weights=None, seed: int = 7, doc_id: str = "doc
         weights = weights.select(F.col(weights.columns[0]).alias("_source"), F.col(weights.columns[1]).cast("double").alias("weight"))
     by_source = stored(rates(sizes, weights), "source-rates")
     few = by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    docs = docs.drop("rate", "n_copies")
+    aside = Aside(docs, list(dict.fromkeys([doc_id, text, source])))
+    rows = aside.rows.withColumnsRenamed({doc_id: "_id", text: "_text", source: "_from"})
     if few:
-        joined = docs.join(F.broadcast(by_source), F.col(source).eqNullSafe(F.col("_source")))
+        joined = rows.join(F.broadcast(by_source), F.col("_from").eqNullSafe(F.col("_source")))
     else:
         salted = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        place = F.pmod(F.xxhash64(doc_id, text), F.lit(SALTS)).cast("int")
-        joined = docs.withColumn("_place", place).join(
-            salted, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_place") == F.col("_salt"))).drop("_salt", "_place")
-    count = F.size(F.filter("cdf", lambda p: p <= F.col("_u")))
-    return (joined.withColumn("_u", uniform(seed, doc_id)).withColumn("n_copies", count.cast("long"))
-            .drop("_source", "cdf", "_u"))
+        place = F.pmod(F.xxhash64("_id", "_text"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("_place", place).join(
+            salted, F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_place") == F.col("_salt")))
+    counted = joined.withColumn("_u", uniform(seed, "_id")).withColumn("n_copies", poisson_inverse("rate", "_u"))
+    counted = counted.withColumnsRenamed({"_id": doc_id, "_text": text, "_from": source})
+    return aside.restored(counted, ["rate", "n_copies"])
 
 
 def mixed(docs: DataFrame, weights=None, seed: int = 7, doc_id: str = "doc_id", **kw) -> DataFrame:
@@ -107,9 +112,9 @@ WITH s AS (SELECT source, SUM(COALESCE(length(text), 0))::BIGINT AS size FROM do
  p AS (SELECT source, rate, k, exp(-rate + k * ln(CASE WHEN rate > 0 THEN rate ELSE 1 END) - lgamma(k + 1)) AS mass
        FROM r, range(0, 400) t(k) WHERE rate > 0 AND k <= rate + 12 * sqrt(rate) + 30),
  c AS (SELECT source, k, SUM(mass) OVER (PARTITION BY source ORDER BY k) AS cdf FROM p),
- u AS (SELECT doc_id, source, CAST('0x' || substr(md5('7|' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM documents),
- n AS (SELECT u.doc_id, u.source, (SELECT COUNT(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u) AS n_copies FROM u)
-SELECT doc_id, source, n_copies::BIGINT AS n_copies, t.copy::BIGINT AS copy,
+ u AS (SELECT doc_id, source, sha256(text) AS text_sha256, CAST('0x' || substr(md5('7|' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM documents),
+ n AS (SELECT u.doc_id, u.source, u.text_sha256, (SELECT COUNT(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u) AS n_copies FROM u)
+SELECT doc_id, source, text_sha256, n_copies::BIGINT AS n_copies, t.copy::BIGINT AS copy,
  md5('7:order|' || CAST(doc_id AS VARCHAR) || '|' || CAST(t.copy AS VARCHAR)) AS place
 FROM n, range(0, 400) t(copy) WHERE t.copy < n_copies
 """

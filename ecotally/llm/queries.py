@@ -20,9 +20,10 @@ def op1_decontamination(spark, sf_dir):
 
 
 def op2_poisson_mix(spark, sf_dir):
-    """Copies of each document under smoothed source weights, shuffled."""
+    """Copies of each document under smoothed source weights, shuffled with
+    their texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mixed(docs).select("doc_id", "source", "n_copies", "copy", "place")
+    return mixing.mixed(docs).select("doc_id", "source", "n_copies", "copy", "place", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op3_quality_ledger(spark, sf_dir):
