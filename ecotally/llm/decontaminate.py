@@ -16,14 +16,18 @@ with a result column, which then wins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_DIGIT_BYTES, add_columns, lower_words
+from .common import LETTER_DIGIT_BYTES, Aside, add_columns, lower_words, stored
 
 WINDOW = 13
 #: Words of test items that one automaton holds (about 1 KB of memory each).
 SHARD_WORDS = 200_000
+#: Automata of one pass over the documents; a larger benchmark takes several passes, each written to the shared folder.
+PASS_SHARDS = 4
 
 
 class SuffixAutomaton:
@@ -152,16 +156,17 @@ class SuffixAutomaton:
             spans.append((start, i + 1))
 
 
-def shards(items: DataFrame, item_id: str, text: str, shard_words: int = SHARD_WORDS) -> list[list[tuple]]:
+def shards(items: DataFrame, item_id: str, text: str, shard_words: int = SHARD_WORDS) -> Iterator[list[tuple]]:
     """The test items in groups of about ``shard_words`` words.
 
     The group count follows from the size of the benchmark, which is measured
-    first; each group comes to the driver alone."""
+    first; the driver holds the groups of one pass at a time."""
     sized = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).filter("t IS NOT NULL")
     total = sized.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // (6 * shard_words)))
     place = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [[tuple(r) for r in sized.filter(place == k).collect()] for k in range(n)] if total else []
+    for k in range(n if total else 0):
+        yield [tuple(r) for r in sized.filter(place == k).collect()]
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -174,10 +179,14 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     fields = [("n_words", "long", pa.int64()), ("spans", "array<struct<start:int,end:int>>", span),
               ("found_items", "array<string>", pa.list_(pa.string()))]
-    out, reads = docs, [text]
-    for group in shards(items, item_id, item_text, shard_words) or [[]]:
+    out, reads, n = docs, [text], 0
+    for group in shards(items, item_id, item_text, shard_words):
+        if n and n % PASS_SHARDS == 0:  # the automata of one pass are all that tasks and driver hold
+            out = stored(out, "benchmark-matches")
         out = add_columns(out, reads, fields, _matcher(group, window))
-        reads = [text, "spans", "found_items"]
+        reads, n = [text, "spans", "found_items"], n + 1
+    if not n:
+        out = add_columns(out, reads, fields, _matcher([], window))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.withColumn("n_hit", hit)
 
@@ -256,9 +265,21 @@ def _without(text, spans, longest):
     return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, share: int = 20, **kw) -> DataFrame:
-    """The documents that the coverage rule leaves, with their own columns."""
-    return judged(docs, items, share, **kw).filter(~F.col("contaminated")).select(*docs.columns)
+def decontaminated(docs: DataFrame, items: DataFrame, share: int = 20, text: str = "text", longest: int = WINDOW,
+                   n_chars: str | None = None, **kw) -> DataFrame:
+    """The documents that the coverage rule leaves, with their own columns,
+    without the spans of ``longest`` words or more that a few hits cover; a
+    column ``n_chars`` is counted anew where a text was cut."""
+    aside = Aside(docs, [text])
+    left = judged(aside.rows, items, share, text=text, **kw).filter(~F.col("contaminated"))
+    cut = cut_spans(left, text, longest).withColumn(text, F.col("clean_text"))
+    out = aside.restored(cut)
+    if n_chars in aside.others:
+        kind = docs.schema[n_chars].dataType
+        was = F.col(aside.pack)[n_chars]
+        counted = F.when(F.size("spans") > 0, F.char_length(text).cast(kind)).otherwise(was)
+        out = aside.restored(cut.withColumn(aside.pack, F.col(aside.pack).withField(f"`{n_chars}`", counted)))
+    return out
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
