@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACES
+from .common import SPACE_CHARS, SPACES, Aside
 
 GRAM = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -59,7 +59,8 @@ def measured(docs: DataFrame, text: str = "text", gram: int = GRAM) -> DataFrame
     the words up to the next, at most ``gram``."""
     t = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(t, F.lit(SPACE_CHARS))
-    df = docs.drop(*MEASURES).withColumn("_t", t)
+    aside = Aside(docs.drop(*MEASURES), [text])
+    df = aside.rows.withColumn("_t", t)
     df = df.withColumn("_w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES)))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
@@ -74,14 +75,14 @@ def measured(docs: DataFrame, text: str = "text", gram: int = GRAM) -> DataFrame
              OR (k < size(_s) - 1 AND _s[least(k + 1, size(_s) - 1)].g = _s[k].g)), k -> _s[k].i)) END"""))
     covered = F.expr(f"""CASE WHEN size(_d) > 0 THEN aggregate(sequence(0, size(_d) - 1), 0L, (n, k) -> n +
         CASE WHEN k = size(_d) - 1 THEN {gram} ELSE least({gram}, _d[k + 1] - _d[k]) END) ELSE 0L END""")
-    return (
+    return aside.restored(
         df.withColumn("word_chars", F.char_length(F.concat_ws("", "_w")).cast("long"))
         .withColumn("n_symbols", F.regexp_count("_t", F.lit(SYMBOLS)).cast("long"))
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
         .withColumn("n_lines", F.size("_l").cast("long"))
         .withColumn("n_letters", F.regexp_count("_t", F.lit(r"\p{L}")).cast("long"))
-        .withColumn("n_repeat_words", covered)
-        .drop("_t", "_w", "_l", "_g", "_s", "_d")
+        .withColumn("n_repeat_words", covered),
+        MEASURES,
     )
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import add_columns, plain_words, stored
+from .common import Aside, add_columns, plain_words, stored
 from .components import connected
 
 SHINGLE = 4
@@ -221,13 +221,12 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One document of each group (the one of smallest id) with its columns."""
-    kept = docs.withColumnsRenamed({"fp": "_fp"}) if "fp" in docs.columns else docs
-    prints = stored(with_fingerprints(kept, text, shingle), "documents-fp")
+    aside = Aside(docs, [doc_id, text])
+    prints = stored(with_fingerprints(aside.rows, text, shingle), "documents-fp")
     found = components(prints.select(doc_id, "fp"), doc_id, bits)
     ids = prints.select(F.col(doc_id).alias("_id"), "fp").distinct()
     best = ids.join(found, "fp").groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "fp")).alias("b"))
     best = stored(best.select(F.col("b._id").alias("_id"), F.col("b.fp").alias("_bfp")), "kept-documents")
     rows = prints.join(best, prints[doc_id].eqNullSafe(best["_id"]) & (prints["fp"] == best["_bfp"]), "left_semi")
     one = W.partitionBy(doc_id, "fp").orderBy(F.xxhash64(text))
-    rows = rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1")
-    return rows.select(*[F.col("_fp").alias("fp") if c == "fp" else F.col(f"`{c}`") for c in docs.columns])
+    return aside.restored(rows.withColumn("_n", F.row_number().over(one)).filter("_n = 1"))

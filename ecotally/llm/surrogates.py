@@ -35,7 +35,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Aside, stored
 
 TITLES = {
     "m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Don", "Господин"],
@@ -69,6 +69,15 @@ _KEYED = r"""(?:(?i:password|passwd|pwd|token|secret|api_key|apikey|api-key)\s{0
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _TITLES = rf"(?:(?:{_TITLE})\.? )"
 
+#: Words that make what stands before them a place or an organisation.
+PLACE_HEADS = ("Airport Avenue Bank Bay Beach Boulevard Bridge Canyon Cape Castle Cathedral Church City Coast College Council County Court "
+               "Creek Desert District Falls Forest Foundation Garden Gardens Glacier Group Gulf Harbor Harbour Highway Hill Hills Hospital "
+               "Hotel House Inc Institute Island Islands Lake Library Ltd Memorial Mountain Mountains Museum Park Pass Peak Plaza Point "
+               "Press Prize Province Ridge River Road School Sea Square Stadium Station Street Theatre Tower University Valley Village Ward")
+_PLACE = "|".join(PLACE_HEADS.split())
+#: Not a person: a known given name before a place word, as in "Victoria Falls".
+_NO_PLACE = rf"(?!(?: \p{{Lu}}\p{{L}}+){{0,3}} (?:{_PLACE})(?!\p{{L}}))"
+
 #: type -> pattern; earlier types win where several match at one place.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -80,7 +89,7 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
              r"|(?<!\d)\+\d{9,15}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]\d{2,4}){3,5}(?!\d)|(?<![\d.-])\d{2}(?:[ .]\d{2}){4}(?![\d.-]*\d)",
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{4} \d{4} \d{1,7})(?!\d)",
-    "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLES}+{_MORE}(?: {_MORE}){{0,4}}|(?:{_GIVEN})(?:-\p{{Lu}}\p{{L}}+)?(?: {_MORE}){{1,4}})",
+    "person": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_TITLES}+{_MORE}(?: {_MORE}){{0,4}}|(?:{_GIVEN})(?:-\p{{Lu}}\p{{L}}+)?{_NO_PLACE}(?: {_MORE}){{1,4}})",
 }
 #: The same without look-around, to tell the type of an entity that was cut out; anything else is a secret.
 WHOLE = PATTERNS | {
@@ -196,7 +205,7 @@ def name_words(persons: DataFrame) -> DataFrame:
 def _drawn(persons: DataFrame, key: str) -> DataFrame:
     """``surrogate``: the canonical surrogate of (type, canonical, gender,
     attempt).  ``h`` is a keyed stream of hexadecimal digits."""
-    seed = F.concat_ws("\x1f", F.lit(key), "type", "canonical", F.col("attempt").cast("string"))
+    seed = F.concat_ws("\x1f", F.lit(key_literal(key)), "type", "canonical", F.col("attempt").cast("string"))
     df = persons.withColumn("h", F.concat(F.sha2(F.concat(seed, F.lit("a")), 512), F.sha2(F.concat(seed, F.lit("b")), 512)))
 
     def byte(i: str) -> str:  # 0 to 255 at position i of the stream
@@ -310,7 +319,8 @@ def _persons(words: DataFrame, drawn: DataFrame, key: str) -> DataFrame:
 
 
 def key_literal(key: str) -> str:
-    """Hexadecimal digits that stand for the key inside an expression."""
+    """Hexadecimal digits that stand for the key inside an expression: plans
+    and logs show these, never the key."""
     return hashlib.sha256(key.encode()).hexdigest()
 
 
@@ -318,8 +328,9 @@ def replaced(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_i
     """``docs`` with entities replaced, ``n_entities`` and, per entity of the
     text, (type, entity, surrogate) in ``entities``."""
     own = ["n_entities", "entities"]
-    every = found(docs.drop(*own), text)
-    columns = [c for c in docs.columns if c not in own]
+    aside = Aside(docs, [doc_id, text])
+    every = found(aside.rows, text)
+    columns = aside.rows.columns
     kind = "array<struct<type:string,entity:string,surrogate:string>>"
     clean = every.filter(F.coalesce(F.size("_e"), F.lit(0)) <= 0).select(
         *columns, F.lit(0).cast("long").alias("n_entities"), F.expr(f"CAST(array() AS {kind})").alias("entities"))
@@ -345,4 +356,4 @@ def replaced(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_i
     new = F.expr("array_join(transform(_p, (p, i) -> concat(p, CASE WHEN i < size(_e) THEN _s[i].s ELSE '' END)), '')")
     listed = F.expr(f"CAST(zip_with(_e, _s, (e, s) -> named_struct('type', s.type, 'entity', e, 'surrogate', s.s)) AS {kind})")
     out = filled.withColumn("n_entities", F.size("_e").cast("long")).withColumn("entities", listed).withColumn(text, new)
-    return clean.unionByName(out.select(*columns, *own))
+    return aside.restored(clean.unionByName(out.select(*columns, *own)), own)

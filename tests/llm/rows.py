@@ -7,7 +7,8 @@ SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
 ])
 #: Names that operators use for results or inside, as further columns of the input.
-CLASHES = ["score", "n_words", "spans", "fp", "rate", "copy", "place", "fail_bits", "n_hits", "rejected", "contaminated", "entities"]
+CLASHES = ["score", "n_words", "spans", "fp", "rate", "copy", "place", "fail_bits", "n_hits", "rejected", "contaminated", "entities",
+           "m", "cdf", "_w", "_e", "_n", "root", "h", "e", "_key", "_salt", "_u", "_id", "_from", "_text", "_aside", "clean_text", "n_lines"]
 
 STORY = "The quick brown fox jumps over the lazy dog while seven slow turtles watch from the river bank and think about lunch in silence"
 

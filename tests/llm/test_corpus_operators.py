@@ -33,16 +33,28 @@ def test_mix_equals_sql(spark):
 
 
 def test_poisson_inverse(spark):
-    cdf = spark.createDataFrame([(0.4,), (3.0,), (2000.0,), (0.0,)], "rate double").select("rate", mixing.poisson_cdf("rate").alias("c")).collect()
-    for rate, c in cdf:
-        if rate == 0:
-            assert c == [1.0]
-            continue
-        want, total = [], 0.0
-        for k in range(len(c)):
-            total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
-            want.append(total)
-        assert np.allclose(c, want) and abs(c[-1] - 1) < 1e-9
+    """Against the summed distribution."""
+    pairs, want = [], []
+    for rate in (0.4, 3.0, 75.5, 260.0, 900.0):
+        mass = [math.exp(-rate + j * math.log(rate) - math.lgamma(j + 1)) for j in range(int(rate + 15 * math.sqrt(rate) + 40))]
+        sums = np.cumsum(mass)
+        for u in (1e-9, 0.01, 0.25, 0.5, 0.75, 0.99, 1 - 1e-9):
+            pairs.append((rate, u))
+            want.append(int((sums <= u).sum()))
+    got = spark.createDataFrame(pairs, "rate double, u double").coalesce(1).select(mixing.poisson_inverse("rate", "u")).collect()
+    assert [r[0] for r in got] == want
+    assert spark.createDataFrame([(0.0, 0.5)], "rate double, u double").select(mixing.poisson_inverse("rate", "u")).first()[0] == 0
+
+
+def test_poisson_inverse_of_a_large_rate(spark):
+    import time
+
+    df = spark.createDataFrame([(1e6, k / 50 + 0.01) for k in range(50)], "rate double, u double")
+    df.select(mixing.poisson_inverse("rate", "u")).collect()
+    began = time.time()
+    got = [r[0] for r in df.select(mixing.poisson_inverse("rate", "u")).collect()]
+    assert time.time() - began < 50  # 50 numbers, under a second each
+    assert got == sorted(got) and abs(np.median(got) - 1e6) < 100 and abs(np.std(got) - 1000) < 150
 
 
 def test_mix_reaches_target_weights(spark):
@@ -131,23 +143,43 @@ def test_token_files_of_odd_rows(spark, tmp_path):
     assert tokens.round_trip(rows.empty(spark)).count() == 0
 
 
+def rows_read(df):
+    """Rows that the file scan of a collected DataFrame handed on."""
+    df.collect()
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return scan.metrics().apply("numOutputRows").value()
+
+
+def test_readers_skip_rows_by_index_and_bloom_filter(spark, tmp_path):
+    path = str(tmp_path / "t")
+    docs = spark.range(8_000).selectExpr("2 * id AS doc_id", "concat('text ', id) AS text").repartitionByRange(1, "doc_id")
+    tokens.write_tokens(docs, path)
+    assert rows_read(spark.read.orc(path)) == 8_000
+    assert rows_read(spark.read.orc(path).filter("doc_id = 7000")) <= tokens.ROW_STRIDE  # the row index
+    there = spark.read.orc(path).filter("doc_id BETWEEN 6000 AND 7999")
+    assert there.count() == 1_000 and rows_read(there.select("doc_id")) <= 2 * tokens.ROW_STRIDE
+    absent = sum(rows_read(spark.read.orc(path).filter(f"doc_id = {k}")) for k in range(101, 3101, 300))
+    assert absent <= tokens.ROW_STRIDE  # ids in range but absent: the Bloom filters
+    assert rows_read(spark.read.orc(path).filter("doc_id = 99999")) == 0  # stripe statistics
+
+
 # --- substring dedup --------------------------------------------------------------
 
 def kept(df):
     return {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot", [phrases.HOT, 3])
-def test_repeats_equal_brute_force(spark, docs, doc_rows, hot):
+@pytest.mark.parametrize("patterns", [phrases.PATTERNS, 40])
+def test_repeats_equal_brute_force(spark, docs, doc_rows, patterns):
     want = brute.repeats(doc_rows)
-    assert kept(phrases.without_repeats(docs, hot=hot)) == want and sum(v[1] for v in want.values()) > 1000
+    assert kept(phrases.without_repeats(docs, patterns=patterns)) == want and sum(v[1] for v in want.values()) > 1000
 
 
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=6))
 def test_small_repeats_equal_brute_force(spark, lists):
     data = [(k, " ".join(x)) for k, x in enumerate(lists)]
-    got = phrases.without_repeats(spark.createDataFrame(data, "doc_id long, text string"), window=4, gram=2, hot=2)
+    got = phrases.without_repeats(spark.createDataFrame(data, "doc_id long, text string"), window=4, gram=2, patterns=2)
     assert kept(got) == brute.repeats(data, 4)
 
 
@@ -159,6 +191,26 @@ def test_repeats_of_odd_rows(spark):
     assert len(out) == 12 and by[None] == [(24, 0)] and by[1] == [(24, 24)] and by[5] == [(24, 24)] * 2
     assert by[6] == [(27, 24)] and by[2] == by[3] == by[4] == [(0, 0)] and by[7] == [(60_000, 0)]
     assert phrases.without_repeats(rows.empty(spark)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("phrase")]
+
+
+def test_repeats_keep_ids_beside_null_ids(spark):
+    big = 2**53 + 1
+    data = [(None, rows.STORY), (big, rows.STORY), (big + 1, rows.STORY + " more"), (-big, rows.STORY)]
+    out = kept(phrases.without_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(1)))
+    assert {d: v[1] for d, v in out.items()} == {None: 0, big: 24, big + 1: 24, -big: 24}
+    names = [(None, rows.STORY), ("b", rows.STORY), ("a", "x " + rows.STORY)]
+    out = kept(phrases.without_repeats(spark.createDataFrame(names, "doc_id string, text string")))
+    assert {d: v[1] for d, v in out.items()} == {None: 0, "a": 24, "b": 24}
+
+
+def test_repeats_in_rows_of_one_id(spark):
+    """Rows of one id with different texts: equal windows at one place stay in both."""
+    other = " ".join(f"z{k}" for k in range(30))
+    data = [(1, rows.STORY), (1, rows.STORY), (1, other), (2, other), (3, rows.STORY)]
+    out = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in
+                 phrases.without_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert out == [(1, 24, 0), (1, 24, 0), (1, 30, 0), (2, 30, 30), (3, 24, 24)]
 
 
 # --- SimHash ------------------------------------------------------------------------
@@ -304,5 +356,7 @@ def test_hmm_of_odd_rows(spark):
     assert len(out) == 12 and by[2]["n_tokens"] == by[4]["n_tokens"] == 1 and by[1]["n_known"] == 25
     assert by[None]["held_out"] and all(math.isfinite(r["score"]) and r["score"] < 0 for r in out)
     assert hmm.scored(rows.empty(spark).withColumn("held_out", F.lit(False))).count() == 0
+    one_block = spark.createDataFrame([(None, "a b", False), (2**53 + 1, "a b c", False), (2**53, None, True)], "doc_id long, text string, held_out boolean")
+    assert {r["doc_id"] for r in hmm.scored(one_block.coalesce(1), rounds=1).collect()} == {None, 2**53 + 1, 2**53}
     unlearned = hmm.scored(rows.table(spark, rows.odd_rows()).withColumn("held_out", F.lit(True))).collect()
     assert len(unlearned) == 12 and all(r["train_tokens"] == 0 and r["n_known"] == 0 for r in unlearned)

@@ -6,7 +6,7 @@ import rows
 from test_corpus_operators import want_tokens
 
 import corpus_pipeline as pipeline
-from ecotally.llm import mixing, toxicity
+from ecotally.llm import decontaminate, mixing, toxicity
 from ecotally.llm.common import id_remainder
 
 SF = "/root/testdata/sf0.01"
@@ -48,7 +48,46 @@ def test_contaminated_documents_go(spark, steps):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     found = brute.contamination(pairs(steps[2]), items)
     bad = {d for d, (n, hit, _) in found.items() if hit and 20 * len(hit) >= n}
-    assert bad and pairs(steps[3]) == [r for r in pairs(steps[2]) if r[0] not in bad]
+    after = pairs(steps[3])
+    assert bad and [d for d, _ in after] == [d for d, _ in pairs(steps[2]) if d not in bad]
+    texts = dict(after)
+    for d, t in pairs(steps[2]):
+        if d not in bad:
+            hit = runs(found[d][1])
+            words = brute.ALNUM.findall((t or "").translate(brute.LOWER))
+            assert brute.ALNUM.findall((texts[d] or "").translate(brute.LOWER)) == [w for k, w in enumerate(words) if k not in hit]
+            assert hit or texts[d] == t
+    changed = steps[3].filter("n_chars <> char_length(text)").count()
+    assert changed == steps[2].join(steps[3].select("doc_id"), "doc_id", "left_semi").filter("n_chars <> char_length(text)").count()
+
+
+def runs(hit, longest=13):
+    """The positions of ``hit`` in runs of 13 or more."""
+    out, run = set(), []
+    for k in [*sorted(hit), None]:
+        if run and k != run[-1] + 1:
+            out |= set(run) if len(run) >= longest else set()
+            run = []
+        run.append(k)
+    return out
+
+
+def test_short_hits_in_long_documents_are_cut(spark):
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliett kilo lima mike"
+    filler = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, f"{filler}. {item.title()}, {filler}", 5), (2, item, 3), (3, filler, 9)], "doc_id long, text string, n_chars long")
+    items = spark.createDataFrame([("a", item)], "item_id string, text string")
+    out = {r["doc_id"]: r for r in decontaminate.decontaminated(docs, items, n_chars="n_chars").collect()}
+    assert set(out) == {1, 3} and out[1]["text"] == f"{filler}. , {filler}" and out[1]["n_chars"] == len(out[1]["text"])
+    assert (out[3]["text"], out[3]["n_chars"]) == (filler, 9) and list(out[3].asDict()) == docs.columns
+
+
+def test_benchmark_in_several_passes(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    key = lambda df: sorted(map(str, df.select("doc_id", "n_words", "spans", "found_items").collect()))
+    monkeypatch.setattr(decontaminate, "PASS_SHARDS", 2)
+    assert key(decontaminate.matches(docs, items, shard_words=300)) == key(decontaminate.matches(docs, items))
 
 
 def test_sources_are_mixed(steps):

@@ -285,3 +285,73 @@ def test_surrogates_run_no_python(spark):
 def test_id_remainder_is_crc32(spark, modulus):
     got = spark.range(50).select("id", id_remainder("id", modulus).alias("r")).collect()
     assert all(r["r"] == brute.crc(r["id"]) % modulus for r in got)
+
+
+#: (sentence, persons in it)
+PERSON_SAMPLE = [
+    ("We met John Smith in the morning.", ["John Smith"]), ("Dr. Maria Garcia Lopez called back.", ["Dr. Maria Garcia Lopez"]),
+    ("The letter came from Mrs. Olsen.", ["Mrs. Olsen"]), ("Anna Meyer and Peter Klein wrote it.", ["Anna Meyer", "Peter Klein"]),
+    ("Ask Mr. J. Brown about it.", ["Mr. J. Brown"]), ("Thomas van der Berg spoke first.", ["Thomas van der Berg"]),
+    ("Laura Rossi signed the paper.", ["Laura Rossi"]), ("Then David Miller left.", ["David Miller"]),
+    ("Professor Ivanova teaches here.", ["Professor Ivanova"]), ("It was Sarah O'Neil who came.", ["Sarah O'Neil"]),
+    ("They saw Victoria Falls at noon.", []), ("The San Francisco Bay is wide.", []), ("We drove to Virginia Beach yesterday.", []),
+    ("They crossed the Jordan River on foot.", []), ("Charlotte County votes today.", []), ("He studied at Martin Luther University.", []),
+    ("The Sofia Airport is closed.", []), ("The Victoria Memorial Hospital opened.", []), ("They sell maps of Florence Street.", []),
+    ("The sun rose over the hills.", []), ("In March the River Bank was flooded.", []), ("Nothing was said about the Lake House.", []),
+]
+
+
+def test_persons_of_a_labelled_sample(spark):
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(PERSON_SAMPLE)], "doc_id long, text string")
+    got = {r["doc_id"]: [e["entity"] for e in r["entities"] if e["type"] == "person"] for r in surrogates.replaced(docs, "k").collect()}
+    hits = sum(len(set(got[k]) & set(want)) for k, (_, want) in enumerate(PERSON_SAMPLE))
+    found, there = sum(map(len, got.values())), sum(len(w) for _, w in PERSON_SAMPLE)
+    assert hits / found >= 0.95 and hits / there >= 0.9, got
+    for k, (text, want) in enumerate(PERSON_SAMPLE):
+        if "Falls" in text or "Bay" in text or "Beach" in text or "Jordan River" in text:
+            assert got[k] == []
+
+
+def test_the_key_is_not_in_the_plan(spark):
+    docs = spark.createDataFrame([(1, "Mail to ann@example.com, or ask Mr. John Smith.")], "doc_id long, text string")
+    out = surrogates.replaced(docs, "very-secret-key")
+    assert "very-secret-key" not in out._jdf.queryExecution().toString()
+
+
+# --- brute force for what SQL can't say ------------------------------------------
+
+def test_language_equals_dense_cosines(spark, docs):
+    """Prediction and score against whole vectors in double precision."""
+    import numpy as np
+
+    model = langid.fit(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identified(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        text = r["text"] or ""
+        if not langid.has_letter(text):
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        x = langid.counts_of(text).astype(float)
+        x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * model["idf"].astype(float)
+        cos = [float(x @ c.astype(float)) / float(np.linalg.norm(x)) for c in model["centroids"]]
+        best = max(range(len(cos)), key=lambda k: cos[k])
+        pred, score = got[r["doc_id"]]
+        assert abs(score - min(1, max(0, cos[best]))) < 1e-5
+        assert pred == model["langs"][best] or abs(cos[model["langs"].index(pred)] - cos[best]) < 1e-5
+
+
+@pytest.mark.parametrize("name", ["ledger", "mixed", "deduplicated", "replaced", "identified", "decontaminated"])
+def test_clashing_columns_keep_their_values(spark, name, docs):
+    from ecotally.llm import mixing, simhash
+
+    odd = rows.table(spark, rows.odd_rows())
+    items = spark.createDataFrame([("a", rows.STORY)], "item_id string, text string")
+    out = {"ledger": lambda: quality.ledger(odd), "mixed": lambda: mixing.mixed(odd), "deduplicated": lambda: simhash.deduplicated(odd),
+           "replaced": lambda: surrogates.replaced(odd, "k"), "identified": lambda: langid.identified(odd, langid.fit(docs)),
+           "decontaminated": lambda: decontaminate.decontaminated(odd, items)}[name]()
+    results = {"ledger": {*quality.MEASURES, "fail_bits"}, "mixed": {"rate", "n_copies", "copy", "place"}, "replaced": {"n_entities", "entities"},
+               "identified": {"lang_pred", "score", "rejected"}}.get(name, set())
+    kept = [c for c in rows.CLASHES if c not in results]
+    assert set(kept) <= set(out.columns)
+    wrong = " OR ".join(f"`{c}` <> 'own {c}' OR `{c}` IS NULL" for c in kept)
+    assert out.filter(wrong).count() == 0
