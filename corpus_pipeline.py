@@ -35,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which benchmark windows cover one word in twenty or
-    more; fewer hits leave a document as it is."""
-    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    more, and cuts the covered spans of 13 words or more out of the others."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), n_chars="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
