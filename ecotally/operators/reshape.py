@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 
-from ..functions.nulls import expr, ident, lit, total, type_of
+from ..functions.nulls import SUM_PART, expr, ident, lit, total, type_of
 from ..schema import COMPONENTS, wide
 
 DECILE_TAGS = ("Decile1", "Decile2", "Decile3")
@@ -86,6 +86,20 @@ def labelled(df: DataFrame, names: Sequence[str], labels: Sequence[str]) -> Data
     return df
 
 
+#: Type name of totals that were split into the columns HIGH and LOW.
+SPLIT, HIGH, LOW = "split", "__high", "__low"
+
+
+def split_totals(df: DataFrame, value: str) -> DataFrame:
+    """``df`` with an exact total (DECIMAL(38,0)) in two BIGINT parts beside
+    it, computed once per row: many cells then add longs, not decimals."""
+    return df.selectExpr("*", f"CAST({ident(value)} div {SUM_PART} AS BIGINT) AS {HIGH}", f"CAST({ident(value)} % {SUM_PART} AS BIGINT) AS {LOW}")
+
+
+def joined_totals(high: str, low: str) -> str:
+    return f"(CAST({high} AS DECIMAL(31,0)) * {SUM_PART} + {low})"
+
+
 def wide_cells(
     names_from: str,
     values: Sequence[str],
@@ -104,7 +118,10 @@ def wide_cells(
     for v, name in zip(values, names):
         hit = f"{ident(names_from)} = {lit(v)}" + (f" AND ({where})" if where else "")
         n_rows = f"count(CASE WHEN {hit} THEN 1 END)"
-        area = total(f"CASE WHEN {hit} THEN {value} END", dtype)
+        if dtype == SPLIT:  # two BIGINT columns, see split_totals
+            area = joined_totals(*[f"sum(CASE WHEN {hit} THEN {c} END)" for c in (HIGH, LOW)])
+        else:
+            area = total(f"CASE WHEN {hit} THEN {value} END", dtype)
         cell = f"CASE WHEN {n_rows} = count(CASE WHEN {hit} THEN {value} END) THEN {area} END"
         if convert is not None:
             cell = convert(cell)
@@ -134,7 +151,10 @@ def to_wide(
     input plan stays identical to other consumers of ``df`` and Spark can
     reuse its exchange).
     """
-    cells = [expr(c) for c in wide_cells(names_from, values, value, names, fill, convert, where, type_of(df, value))]
+    dtype = type_of(df, value)
+    if dtype == "decimal(38,0)":
+        df, dtype = split_totals(df, value), SPLIT
+    cells = [expr(c) for c in wide_cells(names_from, values, value, names, fill, convert, where, dtype)]
     if where:
         cells.append(expr(f"count(CASE WHEN {where} THEN 1 END) AS __n_where"))
     if not cells:  # no category at all: the keys alone
