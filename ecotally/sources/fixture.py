@@ -83,11 +83,11 @@ SELECT * FROM (VALUES
   ('KIP','BWBS','mw','2','FM',NULL,NULL,'4',NULL,NULL,'H')
  ) AS t(ECO_SEC,BGC_ZONE,BGC_SUBZON,BGC_VRT,SITEMC_S,SITE_MA,SITE_MB,STRCT_S,STRCT_M,SERAL,BSEOW_LI)"""
 
-# the polygons as a terrestrial-map workbook spells them, areas in hectares
+# the polygons as a terrestrial-map workbook spells them, areas in hectares; the terrestrial map sees bog in every third one
 TEM_SQL = """
 SELECT CEM_ECP AS ECP_TAG, Location, Dist_Type, ParcelID_t, ECO_SEC AS Eco_Sec, BGC_ZONE AS Bgc_Zone,
   BGC_SUBZON AS Bgc_Subzon, BGC_VRT AS Bgc_Vrt, SDEC_1 AS Sdec_1, SDEC_2 AS Sdec_2, SDEC_3 AS Sdec_3,
-  SITE_S1 AS Site_S1, SITE_S2 AS Site_S2, SITE_S3 AS Site_S3, SITEMC_S1 AS SiteMC_S1, SITEMC_S2 AS SiteMC_S2,
+  SITE_S1 AS Site_S1, SITE_S2 AS Site_S2, SITE_S3 AS Site_S3, CASE WHEN FID % 3 = 0 THEN 'BT' ELSE SITEMC_S1 END AS SiteMC_S1, SITEMC_S2 AS SiteMC_S2,
   SITEMC_S3 AS SiteMC_S3, STRCT_S1 AS Strct_S1, STRCT_S2 AS Strct_S2, STRCT_S3 AS Strct_S3, SERAL_1 AS Seral_1,
   SERAL_2 AS Seral_2, SERAL_3 AS Seral_3, CAST(AREA * 0.0001 AS DECIMAL(19,6)) AS Area_ha
 FROM {polygons}"""
