@@ -81,7 +81,9 @@ PART_WORDS = frozenset(["header"])
 
 TOKEN = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>?|[!?/][^>]*>?)""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none""", re.I)
+QUOTED = re.compile(r""""[^"]*"|'[^']*'""")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
+NO_DISPLAY = re.compile(r"""\sstyle\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SENTENCE = re.compile(r"[.!?…。！？]")
 
@@ -91,6 +93,12 @@ RUN = len(LOOKS)  # the look of a run of text
 SIZES, LINKS, MARKS = 8, 4, 4
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether an element says that it is not shown: the attribute ``hidden``
+    (not a class of that name) or a style that displays none."""
+    return bool(attributes) and (HIDDEN.search(QUOTED.sub('""', attributes)) is not None or NO_DISPLAY.search(attributes) is not None)
+
+
 def name_group(attributes: str) -> str:
     """Group of the words in an element's class, id and role."""
     words = {w.lower() for m in NAMES.findall(attributes) for w in WORD.findall(m[0] or m[1] or m[2])}
@@ -177,7 +185,7 @@ class Page:
                 continue
             if in_head and tag not in HEAD_ONLY:
                 in_head = False
-            if not end and (tag in UNSEEN or tag not in VOID and HIDDEN.search(m.group(3)) is not None and "hidden" not in tag):
+            if not end and (tag in UNSEEN or tag not in VOID and is_hidden(m.group(3))):
                 closed = self._closed(source, tag, at)
                 if closed is not None:
                     at = closed

@@ -104,6 +104,7 @@ def test_page_without_marks(model, box):
     ("<main><table><tr><td>one<td>two<tr><td>three</table></main>", "one two three"),
     ("<article>1 < 2 and a<b</article>", "1 < 2 and a"),
     ("<article><p title='a > b'>kept</p><script>if (a</b) x</script><p>end", "kept end"),
+    ('<article><p class="text hidden x">shown</p><p style="color:red; display: none">no</p><p aria-hidden="false">too</p></article>', "shown too"),
     ("<article><p hidden>no</p><p>yes</p><select><option>no</select><svg><text>no</text></svg></article>", "yes"),
     ("<article><div>a<template><div>no</div></template></div><p>b</article", "a b"),
     ("<article><p>😀 中文　x</p></article>".encode("utf-16", "surrogatepass").decode("utf-16"), "\U0001f600 中文 x"),
