@@ -125,6 +125,14 @@ def plain_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.translate(LOWER_BYTES) if lower else raw).split()
 
 
+def give_back() -> None:
+    """At the end of a task: memory that Arrow holds but does not use goes
+    back to the machine, which the worker's later tasks share with others."""
+    import pyarrow as pa  # noqa: PLC0415
+
+    pa.default_memory_pool().release_unused()
+
+
 def add_columns(df: DataFrame, reads: list[str], fields: list[tuple[str, str, object]], make) -> DataFrame:
     """``df`` with computed columns, in Arrow batches.
 
@@ -147,5 +155,6 @@ def add_columns(df: DataFrame, reads: list[str], fields: list[tuple[str, str, ob
             cols = [b.column(b.schema.get_field_index(c)) for c in kept]
             cols += [pa.array(v, t) for v, (_, _, t) in zip(lists, fields)]
             yield pa.RecordBatch.from_arrays(cols, names=[*kept, *[n for n, _, _ in fields]])
+        give_back()
 
     return df.mapInArrow(run, schema)

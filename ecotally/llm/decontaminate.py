@@ -237,13 +237,12 @@ def cut_spans(found: DataFrame, text: str = "text", longest: int = WINDOW) -> Da
     """``clean_text``: the text without the spans of ``longest`` words or more
     (the length limit); the separators around a span stay."""
 
-    @F.pandas_udf("string")
-    def cut(t, s):
-        import pandas as pd  # noqa: PLC0415
+    import pyarrow as pa  # noqa: PLC0415
 
-        return pd.Series([_without(a, b, longest) for a, b in zip(t, s)], dtype=object)
+    def make():
+        return lambda texts, spans: ([_without(t, s, longest) for t, s in zip(texts, spans)],)
 
-    return found.withColumn("clean_text", cut(F.col(text), F.col("spans")))
+    return add_columns(found, [text, "spans"], [("clean_text", "string", pa.string())], make)
 
 
 def _without(text, spans, longest):

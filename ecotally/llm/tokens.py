@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, scratch
+from .common import give_back, scratch
 
 END_ID = 2
 ROW_STRIDE = 1_000
 STRIPE_BYTES = 16 << 20
 #: Words whose ids a Python worker remembers; full, it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 #: Bytes of text whose words are numbered together.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
 #: ASCII marks that may follow a word's letters; the vocabulary encodes such a run by itself.
 MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
 
@@ -94,8 +94,8 @@ class Encoder:
     def _learn(self, runs: list[bytes], marks: list[bytes], odd: list[bytes]) -> None:
         import numpy as np  # noqa: PLC0415
 
-        for lo in range(0, len(runs), 50_000):
-            some = runs[lo:lo + 50_000]
+        for lo in range(0, len(runs), 4_000):
+            some = runs[lo:lo + 4_000]
             ids = np.array(self.tok.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
@@ -246,6 +246,7 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                      pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))],
                     names=[doc_id, "part", "offset", "n_tokens", "ids"])
                 offset += int(offsets[-1])
+            give_back()
 
     encoded = rows.select("_id", "_text").mapInArrow(run, SCHEMA.format(id=f"`{doc_id}`", id_type=id_type))
     (encoded.write.option("compression", "zstd").option("orc.stripe.size", STRIPE_BYTES)
@@ -278,6 +279,7 @@ def digest(tokens: DataFrame, doc_id: str = "doc_id") -> DataFrame:
                 crc.append(zlib.crc32(raw[4 * lo:4 * hi]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())],
                                              names=[doc_id, "start", "n_tokens", "ids_crc32"])
+        give_back()
 
     return tokens.select(doc_id, "start", "n_tokens", "ids").mapInArrow(
         run, f"`{doc_id}` {id_type}, start long, n_tokens long, ids_crc32 long")
