@@ -34,7 +34,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, stored
+from .common import add_columns, give_back, stored
 
 SAMPLE = 6_000
 #: A term is kept when toxic texts would hold it as often by chance with less than this probability.
@@ -47,6 +47,8 @@ NEAR = 10
 EDGES = "\"'`.,;:!?()[]{}<>«»“”„‘’‚‹›*_~-–—…|/\\#$%&+="
 OPENING, CLOSING = frozenset("\"«“„‘‚‹"), frozenset("\"»”“’›")
 REMEMBERED = 300_000
+#: Words and stems that a learning task holds at a time.
+HELD = 50_000
 PREDICTED_FROM = 0.3
 
 
@@ -218,62 +220,97 @@ def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: s
     return texts, {value: w / min(inverse.values()) for value, w in inverse.items()}
 
 
-def learn_lexicon(texts: DataFrame) -> tuple[list[str], list[str]]:
+def toxic_counts(texts, held: int):
+    """Of the words and stems of ``texts``: in how many texts each is, anywhere
+    and outside quotation marks.  Given in parts of about ``held`` of them."""
+    seen: dict[tuple, list[int]] = {}
+    for t in texts:
+        plain = {k for w in set(bare_words(t, unquoted=True)) for k in keys_of(w)}
+        for k in {k for w in set(bare_words(t)) for k in keys_of(w)}:
+            c = seen.setdefault(k, [0, 0])
+            c[0] += 1
+            c[1] += k in plain
+        if len(seen) >= held:
+            yield seen
+            seen = {}
+    yield seen
+
+
+def toxic_contexts(texts, asked: set, most: int, held: int):
+    """Of the words and stems ``asked`` for: up to ``most`` words they come
+    after and up to three words they are or begin, in parts like those of
+    ``toxic_counts``."""
+    seen: dict[tuple, tuple[list, list]] = {}
+    for t in texts:
+        words = bare_words(t)
+        for before, w in set(zip(["", *words], words)):
+            for k in keys_of(w):
+                if k in asked:
+                    for some, one, limit in zip(seen.setdefault(k, ([], [])), (before, w), (most, 3)):
+                        if len(some) < limit and one not in some:
+                            some.append(one)
+        if len(seen) >= held:
+            yield seen
+            seen = {}
+    yield seen
+
+
+def clean_counts(texts, asked: set):
+    """``toxic_counts`` of clean texts, of the words and stems ``asked`` for."""
+    clean: dict[tuple, list[int]] = {}
+    for t in texts:
+        for place, unquoted in enumerate((False, True)):
+            for k in {k for w in set(bare_words(t, unquoted)) for k in keys_of(w)}:
+                if k in asked:
+                    clean.setdefault(k, [0, 0])[place] += 1
+    yield clean
+
+
+def by_key(texts: DataFrame, find, columns: list[str], of: str = "long") -> DataFrame:
+    """(stem, k, ``columns``) of what ``find`` gives for each task's texts
+    ``t``: dicts of one value a column by (is a stem, text)."""
+
+    def run(batches):
+        import pyarrow as pa  # noqa: PLC0415
+
+        kind = pa.int64() if of == "long" else pa.list_(pa.string())
+        for seen in find(t.as_py() for b in batches for t in b.column(0)):
+            cols = [pa.array([k[0] for k in seen], pa.bool_()), pa.array([k[1] for k in seen], pa.string())]
+            cols += [pa.array([c[i] for c in seen.values()], kind) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(cols, names=["stem", "k", *columns])
+        give_back()
+
+    return texts.select("t").mapInArrow(run, ", ".join(["stem boolean, k string", *[f"{c} {of}" for c in columns]]))
+
+
+def learn_lexicon(texts: DataFrame, held: int = HELD) -> tuple[list[str], list[str]]:
     """Terms and stems from sampled (d, t, y).
 
-    Words and stems are counted in the toxic texts first; clean texts are then
-    asked for those alone that came up often and in several contexts.  Toxic
-    texts must hold a term nearly alone, anywhere or outside quotation marks.
+    Words and stems are counted in the toxic texts first, and of those alone
+    that came up often the contexts are gathered; clean texts are then asked
+    for those that came up in several contexts.  A task holds about ``held``
+    of them at a time.  Toxic texts must hold a term nearly alone, anywhere or
+    outside quotation marks.
     The tests compare rates within each class (``ratio``) and ask what chance
     does in this very sample (``least``), so they need no sampling weights."""
     n = {r[0]: r[1] for r in texts.groupBy("y").count().collect()}
     if not n.get(1) or not n.get(0):
         return [], []
     least = max(2, math.ceil(math.log(CHANCE) / math.log(n[1] / (n[0] + n[1]))))
-
-    def in_toxic(batches):
-        import pandas as pd  # noqa: PLC0415
-
-        seen: dict[tuple, list] = {}
-        for b in batches:
-            for t in b["t"]:
-                words, mine = bare_words(t), set()
-                for k in {k for w in set(bare_words(t, unquoted=True)) for k in keys_of(w)}:
-                    seen.setdefault(k, [0, set(), set(), 0])[3] += 1
-                for before, w in zip(["", *words], words):
-                    for k in keys_of(w):
-                        c = seen.setdefault(k, [0, set(), set(), 0])
-                        if k not in mine:
-                            mine.add(k)
-                            c[0] += 1
-                        if len(c[1]) < least:  # no more are asked for
-                            c[1].add(before)
-                        if len(c[2]) < 3:
-                            c[2].add(w)
-        yield pd.DataFrame([(*k, c[0], c[3], sorted(c[1]), sorted(c[2])) for k, c in seen.items()],
-                           columns=["stem", "k", "toxic", "plain", "contexts", "kinds"])
-
-    rows = texts.filter("y = 1").select("t").mapInPandas(in_toxic, "stem boolean, k string, toxic long, plain long, contexts array<string>, kinds array<string>")
-    often = rows.groupBy("stem", "k").agg(
-        F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
-    often = often.filter((F.col("toxic") >= least) & (2 * F.col("contexts") >= least) & (~F.col("stem") | (F.col("kinds") >= 3)))
-    rows = often.collect()  # bounded by the sample
+    most = -(-least // 2)  # contexts that suffice
+    rows = by_key(texts.filter("y = 1"), lambda said: toxic_counts(said, held), ["toxic", "plain"])
+    rows = rows.groupBy("stem", "k").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")).filter(F.col("toxic") >= least)
+    rows = rows.collect()  # bounded by the sample
     toxic, plain = ({(r["stem"], r["k"]): r[n] for r in rows} for n in ("toxic", "plain"))
+    often = set(toxic)
 
-    def in_clean(batches):
-        import pandas as pd  # noqa: PLC0415
+    rows = by_key(texts.filter("y = 1"), lambda said: toxic_contexts(said, often, most, held), ["contexts", "kinds"], "array<string>")
+    several = rows.groupBy("stem", "k").agg(*[F.size(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("contexts", "kinds")])
+    rows = several.filter((F.col("contexts") >= most) & (~F.col("stem") | (F.col("kinds") >= 3))).select("stem", "k").collect()
+    asked = {(r["stem"], r["k"]) for r in rows}
+    toxic = {k: c for k, c in toxic.items() if k in asked}
 
-        clean: dict[tuple, list[int]] = {}
-        for b in batches:
-            for t in b["t"]:
-                for place, unquoted in enumerate((False, True)):
-                    for k in {k for w in set(bare_words(t, unquoted)) for k in keys_of(w)}:
-                        if k in toxic:
-                            clean.setdefault(k, [0, 0])[place] += 1
-        yield pd.DataFrame([(*k, *c) for k, c in clean.items()], columns=["stem", "k", "clean", "plain"])
-
-    rows = texts.filter("y = 0").select("t").mapInPandas(in_clean, "stem boolean, k string, clean long, plain long")
+    rows = by_key(texts.filter("y = 0"), lambda said: clean_counts(said, asked), ["clean", "plain"])
     clean = {(r["stem"], r["k"]): (r["n"], r["p"]) for r in rows.groupBy("stem", "k").agg(F.sum("clean").alias("n"), F.sum("plain").alias("p")).collect()}
     ratio = 3 * n[1] / n[0]
 
@@ -311,18 +348,22 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     terms, stems = learn_lexicon(texts)
 
     def run(batches):
-        import pandas as pd  # noqa: PLC0415
+        import pyarrow as pa  # noqa: PLC0415
 
         matcher, known = Matcher(terms, stems), {}
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
         for b in batches:
             rows = []
-            for t, y, half in zip(b["t"], b["y"], b["half"]):
+            for t, y, half in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("t", "y", "half")]):
                 found = set(hits_of(t, matcher, known))
                 rows += [(*h, int(y), half) for h in found] or [("", 0, "", "", int(y), half)]
-            yield pd.DataFrame(rows, columns=["term", "distance", "context", "word", "y", "half"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                                 names=["term", "distance", "context", "word", "y", "half"])
+        give_back()
 
     halves = texts.withColumn("half", F.pmod(F.xxhash64("t"), F.lit(2)).cast("int")).repartition("d")
-    hits = halves.mapInPandas(run, "term string, distance int, context string, word string, y int, half int")
+    hits = halves.mapInArrow(run, "term string, distance int, context string, word string, y int, half int")
     rows = hits.groupBy("term", "distance", "context", "word", "y", "half").count().collect()  # bounded by the sample
     clean_words = [{r["word"] for r in rows if r["y"] == 0 and r["distance"] > 0 and r["half"] == k and r["context"][0] != "q"} for k in (0, 1)]
     exceptions = sorted(clean_words[0] | clean_words[1])
