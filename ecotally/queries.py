@@ -34,6 +34,8 @@ XWALK_ROWS = LOOKUP_ROWS["crosswalk"]
 # code lists of the fixture, given so that no plan needs a job of its own
 FOOTPRINT_CLASSES = ["Footprint", NOT_FOOTPRINT]
 SUBZONES = ["mv", "mw"]
+# blocks of a sheet that is read by block, about; from 16 KB to 32 MB each
+SHEET_BLOCKS = 256
 
 
 class Inputs:
@@ -564,9 +566,12 @@ def src_sheet_in_blocks(i: Inputs):
     path = scratch_path(i.spark, "notes-sheet")
     note = "CASE WHEN FID % 3 = 0 THEN concat('seen \"', FID, '\"\nthen, again') WHEN FID % 5 = 0 THEN 'plain, text' END"
     files.write_sheet(i.raw.selectExpr("FID AS fid", f"{note} AS note", "SITEMC_S1 AS sitemc"), path, ["Notes", "on polygons"], sort_by=["fid"])
+    # small blocks for small sheets too, but no more blocks (each a task and a file) than several hundred
+    size = i.spark.read.format("binaryFile").load(path).selectExpr("sum(length)").first()[0] or 0
+    block = min(max(size // SHEET_BLOCKS, 16 << 10), 32 << 20)
     old = {k: i.spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
-        i.spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        i.spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
         i.spark.conf.set("spark.sql.files.openCostInBytes", "0")
         return files.read_sheet(i.spark, path, skip=2, types={"fid": "bigint"})
     finally:

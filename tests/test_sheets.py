@@ -1,7 +1,10 @@
 """Sheets below title lines, of any size."""
 
+from types import SimpleNamespace
+
 import pytest
 
+from ecotally import queries
 from ecotally.session import scratch_path
 from ecotally.sources import files
 
@@ -48,3 +51,17 @@ def test_headers_must_be_the_same(spark):
         files.read_sheet(spark, write(spark, scratch_path(spark, "short"), "t\na,b\n"), skip=3)
     with pytest.raises(ValueError, match="has no end"):
         files.read_sheet(spark, write(spark, scratch_path(spark, "open"), 't\na,b\n1,"2\n3,4'), skip=1)
+
+
+@pytest.mark.parametrize("width, least, most", [(20, 3, 60), (400, 200, 320)])
+def test_blocks_of_the_sheet_query_do_not_multiply(spark, monkeypatch, width, least, most):
+    """Small sheets are read by several tasks, larger ones not by ever more."""
+    blocks = []
+
+    def seen(session, path, **_):
+        blocks.append(session.read.text(path).rdd.getNumPartitions())
+
+    monkeypatch.setattr(files, "read_sheet", seen)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    queries.src_sheet_in_blocks(SimpleNamespace(spark=spark, raw=spark.range(20_000).selectExpr("id AS FID", f"repeat('x', {width}) AS SITEMC_S1")))
+    assert least <= blocks[0] <= most and spark.conf.get("spark.sql.files.maxPartitionBytes") == old
